@@ -12,11 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from percepta.llm.labelled import held_out, training_rows
+from percepta.shared import written
 
 #: ASCII characters that aren't letters become blanks.
 _TABLE = bytes(32 if b < 128 and not chr(b).isalpha() else b for b in range(256))
 #: Letters of the stems that words unknown to the model fall back to.
 STEM = 4
+#: Least log-odds of a token that counts as toxic; less is a matter of topic.
+EFFECT = 2.0
+#: Tokens that are added to a text's length, as chance segments at its ends are rarer than the law says.
+ENDS = 100
 
 
 def tokens(text: str) -> list[str]:
@@ -81,7 +86,7 @@ class ToxicityModel:
         return [self.surprise(n, s) for _, _, s in found]
 
     def surprise(self, n: int, score: float) -> float:
-        expected = self.size * n * math.exp(-min(self.decay * score, 600.0))
+        expected = self.size * (n + ENDS) * math.exp(-min(self.decay * score, 600.0))
         return -math.log(max(-math.expm1(-expected), 1e-300))
 
     def features(self, n: int, found: list[tuple[int, int, float]], level: float = 3.0) -> tuple[float, float]:
@@ -95,61 +100,76 @@ class ToxicityModel:
 
 
 def _counted(batches: Iterable) -> Iterator:
-    """Occurrences of each token and stem (marked by a star) in the toxic and the other texts of a partition."""
+    """For each token of a partition the documents that hold it, by label and fold."""
     import pyarrow as pa
 
-    toxic, clean, docs = Counter(), Counter(), Counter()
+    sides = {(y, f): Counter() for y in (1, 0) for f in (0, 1)}
     for batch in batches:
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            own = tokens(text)
-            (toxic if y else clean).update(own)
-            docs.update(set(own))
-    for side in (toxic, clean):
-        for token, n in list(side.items()):
-            if len(token) > STEM:
-                side[f"{token[:STEM]}*"] += n
-    every = list(toxic.keys() | clean.keys())
+        for text, y, fold in zip(*(batch.column(k).to_pylist() for k in ("text", "y", "fold")), strict=True):
+            sides[int(bool(y)), fold].update(set(tokens(text)))
+    every = list(set().union(*sides.values()))
     for lo in range(0, len(every), 50_000):
         part = every[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([toxic[t] for t in part], pa.int64()), pa.array([clean[t] for t in part], pa.int64())], names=["token", "toxic", "clean"])
+        yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([c[t] for t in part], pa.int64()) for c in sides.values())], names=["token", "t0", "t1", "c0", "c1"])
 
 
-def _log_odds(counts: DataFrame, totals: dict[str, tuple[int, int]], prior: float, least: float, kind: str) -> dict[str, float]:
-    """Log-odds with a Dirichlet prior in proportion to the whole counts, where they lie `least` standard deviations above 0."""
-    nt, nc = totals[kind]
-    alpha = F.lit(prior) * (F.col("toxic") + F.col("clean")) / float(nt + nc)
+def _log_odds(counts: DataFrame, nt: float, nc: float, prior: float, least: float) -> dict[str, float]:
+    """Of counts(token, toxic, clean), the tokens whose log-odds lie `least` standard deviations above 0 and are EFFECT or more.
+
+    The Dirichlet prior is half a document for each token and `prior` documents in proportion to its share of all.
+    """
+    alpha = F.lit(0.5) + F.lit(prior) * (F.col("toxic") + F.col("clean")) / float(nt + nc)
     a, b = F.col("toxic") + alpha, F.col("clean") + alpha
-    odds = F.log(a / (nt + prior - a)) - F.log(b / (nc + prior - b))
-    rows = counts.filter(F.col("token").endswith("*") == (kind == "stem")).filter("toxic >= 2").withColumn("odds", odds).withColumn("sd", F.sqrt(1 / a + 1 / b))
-    rows = rows.filter(F.col("odds") > F.col("sd") * least).select(F.rtrim("token", F.lit("*")).alias("token"), "odds")
-    return {r.token: r.odds for r in rows.collect()}
+    odds = F.log(a / (nt + prior)) - F.log(b / (nc + prior))
+    rows = counts.filter("toxic >= 2").select("token", odds.alias("odds"), F.sqrt(1 / a + 1 / b).alias("sd"))
+    return {r.token: r.odds for r in rows.filter((F.col("odds") > F.col("sd") * least) & (F.col("odds") >= EFFECT)).select("token", "odds").collect()}
+
+
+def _tables(counts: DataFrame, nt: float, nc: float, prior: float, least: float) -> ToxicityModel:
+    """Tokens with significant log-odds, and stems that are significant without those tokens."""
+    known = _log_odds(counts, nt, nc, prior, least)
+    rest = counts.filter(F.length("token") > STEM)
+    if known:
+        spark = counts.sparkSession
+        rest = rest.join(F.broadcast(spark.createDataFrame([(t,) for t in known], "token string")), "token", "left_anti")
+    stems = rest.groupBy(F.substring("token", 1, STEM).alias("token")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return ToxicityModel(known, _log_odds(stems, nt, nc, prior, least + 0.4))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, rest: int = 0, most: int = 20_000, prior: float = 500.0, least: float = 1.96) -> ToxicityModel:
-    """Fits the model on up to `most` labelled documents that aren't held out (see training_rows).
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, rest: int = 0, most: int = 20_000, prior: float = 1.0, least: float = 2.8) -> ToxicityModel:
+    """Fits the model on up to `most` labelled documents that aren't held out (see training_rows); equal texts count once.
 
-    Seven tenths of the sample give token counts; the tokens and stems whose log-odds are significant go to the driver, at most as many as the
-    sample has words. The rest of the sample gives the law of chance segments and the final logistic. With no toxic or no
-    clean labelled document the model knows no token and scores the share of toxic labels.
+    Documents that hold a token are counted by label and fold. The tokens and stems whose log-odds are significant go to the driver,
+    at most as many as the sample has words. Each fold is scored by the other's tokens; from these scores come the law of chance
+    segments and the final logistic. With no toxic or no clean labelled document the model knows no token and scores
+    by the label there is.
     """
-    sample = training_rows(docs, labels, label, parts, rest, most)
-    share = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(10))
-    counts = sample.filter(share < 7).select("text", "y").mapInArrow(_counted, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).cache()
-    totals = {"token": (1, 1), "stem": (1, 1)} | {("stem" if r.stem else "token"): (max(r.t, 1), max(r.c, 1)) for r in counts.groupBy(F.col("token").endswith("*").alias("stem")).agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).collect()}
-    model = ToxicityModel(_log_odds(counts, totals, prior, least, "token"), _log_odds(counts, totals, prior, 4.0, "stem"))
-    counts.unpersist()
-
-    found = [(r.y, r.n, [(0, 0, s) for s in r.scores]) for r in sample.filter(share >= 7).select("text", "y").mapInArrow(_scanned(model), "y int, n long, scores array<double>").collect()]
+    sample = training_rows(docs, labels, label, parts, rest, most).dropDuplicates(["text"])
+    sample = written(sample.select("text", "y", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int").alias("fold")), "toxicity-sample")
+    sizes = {(r.y, r.fold): r.n for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y"), "fold").agg(F.count("*").alias("n")).collect()}
+    nt, nc = ([sizes.get((y, f), 0) for f in (0, 1)] for y in (1, 0))
+    if not sum(nt) or not sum(nc):
+        return ToxicityModel({}, {}, weights=[6.0 if sum(nt) else -6.0, 0.0, 0.0])
+    counts = written(sample.mapInArrow(_counted, "token string, t0 long, t1 long, c0 long, c1 long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("t0", "t1", "c0", "c1")]), "tokens")
+    folds = [_tables(counts.select("token", F.col(f"t{f}").alias("toxic"), F.col(f"c{f}").alias("clean")), nt[f], nc[f], prior, least) for f in (0, 1)]
+    model = _tables(counts.select("token", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("c0") + F.col("c1")).alias("clean")), sum(nt), sum(nc), prior, least)
+
+    # At most `most` rows, of the few segments that each text has.
+    found = [(r.y, r.n, [(0, 0, s) for s in r.scores]) for f in (0, 1) for r in sample.filter(F.col("fold") == f).select("text", "y").mapInArrow(_scanned(folds[1 - f]), "y int, n long, scores array<double>").collect()]
     clean = [(n, max((s for _, _, s in segs), default=0.0)) for y, n, segs in found if not y and n]
-    if not clean or len(clean) == len(found):
-        model.weights = [-6.0 if clean else 6.0 if found else 0.0, 0.0, 0.0]
+    if not clean:
         return model
-    tops = np.array([s for _, s in clean])
-    # Gumbel's law: the spread of chance maxima gives the decay, their level the size.
-    model.decay = float(min(max(math.pi / math.sqrt(6) / max(tops.std(), 1e-9), 0.2), 2.0))
-    model.size = float(len(clean) / sum(n * math.exp(-model.decay * s) for n, s in clean))
+    # The law's tail is exponential: the median of the chance scores gives its decay, the share of texts that have none its size.
+    tops = np.array([s for _, s in clean if s > 0])
+    model.decay = float(np.clip(math.log(2) / np.median(tops), 0.1, 2.0)) if len(tops) else 1.0
+    model.size = float((len(tops) + 0.5) / sum(n + ENDS for n, _ in clean))
     x = np.array([(1.0, *model.features(n, segs)) for _, n, segs in found])
-    model.weights = _logistic(x, np.array([float(y) for y, _, _ in found]))
+    y = np.array([float(y > 0) for y, _, _ in found])
+    model.weights = _logistic(x, y)
+    for k in (1, 2):  # more evidence never lowers a score
+        if model.weights[k] < 0:
+            x[:, k] = 0.0
+            model.weights = _logistic(x, y)
     return model
 
 
