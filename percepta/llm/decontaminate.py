@@ -14,12 +14,18 @@ from percepta.shared import lookup_join, written
 BITS = 64
 
 
+def _grams(h: str, width: int) -> Column:
+    """Hashes of the runs of `width` words in an array of word hashes; none if it has fewer words."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(F.lit(width), *[F.get(F.col(h), i + j) for j in range(width)]))
+    return F.when(F.size(h) >= width, runs).otherwise(F.array().cast("array<bigint>"))
+
+
 def _shingles(h: str, k: int) -> Column:
-    """Hashes of the k-word shingles of an array of word hashes; with fewer words, one of them all; none without words."""
-    n = F.size(h)
-    wide = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(F.col(h), i + j) for j in range(k)]))
-    short = F.array(F.xxhash64(F.lit(-1), F.array_join(F.transform(F.col(h), lambda x: x.cast("string")), ",")))
-    return F.when(n >= k, wide).when(n > 0, short).otherwise(F.array().cast("array<bigint>"))
+    """The k-word shingles; with fewer words, one of them all; none without words."""
+    out = _grams(h, k)
+    for width in range(1, k):
+        out = F.when(F.size(h) == width, _grams(h, width)).otherwise(out)
+    return out
 
 
 def _hashed(df: DataFrame, text: str) -> DataFrame:
@@ -65,11 +71,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity:
     rare = items.select("same", "h").distinct().groupBy("h").agg(F.log(1 + F.lit(float(total)) / F.count("*")).alias("w"))
     rare = written(rare, "weights")
     unknown = math.log(1 + total)
+    # Items of fewer than k words are one shingle of their own width; at most k widths.
+    widths = sorted({min(r.n, k) for r in items.select("n").distinct().filter(F.col("n") < k).collect()} | {k})
     seeds = written(items.select("h", "n", "q").distinct(), "seeds")
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter(F.col("text").isNotNull())
     t1, t2 = F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")
-    said = _hashed(keyed.select("text", t1, t2), "text").select("t1", "t2", "_h").select("t1", "t2", F.posexplode(_shingles("_h", k)).alias("at", "h"))
+    said = _hashed(keyed.select("text", t1, t2), "text").select("t1", "t2", "_h")
+    said = reduce(DataFrame.unionByName, [said.select("t1", "t2", F.posexplode(_grams("_h", w)).alias("at", "h")) for w in widths])
     small = seeds.limit(most_shingles + 1).count() <= most_shingles
     hits = said.join(F.broadcast(seeds) if small else seeds, "h").select("t1", "t2", "n", F.greatest(F.col("at") - F.col("q"), F.lit(0)).alias("start")).distinct()
     hits = written(hits, "hits")

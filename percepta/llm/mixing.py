@@ -16,7 +16,7 @@ def quality_weight(text: Column) -> Column:
     """From 1 for prose down to 0.05 for texts full of signs; 1 for empty texts and null."""
     n = F.length(text)
     signs = n - F.length(F.translate(text, SIGNS, ""))
-    return F.coalesce(F.greatest(F.lit(0.05), 1 / (1 + F.lit(20.0) * signs / n)), F.lit(1.0))
+    return F.coalesce(F.when(n > 0, F.greatest(F.lit(0.05), 1 / (1 + F.lit(20.0) * F.try_divide(signs, n)))), F.lit(1.0))
 
 
 def targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), most_epochs: int = 2) -> DataFrame:
