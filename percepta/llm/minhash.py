@@ -16,6 +16,11 @@ PERMUTATIONS = 48
 BLOCK = 1024
 #: Members that are verified against one copy of their centre.
 STAR = 512
+#: Rounds in which each row of a bucket of several components tries its most similar partner of another one.
+BEST_ROUNDS = 2
+#: Ranges of hashes of which a sketch keeps a byte each.
+BIN_BITS = 10
+BINS = 1 << BIN_BITS
 #: Shingles that are hashed under all permutations at once.
 CHUNK = 2048
 
@@ -82,7 +87,7 @@ def _signed(k: int, seed: int):
                         s = shingle_set(text, k)
                         if len(s):
                             sig = signature(s, factors, shifts)
-                            last[key] = (hashlib.md5(s.tobytes()).digest(), len(s), band_keys(sig), sig.astype(np.uint8).tobytes())
+                            last[key] = (hashlib.md5(s.tobytes()).digest(), len(s), band_keys(sig), sketch_of(s))
                         else:
                             last[key] = (None, 0, [], None)
                     cid, n, b, sk = last[key]
@@ -141,37 +146,60 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     return written(stars.mapInArrow(_confirmed(k, percent), "a binary, b binary"), f"{name}-links")
 
 
-def _crossed(least: int):
-    """Streams buckets, residents first: pairs of different components whose sketches agree in `least` values or more."""
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """A byte for each of BINS ranges of hashes, from the least hash in it; 0 where there is none."""
+    bins, first = np.unique(shingles >> np.uint64(64 - BIN_BITS), return_index=True)
+    out = np.zeros(BINS, np.uint8)
+    out[bins.astype(np.int64)] = 1 + shingles[first] % np.uint64(255)
+    return out.tobytes()
+
+
+def may_be_similar(sketches: np.ndarray, sizes: np.ndarray, own: np.ndarray, size: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which sketches may belong to sets whose similarity with own reaches share, and the estimates.
+
+    The estimate is the share of equal bins among those that either fills, a sample of the union without replacement: its
+    variance shrinks as the bins hold all of the union. Four standard deviations and two bins are allowed for.
+    """
+    filled = own > 0
+    equal = ((sketches == own) & filled).sum(1)
+    either = np.maximum((sketches > 0).sum(1) + filled.sum() - ((sketches > 0) & filled).sum(1), 1)
+    union = np.maximum((sizes + size) / (1 + share), either)
+    slack = 4 * np.sqrt(share * (1 - share) / either * (1 - either / union) + 1e-9) + 2 / either
+    fits = np.minimum(sizes, size) >= share * np.maximum(sizes, size) - 1e-9
+    return fits & (equal / either >= share - slack), equal / either
+
+
+def _crossed(percent: int, best: bool):
+    """Streams buckets, residents first: pairs of different components whose sketches allow the similarity.
+
+    best: for each row only the pair that agrees most.
+    """
 
     def cross(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        at, ids, labels, sketches = None, [], [], []
+        at, ids, names = None, [], {}
+        matrix, labels, sizes = np.zeros((16, BINS), np.uint8), np.zeros(16, np.int64), np.zeros(16, np.int64)
         for batch in batches:
             a, b = [], []
-            rows = zip(batch.column("key").to_pylist(), batch.column("block").to_pylist(), batch.column("cid").to_pylist(), batch.column("label").to_pylist(), batch.column("sketch").to_pylist(), batch.column("home").to_pylist(), strict=True)
-            for key, block, cid, label, raw, home in rows:
+            for key, block, cid, label, n, raw, home in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "cid", "label", "n", "sketch", "home")), strict=True):
                 if (key, block) != at:
-                    at, ids, labels, sketches = (key, block), [], [], []
-                own = np.frombuffer(raw, np.uint8)
-                if ids:
-                    near = np.flatnonzero((np.stack(sketches) == own).sum(1) >= least) if len(ids) < 8 else np.flatnonzero((matrix[: len(ids)] == own).sum(1) >= least)
-                    for i in near:
-                        if labels[i] != label and ids[i] != cid:
-                            a.append(min(ids[i], cid))
-                            b.append(max(ids[i], cid))
+                    at, ids, names = (key, block), [], {}
+                own, tag, m = np.frombuffer(raw, np.uint8), names.setdefault(label, len(names)), len(ids)
+                other = np.flatnonzero(labels[:m] != tag)
+                if len(other):
+                    ok, near = may_be_similar(matrix[other], sizes[other], own, n, percent / 100)
+                    found = np.flatnonzero(ok)
+                    if best and len(found):
+                        found = found[[near[found].argmax()]]
+                    for i in other[found].tolist():
+                        a.append(min(ids[i], cid))
+                        b.append(max(ids[i], cid))
                 if home:
+                    if m == len(matrix):
+                        matrix, labels, sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (matrix, labels, sizes))
+                    matrix[m], labels[m], sizes[m] = own, tag, n
                     ids.append(cid)
-                    labels.append(label)
-                    sketches.append(own)
-                    if len(ids) >= 8:
-                        if len(ids) == 8:
-                            matrix = np.zeros((16, len(own)), np.uint8)
-                            matrix[:8] = sketches
-                        elif len(ids) > len(matrix):
-                            matrix = np.concatenate([matrix, np.zeros_like(matrix)])
-                        matrix[len(ids) - 1] = own
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["hub", "member"])
 
     return cross
@@ -186,9 +214,9 @@ def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     Texts with equal sets form a class. Each class has min-max values under 48 permutations, banded by four values in 24
     bands: of two texts at 0.8, fewer than one pair in 100,000 shares no band. In each band bucket all classes are first
-    verified against the bucket's least class: one row each, however large the bucket. Links found join components; then
-    rows of one bucket in different components are compared by 96 one-byte values of their signatures, and pairs that
-    can be similar enough (five standard deviations below) are verified on full sets. Pairs already joined need no check.
+    verified against the bucket's least class: one row each, however large the bucket. Links found join components; then rows
+    of one bucket in different components are compared by sketches of 1,024 bytes. Pairs that can be similar enough are verified on full sets: in two rounds the best pair of each
+    row, which joins most of a group, and then every pair that is left. Pairs already joined need no check.
     Large buckets are dealt over blocks and large stars over copies of their centre, so no task holds a whole group.
     Null or repeated ids are rows like any other.
     """
@@ -204,20 +232,18 @@ def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     parts = connected_components(links)
     parts = parts.select(F.col("node").alias("cid"), "component")
 
-    labelled = banded.join(leads.select("key", "homes"), "key").join(parts, "cid", "left").select("key", "cid", "homes", F.coalesce("component", "cid").alias("label"))
-    labelled = written(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.ceil(F.col("homes") / BLOCK)).cast("int").alias("blocks")).filter("lo <> hi").select("key", "blocks")
-    open_rows = labelled.join(mixed, "key").join(classes.select("cid", "sketch"), "cid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_rows = open_rows.withColumn("home", F.col("block") == F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    values = 2 * PERMUTATIONS
-    least = int(np.floor(values * percent / 100 - 5 * np.sqrt(values * percent / 100 * (1 - percent / 100))))
-    open_rows = open_rows.select("key", "block", "cid", "label", "sketch", "home").repartition("key", "block").sortWithinPartitions("key", "block", F.col("home").desc())
-    crossed = open_rows.mapInArrow(_crossed(least), "hub binary, member binary").distinct()
-    sizes = classes.select(F.col("cid"), "n")
-    crossed = crossed.join(sizes.withColumnsRenamed({"cid": "hub", "n": "hn"}), "hub").join(sizes.withColumnsRenamed({"cid": "member", "n": "mn"}), "member").filter(F.least("hn", "mn") * 100 >= F.greatest("hn", "mn") * percent).select("hub", "member")
-    more = _verify(crossed, classes, docs, k, percent, "cross")
-    if more.limit(1).count():
-        parts = connected_components(links.union(more), "all-components").select(F.col("node").alias("cid"), "component")
+    for step in range(BEST_ROUNDS + 1):
+        labelled = banded.join(leads.select("key", "homes"), "key").join(parts, "cid", "left").select("key", "cid", "homes", F.coalesce("component", "cid").alias("label"))
+        labelled = written(labelled, "labelled")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.ceil(F.col("homes") / BLOCK)).cast("int").alias("blocks")).filter("lo <> hi").select("key", "blocks")
+        open_rows = labelled.join(mixed, "key").join(classes.select("cid", "n", "sketch"), "cid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        open_rows = open_rows.withColumn("home", F.col("block") == F.pmod(F.xxhash64("cid"), F.col("blocks")))
+        open_rows = open_rows.select("key", "block", "cid", "label", "n", "sketch", "home").repartition("key", "block").sortWithinPartitions("key", "block", F.col("home").desc())
+        crossed = open_rows.mapInArrow(_crossed(percent, step < BEST_ROUNDS), "hub binary, member binary")
+        more = _verify(crossed, classes, docs, k, percent, f"cross-{step}")
+        if more.limit(1).count():
+            links = links.union(more)
+            parts = connected_components(links, f"components-{step}").select(F.col("node").alias("cid"), "component")
     linked = parts.join(classes.select("cid", "least_id"), "cid")
     least_of = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
     info = linked.join(least_of, "component").select("cid", "component_id")
