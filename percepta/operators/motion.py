@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("track_id").orderBy("frame_id")
+def frames() -> WindowSpec:
+    return Window.partitionBy("track_id").orderBy("frame_id")
 
 
 def norm(*c: Column) -> Column:
@@ -14,8 +15,8 @@ def norm(*c: Column) -> Column:
 
 def differences(positions: DataFrame) -> DataFrame:
     """Adds vx, vy (this frame less the last) and ax, ay (this velocity less the last); null where there is none."""
-    d = positions.withColumns({"vx": F.col("x") - F.lag("x").over(W), "vy": F.col("y") - F.lag("y").over(W)})
-    return d.withColumns({"ax": F.col("vx") - F.lag("vx").over(W), "ay": F.col("vy") - F.lag("vy").over(W)})
+    d = positions.withColumns({"vx": F.col("x") - F.lag("x").over(frames()), "vy": F.col("y") - F.lag("y").over(frames())})
+    return d.withColumns({"ax": F.col("vx") - F.lag("vx").over(frames()), "ay": F.col("vy") - F.lag("vy").over(frames())})
 
 
 def latest(positions: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def motion_features(positions: DataFrame) -> DataFrame:
     """The six features of every track's whole history."""
     d = differences(positions)
     speed, heading = norm(F.col("vx"), F.col("vy")), F.atan2("vy", "vx")
-    d = d.withColumns({"speed": speed, "heading": heading, "pvx": F.lag("vx").over(W), "pvy": F.lag("vy").over(W)})
+    d = d.withColumns({"speed": speed, "heading": heading, "pvx": F.lag("vx").over(frames()), "pvy": F.lag("vy").over(frames())})
     cos = (F.col("vx") * F.col("pvx") + F.col("vy") * F.col("pvy")) / (F.col("speed") * norm(F.col("pvx"), F.col("pvy")))
     turn = F.when((F.col("speed") > 0) & (norm(F.col("pvx"), F.col("pvy")) > 0), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
     d = d.withColumn("turn", turn)
@@ -129,7 +130,7 @@ def collision_course(f: DataFrame, cell: Column) -> DataFrame:
 def intent(positions: DataFrame, lookahead: int = 30) -> DataFrame:
     """intent, confidence and predicted position of every track's last frame."""
     d = differences(positions)
-    d = d.withColumn("heading_change", F.atan2("vy", "vx") - F.lag(F.atan2("vy", "vx")).over(W))
+    d = d.withColumn("heading_change", F.atan2("vy", "vx") - F.lag(F.atan2("vy", "vx")).over(frames()))
     d = latest(d)
     speed = norm(F.col("vx"), F.col("vy"))
     along = (F.coalesce("ax", F.lit(0.0)) * F.col("vx") + F.coalesce("ay", F.lit(0.0)) * F.col("vy")) / (speed + 1e-6)
