@@ -149,7 +149,7 @@ _RANGE = "sqrt(x*x+y*y+z*z)"
 _XYZ = _rs("x y z intensity")
 add("lid_01_filter_range", "v_points", lambda d: spatial.in_range(d, 0.5, 20.0), f"SELECT cloud_id, pt_idx, {_XYZ} FROM v_points WHERE {_RANGE} BETWEEN 0.5 AND 20")
 add("lid_02_filter_height", "v_points", lambda d: spatial.in_height(d, 0.0, 2.0), f"SELECT cloud_id, pt_idx, {_XYZ} FROM v_points WHERE z BETWEEN 0 AND 2")
-add("lid_03_voxelize", "v_points", lambda d: spatial.voxelize(d, 4.3), f"SELECT cloud_id, CAST(floor(x/4.3::DOUBLE) AS BIGINT) AS vx, CAST(floor(y/4.3::DOUBLE) AS BIGINT) AS vy, CAST(floor(z/4.3::DOUBLE) AS BIGINT) AS vz, {_r('avg(x)', 'x', 8)}, {_r('avg(y)', 'y', 8)}, {_r('avg(z)', 'z', 8)}, {_r('avg(intensity)', 'intensity', 8)}, count(*) AS n FROM v_points GROUP BY 1, 2, 3, 4", 8)
+add("lid_03_voxelize", "v_points", lambda d: spatial.voxelize(d, 4.3), f"SELECT cloud_id, CAST(floor(x/4.3::DOUBLE) AS BIGINT) AS vx, CAST(floor(y/4.3::DOUBLE) AS BIGINT) AS vy, CAST(floor(z/4.3::DOUBLE) AS BIGINT) AS vz, {_r('avg(x)', 'x', 11)}, {_r('avg(y)', 'y', 11)}, {_r('avg(z)', 'z', 11)}, {_r('avg(intensity)', 'intensity', 11)}, count(*) AS n FROM v_points GROUP BY 1, 2, 3, 4", 11)
 add("lid_04_downsample", "v_points", lambda d: spatial.sampled(d, 50), f"SELECT cloud_id, pt_idx, {_XYZ} FROM v_points QUALIFY row_number() OVER (PARTITION BY cloud_id ORDER BY md5(CAST(pt_idx AS VARCHAR)), pt_idx) <= 50")
 add("lid_05_statistics", "v_points", spatial.cloud_statistics, "SELECT cloud_id, count(*) AS n, " + ", ".join(_r(f"{f}({c})", f"{n}_{c}") for c in "xyz" for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))) + f", {_r(f'max({_RANGE})', 'max_range')} FROM v_points GROUP BY cloud_id")
 add("lid_06_process_raw", "v_points", lambda d: spatial.in_height(spatial.in_range(d, 0.5, 100.0), -1.0, 5.0), f"SELECT cloud_id, pt_idx, {_XYZ} FROM v_points WHERE {_RANGE} BETWEEN 0.5 AND 100 AND z BETWEEN -1 AND 5")
