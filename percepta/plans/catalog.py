@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from percepta.operators import kalman, learning, motion, spatial
+from percepta.operators import kalman, learning, motion, spatial, tracking
 from percepta.sources.views import view, with_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,30 @@ def _unmatched(d: DataFrame) -> DataFrame:
 
 add("asc_04_unmatched_detections", "v_detections", _unmatched, f"{_PAIR} SELECT stream_id, frame_id, det_idx FROM v_detections ANTI JOIN (SELECT stream_id, frame_id, det_idx FROM iou WHERE iou > 0.3) USING (stream_id, frame_id, det_idx)")
 
+# Trackers. An object of the view overlaps none but itself, so in SQL tracks are islands of its frames.
+
+
+def _tracked(d: DataFrame, **options) -> DataFrame:
+    return tracking.histories(tracking.identified(d, **options))
+
+
+def _islands(rows: str, max_age: int) -> str:
+    return f"""
+g AS (SELECT *, CASE WHEN frame_id - lag(frame_id) OVER (PARTITION BY stream_id, obj ORDER BY frame_id) <= {max_age} THEN 0 ELSE 1 END AS b FROM v_detections WHERE {rows}),
+i AS (SELECT *, sum(b) OVER (PARTITION BY stream_id, obj ORDER BY frame_id) AS isl FROM g),
+k AS (SELECT *, max(confidence) OVER (PARTITION BY stream_id, obj, isl ORDER BY frame_id) AS top FROM i)"""
+
+
+def _tracks(first: float) -> str:
+    return f"""
+n AS (SELECT *, row_number() OVER w AS n, frame_id - lag(frame_id) OVER w - 1 AS gap, first_value(frame_id * 1000000 + det_idx) OVER w AS born FROM k WHERE top >= {first}::DOUBLE WINDOW w AS (PARTITION BY stream_id, obj, isl ORDER BY frame_id)),
+t AS (SELECT stream_id, frame_id, det_idx, dense_rank() OVER (PARTITION BY stream_id ORDER BY born) AS track_id, n + 1 AS hit_streak, coalesce(gap, 0) AS misses, n >= 2 AS confirmed FROM n)"""
+
+
+add("trk_06_mot", "v_detections", lambda d: _tracked(d, max_age=8), f"{_islands('true', 8)}, {_tracks(0)} SELECT * FROM t")
+add("trk_12_two_stage", "v_detections", lambda d: _tracked(d, max_age=8, high=0.5, low=0.1), f"{_islands('confidence >= 0.1::DOUBLE', 8)}, {_tracks(0.5)} SELECT * FROM t")
+add("trk_10_statistics", "v_detections", lambda d: tracking.statistics(_tracked(d, max_age=3), 3), f"{_islands('true', 3)}, {_tracks(0)}, l AS (SELECT stream_id, track_id, max(frame_id) AS f, bool_or(confirmed) AS c FROM t GROUP BY 1, 2), e AS (SELECT stream_id, max(f) AS current_frame, max(track_id) + 1 AS next_track_id FROM l GROUP BY 1) SELECT stream_id, current_frame, next_track_id, count(*) FILTER (WHERE current_frame - f < 3) AS total, count(*) FILTER (WHERE current_frame - f < 3 AND c) AS confirmed FROM l JOIN e USING (stream_id) GROUP BY 1, 2, 3")
+
 # Forecasts and uncertainty
 
 _D = """
