@@ -17,7 +17,7 @@ BLOCK = 1024
 #: Members that are verified against one copy of their centre.
 STAR = 512
 #: Rounds in which each row of a bucket of several components tries its most similar partner of another one.
-BEST_ROUNDS = 2
+BEST_ROUNDS = 1
 #: Ranges of hashes of which a sketch keeps a byte each.
 BIN_BITS = 10
 BINS = 1 << BIN_BITS
@@ -132,6 +132,8 @@ def _confirmed(k: int, percent: int):
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """Of pairs(hub, member), those whose full sets are similar enough. Only texts in pairs travel; large stars are dealt over several tasks."""
     pairs = written(pairs.distinct(), f"{name}-pairs")
+    if not pairs.limit(1).count():
+        return pairs.toDF("a", "b")
     needed = pairs.select(F.col("hub").alias("cid")).union(pairs.select(F.col("member").alias("cid"))).distinct()
     reps = written(needed.join(classes.select("cid", "rep.*"), "cid").select(F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("doc_id").isNull().alias("_no"), F.col("tk"), "cid"), f"{name}-reps")
     marked = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("doc_id").isNull().alias("_no"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tk"), "text")
@@ -154,19 +156,19 @@ def sketch_of(shingles: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def may_be_similar(sketches: np.ndarray, sizes: np.ndarray, own: np.ndarray, size: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which sketches may belong to sets whose similarity with own reaches share, and the estimates.
+def may_be_similar(sketches: np.ndarray, rows: np.ndarray, filled: np.ndarray, sizes: np.ndarray, own: np.ndarray, size: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of sketches, of so many filled bins, may belong to sets whose similarity with own reaches share, and the estimates.
 
     The estimate is the share of equal bins among those that either fills, a sample of the union without replacement: its
     variance shrinks as the bins hold all of the union. Four standard deviations and two bins are allowed for.
     """
-    filled = own > 0
-    equal = ((sketches == own) & filled).sum(1)
-    either = np.maximum((sketches > 0).sum(1) + filled.sum() - ((sketches > 0) & filled).sum(1), 1)
+    bins = np.flatnonzero(own)
+    there = sketches[np.ix_(rows, bins)]
+    equal = np.count_nonzero(there == own[bins], 1)
+    either = np.maximum(filled + len(bins) - np.count_nonzero(there, 1), 1)
     union = np.maximum((sizes + size) / (1 + share), either)
     slack = 4 * np.sqrt(share * (1 - share) / either * (1 - either / union) + 1e-9) + 2 / either
-    fits = np.minimum(sizes, size) >= share * np.maximum(sizes, size) - 1e-9
-    return fits & (equal / either >= share - slack), equal / either
+    return equal / either >= share - slack, equal / either
 
 
 def _crossed(percent: int, best: bool):
@@ -175,20 +177,23 @@ def _crossed(percent: int, best: bool):
     best: for each row only the pair that agrees most.
     """
 
+    share = percent / 100
+
     def cross(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         at, ids, names = None, [], {}
-        matrix, labels, sizes = np.zeros((16, BINS), np.uint8), np.zeros(16, np.int64), np.zeros(16, np.int64)
+        matrix, labels, sizes, filled = np.zeros((16, BINS), np.uint8), *(np.zeros(16, np.int64) for _ in range(3))
         for batch in batches:
             a, b = [], []
             for key, block, cid, label, n, raw, home in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "cid", "label", "n", "sketch", "home")), strict=True):
                 if (key, block) != at:
                     at, ids, names = (key, block), [], {}
                 own, tag, m = np.frombuffer(raw, np.uint8), names.setdefault(label, len(names)), len(ids)
-                other = np.flatnonzero(labels[:m] != tag)
+                fits = np.minimum(sizes[:m], n) >= share * np.maximum(sizes[:m], n) - 1e-9
+                other = np.flatnonzero(fits & (labels[:m] != tag))
                 if len(other):
-                    ok, near = may_be_similar(matrix[other], sizes[other], own, n, percent / 100)
+                    ok, near = may_be_similar(matrix, other, filled[other], sizes[other], own, n, share)
                     found = np.flatnonzero(ok)
                     if best and len(found):
                         found = found[[near[found].argmax()]]
@@ -197,8 +202,8 @@ def _crossed(percent: int, best: bool):
                         b.append(max(ids[i], cid))
                 if home:
                     if m == len(matrix):
-                        matrix, labels, sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (matrix, labels, sizes))
-                    matrix[m], labels[m], sizes[m] = own, tag, n
+                        matrix, labels, sizes, filled = (np.concatenate([x, np.zeros_like(x)]) for x in (matrix, labels, sizes, filled))
+                    matrix[m], labels[m], sizes[m], filled[m] = own, tag, n, np.count_nonzero(own)
                     ids.append(cid)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["hub", "member"])
 
@@ -215,7 +220,7 @@ def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     Texts with equal sets form a class. Each class has min-max values under 48 permutations, banded by four values in 24
     bands: of two texts at 0.8, fewer than one pair in 100,000 shares no band. In each band bucket all classes are first
     verified against the bucket's least class: one row each, however large the bucket. Links found join components; then rows
-    of one bucket in different components are compared by sketches of 1,024 bytes. Pairs that can be similar enough are verified on full sets: in two rounds the best pair of each
+    of one bucket in different components are compared by sketches of 1,024 bytes. Pairs that can be similar enough are verified on full sets: first the best pair of each
     row, which joins most of a group, and then every pair that is left. Pairs already joined need no check.
     Large buckets are dealt over blocks and large stars over copies of their centre, so no task holds a whole group.
     Null or repeated ids are rows like any other.
