@@ -99,13 +99,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
         least = written(labels.join(near, "a").select("a", F.least("l", "m").alias("l"), F.col("l").alias("was")), f"{name}-least")
-        jumped = least.select(F.col("a").alias("l"), F.col("l").alias("top"))
-        step = least.join(jumped, "l").select("a", F.col("top").alias("l"), "was")
-        step = written(step, f"{name}-labels")
-        moved = step.filter("l <> was").limit(1).count()
-        labels = step.select("a", "l")
-        if not moved:
+        if not least.filter("l <> was").limit(1).count():
             return labels.select(F.col("a").alias("node"), F.col("l").alias("component"))
+        jumped = least.select(F.col("a").alias("l"), F.col("l").alias("top"))
+        step = least.join(jumped, "l").select("a", F.col("top").alias("l"))
+        labels = written(step, f"{name}-labels")
 
 
 def all_of(conditions: list[Column]) -> Column:
