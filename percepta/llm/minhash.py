@@ -174,7 +174,8 @@ def may_be_similar(sketches: np.ndarray, rows: np.ndarray, filled: np.ndarray, s
 def _crossed(percent: int, best: bool):
     """Streams buckets, residents first: pairs of different components whose sketches allow the similarity.
 
-    best: for each row only the pair that agrees most.
+    A pair is looked at in the first band that its two rows share only: both are in that bucket, and in its other ones again.
+    best: for each row of a bucket only the pair that agrees most.
     """
 
     share = percent / 100
@@ -183,15 +184,19 @@ def _crossed(percent: int, best: bool):
         import pyarrow as pa
 
         at, ids, names = None, [], {}
-        matrix, labels, sizes, filled = np.zeros((16, BINS), np.uint8), *(np.zeros(16, np.int64) for _ in range(3))
+        matrix, keys = np.zeros((16, BINS), np.uint8), np.zeros((16, PERMUTATIONS // 2), np.int64)
+        labels, sizes, filled = (np.zeros(16, np.int64) for _ in range(3))
         for batch in batches:
             a, b = [], []
-            for key, block, cid, label, n, raw, home in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "cid", "label", "n", "sketch", "home")), strict=True):
+            bands = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, -1)
+            for key, block, cid, label, n, raw, home, own_keys in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "cid", "label", "n", "sketch", "home")), bands, strict=True):
                 if (key, block) != at:
                     at, ids, names = (key, block), [], {}
                 own, tag, m = np.frombuffer(raw, np.uint8), names.setdefault(label, len(names)), len(ids)
                 fits = np.minimum(sizes[:m], n) >= share * np.maximum(sizes[:m], n) - 1e-9
                 other = np.flatnonzero(fits & (labels[:m] != tag))
+                if len(other):
+                    other = other[own_keys[(keys[other] == own_keys).argmax(1)] == key]
                 if len(other):
                     ok, near = may_be_similar(matrix, other, filled[other], sizes[other], own, n, share)
                     found = np.flatnonzero(ok)
@@ -202,8 +207,8 @@ def _crossed(percent: int, best: bool):
                         b.append(max(ids[i], cid))
                 if home:
                     if m == len(matrix):
-                        matrix, labels, sizes, filled = (np.concatenate([x, np.zeros_like(x)]) for x in (matrix, labels, sizes, filled))
-                    matrix[m], labels[m], sizes[m], filled[m] = own, tag, n, np.count_nonzero(own)
+                        matrix, keys, labels, sizes, filled = (np.concatenate([x, np.zeros_like(x)]) for x in (matrix, keys, labels, sizes, filled))
+                    matrix[m], keys[m], labels[m], sizes[m], filled[m] = own, own_keys, tag, n, np.count_nonzero(own)
                     ids.append(cid)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["hub", "member"])
 
@@ -241,9 +246,9 @@ def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         labelled = banded.join(leads.select("key", "homes"), "key").join(parts, "cid", "left").select("key", "cid", "homes", F.coalesce("component", "cid").alias("label"))
         labelled = written(labelled, "labelled")
         mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.ceil(F.col("homes") / BLOCK)).cast("int").alias("blocks")).filter("lo <> hi").select("key", "blocks")
-        open_rows = labelled.join(mixed, "key").join(classes.select("cid", "n", "sketch"), "cid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        open_rows = labelled.join(mixed, "key").join(classes.select("cid", "n", "bands", "sketch"), "cid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         open_rows = open_rows.withColumn("home", F.col("block") == F.pmod(F.xxhash64("cid"), F.col("blocks")))
-        open_rows = open_rows.select("key", "block", "cid", "label", "n", "sketch", "home").repartition("key", "block").sortWithinPartitions("key", "block", F.col("home").desc())
+        open_rows = open_rows.select("key", "block", "cid", "label", "n", "bands", "sketch", "home").repartition("key", "block").sortWithinPartitions("key", "block", F.col("home").desc())
         crossed = open_rows.mapInArrow(_crossed(percent, step < BEST_ROUNDS), "hub binary, member binary")
         more = _verify(crossed, classes, docs, k, percent, f"cross-{step}")
         if more.limit(1).count():
