@@ -188,7 +188,7 @@ def _crossed(percent: int, best: bool):
         labels, sizes, filled = (np.zeros(16, np.int64) for _ in range(3))
         for batch in batches:
             a, b = [], []
-            bands = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, -1)
+            bands = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, PERMUTATIONS // 2)
             for key, block, cid, label, n, raw, home, own_keys in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "cid", "label", "n", "sketch", "home")), bands, strict=True):
                 if (key, block) != at:
                     at, ids, names = (key, block), [], {}
