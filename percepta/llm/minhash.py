@@ -216,7 +216,7 @@ def _crossed(percent: int, best: bool):
 
 
 def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", seed: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and the digest tk of the text for every row of docs.
+    """doc_id, n_shingles, component_id, kept, the digest tk of the text and the key of its group for every row of docs.
 
     A text's set: the distinct k-word shingles of its words (runs without ASCII blanks, A-Z lower-cased); with fewer
     words, one shingle of them all; none without words. Texts link if 100 * |both| >= percent * |either|, on full sets
@@ -228,7 +228,8 @@ def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     of one bucket in different components are compared by sketches of 1,024 bytes. Pairs that can be similar enough are verified on full sets: first the best pair of each
     row, which joins most of a group, and then every pair that is left. Pairs already joined need no check.
     Large buckets are dealt over blocks and large stars over copies of their centre, so no task holds a whole group.
-    Null or repeated ids are rows like any other.
+    Null or repeated ids are rows like any other: the group comes from the texts' sets, so two texts that don't link differ in
+    it whatever their ids are. It is null without words.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(docs.mapInArrow(_signed(k, seed), "doc_id long, tk binary, cid binary, n_shingles long, bands array<bigint>, sketch binary"), "signed")
@@ -256,17 +257,22 @@ def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
             parts = connected_components(links, f"components-{step}").select(F.col("node").alias("cid"), "component")
     linked = parts.join(classes.select("cid", "least_id"), "cid")
     least_of = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    info = linked.join(least_of, "component").select("cid", "component_id")
-    single = classes.filter("copies > 1").join(parts.select("cid"), "cid", "left_anti").select("cid", F.col("least_id").alias("component_id"))
+    info = linked.join(least_of, "component").select("cid", "component_id", F.col("component").alias("group"))
+    single = classes.filter("copies > 1").join(parts.select("cid"), "cid", "left_anti").select("cid", F.col("least_id").alias("component_id"), F.col("cid").alias("group"))
     info = written(info.unionByName(single), "components")
     out = rows.select("doc_id", "tk", "cid", "n_shingles").join(info.withColumn("grouped", F.lit(True)), "cid", "left")
     component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "tk")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "tk", F.coalesce("group", "cid").alias("group"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay when each group keeps the document with the least doc_id; of repeated rows of it, one."""
-    kept = near_documents(docs, **options).filter("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("doc_id").isNull().alias("_no"), F.col("tk").alias("_tk"), F.col("component_id").alias("_c")).distinct()
-    kept = written(kept.groupBy("_d", "_no", "_c").agg(F.min("_tk").alias("_tk")).select("_d", "_no", "_tk"), "kept")
+    """The rows of docs that stay when each group keeps the document with the least doc_id; of repeated rows of it, one.
+
+    Groups are told apart by their texts, so unrelated texts under null or repeated ids all stay. Rows without words link with nothing and all stay.
+    """
+    kept = near_documents(docs, **options).filter("kept and group is not null").select("group", F.struct(F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("doc_id").isNull().alias("_no"), F.col("tk").alias("_tk")).alias("k"))
+    kept = written(kept.groupBy("group").agg(F.min("k").alias("k")).select("k.*"), "kept")
     marked = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_no": F.col("doc_id").isNull(), "_tk": F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
-    return marked.join(kept, ["_d", "_no", "_tk"], "left_semi").dropDuplicates(["_d", "_no", "_tk"]).select(*docs.columns)
+    said = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    chosen = marked.filter(said).join(kept, ["_d", "_no", "_tk"], "left_semi").dropDuplicates(["_d", "_no", "_tk"])
+    return chosen.select(*docs.columns).union(docs.filter(~said))

@@ -45,6 +45,16 @@ def test_one_of_each(spark):
     assert minhash.one_of_each(empty(spark)).count() == 0
 
 
+def test_one_of_each_tells_texts_with_null_or_repeated_ids_apart(spark):
+    rows = [(None, texts(1)), (None, texts(2)), (None, texts(2)), (None, texts(1) + " tail"), (None, None), (None, ""), (None, " "), (7, texts(3)), (7, texts(4)), (7, texts(4)), (7, ""), (8, texts(3)), (9, texts(5)), (None, texts(5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in minhash.one_of_each(df).collect()]
+    linked = [x for x in kept if x[1] in (texts(1), texts(1) + " tail")]
+    assert len(linked) == 1 and linked[0][0] is None
+    rest = [(None, texts(2)), (None, None), (None, ""), (None, " "), (7, texts(3)), (7, texts(4)), (7, ""), (9, texts(5))]
+    assert sorted(map(repr, set(kept) - set(linked))) == sorted(map(repr, rest)) and len(kept) == len(rest) + 1
+
+
 def test_minhash_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     docs = []
