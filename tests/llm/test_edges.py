@@ -3,6 +3,7 @@
 import hashlib
 import io
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -196,6 +197,25 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_near_copies(spark):
+    rng = np.random.default_rng(11)
+    items = [list(rng.choice(WORDS, n)) for n in rng.integers(15, 60, 150)]
+    docs = []
+    for item in items * 4:
+        own = list(item)
+        for at in rng.integers(0, len(own), rng.integers(1, 3)):
+            own[at] = f"x{rng.integers(1_000_000)}"
+        docs.append(own)
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    df = Counter(g for item in items for g in grams(item))
+    weight = lambda c: sum(n * np.log(1 + len(items) / df.get(g, 1)) for g, n in c.items())
+    pairs = [(i, i % len(items)) for i in range(len(docs))]
+    near = {(i, j) for i, j in pairs if weight(grams(docs[i]) & grams(items[j])) >= (0.8 - 1e-9) * weight(grams(docs[i]) | grams(items[j]))}
+    of = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], f"{name} long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(of(docs, "doc_id"), of(items, "item_id")).collect()}
+    assert len(near) > 100 and got == near
+
+
 def test_segments_equal_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(200):
