@@ -16,9 +16,11 @@ def _stripped(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r\x0b\x0c"))
 
 
-def drop_boilerplate_lines(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 5, most_sites: int = 50_000) -> DataFrame:
+def drop_boilerplate_lines(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 2, most_sites: int = 50_000) -> DataFrame:
     """Drops the lines that stand on more than `ratio` of a site's pages and on at least min_pages of them.
 
+    Two pages is the least floor that keeps the lines of a single page, so that on small sites too the ratio decides.
+
     Adds n_lines and n_dropped (long) and replaces the text by what is left of it; all rows stay, in any number, and
     rows of which nothing is dropped keep their text as it is. Lines end at a line feed and are compared without blanks
     at their ends; blank lines never drop. Exact copies of a page within a site count as one page, in the line's count as in the

@@ -184,6 +184,13 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_small_sites(spark):
+    rows = [(i, f"own {i}\nFooter", "four") for i in range(4)] + [(10 + i, f"own {i}" + "\nTwice" * (i < 2), "ten") for i in range(10)] + [(30, "own\nFooter", "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    dropped = {r.doc_id for r in line_dedup.drop_boilerplate_lines(df).collect() if r.n_dropped}
+    assert dropped == {0, 1, 2, 3, 10, 11}
+
+
 def test_decontamination(spark):
     items = [(1, texts(100, 30)), (2, "Too Short"), (3, None), (4, ""), (5, texts(100, 30))]
     bench = spark.createDataFrame(items, "item_id long, text string")
