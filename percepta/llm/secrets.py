@@ -13,8 +13,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: Maximal runs, so the least length can stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: Weak parts: a bare run that may be a secret key, and where it may be used.
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=-])"
+#: Weak parts: a bare run that may be a secret key, also right after an equals sign as in env files, and where it may be used.
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"(?:https?://[^\x20\x09-\x0D\"'<>]{4,}|\b(?:[A-Za-z0-9-]+\.)+(?:amazonaws\.com|azure\.com|googleapis\.com|internal|local)\b(?::[0-9]{1,5})?)"
 
 _SPANS = "array<struct<start:bigint,rank:int,end:bigint>>"
