@@ -5,20 +5,24 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A folder of this application under spark.checkpoint.dir (a temporary folder only where that is unset, as in tests)."""
+    """A folder of this application under spark.checkpoint.dir; a temporary folder only where that is unset on a local master, as in tests."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="percepta-")
             spark.sparkContext.setCheckpointDir(base)
         _ROOTS[app] = f"{base.rstrip('/')}/percepta-{uuid.uuid4().hex}"
@@ -26,10 +30,15 @@ def shared_root(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        at, files = _hadoop(spark, path)
+        files.delete(at, True)
     except Exception:  # the JVM may have ended before
         pass
 
@@ -40,22 +49,50 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Deletes tables that written() made; their last reader must be done. Other DataFrames are left alone."""
+    for t in tables:
+        if path := _PATHS.pop(t, None):
+            _remove(t.sparkSession, path)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df as one struct column, row: beside it an operator's own columns can't clash with the input's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def fits(table: DataFrame, most_rows: int, most_bytes: int = 64 << 20) -> bool:
+    """Whether a table is small enough to broadcast: its rows are counted and, if it was written, its files measured."""
+    if path := _PATHS.get(table):
+        at, files = _hadoop(table.sparkSession, path)
+        if files.getContentSummary(at).getLength() > most_bytes:
+            return False
+    return table.limit(most_rows + 1).count() <= most_rows
 
 
 def lookup_join(left: DataFrame, table: DataFrame, on: list[str], how: str = "left", most_rows: int = 200_000, salts: int = 32, spread: list[Column] | None = None) -> DataFrame:
-    """Joins left to a written table with one row for each key.
+    """Joins left to a written table that has few rows for each key.
 
-    The table is counted. Up to most_rows it is broadcast. Beyond, the rows of every key of left are dealt over
+    A table of at most most_rows rows and 64 MB of files is broadcast. Beyond, the rows of every key of left are dealt over
     `salts` shares and the table is repeated for each share, so that a key with a third of all rows has no task of its own.
     """
-    if table.limit(most_rows + 1).count() <= most_rows:
+    if fits(table, most_rows):
         return left.join(F.broadcast(table), on, how)
-    salt = F.pmod(F.xxhash64(*(spread or [F.col(c) for c in left.columns])), F.lit(salts)).cast("int")
-    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", salt).join(table, [*on, "_salt"], how).drop("_salt")
+    salt = "salt"
+    while salt in {c.lower() for c in (*left.columns, *table.columns)}:
+        salt += "_"
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema.fields}
+    hashable = [F.col(f"`{c}`") for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind]
+    dealt = F.pmod(F.xxhash64(*(spread or hashable or [F.lit(0)])), F.lit(salts)).cast("int")
+    table = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn(salt, dealt).join(table, [*on, salt], how).drop(salt)
 
 
 def _forest(batches):
@@ -94,16 +131,22 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     edges = edges.select("a", "b").filter("a is not null and b is not null and a <> b")
     thin = edges.mapInArrow(_forest, edges.schema)
-    both = written(thin.union(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = written(thin.select(F.explode(ways).alias("e")).select("e.*").distinct(), f"{name}-edges")
     labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("l")), f"{name}-labels")
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
         least = written(labels.join(near, "a").select("a", F.least("l", "m").alias("l"), F.col("l").alias("was")), f"{name}-least")
         if not least.filter("l <> was").limit(1).count():
-            return labels.select(F.col("a").alias("node"), F.col("l").alias("component"))
-        jumped = least.select(F.col("a").alias("l"), F.col("l").alias("top"))
-        step = least.join(jumped, "l").select("a", F.col("top").alias("l"))
-        labels = written(step, f"{name}-labels")
+            freed(both, least)
+            out = labels.withColumnsRenamed({"a": "node", "l": "component"})
+            _PATHS[out] = _PATHS.pop(labels)
+            return out
+        # Labels are joined to the few rows of labels that stand for others, so a giant component's label is one lookup.
+        tops = written(least.join(least.select(F.col("l").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("l"), F.col("l").alias("top")), f"{name}-tops")
+        step = lookup_join(least, tops, ["l"], "inner", spread=[F.col("a")]).select("a", F.col("top").alias("l"))
+        before, labels = labels, written(step, f"{name}-labels")
+        freed(before, least, tops)
 
 
 def all_of(conditions: list[Column]) -> Column:
