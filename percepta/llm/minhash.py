@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from percepta.shared import connected_components, lookup_join, written
+from percepta.shared import connected_components, freed, lookup_join, packed, written
 
 #: Permutations; each gives a minimum and a maximum. A band takes two permutations, so four values.
 PERMUTATIONS = 48
@@ -80,25 +80,21 @@ def _signed(k: int, seed: int):
             texts = batch.column(1).cast(pa.binary())
             for at in range(0, batch.num_rows, 500):
                 part = texts.slice(at, 500).to_pylist()
-                cids, sizes, keys, bands, sketch, last = [], [], [], [], [], {}
+                cids, sizes, keys, bands, last = [], [], [], [], {}
                 for text in part:
                     key = hashlib.md5(text or b"").digest()
                     if key not in last:  # copies often stand close together
                         s = shingle_set(text, k)
-                        if len(s):
-                            sig = signature(s, factors, shifts)
-                            last[key] = (hashlib.md5(s.tobytes()).digest(), len(s), band_keys(sig), sketch_of(s))
-                        else:
-                            last[key] = (None, 0, [], None)
-                    cid, n, b, sk = last[key]
+                        last[key] = (hashlib.md5(s.tobytes()).digest(), len(s), band_keys(signature(s, factors, shifts))) if len(s) else (None, 0, [])
+                    cid, n, b = last[key]
                     cids.append(cid)
                     sizes.append(n)
                     keys.append(key)
                     bands.append(b)
-                    sketch.append(sk)
                 flat = np.concatenate([np.asarray(b, np.int64) for b in bands]) if bands else np.zeros(0, np.int64)
                 offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(keys, pa.binary()), pa.array(cids, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sketch, pa.binary())], names=["doc_id", "tk", "cid", "n_shingles", "bands", "sketch"])
+                columns = [batch.column(0).slice(at, 500), pa.array(keys, pa.binary()), pa.array(cids, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tk", "cid", "n_shingles", "bands"])
 
     return sign
 
@@ -115,7 +111,7 @@ def _confirmed(k: int, percent: int):
             a, b = [], []
             for i, (hub, salt, member) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("hub", "salt", "member")), strict=True)):
                 own = shingle_set(texts[i].as_py(), k)
-                if member is None:
+                if not member:
                     at, centre = (hub, salt), own
                     continue
                 if at != (hub, salt):
@@ -129,23 +125,49 @@ def _confirmed(k: int, percent: int):
     return confirm
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """docs with a key of its rows that has no nulls: id, whether there is none, digest of the text."""
+    return docs.select(*_row_key("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))), "text")
+
+
+def _row_key(doc_id: str, digest) -> list:
+    return [F.coalesce(doc_id, F.lit(-1)).alias("d"), F.col(doc_id).isNull().alias("no"), digest.alias("tk")]
+
+
+def _with_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """wanted(cid, keys…) with the text that stands for each class, one row for each of keys. Only these texts travel."""
+    at = classes.select("cid", *_row_key("rep.doc_id", F.col("rep.tk")))
+    rows = written(wanted.join(at, "cid").drop("cid"), f"{name}-wanted")
+    texts = lookup_join(_marked(docs), rows, ["d", "no", "tk"], "inner", spread=[F.col("tk")]).select(*keys, "text")
+    # Repeated rows of one id and text stand for a class more than once.
+    return texts.groupBy(*keys).agg(F.first("text").alias("text"))
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """Of pairs(hub, member), those whose full sets are similar enough. Only texts in pairs travel; large stars are dealt over several tasks."""
     pairs = written(pairs.distinct(), f"{name}-pairs")
     if not pairs.limit(1).count():
         return pairs.toDF("a", "b")
-    needed = pairs.select(F.col("hub").alias("cid")).union(pairs.select(F.col("member").alias("cid"))).distinct()
-    reps = written(needed.join(classes.select("cid", "rep.*"), "cid").select(F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("doc_id").isNull().alias("_no"), F.col("tk"), "cid"), f"{name}-reps")
-    marked = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("doc_id").isNull().alias("_no"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tk"), "text")
-    texts = lookup_join(marked, reps, ["_d", "_no", "tk"], "inner", spread=[F.col("_d")]).select("cid", "text").dropDuplicates(["cid"])
-    texts = written(texts, f"{name}-texts")
-    degree = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
-    spread = pairs.join(degree, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), "member")
-    hubs = degree.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    members = spread.join(texts.withColumnRenamed("cid", "member"), "member").select("hub", "salt", "member", "text")
-    centres = hubs.join(texts.withColumnRenamed("cid", "hub"), "hub").select("hub", "salt", F.lit(None).cast("binary").alias("member"), "text")
-    stars = centres.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
-    return written(stars.mapInArrow(_confirmed(k, percent), "a binary, b binary"), f"{name}-links")
+    degree = written(pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts")), f"{name}-degrees")
+    members = pairs.join(degree, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), "member", F.col("member").alias("cid"))
+    centres = degree.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(b"").alias("member"), F.col("hub").alias("cid"))
+    stars = _with_texts(centres.unionByName(members), classes, docs, ["hub", "salt", "member"], name)
+    stars = stars.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
+    out = written(stars.mapInArrow(_confirmed(k, percent), "a binary, b binary"), f"{name}-links")
+    freed(pairs, degree)
+    return out
+
+
+def _sketched(k: int):
+    def sketch(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            made = [sketch_of(shingle_set(t.as_py(), k)) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(made, pa.binary())], names=["cid", "sketch"])
+
+    return sketch
 
 
 def sketch_of(shingles: np.ndarray) -> bytes:
@@ -231,48 +253,62 @@ def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     Null or repeated ids are rows like any other: the group comes from the texts' sets, so two texts that don't link differ in
     it whatever their ids are. It is null without words.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(docs.mapInArrow(_signed(k, seed), "doc_id long, tk binary, cid binary, n_shingles long, bands array<bigint>, sketch binary"), "signed")
-    classes = rows.filter("cid is not null").groupBy("cid").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), F.min(F.struct("doc_id", "tk")).alias("rep"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = written(docs.mapInArrow(_signed(k, seed), "doc_id long, tk binary, cid binary, n_shingles long, bands array<bigint>"), "signed")
+    kinds = rows.filter("cid is not null").groupBy("cid")
+    classes = kinds.agg(F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.min(F.struct("doc_id", "tk")).alias("rep"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     classes = written(classes, "classes")
-    banded = classes.select("cid", "n", F.explode("bands").alias("key"))
-    leads = written(banded.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("lead"), F.count("*").alias("homes")).filter("homes > 1"), "leads")
-    fits = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
-    met = banded.join(leads, "key")
-    links = _verify(met.filter(fits & (F.col("cid") != F.col("lead.cid"))).select(F.col("lead.cid").alias("hub"), F.col("cid").alias("member")), classes, docs, k, percent, "stars")
-    parts = connected_components(links)
-    parts = parts.select(F.col("node").alias("cid"), "component")
-
+    # Only keys travel to find the buckets of several classes; only the rows in these go on.
+    keys = F.explode("bands").alias("key")
+    shared = written(classes.select(keys).groupBy("key").agg(F.count("*").alias("homes")).filter("homes > 1"), "shared-keys")
+    met = written(lookup_join(classes.select("cid", "n", keys), shared, ["key"], "inner", most_rows=1_000_000, spread=[F.col("cid")]), "met")
+    leads = met.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("lead"))
+    fit = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
+    starred = met.join(leads, "key").filter(fit & (F.col("cid") != F.col("lead.cid"))).select(F.col("lead.cid").alias("hub"), F.col("cid").alias("member"))
+    links = _verify(starred, classes, docs, k, percent, "stars")
+    parts = connected_components(links).withColumnRenamed("node", "cid")
+
+    sketches = None
     for step in range(BEST_ROUNDS + 1):
-        labelled = banded.join(leads.select("key", "homes"), "key").join(parts, "cid", "left").select("key", "cid", "homes", F.coalesce("component", "cid").alias("label"))
-        labelled = written(labelled, "labelled")
+        labelled = written(met.join(parts, "cid", "left").select("key", "cid", "homes", F.coalesce("component", "cid").alias("label")), "labelled")
         mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.ceil(F.col("homes") / BLOCK)).cast("int").alias("blocks")).filter("lo <> hi").select("key", "blocks")
-        open_rows = labelled.join(mixed, "key").join(classes.select("cid", "n", "bands", "sketch"), "cid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        open_rows = open_rows.withColumn("home", F.col("block") == F.pmod(F.xxhash64("cid"), F.col("blocks")))
-        open_rows = open_rows.select("key", "block", "cid", "label", "n", "bands", "sketch", "home").repartition("key", "block").sortWithinPartitions("key", "block", F.col("home").desc())
-        crossed = open_rows.mapInArrow(_crossed(percent, step < BEST_ROUNDS), "hub binary, member binary")
+        open_rows = written(labelled.join(mixed, "key").select("key", "cid", "label", "blocks"), "open")
+        if sketches is None:  # components only grow, so later rounds have no other classes
+            needed = open_rows.select("cid").distinct().withColumn("own", F.col("cid"))
+            texts = _with_texts(needed, classes, docs, ["own"], "sketch").withColumnRenamed("own", "cid")
+            sketches = written(texts.mapInArrow(_sketched(k), "cid binary, sketch binary").join(classes.select("cid", "n", "bands"), "cid"), "sketches")
+        dealt = open_rows.join(sketches, "cid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("home", F.col("block") == F.pmod(F.xxhash64("cid"), F.col("blocks")))
+        dealt = dealt.select("key", "block", "cid", "label", "n", "bands", "sketch", "home").repartition("key", "block").sortWithinPartitions("key", "block", F.col("home").desc())
+        crossed = dealt.mapInArrow(_crossed(percent, step < BEST_ROUNDS), "hub binary, member binary")
         more = _verify(crossed, classes, docs, k, percent, f"cross-{step}")
         if more.limit(1).count():
             links = links.union(more)
-            parts = connected_components(links, f"components-{step}").select(F.col("node").alias("cid"), "component")
+            parts = connected_components(links, f"components-{step}").withColumnRenamed("node", "cid")
+        freed(labelled, open_rows)
+    freed(met, shared, sketches)
     linked = parts.join(classes.select("cid", "least_id"), "cid")
     least_of = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
     info = linked.join(least_of, "component").select("cid", "component_id", F.col("component").alias("group"))
     single = classes.filter("copies > 1").join(parts.select("cid"), "cid", "left_anti").select("cid", F.col("least_id").alias("component_id"), F.col("cid").alias("group"))
     info = written(info.unionByName(single), "components")
+    freed(classes)
     out = rows.select("doc_id", "tk", "cid", "n_shingles").join(info.withColumn("grouped", F.lit(True)), "cid", "left")
     component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "tk", F.coalesce("group", "cid").alias("group"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay when each group keeps the document with the least doc_id; of repeated rows of it, one.
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", seed: int = 3) -> DataFrame:
+    """The rows of docs that stay when each group keeps the document with the least id; of repeated rows of it, one.
 
-    Groups are told apart by their texts, so unrelated texts under null or repeated ids all stay. Rows without words link with nothing and all stay.
+    Groups are told apart by their texts, so unrelated texts under null or repeated ids all stay. Rows without words link
+    with nothing and all stay. All columns of docs come back as they are, whatever their names.
     """
-    kept = near_documents(docs, **options).filter("kept and group is not null").select("group", F.struct(F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("doc_id").isNull().alias("_no"), F.col("tk").alias("_tk")).alias("k"))
-    kept = written(kept.groupBy("group").agg(F.min("k").alias("k")).select("k.*"), "kept")
-    marked = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_no": F.col("doc_id").isNull(), "_tk": F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
-    said = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    chosen = marked.filter(said).join(kept, ["_d", "_no", "_tk"], "left_semi").dropDuplicates(["_d", "_no", "_tk"])
-    return chosen.select(*docs.columns).union(docs.filter(~said))
+    found = near_documents(docs, k, percent, id_col, text_col, seed).filter("kept and group is not null")
+    kept = found.select("group", F.struct(*_row_key("doc_id", F.col("tk"))).alias("k")).groupBy("group").agg(F.min("k").alias("k"))
+    kept = written(kept.select("k.*"), "kept")
+    text = F.coalesce(F.col(f"row.{text_col}").cast("string"), F.lit(""))
+    rows = packed(docs).withColumn("id", F.col(f"row.{id_col}").cast("long"))
+    rows = rows.select("row", *_row_key("id", F.unhex(F.md5(text.cast("binary")))), text.rlike(r"[^\x20\x09-\x0D]").alias("said"))
+    chosen = lookup_join(rows.filter("said"), kept, ["d", "no", "tk"], "inner", spread=[F.col("tk")]).dropDuplicates(["d", "no", "tk"])
+    return chosen.select("row.*").union(rows.filter("not said").select("row.*"))
