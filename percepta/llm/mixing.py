@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from percepta.llm.text import words
 from percepta.shared import lookup_join, written
 
+#: Slots of the keys for each factor of e.
+SLOTS = 1024
 #: Signs that mark junk rather than prose, for quality_weight.
 SIGNS = "#$%&*<>{}[]|\\^~=_+@"
 
@@ -51,29 +53,32 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0,
     u comes from MD5 of seed, doc_id and text: reruns agree. A null doc_id counts as an empty one; repeated rows
     share a key and are dealt by their size only, so it is defined how many of them are taken, not which.
 
-    The order within a source is cut into bins by the key's rank under its exponential law, one for each
-    rows_per_bin rows; bins are summed first and their prefix sums joined back, so that a source with a third of all
-    rows is sorted in as many tasks as it has bins.
+    The order within a source is cut into slots of almost equal keys, which are counted, and slots into bins of about
+    rows_per_bin rows, whatever the weights; bins are summed first and their prefix sums joined back, so that a source
+    with a third of all rows is sorted in as many tasks as it has bins. Only rows of one and the same key can't be parted.
+    Null and empty texts have size 0 and are taken with 0 words. Extra columns are left out unless kept.
     """
     keep = keep or []
     w = quality_weight(F.col("text")) if weight is None else weight
     u = (F.conv(F.substr(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))), F.lit(1), F.lit(12)), 16, 10).cast("double") + 0.5) / F.lit(float(16**12))
     size = F.size(words(F.col("text"))).cast("long")
     rows = written(docs.select("doc_id", F.col("source").alias("_src"), size.alias("_size"), (-F.log(u) / w).alias("_key"), *[F.col(c).alias(f"_keep_{c}") for c in keep if c not in ("doc_id", "source")]), "sized")
-    totals = written(rows.groupBy(F.col("_src").alias("source")).agg(F.sum("_size").alias("source_size"), F.count("*").alias("n")), "sources")
+    totals = written(rows.groupBy(F.col("_src").alias("source")).agg(F.sum("_size").alias("source_size")), "sources")
     plan = targets(totals.select("source", "source_size"), share, weights, most_epochs)
-    plan = plan.join(totals.select(F.col("source").alias("_t"), "n"), F.col("source").eqNullSafe(F.col("_t"))).drop("_t")
     full = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).cast("long")
-    plan = plan.withColumn("epochs", full).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("bins", F.ceil(F.col("n") / rows_per_bin))
+    plan = plan.withColumn("epochs", full).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     named = lambda c: [F.coalesce(c, F.lit("")).alias("_s"), c.isNull().alias("_none")]
-    plan = written(plan.select(*named(F.col("source")), "source_size", "target", "epochs", "rest", "bins"), "plan")
+    plan = written(plan.select(*named(F.col("source")), "source_size", "target", "epochs", "rest"), "plan")
     rows = lookup_join(rows.select("*", *named(F.col("_src"))), plan, ["_s", "_none"], most_rows=most_sources, spread=[F.col("_key")])
-    # 1 - exp(-key) is uniform for a weight of 1; any rising function of the key keeps the order.
-    rows = rows.withColumn("_bin", F.floor((1 - F.exp(-F.col("_key"))) * F.col("bins")))
-    bins = rows.groupBy("_s", "_none", "_bin").agg(F.sum("_size").alias("_in"))
-    ahead = Window.partitionBy("_s", "_none").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = written(bins.select("_s", "_none", "_bin", F.coalesce(F.sum("_in").over(ahead), F.lit(0)).alias("_ahead")), "bins")
-    rows = lookup_join(rows, bins, ["_s", "_none", "_bin"], spread=[F.col("_key")])
+    # Slots of keys that differ by 1/1024 at most keep the order, and are counted; neighbouring slots then form the bins.
+    rows = rows.withColumn("_slot", F.floor(F.log("_key") * SLOTS))
+    slots = written(rows.groupBy("_s", "_none", "_slot").agg(F.sum("_size").alias("_in"), F.count("*").alias("_n")), "slots")
+    ahead = Window.partitionBy("_s", "_none").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0))
+    slots = slots.select("_s", "_none", "_slot", F.floor(before("_n") / rows_per_bin).alias("_bin"), before("_in").alias("_before"))
+    first = F.min("_before").over(Window.partitionBy("_s", "_none", "_bin"))
+    slots = written(slots.select("_s", "_none", "_slot", "_bin", first.alias("_ahead")), "bins")
+    rows = lookup_join(rows, slots, ["_s", "_none", "_slot"], spread=[F.col("_key")])
     order = Window.partitionBy("_s", "_none", "_bin").orderBy("_key", F.col("doc_id").asc_nulls_first(), "_size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_ahead") + F.coalesce(F.sum("_size").over(order), F.lit(0))
     more = (F.col("rest") > 0) & (start + F.col("_size") / 2.0 <= F.col("rest"))
