@@ -63,8 +63,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # OP10_SQL asks for five pages.
-    return line_dedup.drop_boilerplate_lines(_table(spark, sf_dir, "documents"), min_pages=5).select("doc_id", "source", "text", "n_lines", "n_dropped")
+    return line_dedup.drop_boilerplate_lines(_table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -147,7 +146,7 @@ lines AS (
   WHERE line <> '' GROUP BY source, line
 ), common AS (
   SELECT l.source, list(l.line) AS c FROM lines l JOIN total t ON l.source IS NOT DISTINCT FROM t.source
-  WHERE l.n >= 5 AND l.n > t.n * 0.1::DOUBLE GROUP BY l.source
+  WHERE l.n > 1 AND l.n > t.n * 0.1::DOUBLE GROUP BY l.source
 ), d AS (
   SELECT doc_id, d.source, text, coalesce(c, []) AS c, string_split(text, chr(10)) AS l
   FROM documents d LEFT JOIN common k ON d.source IS NOT DISTINCT FROM k.source
