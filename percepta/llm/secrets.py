@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from percepta.shared import lookup_join, written
+from percepta.shared import freed, lookup_join, packed, written
 
 #: Kinds in the order in which spans with the same start are listed.
-KINDS = ("assign", "access", "hex", "weak_secret", "endpoint")
+KINDS = ("assign", "access", "hex", "weak_secret", "endpoint", "identifier")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Maximal runs, so the least length can stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Weak parts: a bare run that may be a secret key, also right after an equals sign as in env files, and where it may be used.
 WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"(?:https?://[^\x20\x09-\x0D\"'<>]{4,}|\b(?:[A-Za-z0-9-]+\.)+(?:amazonaws\.com|azure\.com|googleapis\.com|internal|local)\b(?::[0-9]{1,5})?)"
+#: Host names are maximal runs of their letters that end in a service's domain: no repetition within a repetition.
+ENDPOINT = r"""(?:https?://[^\x20\x09-\x0D"'<>]{4,}|(?<![A-Za-z0-9.-])[A-Za-z0-9.-]*[A-Za-z0-9-]\.(?:amazonaws\.com|azure\.com|googleapis\.com|internal|local)\b(?::[0-9]{1,5})?)"""
+#: Weak access identifiers: a named account or client, or a mail address.
+NAMED = r"""(?i:client_?id|key_?id|account(?:_?(?:id|name))?|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}"""
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]{1,63}){1,126}"
+IDENTIFIER = f"(?:{NAMED}|{MAIL})"
 
 _SPANS = "array<struct<start:bigint,rank:int,end:bigint>>"
 
@@ -51,36 +56,46 @@ def find_secrets(docs: DataFrame, text: str = "text", scope: int = 400, most_row
 
     Strong kinds are always reported: assign (a named value of 12 characters or more), access (an access identifier) and hex
     (a run of 16 hex digits or more). Weak kinds stand for one part of a credential and are reported only beside the
-    others: weak_secret (a bare run of 40) if an access identifier starts within `scope` code points of it, and
-    endpoint (a URL or service host) if an access identifier and a secret (assign, hex or weak_secret) both do.
-    A weak part that lies within a strong span, or in an endpoint, is no part of its own.
+    parts that complete it, which start within `scope` code points of it:
+    weak_secret (a bare run of 40) beside an access or weak identifier; identifier (a named account or client, a mail
+    address) beside a secret (assign, hex or weak_secret); endpoint (a URL or service host) beside both.
+    A weak part that lies within a part of another kind is no part of its own, except that an address within an
+    endpoint doesn't hide it.
 
-    Weak parts are found only in texts that also have an access identifier. They meet their complements in an equi-join
-    on text and scope-sized bin (each part in its own and the next bin), so one long text is dealt over its bins, and
-    a bin holds at most as many parts as fit in it. Parts belong to a text, so copies are linked once.
+    Weak parts are found only in texts that have an identifier of either kind. They meet their complements in an equi-join
+    on text and scope-sized bin (each part in its own and both neighbouring bins), so one long text is dealt over its bins, and
+    a bin holds at most as many parts as fit in it. Parts belong to a text, so copies are linked once; in a bin, parts
+    meet at most once for each kind and start, so spans with equal starts are ties that all stay.
 
     Adds spans_list (array of start, rank in KINDS, end), spans, base (strong ones joined alike), n_assign, n_access
-    and n_hex (long). Rows keep their number; columns of these names are replaced.
+    and n_hex (long). Rows keep their number; columns of these names are replaced, all others stay, whatever their names.
     """
     docs = docs.drop("spans_list", "spans", "base", "n_assign", "n_access", "n_hex")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({"_assign": _spans(whole, ASSIGN, "assign", 2, 12), "_access": _spans(whole, ACCESS, "access"), "_hex": _spans(whole, HEX, "hex"), "_text": F.md5(whole)})
-
-    weak = docs.filter(F.col(text).rlike(ACCESS)).select(F.col(text).alias("t")).distinct()
-    parts = weak.select(F.md5("t").alias("_text"), F.explode(F.concat(_spans(F.col("t"), ASSIGN, "assign", 2, 12), _spans(F.col("t"), ACCESS, "access"), _spans(F.col("t"), HEX, "hex"), _spans(F.col("t"), WEAK_SECRET, "weak_secret"), _spans(F.col("t"), ENDPOINT, "endpoint"))).alias("p")).select("_text", "p.*")
-    parts = written(parts, "parts")
-    bins = lambda d: d.withColumn("bin", F.floor(F.col("start") / scope))
-    near = lambda d: d.withColumn("bin", F.explode(F.array(*[F.floor(F.col("start") / scope) + i for i in (-1, 0, 1)])))
-    other = near(parts.select("_text", *[F.col(c).alias(f"o_{c}") for c in ("start", "rank", "end")]).withColumn("start", F.col("o_start"))).drop("start")
-    strong, access, weak_secret, endpoint = F.col("rank") < 3, F.col("o_rank") == 1, F.col("rank") == 3, F.col("rank") == 4
-    pairs = bins(parts.filter(~strong)).join(other, ["_text", "bin"]).filter((F.col("o_rank") != F.col("rank")) & (F.abs(F.col("start") - F.col("o_start")) <= scope))
-    covers = (F.col("o_rank") != 3) & (F.col("o_start") <= F.col("start")) & (F.col("o_end") >= F.col("end"))
-    has = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
-    linked = pairs.groupBy("_text", "start", "rank", "end").agg(has(access).alias("access"), has(F.col("o_rank").isin(0, 2, 3)).alias("secret"), has(covers).alias("covered"))
-    linked = linked.filter((F.col("covered") == 0) & ((weak_secret & (F.col("access") == 1)) | (endpoint & (F.col("access") == 1) & (F.col("secret") == 1))))
-    linked = written(linked.groupBy("_text").agg(F.collect_list(F.struct(F.col("start"), F.col("rank"), F.col("end"))).cast(_SPANS).alias("_more")), "linked")
-
-    rows = lookup_join(rows.select(*docs.columns, "_assign", "_access", "_hex", "_text"), linked, ["_text"], most_rows=most_rows)
-    base = F.array_sort(F.concat("_assign", "_access", "_hex"))
-    every = F.array_sort(F.concat(base, F.coalesce("_more", F.array().cast(_SPANS))))
-    return rows.select(*docs.columns, every.alias("spans_list"), _joined(every).alias("spans"), _joined(base).alias("base"), *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]])
+    rows = packed(docs).withColumn("said", F.coalesce(F.col(f"row.`{text}`"), F.lit("")))
+    strong = lambda c: {"assign": _spans(c, ASSIGN, "assign", 2, 12), "access": _spans(c, ACCESS, "access"), "hex": _spans(c, HEX, "hex")}
+    whole = F.col("said")
+
+    weak = rows.filter(whole.rlike(f"{ACCESS}|{IDENTIFIER}")).select("said").distinct()
+    weak_parts = [_spans(whole, p, kind) for p, kind in ((WEAK_SECRET, "weak_secret"), (ENDPOINT, "endpoint"), (IDENTIFIER, "identifier"))]
+    parts = weak.select(F.md5("said").alias("at"), F.explode(F.concat(*strong(whole).values(), *weak_parts)).alias("p"))
+    parts = written(parts.select("at", "p.*"), "parts")
+    bin_of = F.floor(F.col("start") / scope)
+    other = parts.select("at", *[F.col(c).alias(f"o_{c}") for c in ("start", "rank", "end")], F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("bin"))
+    kind = {k: F.col("rank") == i for i, k in enumerate(KINDS)}
+    o_kind = {k: F.col("o_rank") == i for i, k in enumerate(KINDS)}
+    pairs = parts.filter(F.col("rank") >= 3).withColumn("bin", bin_of).join(other, ["at", "bin"])
+    pairs = pairs.filter((F.col("o_rank") != F.col("rank")) & (F.abs(F.col("start") - F.col("o_start")) <= scope))
+    hides = ~o_kind["identifier"] & ~(kind["endpoint"] & o_kind["weak_secret"])
+    covers = hides & (F.col("o_start") <= F.col("start")) & (F.col("o_end") >= F.col("end"))
+    has = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    beside = pairs.groupBy("at", "start", "rank", "end").agg(has(o_kind["access"] | o_kind["identifier"]).alias("who"), has(F.col("o_rank").isin(0, 2, 3)).alias("secret"), has(covers).alias("covered"))
+    complete = (kind["weak_secret"] & F.col("who")) | (kind["identifier"] & F.col("secret")) | (kind["endpoint"] & F.col("who") & F.col("secret"))
+    linked = beside.filter(~F.col("covered") & complete)
+    linked = written(linked.groupBy("at").agg(F.collect_list(F.struct("start", "rank", "end")).cast(_SPANS).alias("more")), "linked")
+    freed(parts)
+
+    rows = rows.select("row", F.md5("said").alias("at"), *[c.alias(k) for k, c in strong(whole).items()])
+    rows = lookup_join(rows, linked, ["at"], most_rows=most_rows)
+    base = F.array_sort(F.concat(*KINDS[:3]))
+    every = F.array_sort(F.concat(base, F.coalesce("more", F.array().cast(_SPANS))))
+    return rows.select("row.*", every.alias("spans_list"), _joined(every).alias("spans"), _joined(base).alias("base"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]])
