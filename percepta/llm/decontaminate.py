@@ -5,15 +5,17 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from percepta.llm.text import words
-from percepta.shared import lookup_join, written
+from percepta.shared import freed, lookup_join, packed, written
 
 BITS = 256
 #: Bits of a fingerprint that one aggregate makes; a fingerprint is an array of BITS / PART longs.
 PART = 64
+#: Bits of a Hamming block.
+BLOCK = 16
 
 
 def _grams(h: str, width: int) -> Column:
@@ -55,84 +57,92 @@ def _fingerprints(features: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "bits"))), lambda p: p["bits"]).alias("fp"))
 
 
-def _distance(a: str, b: str) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(BITS // PART)])
+def _within(a: str, b: str, radius: int) -> Column:
+    """Whether two fingerprints differ in at most radius bits, by blocks of BLOCK bits.
 
-
-def _blocks(df: DataFrame, radius: int) -> DataFrame:
-    """The blocks of a fingerprint, radius + 1 of them or more: of two within the radius, at least one block is equal."""
-    per = -(-(radius + 1) // (BITS // PART))
-    edges = [round(PART * i / per) for i in range(per + 1)]
-    each = [F.struct(F.lit(p * per + i).alias("block"), F.shiftrightunsigned(F.get("fp", F.lit(p)), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value")) for p in range(BITS // PART) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
-    return df.withColumn("_b", F.explode(F.array(*each))).select("*", "_b.block", "_b.value").drop("_b")
+    By the pigeonhole principle fingerprints within the radius agree up to radius // blocks bits in one block at least, so a pair
+    whose blocks all differ by more is settled without the rest; no pair within the radius is lost.
+    """
+    far = F.transform(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), lambda x: F.transform(F.sequence(F.lit(0), F.lit(PART - BLOCK), F.lit(BLOCK)), lambda lo: F.bit_count(F.call_function("shiftrightunsigned", x, lo).bitwiseAND(F.lit((1 << BLOCK) - 1)))))
+    far = F.flatten(far)
+    near = F.exists(far, lambda n: n <= radius // (BITS // BLOCK))
+    return near & (F.aggregate(far, F.lit(0), lambda acc, n: acc + n) <= radius)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 63, most_shingles: int = 2_000_000, most_texts: int = 200_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 63, slack: float = 0.125, most_seeds: int = 2_000_000, most_texts: int = 200_000) -> DataFrame:
     """doc_id, item_id, similarity, start, n_words: the documents that hold a passage like a benchmark item, one row for each document, item and row of docs.
 
     Words are runs without ASCII blanks, lower-cased. A window is as long as the item, in words. Similarity is the weighted
     Jaccard similarity of the k-word shingles of window and item, with their counts, weighted by how rare a shingle is
-    among the items: ln(1 + items / items that have it). Without a common shingle it is 0, so only windows that have one
-    are fingerprinted, aligned so that the common shingle stands where it stands in the item. Equal windows are
-    fingerprinted once. Each fingerprint meets the items' of its length in radius + 1 blocks, so no pair within
-    `radius` of the 256 bits is missed. At a similarity of 0.8 the distance is 39 bits on average and beyond 63 for fewer than
+    among the items: ln(1 + items / items that have it). Without a common shingle it is 0. At `similarity` the window shares that share
+    of the item's mass at least, so it shares one of the item's rarest shingles that make up the rest: only these seed windows, and each
+    window carries its item. A seed aligns the window with the item; starts up to slack · n words beside it are windows
+    too, for passages with words put in or left out. Equal windows are fingerprinted once.
+
+    A window and its item are compared by the Hamming blocks of their SimHash fingerprints of 256 bits: none within `radius` is
+    lost. At a similarity of 0.8 the distance is 39 bits on average and beyond 63 for fewer than
     one pair in 30,000; exact copies have 0. Pairs within the radius are verified exactly. start is the first word of the best window (the first of equals).
 
-    The items' shingles are broadcast if they are at most most_shingles; else they are joined by shuffle. Null and empty texts and items match nothing;
-    repeated items match each by its item_id. Texts that occur more than once are searched once for each
-    row but their windows are compared once.
+    The seeds are broadcast if they are at most most_seeds and small; else every shingle's rows are dealt over shares. Null and
+    empty texts and items match nothing; repeated items match each by its item_id; very long texts are searched whole.
+    Texts that occur more than once are searched once for each row but their windows are compared once. Extra columns are ignored.
     """
-    items = _hashed(benchmark.select(F.col("item_id"), F.col("text").alias("_t")), "_t").filter(F.size("_h") > 0)
-    items = items.select("item_id", F.size("_h").alias("n"), F.md5("_t").alias("same"), _shingles("_h", k).alias("s"))
+    items = _hashed(benchmark.select("item_id", F.col("text").alias("t")), "t").filter(F.size("_h") > 0)
+    items = items.select("item_id", F.size("_h").alias("n"), F.md5("t").alias("same"), _shingles("_h", k).alias("s"))
     names = written(items.select("item_id", "same"), "items")
-    items = items.dropDuplicates(["same"]).select("same", "n", F.posexplode("s").alias("q", "h"))
-    items = written(items, "item-shingles")
+    items = written(items.dropDuplicates(["same"]).select("same", "n", F.posexplode("s").alias("q", "h")), "item-shingles")
     total = items.select("same").distinct().count()
-    rare = items.select("same", "h").distinct().groupBy("h").agg(F.log(1 + F.lit(float(total)) / F.count("*")).alias("w"))
-    rare = written(rare, "weights")
-    unknown = math.log(1 + total)
+    rare = written(items.select("same", "h").distinct().groupBy("h").agg(F.log(1 + F.lit(float(total)) / F.count("*")).alias("idf")), "weights")
+    weighed = items.join(rare, "h")
+    wanted = written(weighed.groupBy("same", "n", "h").agg(F.count("*").alias("tf"), F.first("idf").alias("idf")), "wanted")
     # Items of fewer than k words are one shingle of their own width; at most k widths.
     widths = sorted({min(r.n, k) for r in items.select("n").distinct().filter(F.col("n") < k).collect()} | {k})
-    seeds = written(items.select("h", "n", "q").distinct(), "seeds")
+    rarest = Window.partitionBy("same").orderBy(F.col("idf").desc(), "h", "q")
+    ahead = F.coalesce(F.sum("idf").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    mass = F.sum("idf").over(Window.partitionBy("same"))
+    seeds = weighed.select("same", "n", "h", "q", (ahead <= mass * (1 - similarity) + 1e-9).alias("seeds"))
+    seeds = written(seeds.filter("seeds").select("h", "same", "n", "q"), "seeds")
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter(F.col("text").isNotNull())
     t1, t2 = F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")
-    said = _hashed(keyed.select("text", t1, t2), "text").select("t1", "t2", "_h")
-    said = reduce(DataFrame.unionByName, [said.select("t1", "t2", F.posexplode(_grams("_h", w)).alias("at", "h")) for w in widths])
-    small = seeds.limit(most_shingles + 1).count() <= most_shingles
-    hits = said.join(F.broadcast(seeds) if small else seeds, "h").select("t1", "t2", "n", F.greatest(F.col("at") - F.col("q"), F.lit(0)).alias("start")).distinct()
-    hits = written(hits, "hits")
+    said = _hashed(keyed.select("text", t1, t2), "text").select("t1", "t2", F.size("_h").alias("words"), "_h")
+    said = reduce(DataFrame.unionByName, [said.select("t1", "t2", "words", F.posexplode(_grams("_h", w)).alias("at", "h")) for w in widths])
+    hits = lookup_join(said, seeds, ["h"], "inner", most_rows=most_seeds, spread=[F.col("t1"), F.col("at")])
+    reach = F.floor(F.col("n") * slack).cast("int")
+    hits = hits.withColumn("start", F.explode(F.sequence(F.col("at") - F.col("q") - reach, F.col("at") - F.col("q") + reach)))
+    # A passage at the ends of a text may be shorter than the item.
+    start = F.greatest(F.least(F.col("start"), F.col("words") - F.col("n")), F.lit(0))
+    hits = written(hits.select("t1", "t2", "same", "n", start.alias("start")).distinct(), "hits")
     hit_texts = written(hits.select("t1", "t2").distinct(), "hit-texts")
     found = lookup_join(keyed.select("doc_id", "text", t1, t2), hit_texts, ["t1", "t2"], "inner", most_rows=most_texts)
     texts = written(_hashed(found.groupBy("t1", "t2").agg(F.first("text").alias("text")), "text").select("t1", "t2", "_h"), "texts")
-    windows = hits.join(texts, ["t1", "t2"]).select("t1", "t2", "n", "start", F.slice("_h", F.col("start") + 1, F.col("n")).alias("_h"))
-    windows = written(windows.select("t1", "t2", "n", "start", F.md5(F.array_join(F.transform("_h", lambda x: x.cast("string")), ",")).alias("wid"), "_h"), "windows")
-    contents = windows.groupBy("wid", "n").agg(F.first("_h").alias("_h")).select("wid", "n", F.explode(_shingles("_h", k)).alias("h")).groupBy("wid", "n", "h").agg(F.count("*").alias("tf"))
-    rare_side = F.broadcast(rare) if small else rare
-    contents = written(contents.join(rare_side, "h", "left").select("wid", "n", "h", "tf", F.coalesce("w", F.lit(unknown)).alias("idf")), "window-shingles")
-    wanted = items.groupBy("same", "n", "h").agg(F.count("*").alias("tf")).join(rare, "h").withColumnRenamed("w", "idf")
-    wanted = written(wanted, "wanted")
-    weighed = lambda d: d.withColumn("w", F.col("tf") * F.col("idf"))
-    wfp = _blocks(_fingerprints(contents, ["wid", "n"]), radius)
-    ifp = _blocks(_fingerprints(wanted, ["same", "n"]), radius)
-    near = wfp.join(ifp.withColumnRenamed("fp", "ifp"), ["n", "block", "value"]).filter(_distance("fp", "ifp") <= radius).select("wid", "n", "same").distinct()
-    near = written(near, "near")
+    windows = hits.join(texts, ["t1", "t2"]).withColumn("_h", F.slice("_h", F.col("start") + 1, F.col("n")))
+    wid = F.md5(F.array_join(F.transform("_h", lambda x: x.cast("string")), ","))
+    windows = written(windows.select("t1", "t2", "same", "n", "start", wid.alias("wid"), "_h"), "windows")
+    contents = windows.groupBy("wid", "n").agg(F.first("_h").alias("_h")).select("wid", "n", F.explode(_shingles("_h", k)).alias("h"))
+    contents = contents.groupBy("wid", "n", "h").agg(F.count("*").alias("tf"))
+    contents = lookup_join(contents, rare, ["h"], most_rows=most_seeds, spread=[F.col("wid")])
+    contents = written(contents.select("wid", "n", "h", "tf", F.coalesce("idf", F.lit(math.log(1 + total))).alias("idf")), "window-shingles")
+
+    pairs = windows.select("wid", "n", "same").distinct()
+    pairs = pairs.join(_fingerprints(contents, ["wid", "n"]), ["wid", "n"]).join(_fingerprints(wanted, ["same"]).withColumnRenamed("fp", "ifp"), "same")
+    near = written(pairs.filter(_within("fp", "ifp", radius)).select("wid", "n", "same"), "near")
     both = near.join(contents, ["wid", "n"]).join(wanted.select("same", "h", F.col("tf").alias("itf")), ["same", "h"])
     common = both.groupBy("wid", "n", "same").agg(F.sum(F.least("tf", "itf") * F.col("idf")).alias("both"))
-    mass = lambda d, keys, name: weighed(d).groupBy(*keys).agg(F.sum("w").alias(name))
-    sims = common.join(mass(contents, ["wid", "n"], "a"), ["wid", "n"]).join(mass(wanted, ["same"], "b"), "same")
+    weight = F.sum(F.col("tf") * F.col("idf"))
+    sims = common.join(contents.groupBy("wid", "n").agg(weight.alias("a")), ["wid", "n"]).join(wanted.groupBy("same").agg(weight.alias("b")), "same")
     sims = sims.withColumn("similarity", F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).filter(F.col("similarity") >= similarity - 1e-9)
-    best = windows.select("t1", "t2", "n", "start", "wid").join(sims.select("wid", "n", "same", "similarity"), ["wid", "n"])
+    best = windows.select("t1", "t2", "same", "n", "start", "wid").join(sims.select("wid", "n", "same", "similarity"), ["wid", "n", "same"])
     best = best.groupBy("t1", "t2", "same", "n").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start")).alias("b"))
-    best = best.join(names, "same").groupBy("t1", "t2").agg(F.collect_list(F.struct("item_id", (-F.col("b.s")).alias("similarity"), F.col("b.start").alias("start"), F.col("n").alias("n_words"))).alias("m"))
-    best = written(best, "contaminated")
+    each = F.struct("item_id", (-F.col("b.s")).alias("similarity"), F.col("b.start").alias("start"), F.col("n").alias("n_words"))
+    best = written(best.join(names, "same").groupBy("t1", "t2").agg(F.collect_list(each).alias("m")), "contaminated")
+    freed(names, items, rare, wanted, seeds, hits, hit_texts, texts, windows, contents, near)
     out = lookup_join(keyed.select("doc_id", t1, t2), best, ["t1", "t2"], "inner", most_rows=most_texts)
     return out.select("doc_id", "t1", "t2", F.explode("m").alias("m")).select("doc_id", "m.*", "t1", "t2")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose text holds no passage like a benchmark item."""
-    bad = written(contaminated(docs, benchmark, **options).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct(), "bad-texts")
-    marked = docs.withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(7), "text")})
-    marked = lookup_join(marked, bad.withColumn("_bad", F.lit(True)), ["_t1", "_t2"])
-    return marked.filter(F.col("_bad").isNull()).select(*docs.columns)
+    """The rows of docs whose text holds no passage like a benchmark item, with all their columns, whatever the names."""
+    bad = written(contaminated(docs, benchmark, **options).select("t1", "t2").distinct().withColumn("bad", F.lit(True)), "bad-texts")
+    marked = packed(docs).withColumns({"t1": F.xxhash64("row.text"), "t2": F.xxhash64(F.lit(7), "row.text")})
+    return lookup_join(marked, bad, ["t1", "t2"], spread=[F.col("row.doc_id")]).filter(F.col("bad").isNull()).select("row.*")
