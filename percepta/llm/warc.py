@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from percepta.shared import fresh_path, lookup_join, written
+from percepta.shared import freed, fresh_path, lookup_join, written
 
 #: Magic number of the skippable frame that holds the dictionary.
 SKIPPABLE = 0x184D2A5D
@@ -54,56 +54,35 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers: t
     return "\r\n".join(heads).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _dictionary(samples: list[bytes], size: int):
-    """Trained on samples; None if they are too few or too small to train on."""
+def dictionary_of(samples: list[bytes], size: int) -> bytes:
+    """A dictionary of at most `size` bytes, trained on samples; of too few or too small ones, their own content."""
     import zstandard
 
-    if len(samples) < 8 or sum(map(len, samples)) < 8 * size // 4:
-        return None
+    total = sum(map(len, samples))
     try:
-        return zstandard.train_dictionary(size, samples, k=200, d=8)
-    except zstandard.ZstdError:
-        return None
+        return zstandard.train_dictionary(min(size, max(total // 8, 1024)), samples, k=200, d=8).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        # Any bytes can serve; those at the end are the cheapest to refer to. Eight bytes are the least that Zstandard takes.
+        return b"".join(samples)[-size:].rjust(8, b"\r")
 
 
 class ArchiveWriter:
-    """Writes records to one file. The first records, up to sample_bytes, are held back to train the dictionary."""
+    """Writes records to one file: a skippable frame with the dictionary, then each record compressed on its own."""
 
-    def __init__(self, out, dictionary_bytes: int = 65_536, sample_bytes: int = 4_000_000, level: int = 3):
-        self.out, self.size, self.most, self.level = out, dictionary_bytes, sample_bytes, level
-        self.held: list[bytes] | None = []
-        self.held_bytes = self.records = self.written = 0
+    def __init__(self, out, dictionary: bytes, level: int = 3):
+        import zstandard
+
+        self.out, self.records, self.written = out, 0, 0
+        self._put(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
+        self.compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True, write_content_size=True)
 
     def _put(self, data: bytes) -> None:
         self.out.write(data)
         self.written += len(data)
 
-    def _begin(self) -> None:
-        import zstandard
-
-        # Of very long records only slices go into the training; the records themselves are written whole.
-        trained = _dictionary([r[:131_072] for r in self.held], self.size)
-        if trained is not None:
-            raw = trained.as_bytes()
-            self._put(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
-        self.compressor = zstandard.ZstdCompressor(level=self.level, dict_data=trained, write_checksum=True, write_content_size=True)
-        held, self.held = self.held, None
-        for record in held:
-            self._put(self.compressor.compress(record))
-
     def add(self, record: bytes) -> None:
         self.records += 1
-        if self.held is None:
-            self._put(self.compressor.compress(record))
-            return
-        self.held.append(record)
-        self.held_bytes += len(record)
-        if self.held_bytes >= self.most:
-            self._begin()
-
-    def close(self) -> None:
-        if self.held is not None:
-            self._begin()
+        self._put(self.compressor.compress(record))
 
 
 def read_records(file) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -135,7 +114,7 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") else f"file://{uri}")
 
 
-def _write_part(folder: str, records_per_file: int, options: dict):
+def _write_part(folder: str, records_per_file: int, dictionary: bytes, level: int):
     def write(batches: Iterable) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
@@ -147,7 +126,6 @@ def _write_part(folder: str, records_per_file: int, options: dict):
         stream = writer = part = None
 
         def finish() -> None:
-            writer.close()
             stream.close()
             # A task that runs again, or twice at once, replaces the file by an equal one.
             name = f"{base}/part-{task.partitionId():06d}-{len(done):04d}.warc.zst"
@@ -159,7 +137,7 @@ def _write_part(folder: str, records_per_file: int, options: dict):
                 if writer is None:
                     part = f"{base}/.attempt-{task.partitionId()}-{task.taskAttemptId()}-{len(done)}"
                     stream = files.open_output_stream(part)
-                    writer = ArchiveWriter(stream, **options)
+                    writer = ArchiveWriter(stream, dictionary, level)
                 writer.add(record_bytes(page_id, url, html or b"", (refers,) if revisit else None, writer.records))
                 if writer.records >= records_per_file:
                     finish()
@@ -171,7 +149,16 @@ def _write_part(folder: str, records_per_file: int, options: dict):
     return write
 
 
-def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_payload: int = 0, records_per_file: int = 100_000, most_rows: int = 200_000, **options) -> DataFrame:
+def _samples(rows: DataFrame, most: int, sample_bytes: int) -> list[bytes]:
+    """About `most` records, spread over all of rows(page_id, url, html); of very long ones slices. They are what the dictionary is trained on."""
+    n = rows.count()
+    some = rows if n <= most else rows.sample(fraction=min(1.0, 1.1 * most / n), seed=2)
+    # Of a page a slice goes into the training; pages themselves are archived whole.
+    some = some.select("page_id", "url", F.expr(f"substring(html, 1, {max(sample_bytes // most, 1)})").alias("html")).limit(most).collect()
+    return [record_bytes(r.page_id, r.url, bytes(r.html), None, i) for i, r in enumerate(some)]
+
+
+def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_payload: int = 0, records_per_file: int = 100_000, most_rows: int = 200_000, dictionary_bytes: int = 65_536, samples: int = 512, sample_bytes: int = 8_000_000, level: int = 3) -> DataFrame:
     """Writes a record for every row of pages into archives under folder, which executors and driver share.
 
     Returns the manifest (path, records, bytes). The payload is html in UTF-8; null counts as empty. Of the rows with
@@ -179,16 +166,22 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     that refer to it; smaller payloads are all responses. Rows that share that largest page_id (repeated rows) are all
     responses; null ids are smaller than others, and rows of a payload that has no id at all are all responses. Files are
     named by partition and put in place by renaming, so a task that is run again leaves no second copy.
-    options: dictionary_bytes, sample_bytes (the bounded head of each file that its dictionary is trained on) and level.
+
+    One dictionary of dictionary_bytes at most is built from about `samples` records, sample_bytes in all, and leads every
+    file in a skippable frame, however few records the file holds. Extra columns are left out; an empty table makes no file.
     """
     payload = F.coalesce(F.col(html).cast("binary"), F.lit("").cast("binary"))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("html")).withColumn("digest", F.sha1("html"))
+    plain = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("html"))
+    dictionary = dictionary_of(_samples(plain, samples, sample_bytes), dictionary_bytes)
+    rows = plain.withColumn("digest", F.sha1("html"))
     same = rows.filter(F.octet_length("html") >= min_payload).select("digest", "page_id").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
     same = written(same.filter("n > 1").select("digest", "first"), "equal-payloads")
     marked = lookup_join(rows, same, ["digest"], most_rows=most_rows, spread=[F.col("page_id"), F.col("url")])
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     out = marked.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
-    return written(out.mapInArrow(_write_part(folder, records_per_file, options), MANIFEST), "manifest")
+    manifest = written(out.mapInArrow(_write_part(folder, records_per_file, dictionary, level), MANIFEST), "manifest")
+    freed(same)
+    return manifest
 
 
 def _read_parts(with_payload: bool):
@@ -238,4 +231,4 @@ def archive_pages(spark: SparkSession, pages: DataFrame, **options) -> DataFrame
     return read_archives(write_archives(pages, fresh_path(spark, "warc"), **options))
 
 
-__all__ = ["ArchiveWriter", "archive_pages", "payload_digest", "read_archives", "read_records", "record_bytes", "write_archives"]
+__all__ = ["ArchiveWriter", "archive_pages", "dictionary_of", "payload_digest", "read_archives", "read_records", "record_bytes", "write_archives"]
