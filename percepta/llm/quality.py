@@ -133,7 +133,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", part
     sums[got["fold"], got["i"], got["j"]] = got["v"]
     solve = lambda s: np.linalg.solve(s[:, :d] + ridge * max(s[d - 1, d - 1], 1.0) * np.diag([1.0] * (d - 1) + [1e-6]), s[:, d])
     model = QualityModel(centre, spread, turn, shift, solve(sums.sum(0)), np.zeros(1), np.zeros(1))
-    seen = sample.toPandas()  # at most `most` rows of N_STATS numbers
+    seen = sample.toPandas()  # at most `most` rows of N_STATS numbers, one for each labelled id
     stats, y, own = np.array(seen["stats"].tolist(), float), seen["y"].to_numpy(float), seen["fold"].to_numpy()
     x = fourier(stats, centre, spread, turn, shift)
     out = np.where(own == 0, x @ solve(sums[1]), x @ solve(sums[0])) if len(set(own)) == 2 else x @ model.weights
@@ -154,7 +154,11 @@ def _scored(model: QualityModel):
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id and score of every row, from the whole text; null counts as empty."""
+    """doc_id and score of every row, from the whole text; null counts as empty.
+
+    Texts of any length are read once, with memory for one of them. Every row has a score of its own, so equal texts,
+    repeated rows and ties score alike; an empty table gives an empty result. Other columns are left out.
+    """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_scored(model), "doc_id long, score double")
 
 
