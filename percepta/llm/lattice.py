@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from percepta.shared import connected_components, written
+from percepta.shared import connected_components, freed, lookup_join, written
 
 #: Rows that one side of a block holds in memory.
 BLOCK = 2048
@@ -124,13 +124,16 @@ def _classed(kind: str):
         import pyarrow as pa
 
         for batch in batches:
-            ids, out, raw = batch.column(0), [], []
-            for v in batch.column(1).to_pylist():
-                x = None if not v or None in v else np.array(v, dtype=kind) + 0.0
-                ok = x is not None and np.isfinite(x).all() and x.any()
+            column, out, raw = batch.column(1), [], []
+            ends, flat = column.offsets.to_numpy(), column.values
+            missing = flat.is_null().to_numpy(zero_copy_only=False)
+            values = np.where(missing, np.nan, flat.fill_null(0).to_numpy(zero_copy_only=False)).astype(kind) + np.array(0, kind)
+            for there, lo, hi in zip(column.is_valid().to_pylist(), ends, ends[1:], strict=False):
+                x = values[lo:hi]
+                ok = there and hi > lo and np.isfinite(x).all() and x.any()
                 raw.append(x.tobytes() if ok else None)
                 out.append(hashlib.md5(raw[-1]).digest() if ok else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "cid", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "cid", "vec"])
 
     return read
 
@@ -152,57 +155,90 @@ def _units(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _met(threshold: float, kind: str):
-    """Streams each block, its residents first: every row is held against the residents so far; yields a spanning forest of the links."""
+#: Rows of a cell up to which its pairs are formed together with those of other cells.
+SMALL = 64
 
-    def meet(batches: Iterable) -> Iterator:
-        import pyarrow as pa
 
-        at, homes, unit, parent = None, [], [], {}
-        made: list[tuple] = []
+def _near_pairs(x: np.ndarray, starts: np.ndarray, homes: np.ndarray, fresh: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of x with a cosine of threshold or more, i one of the first homes[g] rows of j's group, before j, and j fresh.
 
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+    Groups are runs of rows that begin at starts. Pairs of small groups are formed together, large ones are multiplied as matrices.
+    """
+    sizes = np.diff(np.r_[starts, len(x)])
+    small = np.repeat(sizes <= SMALL, sizes)
+    at = np.arange(len(x)) - np.repeat(starts, sizes)
+    many = np.where(small & fresh, np.minimum(at, np.repeat(homes, sizes)), 0)
+    j = np.repeat(np.arange(len(x)), many)
+    i = np.repeat(np.repeat(starts, sizes), many) + np.arange(len(j)) - np.repeat(np.cumsum(many) - many, many)
+    keep = [np.zeros(0, bool)]
+    for lo in range(0, len(j), 1 << 16):
+        keep.append(np.einsum("ij,ij->i", x[i[lo : lo + (1 << 16)]], x[j[lo : lo + (1 << 16)]]) >= threshold)
+    keep = np.concatenate(keep)
+    left, right = [i[keep]], [j[keep]]
+    for g in np.flatnonzero(sizes > SMALL):
+        first, end, h = starts[g], starts[g] + sizes[g], homes[g]
+        for lo in range(first, end, BLOCK):
+            rows = np.arange(lo, min(lo + BLOCK, end))
+            b, a = np.nonzero(x[rows] @ x[first : first + h].T >= threshold)
+            fits = (a + first < rows[b]) & fresh[rows[b]]
+            left.append(a[fits] + first)
+            right.append(rows[b[fits]])
+    return np.concatenate(left), np.concatenate(right)
 
-        def flush():
-            rows, made[:] = made[:], []
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-        for key, part in _groups(batches, "key", "block"):
-            if key != at:
-                at, homes, unit, parent = key, [], [], {}
-            ids, raw = part.column("cid").to_pylist(), part.column("vec").to_pylist()
-            live = part.column("home").to_numpy(zero_copy_only=False)
-            for n in {len(r) for r in raw}:
-                own = [i for i, r in enumerate(raw) if len(r) == n]
-                x = _units([raw[i] for i in own], kind)
-                if new := [j for j, i in enumerate(own) if live[i]]:
-                    unit.append((n, len(homes), x[new]))
-                    homes += [ids[own[j]] for j in new]
-                for base, y in [(b, y) for size, b, y in unit if size == n]:
-                    for lo in range(0, len(own), BLOCK):
-                        for j, k in zip(*np.nonzero(x[lo : lo + BLOCK] @ y.T >= threshold), strict=True):
-                            a, b = ids[own[lo + j]], homes[base + k]
-                            if a != b and (p := root(a)) != (q := root(b)):
-                                parent[max(p, q)] = min(p, q)
-                                made.append((a, b))
-            if len(made) > 20_000:
-                yield flush()
-        if made:
-            yield flush()
+def _met(threshold: float, kind: str):
+    """Streams each block, its residents first: every row is held against the residents so far; yields a spanning forest of a batch's links."""
+
+    def meet(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        held = None  # the residents of the last block, which the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = batch.num_rows
+            batch = batch.select(["key", "block", "home", "cid", "vec"])
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            fresh = np.arange(batch.num_rows) >= batch.num_rows - new
+            key, block = (batch.column(c).to_numpy() for c in ("key", "block"))
+            home = batch.column("home").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+            homes = np.add.reduceat(home.astype(np.int64), starts)
+            raw = batch.column("vec").to_pylist()
+            lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+            parent: dict = {}
+
+            def root(v, parent=parent):
+                while parent.setdefault(v, v) != v:
+                    parent[v] = parent[parent[v]]
+                    v = parent[v]
+                return v
+
+            made = []
+            for n in np.unique(lengths):
+                own = np.flatnonzero(lengths == n)
+                x = np.zeros((len(raw), n // np.dtype(kind).itemsize))
+                x[own] = _units([raw[i] for i in own], kind)
+                for a, b in zip(*_near_pairs(x, starts, homes, fresh, threshold), strict=True):
+                    p, q = root(int(a)), root(int(b))
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        made.append((int(a), int(b)))
+            ids = batch.column("cid")
+            pairs = [ids.take(pa.array([m[k] for m in made], pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(pairs, names=["a", "b"])
+            last = int(starts[-1])
+            held = batch.slice(last, int(homes[-1])) if homes[-1] else None
 
     return meet
 
 
-def _blocked(rows: DataFrame, sizes: DataFrame, residents: str) -> DataFrame:
-    """Deals the residents of each key over blocks of BLOCK rows and repeats every row for each block of its key.
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Deals the residents among rows(key, blocks, cid, home…) over the blocks of their key and repeats every row for each block.
 
     A row is resident of one of its copies at most. Almost all keys have one block.
     """
-    rows = rows.join(sizes.withColumn("blocks", F.ceil(F.col(residents) / BLOCK).cast("int")).select("key", "blocks"), "key")
     mine = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumn("home", F.col("home") & (F.col("block") == F.col("mine"))).drop("mine", "blocks")
@@ -212,7 +248,7 @@ def _streamed(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "block").sortWithinPartitions("key", "block", F.col("home").desc())
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, tables: int = 8, scale: float = 1.6, probes: int = 8, seed: int = 8) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, tables: int = 6, scale: float = 1.6, probes: int = 4, seed: int = 8) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors; links are pairs with cosine >= threshold.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing and are components of their
@@ -222,27 +258,36 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     vectors by exact cosine in double precision; a spanning forest of the links found is kept. A link lies within a component,
     so the links of every vector are counted exactly within its component, block against block: no pair is emitted, and a
     task holds a block of vectors at most. Cells and components of any size are dealt over blocks.
-    A repeated or null id is a row like any other; component_id is the least id in the component.
+    A repeated or null id is a row like any other, and repeated rows link with each other; component_id is the least id in
+    the component. Other columns are left out.
+
+    Of pairs at a cosine of 0.9505, the least that matters, the index brings 99 % together (3,000 random pairs of 64 dimensions:
+    0.990; of 256: see the tests), of closer ones more, with 54 cells a vector.
     """
     kind = "f4" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "f8"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).mapInArrow(_classed(kind), "vec_id long, cid binary, vec binary")
     rows = written(rows, "vectors")
     classes = written(rows.filter("cid is not null").groupBy("cid").agg(F.first("vec").alias("vec"), F.count("*").alias("n"), F.min("vec_id").alias("least_id")), "classes")
     keyed = written(classes.select("cid", "vec").mapInArrow(_signed(tables, scale, probes, seed, kind), "key long, cid binary, home boolean"), "cells")
-    busy = written(keyed.groupBy("key").agg(F.count("*").alias("all"), F.count_if("home").alias("homes")).filter("homes > 0 and all > 1").select("key", "homes"), "busy")
-    met = _blocked(keyed, busy, "homes").join(classes.select("cid", "vec"), "cid")
+    # Probes go on only to cells that are home to another vector: cells are counted before any vector travels.
+    busy = written(keyed.groupBy("key").agg(F.count("*").alias("all"), F.count_if("home").alias("homes")).filter("homes > 0 and all > 1").select("key", F.ceil(F.col("homes") / BLOCK).cast("int").alias("blocks")), "busy")
+    met = lookup_join(keyed, busy, ["key"], "inner", most_rows=2_000_000, spread=[F.col("cid")])
+    met = _blocked(met).join(classes.select("cid", "vec"), "cid")
     edges = written(_streamed(met).mapInArrow(_met(threshold, kind), "a binary, b binary").distinct(), "links")
+    freed(keyed, busy)
     parts = connected_components(edges)
     inner = parts.select(F.col("node").alias("cid"), "component").join(classes, "cid").withColumn("key", F.xxhash64("component"))
     inner = written(inner.select("key", "component", "cid", "vec", "n", "least_id", F.lit(True).alias("home")), "members")
-    sizes = inner.groupBy("key").agg(F.count("*").alias("homes"))
+    sizes = written(inner.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
     # Residents are also streamed rows of their own block and rows of all others.
-    counted = _streamed(_blocked(inner.select("key", "cid", "vec", "n", "home"), sizes, "homes")).mapInArrow(_met_all(threshold, kind), "cid binary, links long")
+    dealt = lookup_join(inner.select("key", "cid", "vec", "n", "home"), sizes, ["key"], "inner", spread=[F.col("cid")])
+    counted = _streamed(_blocked(dealt)).mapInArrow(_met_all(threshold, kind), "cid binary, links long")
     counted = counted.groupBy("cid").agg(F.sum("links").alias("links"))
     least = inner.groupBy("component").agg(F.min("least_id").alias("component_id"))
     linked = inner.join(least, "component").select("cid", "component_id").join(counted, "cid")
     info = classes.select("cid", "n", "least_id").join(linked, "cid", "left")
     info = written(info.select("cid", F.coalesce("links", "n").alias("links"), F.coalesce("component_id", "least_id").alias("least_id")), "class-links")
+    freed(edges, parts, inner, sizes, classes)
     out = rows.select("vec_id", "cid").join(info, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("least_id"))
     return out.select("vec_id", F.coalesce(F.col("links") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
