@@ -17,32 +17,51 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5; null and empty texts stay."""
+    """Documents whose toxicity score is below 0.5, as they are.
+
+    Null and empty texts have no toxic segment and stay, unless all labelled documents are toxic; texts of any length are
+    scored whole. Equal texts and repeated rows score alike; null or repeated ids are rows like any other. An empty
+    table stays empty; extra columns stay, whatever their names.
+    """
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in docs.columns])
-    scored = toxicity.score_toxicity(rows, model, keep=[f"_{c}" for c in docs.columns])
-    return scored.filter("score < 0.5").select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
+    return toxicity.toxic_apart(docs, model)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; all stay, also those of which nothing is left."""
+    """Documents without their source's boilerplate lines; all stay, also those of which nothing is left.
+
+    n_chars is counted again where lines went. Null texts stay null, null sources are a source of their own, repeated rows all stay; an
+    empty table stays empty; extra columns stay, but n_lines and n_dropped are the stage's own and go.
+    """
     cleaned = line_dedup.drop_boilerplate_lines(docs)
     cut = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", cut).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    """One document of each group of near copies, the one with the least id: five-word shingles, similarity 0.8.
+
+    Null and empty texts link with nothing and stay; of repeated rows one stays; unrelated texts stay under null or equal ids. Long
+    texts count whole; an empty table stays empty; extra columns stay, whatever their names.
+    """
     return minhash.one_of_each(docs, k=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage like a benchmark item."""
+    """Documents without a passage like a benchmark item, as they are.
+
+    Null and empty texts and items match nothing; long texts are searched whole; repeated rows stay or go together; null ids are rows like
+    any other; without documents or items nothing goes. Extra columns stay, whatever their names.
+    """
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document, by source targets."""
+    """Words that the mix takes of each document, by source targets; a row for each row of docs.
+
+    Null and empty texts have size 0; null sources are a source, the last one; repeated rows tie and are taken by their
+    sizes; an empty table stays empty; extra columns go.
+    """
     return mixing.mix(docs, share=1.5, weights=(3.0, 1.0, 2.0), most_epochs=2)
 
 
