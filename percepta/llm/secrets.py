@@ -87,6 +87,8 @@ def find_secrets(docs: DataFrame, text: str = "text", scope: int = 400, most_row
     pairs = pairs.filter((F.col("o_rank") != F.col("rank")) & (F.abs(F.col("start") - F.col("o_start")) <= scope))
     hides = ~o_kind["identifier"] & ~(kind["endpoint"] & o_kind["weak_secret"])
     covers = hides & (F.col("o_start") <= F.col("start")) & (F.col("o_end") >= F.col("end"))
+    # A named access identifier is the access identifier itself.
+    covers = covers | (kind["identifier"] & o_kind["access"] & (F.col("o_start") < F.col("end")) & (F.col("o_end") > F.col("start")))
     has = lambda c: F.max(F.coalesce(c, F.lit(False)))
     beside = pairs.groupBy("at", "start", "rank", "end").agg(has(o_kind["access"] | o_kind["identifier"]).alias("who"), has(F.col("o_rank").isin(0, 2, 3)).alias("secret"), has(covers).alias("covered"))
     complete = (kind["weak_secret"] & F.col("who")) | (kind["identifier"] & F.col("secret")) | (kind["endpoint"] & F.col("who") & F.col("secret"))
