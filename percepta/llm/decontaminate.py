@@ -12,9 +12,7 @@ from percepta.llm.text import words
 from percepta.shared import freed, lookup_join, packed, written
 
 BITS = 256
-#: Bits of a fingerprint that one aggregate makes; a fingerprint is an array of BITS / PART longs.
-PART = 64
-#: Bits of a Hamming block.
+#: Bits of a Hamming block; a fingerprint is an array of BITS / BLOCK of them.
 BLOCK = 16
 
 
@@ -37,7 +35,7 @@ def _hashed(df: DataFrame, text: str) -> DataFrame:
 
 
 def _fingerprints(features: DataFrame, keys: list[str]) -> DataFrame:
-    """features(keys…, h, tf, idf): the signs of BITS random projections, as an array of longs.
+    """features(keys…, h, tf, idf): the signs of BITS random projections, as an array of Hamming blocks.
 
     Each occurrence of a shingle is a feature of its own, of weight √idf: the cosine of two such vectors is the mass that they
     share over the geometric mean of their masses, so at a similarity of s it is 2s / (1 + s) at least, whatever the
@@ -45,26 +43,25 @@ def _fingerprints(features: DataFrame, keys: list[str]) -> DataFrame:
     zero too often.
     """
     each = features.select(*keys, "h", F.sqrt("idf").alias("w"), F.explode(F.sequence(F.lit(1), F.col("tf").cast("int"))).alias("nth"))
-    each = each.select(*keys, "w", F.xxhash64(F.lit(41), "h", "nth").alias("f"), F.explode(F.sequence(F.lit(0), F.lit(BITS // PART - 1))).alias("part"))
+    each = each.select(*keys, "w", F.xxhash64(F.lit(41), "h", "nth").alias("f"), F.explode(F.sequence(F.lit(0), F.lit(BITS // BLOCK - 1))).alias("block"))
 
     def projected(i: int) -> Column:
-        x = F.xxhash64(F.lit(i), "part", "f")
+        x = F.xxhash64(F.lit(i), "block", "f")
         return F.sum(F.col("w") * (F.shiftright(x, 32) + x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)))
 
-    sums = each.groupBy(*keys, "part").agg(*[projected(i).alias(f"b{i}") for i in range(PART)])
-    bits = [F.when(F.col(f"b{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(PART)]
-    parts = sums.select(*keys, "part", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("bits"))
-    return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "bits"))), lambda p: p["bits"]).alias("fp"))
+    sums = each.groupBy(*keys, "block").agg(*[projected(i).alias(f"b{i}") for i in range(BLOCK)])
+    bits = reduce(lambda a, b: a + b, [F.when(F.col(f"b{i}") > 0, 1 << i).otherwise(0) for i in range(BLOCK)])
+    blocks = sums.select(*keys, F.struct("block", bits.alias("bits")).alias("b"))
+    return blocks.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["bits"]).alias("fp"))
 
 
 def _within(a: str, b: str, radius: int) -> Column:
-    """Whether two fingerprints differ in at most radius bits, by blocks of BLOCK bits.
+    """Whether two fingerprints differ in at most radius bits, by their Hamming blocks.
 
-    By the pigeonhole principle fingerprints within the radius agree up to radius // blocks bits in one block at least, so a pair
-    whose blocks all differ by more is settled without the rest; no pair within the radius is lost.
+    By the pigeonhole principle fingerprints within the radius differ in radius // blocks bits at most in one block at least, so
+    a pair of which all blocks differ by more is settled; no pair within the radius is lost.
     """
-    far = F.transform(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), lambda x: F.transform(F.sequence(F.lit(0), F.lit(PART - BLOCK), F.lit(BLOCK)), lambda lo: F.bit_count(F.call_function("shiftrightunsigned", x, lo).bitwiseAND(F.lit((1 << BLOCK) - 1)))))
-    far = F.flatten(far)
+    far = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     near = F.exists(far, lambda n: n <= radius // (BITS // BLOCK))
     return near & (F.aggregate(far, F.lit(0), lambda acc, n: acc + n) <= radius)
 
