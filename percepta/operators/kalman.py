@@ -1,63 +1,63 @@
-"""Constant-velocity Kalman filter as a fold over each track's frames."""
+"""Constant-velocity Kalman filter over each track's frames, one axis at a time.
+
+The four-state filter is block-diagonal in (x, vx) and (y, vy): it is two filters with a position, a velocity and the covariances
+pp, pv and vv.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-AXIS = "struct<p:double,v:double,pp:double,pv:double,vv:double>"
-
-
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
+from percepta.operators.folds import folded
 
+Axis = tuple[float, float, float, float, float]
+STATE = ", ".join(f"{n} double" for a in "xy" for n in (a, f"v{a}", f"{a}_pp", f"{a}_pv", f"{a}_vv"))
 
-def _axis(p, v, pp, pv, vv) -> Column:
-    return F.struct(p.alias("p"), v.alias("v"), pp.alias("pp"), pv.alias("pv"), vv.alias("vv"))
 
-
-def predict(s: Column, dt: Column) -> Column:
+def predicted(s: Axis, dt: float) -> Axis:
     """One axis ahead by dt; process noise dt⁴/4 on the position and dt² on the velocity, none between them."""
-    return _axis(s["p"] + s["v"] * dt, s["v"], s["pp"] + 2 * dt * s["pv"] + dt * dt * s["vv"] + dt * dt * dt * dt / 4, s["pv"] + dt * s["vv"], s["vv"] + dt * dt)
+    p, v, pp, pv, vv = s
+    return p + v * dt, v, pp + 2 * dt * pv + dt * dt * vv + dt**4 / 4, pv + dt * vv, vv + dt * dt
 
 
-def update(s: Column, z: Column) -> Column:
+def updated(s: Axis, z: float) -> Axis:
     """One axis corrected by a measurement with unit noise."""
-    gain = s["pp"] / (s["pp"] + 1)
-    return _axis(s["p"] + gain * (z - s["p"]), s["v"] + s["pv"] / (s["pp"] + 1) * (z - s["p"]), s["pp"] * (1 - gain), s["pv"] * (1 - gain), s["vv"] - s["pv"] * s["pv"] / (s["pp"] + 1))
+    p, v, pp, pv, vv = s
+    near, along = pp / (pp + 1), pv / (pp + 1)
+    return p + near * (z - p), v + along * (z - p), pp * (1 - near), pv * (1 - near), vv - pv * along
 
 
-def born(z: Column) -> Column:
+def born(z: float) -> Axis:
     """State after birth at z: unit covariance, corrected once by the same measurement."""
-    one, zero = F.lit(1.0), F.lit(0.0)
-    return _axis(z, zero, one / 2, zero, one)
+    return z, 0.0, 0.5, 0.0, 1.0
+
+
+def _axes(dt: float):
+    def begin():
+        held: list[Axis | None] = [None, None]
+
+        def step(*z):
+            for k, m in enumerate(z):
+                if held[k] is None:
+                    held[k] = None if m is None else born(m)
+                else:
+                    ahead = predicted(held[k], dt)
+                    held[k] = ahead if m is None else updated(ahead, m)
+            return tuple(v for s in held for v in (s or (None,) * 5))
+
+        return step
+
+    return begin
 
 
 def filter_tracks(positions: DataFrame, key: str = "track_id", frame: str = "frame_id", dt: float = 1.0) -> DataFrame:
     """State of both axes after every frame: x, y and for each axis position, velocity and covariance.
 
-    The filter is block-diagonal, so each axis is folded on its own. The frames of a track are one array; tracks are dealt by key.
+    An axis whose measurement is null is only predicted in that frame, so the track goes on; before its first measurement it has no
+    state. Rows without a key or frame are left out.
     """
-    item = F.struct(F.col(frame).alias("f"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    tracks = positions.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("h"))
-    state = f"struct<sx:{AXIS},sy:{AXIS},out:array<struct<f:bigint,sx:{AXIS},sy:{AXIS}>>>"
-    first = F.element_at("h", 1)
-
-    def put(out: Column, f: Column, pair: Column) -> Column:
-        return F.struct(pair["sx"].alias("sx"), pair["sy"].alias("sy"), F.concat(out, F.array(F.struct(f.cast("bigint").alias("f"), pair["sx"].alias("sx"), pair["sy"].alias("sy")))).alias("out")).cast(state)
-
-    start = F.struct(born(first["x"]).alias("sx"), born(first["y"]).alias("sy"))
-    zero = put(F.array().cast(f"array<struct<f:bigint,sx:{AXIS},sy:{AXIS}>>"), first["f"], start)
-
-    def step(acc: Column, m: Column) -> Column:
-        ahead = F.struct(predict(acc["sx"], F.lit(dt)).alias("sx"), predict(acc["sy"], F.lit(dt)).alias("sy"))
-        met = _let(ahead, lambda a: F.struct(update(a["sx"], m["x"]).alias("sx"), update(a["sy"], m["y"]).alias("sy")))
-        return _let(met, lambda pair: put(acc["out"], m["f"], pair))
-
-    folded = F.aggregate(F.slice("h", F.lit(2), F.greatest(F.size("h") - 1, F.lit(0))), zero, step, lambda acc: acc["out"])
-    rows = tracks.select(key, F.explode(folded).alias("s"))
-    cols = [F.col(f"s.s{a}.{c}").alias(n) for a in "xy" for c, n in (("p", a), ("v", f"v{a}"), ("pp", f"{a}_pp"), ("pv", f"{a}_pv"), ("vv", f"{a}_vv"))]
-    return rows.select(key, F.col("s.f").alias(frame), *cols)
+    return folded(positions, key, frame, [F.col(c).cast("double") for c in "xy"], _axes(dt), STATE)
 
 
 def mahalanobis(states: DataFrame, zx: Column, zy: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from percepta.operators.folds import folded
+from percepta.shared import freed, written
+
 
 def episode_statistics(transitions: DataFrame) -> DataFrame:
     """One row over completed episodes; zeros if there are none."""
@@ -21,45 +24,118 @@ def normalised(transitions: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def train_part(transitions: DataFrame, ratio: float = 0.8) -> DataFrame:
-    """Adds train: whether the row's episode is among the first floor(n · ratio) episodes by id."""
-    ids = transitions.select("episode_id").distinct()
-    rank = ids.select("episode_id", F.row_number().over(Window.orderBy("episode_id")).alias("k"))
-    n = ids.agg(F.floor(F.count("*") * ratio).alias("n"))
-    return transitions.join(rank, "episode_id").join(F.broadcast(n)).withColumn("train", F.col("k") <= F.col("n")).drop("k", "n")
+    """Adds train: whether the row's episode is among the first floor(n · ratio) episodes by id.
+
+    Episodes are dealt by range and counted; only the range that holds the cut is looked at, so no task sorts them all.
+    """
+    ids = transitions.select("episode_id").filter("episode_id is not null").distinct()
+    n = ids.count()
+    most = int(n * ratio + 1e-9)
+    ranked = ids.repartitionByRange("episode_id").sortWithinPartitions("episode_id").select("episode_id", F.spark_partition_id().alias("part"))
+    ranked = written(ranked, "episodes")
+    counts = {r.part: r.n for r in ranked.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before, cut = 0, None
+    for part in sorted(counts):
+        if before < most <= before + counts[part]:
+            # The cut's rank within its range; the others are only counted.
+            cut = ranked.filter(F.col("part") == part).orderBy("episode_id").offset(most - before - 1).limit(1).first()[0]
+        before += counts[part]
+    freed(ranked)
+    return transitions.withColumn("train", F.lit(False) if cut is None else F.coalesce(F.col("episode_id") <= F.lit(cut), F.lit(False)))
+
+
+def _backward(gamma: float, lam: float):
+    def begin():
+        held = [0.0, 0.0]  # advantage and value of the step after
+
+        def step(reward, value):
+            r, v = reward or 0.0, value or 0.0
+            held[:] = r + gamma * held[1] - v + gamma * lam * held[0], v
+            return held[0], held[0] + v
+
+        return step
+
+    return begin
 
 
 def advantages(transitions: DataFrame, value: str, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
-    """Generalised advantages and returns of every step, folded from an episode's end, whose next value is 0."""
-    item = F.struct("step", F.col("reward").cast("double").alias("r"), F.col(value).cast("double").alias("v"))
-    eps = transitions.groupBy("episode_id").agg(F.reverse(F.array_sort(F.collect_list(item))).alias("h"))
-    row = "array<struct<step:bigint,advantage:double,ret:double>>"
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("next"), F.array().cast(row).alias("out"))
+    """Generalised advantages and returns of every step, from an episode's end, whose next value is 0. Null rewards and values count as 0."""
+    values = [F.col(c).cast("double") for c in ("reward", value)]
+    return folded(transitions, "episode_id", "step", values, _backward(gamma, lam), "advantage double, ret double", down=True)
 
-    def back(acc: Column, m: Column) -> Column:
-        a = m["r"] + gamma * acc["next"] - m["v"] + gamma * lam * acc["a"]
-        one = F.array(F.struct(m["step"].cast("bigint").alias("step"), a.alias("advantage"), (a + m["v"]).alias("ret"))).cast(row)
-        return F.struct(a.alias("a"), m["v"].alias("next"), F.concat(acc["out"], one).alias("out"))
 
-    return eps.select("episode_id", F.explode(F.aggregate("h", zero, back, lambda acc: acc["out"])).alias("o")).select("episode_id", "o.*")
+#: Names and state fields of the default constraints.
+ACCELERATION, STEERING, COLLISION, SPEED = "acceleration_limit", "steering_limit", "collision_risk", "speed_limit"
+STATE_FIELDS = ["acceleration", "steering_angle", "min_distance_to_obstacle", "speed"]
 
 
-#: name, value of a state, limit.
 def default_constraints(min_distance: float = 1.0, max_acceleration: float = 5.0, max_steering: float = 45.0, max_speed: float = 30.0) -> list[tuple[str, Column, float]]:
+    """name, value of a state, limit. A missing field takes a default that passes."""
     c = lambda n, d: F.coalesce(F.col(n), F.lit(d))
-    return [("max_acceleration", F.abs(c("acceleration", 0.0)), max_acceleration), ("max_steering", F.abs(c("steering", 0.0)), max_steering), ("collision_avoidance", 1 / (c("distance", min_distance) + 1e-8), 1 / min_distance), ("max_speed", c("speed", 0.0), max_speed)]
+    acceleration, steering, distance, speed = STATE_FIELDS
+    return [
+        (ACCELERATION, F.abs(c(acceleration, 0.0)), max_acceleration),
+        (STEERING, F.abs(c(steering, 0.0)), max_steering),
+        (COLLISION, 1 / (c(distance, min_distance) + 1e-8), 1 / min_distance),
+        (SPEED, c(speed, 0.0), max_speed),
+    ]
+
+
+def _checked(states: DataFrame, constraints: list[tuple[str, Column, float]]) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"), F.lit(float(t)).alias("threshold")) for n, v, t in constraints])
+    return states.withColumn("c", F.explode(each)).select(*states.columns, "c.*")
 
 
 def violations(states: DataFrame, constraints: list[tuple[str, Column, float]]) -> DataFrame:
     """A row for each state and constraint whose value exceeds its limit: name, value, severity, message."""
-    each = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"), F.lit(float(t)).alias("threshold")) for n, v, t in constraints])
-    out = states.withColumn("c", F.explode(each)).select(*states.columns, "c.*").filter("value > threshold")
     severity = F.least(F.lit(1.0), (F.col("value") - F.col("threshold")) / (F.col("threshold") + 1e-8))
-    return out.withColumns({"severity": severity, "message": F.format_string("Constraint '%s' violated: %.4f > %.4f", "name", "value", "threshold")})
+    message = F.format_string("Constraint '%s' violated: %.4f > %.4f", "name", "value", "threshold")
+    return _checked(states, constraints).filter("value > threshold").withColumns({"severity": severity, "message": message})
+
+
+def _running():
+    seen = [0.0, 0.0, float("inf"), 0]  # moving average from 0, largest from 0, least, violations
+
+    def step(value, threshold):
+        v = value or 0.0
+        seen[:] = 0.9 * seen[0] + 0.1 * v, max(seen[1], v), min(seen[2], v), seen[3] + (v > threshold)
+        return tuple(seen)
+
+    return step
+
+
+def constraint_statistics(states: DataFrame, constraints: list[tuple[str, Column, float]], order: list[str]) -> DataFrame:
+    """avg_value (moving, 0.9 and 0.1, from 0), max_value (from 0), min_value and violations of every constraint after all states, in `order`.
+
+    Each constraint's values are one ordered run; the order is numbered by range, so sorting is dealt over tasks.
+    """
+    rows = _checked(states, constraints).withColumn("at", F.struct(*order))
+    numbered = rows.repartitionByRange("at").sortWithinPartitions("at").withColumn("seq", F.monotonically_increasing_id())
+    run = folded(written(numbered.select("name", "seq", "value", "threshold"), "checked"), "name", "seq", [F.col("value"), F.col("threshold")], _running, "avg_value double, max_value double, min_value double, violations long")
+    return run.groupBy("name").agg(*[F.max_by(c, "seq").alias(c) for c in ("avg_value", "max_value", "min_value", "violations")])
+
+
+def with_action(states: DataFrame, acceleration: str, steering: str) -> DataFrame:
+    """States whose acceleration and steering are the action's where it has them."""
+    return states.withColumns({"acceleration": F.coalesce(acceleration, "acceleration"), "steering_angle": F.coalesce(steering, "steering_angle")})
+
+
+def trajectory_safety(states: DataFrame, key: str, constraints: list[tuple[str, Column, float]]) -> DataFrame:
+    """For every trajectory: safe (no state violates a constraint) and n_violations."""
+    over = sum((F.coalesce(v.cast("double") > t, F.lit(False)).cast("long") for _, v, t in constraints), F.lit(0).cast("long"))
+    return states.groupBy(key).agg((F.sum(over) == 0).alias("safe"), F.sum(over).alias("n_violations"))
+
+
+def safety_metrics(states: DataFrame, constraints: list[tuple[str, Column, float]]) -> DataFrame:
+    """One row: total_violations over all states and constraints, and states that violate any."""
+    over = sum((F.coalesce(v.cast("double") > t, F.lit(False)).cast("long") for _, v, t in constraints), F.lit(0).cast("long"))
+    return states.agg(F.coalesce(F.sum(over), F.lit(0)).alias("total_violations"), F.count_if(over > 0).alias("unsafe_states"))
 
 
 def corrected(states: DataFrame, max_acceleration: float = 5.0, max_steering: float = 45.0) -> DataFrame:
-    clip = lambda n, m: F.greatest(F.lit(-m), F.least(F.lit(m), F.col(n)))
-    return states.withColumns({"acceleration": clip("acceleration", max_acceleration), "steering": clip("steering", max_steering)})
+    """Actions clipped in the dimensions that violate their limit; a null stays null."""
+    clip = lambda n, m: F.when(F.abs(F.col(n)) > m, F.signum(n) * m).otherwise(F.col(n))
+    return states.withColumns({"acceleration": clip("acceleration", max_acceleration), "steering_angle": clip("steering_angle", max_steering)})
 
 
 def gps_to_local(df: DataFrame, lat0: Column, lon0: Column, alt0: Column) -> DataFrame:
@@ -68,22 +144,61 @@ def gps_to_local(df: DataFrame, lat0: Column, lon0: Column, alt0: Column) -> Dat
     return df.withColumns({"north": r * F.radians(F.col("lat") - lat0), "east": r * F.radians(F.col("lon") - lon0) * F.cos(F.radians(lat0)), "up": F.col("alt") - alt0})
 
 
-def frame_control(latencies: DataFrame, target: float = 33.3, alpha: float = 0.2, step: float = 0.1, least_scale: float = 0.5, max_skip: int = 4, cap: float = 0.8) -> DataFrame:
-    """ewma, skip and scale after every frame of a stream: above the target, skip more and scale down; below 0.8 of it, relax."""
-    h = latencies.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("latency_ms").cast("double").alias("l")))).alias("h"))
-    row = "array<struct<seq:bigint,ewma:double,skip:int,scale:double>>"
+def _controlled(target: float, recovery: float, alpha: float, step: float, least_scale: float, most: int, gated: bool):
+    def begin():
+        ewma, skip, scale, seen, dropped = None, 0, 1.0, 0, 0
+
+        def observe(latency):
+            nonlocal ewma, skip, scale, seen, dropped
+            seen += 1
+            processed = not gated or skip == 0
+            if not processed:
+                skip, dropped = skip - 1, dropped + 1
+            elif latency is not None:
+                if latency < 0:
+                    raise ValueError(f"a latency of {latency} is below 0")
+                ewma = latency if ewma is None else alpha * latency + (1 - alpha) * ewma
+                if ewma > target:
+                    skip, scale = max(skip, min(int(ewma / target), most)), max(least_scale, scale - step)
+                elif ewma <= recovery:
+                    skip, scale = max(skip - 1, 0), min(1.0, scale + step)
+            return ewma, skip, scale, processed, 1 - dropped / seen
+
+        return observe
+
+    return begin
+
+
+def frame_control(latencies: DataFrame, target: float = 33.3, alpha: float = 0.2, step: float = 0.1, least_scale: float = 0.5, max_skip: int = 4, cap: float = 0.8, recovery: float | None = None, gated: bool = False) -> DataFrame:
+    """ewma, skip and scale after every frame of a stream: above the target, skip more and scale down; at 0.8 of it or below, relax.
+
+    gated: frames are skipped while skip is above 0, each using up one, and only processed frames are observed; processed says which,
+    and kept is the share of frames processed so far. Without it every frame is observed. A null latency changes nothing; one below 0
+    fails the job. Settings out of range raise ValueError.
+    """
+    recovery = 0.8 * target if recovery is None else recovery
+    if target <= 0 or not 0 < alpha <= 1 or not 0 < least_scale <= 1 or step <= 0 or max_skip < 0 or not 0 <= cap < 1 or not 0 < recovery <= target:
+        raise ValueError("a setting of the frame control is out of range")
     most = min(max_skip, int(cap / (1 - cap) + 1))
-    zero = F.struct(F.lit(None).cast("double").alias("ewma"), F.lit(0).alias("skip"), F.lit(1.0).alias("scale"), F.array().cast(row).alias("out"))
+    begin = _controlled(target, recovery, alpha, step, least_scale, most, gated)
+    return folded(latencies, "stream_id", "seq", [F.col("latency_ms").cast("double")], begin, "ewma double, skip int, scale double, processed boolean, kept double")
+
+
+def target_size(width: Column, height: Column, scale: Column) -> tuple[Column, Column]:
+    """Scaled frame size, rounded half to even, 1 at least."""
+    return tuple(F.greatest(F.lit(1), F.bround(d * scale).cast("int")) for d in (width, height))
+
+
+def strided(raster: DataFrame, scale: float) -> DataFrame:
+    """Every n-th pixel of every n-th row for n = round(1 / scale); the raster itself from a scale of 1."""
+    n = max(1, round(1 / scale)) if scale < 1 else 1
+    kept = raster.filter((F.col("y") % n == 0) & (F.col("x") % n == 0))
+    return kept.withColumns({c: F.floor(F.col(c) / n) for c in "yx"})
 
-    def observe(acc: Column, m: Column) -> Column:
-        e = F.coalesce(alpha * m["l"] + (1 - alpha) * acc["ewma"], m["l"])
-        high, low = e > target, e <= 0.8 * target
-        skip = F.when(high, F.greatest(acc["skip"], F.least((e / target).cast("int"), F.lit(most)))).when(low, F.greatest(acc["skip"] - 1, F.lit(0))).otherwise(acc["skip"])
-        scale = F.when(high, F.greatest(F.lit(least_scale), acc["scale"] - step)).when(low, F.least(F.lit(1.0), acc["scale"] + step)).otherwise(acc["scale"])
-        one = F.array(F.struct(m["seq"].cast("bigint").alias("seq"), e.alias("ewma"), skip.alias("skip"), scale.alias("scale"))).cast(row)
-        return F.struct(e.alias("ewma"), skip.alias("skip"), scale.alias("scale"), F.concat(acc["out"], one).alias("out"))
 
-    return h.select("stream_id", F.explode(F.aggregate("h", zero, observe, lambda acc: acc["out"])).alias("o")).select("stream_id", "o.*")
+def speedup(original: Column, optimised: Column) -> tuple[Column, Column]:
+    """original / optimised, and the reduction in percent; null where a time is 0."""
+    return F.try_divide(original, optimised), (1 - F.try_divide(optimised, original)) * 100
 
 
 def latency_profile(latencies: DataFrame) -> DataFrame:

@@ -113,10 +113,41 @@ def motion_pattern(f: DataFrame) -> DataFrame:
     return f.withColumns({"pattern": rules["p"], "confidence": rules["c"]})
 
 
-def behaviour_pattern(f: DataFrame) -> DataFrame:
-    """Adds behaviour, judged on a history of the current features only."""
+#: The behaviours that the rules give.
+STATIONARY, LINEAR, CURVED, LANE_CHANGE, ACCELERATION, BRAKING, UNKNOWN = "stationary", "linear_motion", "curved_motion", "lane_change", "acceleration_event", "braking_event", "unknown"
+
+
+def behaviour_pattern(f: DataFrame, history: str | None = None, threshold: float = 0.5) -> DataFrame:
+    """Adds behaviour, by ordered rules on the pattern and a history of features.
+
+    history names an array column of structs with heading_change, acceleration and direction_variance, oldest first; without
+    one the history is the row's own features. The means are those of the last three; the direction variance is the last one.
+    """
     p = F.col("pattern")
-    return f.withColumn("behaviour", F.when(p == "stopped", "stationary").when(F.col("direction_variance") > 0.5, "curved").when(p == "turning", "curved").otherwise("linear"))
+    if history is None:
+        return f.withColumn("behaviour", F.when(p == "stopped", STATIONARY).when(F.col("direction_variance") > 0.5, CURVED).when(p == "turning", CURVED).otherwise(LINEAR))
+    h = F.coalesce(F.col(history), F.array().cast(f.schema[history].dataType))
+    last = F.slice(h, F.greatest(F.size(h) - 2, F.lit(1)), 3)
+    mean = lambda c: F.aggregate(last, F.lit(0.0), lambda acc, x: acc + x[c]) / F.size(last)
+    rules = F.when(p == "stopped", STATIONARY).when(F.size(h) == 0, UNKNOWN).when((F.size(h) > 3) & (mean("heading_change") > 0.3), LANE_CHANGE)
+    rules = rules.when(mean("acceleration") > threshold, ACCELERATION).when(mean("acceleration") < -threshold, BRAKING)
+    return f.withColumn("behaviour", rules.when(F.try_element_at(h, F.lit(-1))["direction_variance"] > 0.5, CURVED).when(p == "turning", CURVED).otherwise(LINEAR))
+
+
+def pattern_states(patterns: DataFrame, least: int = 5) -> DataFrame:
+    """The analyser's state after every frame of patterns(track_id, frame_id, pattern, confidence).
+
+    frame_count; pattern_start (the frame at which the current pattern began); confidence (as it was then, not refreshed since);
+    duration (frame_count − pattern_start, which mixes counts and frame ids and may be below 0); ended: at a change in frame_count
+    `least` or later, the (start, pattern, confidence) that it ends, else null. Change points are windows over a track's frames.
+    """
+    w = frames()
+    s = patterns.withColumns({"frame_count": F.row_number().over(w), "changed": ~F.col("pattern").eqNullSafe(F.lag("pattern").over(w))})
+    begun = F.when(F.col("changed") | (F.col("frame_count") == 1), F.struct(F.col("frame_id").alias("start"), "pattern", "confidence"))
+    s = s.withColumn("own", F.last(begun, ignorenulls=True).over(w))
+    ended = F.when(F.col("changed") & (F.col("frame_count") > 1) & (F.col("frame_count") >= least), F.lag("own").over(w))
+    s = s.withColumn("ended", ended)
+    return s.select("track_id", "frame_id", "pattern", "frame_count", F.col("own.start").alias("pattern_start"), F.col("own.confidence").alias("confidence"), (F.col("frame_count") - F.col("own.start")).alias("duration"), "ended")
 
 
 def collision_course(f: DataFrame, cell: Column) -> DataFrame:
@@ -150,3 +181,35 @@ def time_to_collision(pairs: DataFrame, threshold: float = 3.0) -> DataFrame:
     still = rel < 0.1
     conf = F.when(ttc <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - ttc / threshold)))
     return pairs.withColumns({"ttc": F.when(~still, ttc), "collision": ~still & (ttc < threshold), "confidence": F.when(still, 1.0).otherwise(conf), "reason": F.when(still, "No relative motion").otherwise(F.format_string("TTC: %.2fs, distance: %.2fm", ttc, norm(F.col("dx"), F.col("dy"))))})
+
+
+def intents(positions: DataFrame) -> DataFrame:
+    """track_id, rank, intent, confidence: all intents of a track's last frame, the most confident first; equal ones in the order of the rules."""
+    d = differences(positions).withColumn("turn", F.atan2("vy", "vx") - F.lag(F.atan2("vy", "vx")).over(frames()))
+    d = latest(d)
+    speed, force, turn = norm(F.col("vx"), F.col("vy")), F.coalesce(norm(F.col("ax"), F.col("ay")), F.lit(0.0)), F.coalesce("turn", F.lit(0.0))
+    one = lambda rule, name, c: F.struct((-c).alias("less"), F.lit(rule).alias("rule"), F.lit(name).alias("intent"))
+    first = F.when(speed < 0.5, one(0, "stop", F.lit(0.9))).otherwise(one(0, "continue", F.lit(0.7)))
+    rest = [F.when(force > 0.5, one(1, "accelerate", F.least(F.lit(0.9), force))), F.when(turn > 0.2, one(2, "turn_left", F.lit(0.8))).when(turn < -0.2, one(2, "turn_right", F.lit(0.8)))]
+    every = F.when(F.col("vx").isNull(), F.array(one(0, "unknown", F.lit(0.0)))).otherwise(F.array_sort(F.array_compact(F.array(first, *rest))))
+    out = d.select("track_id", F.posexplode(every).alias("rank", "i"))
+    return out.select("track_id", "rank", F.col("i.intent").alias("intent"), (-F.col("i.less")).alias("confidence"))
+
+
+def reasoning(intent: Column, speed: Column, along: Column, turn: Column) -> Column:
+    """The intent, and after a colon what speaks for it."""
+    pace = F.when(speed < 0.5, "low velocity").when(speed > 2.0, "high velocity")
+    force = F.when(along > 0.5, "positive acceleration").when(along < -0.5, "negative acceleration (braking)")
+    side = F.when(F.abs(turn) > 0.2, F.concat(F.lit("heading change to "), F.when(turn > 0, "left").otherwise("right")))
+    parts = F.concat_ws(", ", pace, force, side)
+    return F.when(parts == "", intent).otherwise(F.concat(intent, F.lit(": "), parts))
+
+
+def evasion(pairs: DataFrame, safety: float = 1.0) -> DataFrame:
+    """Adds ex, ey to pairs with dx, dy (obstacle less ego) and vx, vy (ego): the velocity across the line of sight, on the side to
+    which the ego moves, at its speed; null beyond three safety distances."""
+    dist = norm(F.col("dx"), F.col("dy"))
+    px, py = -F.col("dy") / (dist + 1e-6), F.col("dx") / (dist + 1e-6)
+    side = F.signum(px * F.col("vx") + py * F.col("vy")) * norm(F.col("vx"), F.col("vy"))
+    near = dist <= 3 * safety
+    return pairs.withColumns({"ex": F.when(near, px * side), "ey": F.when(near, py * side)})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from percepta.operators.motion import norm
-from percepta.shared import connected_components
+from percepta.shared import connected_components, freed, lookup_join, written
 
 
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -74,35 +74,63 @@ def transformed(points: DataFrame, m: list[list[float]]) -> DataFrame:
     return points.withColumns(out)
 
 
-def neighbours(points: DataFrame, eps: float) -> DataFrame:
-    """cloud_id, a, b of all ordered pairs of points at a distance above 0 and below eps: an equi-join on cells of eps."""
-    cell = {f"c{c}": F.floor(F.col(c) / eps) for c in "xyz"}
-    a = points.select("cloud_id", F.col("pt_idx").alias("a"), "x", "y", "z").withColumns(cell)
-    b = points.select("cloud_id", F.col("pt_idx").alias("b"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
-    for c in "xyz":
-        b = b.withColumn(f"c{c}", F.explode(F.array(*[F.floor(F.col(f"b{c}") / eps) + i for i in (-1, 0, 1)])))
+#: Of the 27 cells around a cell, those ahead of it in one order, and itself: each pair of cells meets once.
+AHEAD = [(i, j, k) for i in (0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+
+
+def near_pairs(points: DataFrame, eps: float, cell_rows: int = 2048) -> DataFrame:
+    """cloud_id, a, b of all pairs of points, each once, at a distance above 0 and below eps: an equi-join on cells of eps.
+
+    A point stays in its own cell and is copied to the 13 cells ahead of it. Cells of more than cell_rows points are counted and dealt over
+    shares of that many, to each of which the copies go, so a dense cell is no task of its own.
+    """
+    cell = ["cx", "cy", "cz"]
+    at = points.select("cloud_id", F.col("pt_idx").alias("i"), "x", "y", "z", *[F.floor(F.col(c) / eps).alias(f"c{c}") for c in "xyz"])
+    dense = at.groupBy("cloud_id", *cell).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("shares")).filter("shares > 1")
+    dense = written(dense, "dense-cells")
+    own = lookup_join(at, dense, ["cloud_id", *cell], spread=[F.col("i")])
+    own = own.withColumn("share", F.when(F.col("shares").isNotNull(), F.pmod(F.xxhash64("i"), F.col("shares"))).otherwise(0).cast("int")).drop("shares")
+    ahead = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, ("ox", "oy", "oz"), strict=True)]) for o in AHEAD])
+    there = at.withColumn("o", F.explode(ahead))
+    there = there.select("cloud_id", F.col("i").alias("j"), *[F.col(c).alias(f"b{c}") for c in "xyz"], *[(F.col(f"c{c}") + F.col(f"o.o{c}")).alias(f"c{c}") for c in "xyz"], ((F.col("o.ox") == 0) & (F.col("o.oy") == 0) & (F.col("o.oz") == 0)).alias("same"))
+    there = lookup_join(there, dense, ["cloud_id", *cell], spread=[F.col("j")])
+    there = there.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shares") - 1, F.lit(0))))).drop("shares")
     d = norm(*[F.col(c) - F.col(f"b{c}") for c in "xyz"])
-    return a.join(b, ["cloud_id", *cell]).filter((d > 0) & (d < eps)).select("cloud_id", "a", "b")
+    both = own.join(there, ["cloud_id", *cell, "share"]).filter((~F.col("same") | (F.col("i") < F.col("j"))) & (d > 0) & (d < eps))
+    return both.select("cloud_id", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+
+
+def neighbours(points: DataFrame, eps: float) -> DataFrame:
+    """cloud_id, a, b of all ordered pairs of near_pairs."""
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return near_pairs(points, eps).select("cloud_id", F.explode(both).alias("p")).select("cloud_id", "p.*")
+
+
+def neighbour_counts(points: DataFrame, eps: float) -> DataFrame:
+    """cloud_id, pt_idx, n of every point that has neighbours: pairs are counted at both ends and never doubled."""
+    ends = near_pairs(points, eps).select("cloud_id", F.explode(F.array("a", "b")).alias("pt_idx"))
+    return ends.groupBy("cloud_id", "pt_idx").agg(F.count("*").alias("n"))
 
 
 def clusters(points: DataFrame, eps: float, min_points: int) -> DataFrame:
     """cloud_id, pt_idx, cluster (its least core index): cores have min_points other neighbours; a border point joins the first
     cluster that reaches it; clusters below min_points and noise go."""
-    near = neighbours(points, eps)
-    cores = near.groupBy("cloud_id", "a").agg(F.count("*").alias("k")).filter(F.col("k") >= min_points).select("cloud_id", "a")
+    pairs = written(near_pairs(points, eps), "near-pairs")
+    ends = pairs.select("cloud_id", F.explode(F.array("a", "b")).alias("i"))
+    cores = written(ends.groupBy("cloud_id", "i").agg(F.count("*").alias("k")).filter(F.col("k") >= min_points).select("cloud_id", "i"), "cores")
+    marked = pairs.join(cores.select("cloud_id", F.col("i").alias("a"), F.lit(True).alias("ca")), ["cloud_id", "a"], "left")
+    marked = written(marked.join(cores.select("cloud_id", F.col("i").alias("b"), F.lit(True).alias("cb")), ["cloud_id", "b"], "left"), "marked-pairs")
+    # A node is a struct of longs; the least one of a component has the least core index.
     node = lambda c: F.struct("cloud_id", F.col(c).alias("i"))
-    core_b = cores.withColumnRenamed("a", "b")
-    edges = near.join(cores, ["cloud_id", "a"]).join(core_b, ["cloud_id", "b"]).filter("a < b")
-    parts = connected_components(edges.select(F.to_json(node("a")).alias("a"), F.to_json(node("b")).alias("b")))
-    schema = "cloud_id long, i long"
-    parts = parts.select(F.from_json("node", schema).alias("n"), "component").select("n.cloud_id", F.col("n.i").alias("a"), "component")
-    labels = cores.join(parts, ["cloud_id", "a"], "left").withColumn("component", F.coalesce("component", F.to_json(node("a"))))
-    seed = labels.groupBy("component").agg(F.min("a").alias("cluster"))
-    labels = labels.join(seed, "component").select("cloud_id", "a", "cluster")
-    border = near.join(labels, ["cloud_id", "a"]).join(core_b, ["cloud_id", "b"], "left_anti").groupBy("cloud_id", F.col("b").alias("a")).agg(F.min("cluster").alias("cluster"))
-    every = labels.unionByName(border)
+    parts = connected_components(marked.filter("ca and cb").select(node("a").alias("a"), node("b").alias("b")))
+    labels = parts.select("node.cloud_id", F.col("node.i").alias("i"), F.col("component.i").alias("cluster"))
+    labels = cores.join(labels, ["cloud_id", "i"], "left").withColumn("cluster", F.coalesce("cluster", "i"))
+    ways = marked.filter("(ca is null) <> (cb is null)").select("cloud_id", F.when(F.col("ca"), F.col("a")).otherwise(F.col("b")).alias("i"), F.when(F.col("ca"), F.col("b")).otherwise(F.col("a")).alias("edge"))
+    border = ways.join(labels, ["cloud_id", "i"]).groupBy("cloud_id", F.col("edge").alias("i")).agg(F.min("cluster").alias("cluster"))
+    every = written(labels.unionByName(border), "clustered")
     big = every.groupBy("cloud_id", "cluster").agg(F.count("*").alias("n")).filter(F.col("n") >= min_points).select("cloud_id", "cluster")
-    return every.join(big, ["cloud_id", "cluster"]).select("cloud_id", F.col("a").alias("pt_idx"), "cluster")
+    freed(pairs, cores, marked)
+    return every.join(big, ["cloud_id", "cluster"]).select("cloud_id", F.col("i").alias("pt_idx"), "cluster")
 
 
 def occupied(points: DataFrame, size: float, resolution: float, least: float, most: float) -> DataFrame:
@@ -163,15 +191,20 @@ def back_projected(raster: DataFrame, fx: float, fy: float, cx: float, cy: float
 
 
 def calibrated(raster: DataFrame, references: DataFrame) -> DataFrame:
-    """Depth in metres from references(image_id, y, x, metres): a line through two or more distinct depths, else a mean ratio; 1e-6 at least."""
+    """Depth in metres from references(image_id, y, x, metres): a line through two or more distinct depths, else a mean ratio; 1e-6 at least.
+
+    An image whose slope is at or below 0, or not finite, fails the job. Images without usable references are left out.
+    """
     refs = raster.join(references, ["image_id", "y", "x"]).filter((F.col("depth") > 0) & (F.col("metres") > 0))
     fit = refs.groupBy("image_id").agg(F.regr_slope("metres", "depth").alias("a"), F.regr_intercept("metres", "depth").alias("b"), F.avg(F.col("metres") / F.col("depth")).alias("r"), (F.max("depth") - F.min("depth")).alias("span"))
     line = F.col("span") > 1e-9
     fit = fit.select("image_id", F.when(line, F.col("a")).otherwise(F.col("r")).alias("slope"), F.when(line, F.col("b")).otherwise(0.0).alias("shift"))
+    bad = F.col("slope").isNull() | F.isnan("slope") | (F.col("slope") <= 0) | F.isnan("shift") | (F.abs("slope") == float("inf"))
+    fit = fit.withColumn("slope", F.when(bad, F.raise_error(F.concat(F.lit("no positive scale for image "), F.col("image_id").cast("string"))).cast("double")).otherwise(F.col("slope")))
     return raster.join(fit, "image_id").withColumn("depth", F.greatest(F.col("slope") * F.col("depth") + F.col("shift"), F.lit(1e-6)))
 
 
-def _stencil(raster: DataFrame, value: str, reach: int) -> DataFrame:
+def stencil(raster: DataFrame, value: str, reach: int) -> DataFrame:
     """Rows (image_id, y, x, dy, dx, v): the neighbourhood of every pixel with the edge pixels repeated outward."""
     size = raster.groupBy("image_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))
     steps = F.sequence(F.lit(-reach), F.lit(reach))
@@ -182,7 +215,7 @@ def _stencil(raster: DataFrame, value: str, reach: int) -> DataFrame:
 
 def edges(raster: DataFrame, value: str = "grey") -> DataFrame:
     """Adds mag (Sobel magnitude) and edge (above the image's median magnitude)."""
-    s = _stencil(raster, value, 1)
+    s = stencil(raster, value, 1)
     weight = lambda along, across: F.col(along) * F.when(F.col(across) == 0, 2).otherwise(1)
     mag = s.groupBy("image_id", "y", "x").agg(F.sqrt(F.sum(F.col("v") * weight("dx", "dy")) ** 2 + F.sum(F.col("v") * weight("dy", "dx")) ** 2).alias("mag"))
     middle = mag.groupBy("image_id").agg(F.percentile("mag", F.lit(0.5)).alias("mid"))
@@ -190,7 +223,7 @@ def edges(raster: DataFrame, value: str = "grey") -> DataFrame:
 
 
 def local_deviation(raster: DataFrame) -> DataFrame:
-    s = _stencil(raster, "depth", 1).groupBy("image_id", "y", "x")
+    s = stencil(raster, "depth", 1).groupBy("image_id", "y", "x")
     return s.agg(F.sqrt(F.greatest(F.avg(F.col("v") * F.col("v")) - F.avg("v") * F.avg("v"), F.lit(0.0))).alias("sigma"))
 
 

@@ -10,9 +10,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from percepta.operators.kalman import filter_tracks
+
 BOX = ["x1", "y1", "x2", "y2"]
 
 
@@ -156,6 +158,90 @@ def histories(ids: DataFrame) -> DataFrame:
     return out.withColumn("confirmed", F.col("hit_streak") >= 3)
 
 
+def track_states(detections: DataFrame, max_age: int = 30, high: float | None = None, low: float = 0.1, ends: DataFrame | None = None) -> DataFrame:
+    """A row for every live track after every frame of its stream, also the frames that miss it.
+
+    stream_id, frame_id, track_id, misses (frames since the last match), hit_streak (2 at birth, never reset; age is the same count),
+    confirmed, the last matched box with its confidence and class, and the Kalman state: corrected where a detection matched, predicted
+    where none did. A track is live while it has fewer than max_age misses. Frames of a stream run from its first to its last
+    one, or to last_frame in ends(stream_id, last_frame).
+    """
+    extra = ["confidence", *(["class_id"] if "class_id" in detections.columns else [])]
+    ids = identified(detections, max_age, high, low)
+    boxes = detections.select(*[F.col(c).cast("long").alias(c) for c in ("stream_id", "frame_id", "det_idx")], *BOX, *extra)
+    h = histories(ids).join(boxes, ["stream_id", "frame_id", "det_idx"]).drop("misses")
+    last = detections.groupBy("stream_id").agg(F.max("frame_id").alias("last_frame")) if ends is None else ends
+    w = Window.partitionBy("stream_id", "track_id").orderBy("frame_id")
+    h = h.join(last, "stream_id").withColumn("until", F.least(F.coalesce(F.lead("frame_id").over(w) - 1, F.col("last_frame")), F.col("frame_id") + max_age - 1, "last_frame"))
+    h = h.withColumn("at", F.explode(F.sequence("frame_id", F.greatest("until", "frame_id")))).withColumn("misses", F.col("at") - F.col("frame_id"))
+    # An empty sequence can't be: a row's own frame is always live.
+    seen = F.col("misses") == 0
+    rows = h.select(F.struct("stream_id", "track_id").alias("key"), F.col("at").alias("frame_id"), *[F.when(seen, (F.col(f"{c}1") + F.col(f"{c}2")) / 2).alias(c) for c in "xy"])
+    states = filter_tracks(rows, "key", "frame_id").select("key.*", "frame_id", "x", "y", "vx", "vy", "x_pp", "y_pp")
+    kept = h.select("stream_id", "track_id", F.col("at").alias("frame_id"), "misses", "hit_streak", "confirmed", *BOX, *extra)
+    return kept.join(states, ["stream_id", "track_id", "frame_id"])
+
+
+def confirmed_tracks(states: DataFrame) -> DataFrame:
+    """The confirmed ones of track_states, occluded ones too."""
+    return states.filter("confirmed")
+
+
+def track_by_id(states: DataFrame, track_id: int) -> DataFrame:
+    """One track's rows of every stream; none if there is no such track."""
+    return states.filter(F.col("track_id") == track_id)
+
+
+def box_around(x: Column, y: Column) -> list[Column]:
+    """The box that stands for a track without any detection: 50 × 50 around its position."""
+    return [c.alias(n) for c, n in zip((x - 25, y - 25, x + 25, y + 25), BOX, strict=True)]
+
+
+def _associated(gate: float, most: float):
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        names = ["stream_id", "frame_id", "track_id", "det_idx", "cost"]
+        at, sides = None, ([], [])
+
+        def settle():
+            (ti, tb), (di, db) = (([r[0] for r in s], np.array([r[1] for r in s], float).reshape(-1, 4)) for s in sides)
+            met = matches(tb, db, gate, most)
+            c = costs(tb, db, gate, most) if met else None
+            out = [(*at, ti[t], di[d], float(c[t, d])) for t, d in met]
+            out += [(*at, t, None, None) for k, t in enumerate(ti) if k not in {m[0] for m in met}]
+            return out + [(*at, None, d, None) for k, d in enumerate(di) if k not in {m[1] for m in met}]
+
+        def flushed(rows):
+            kinds = [pa.int64()] * 4 + [pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+        for batch in batches:
+            made: list[tuple] = []
+            for stream, frame, side, i, *box in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (stream, frame) != at:
+                    made += settle() if at else []
+                    at, sides = (stream, frame), ([], [])
+                sides[side].append((i, box))
+            yield flushed(made)
+        if at:
+            yield flushed(settle())
+
+    return run
+
+
+def associated(tracks: DataFrame, detections: DataFrame, gate: float = 0.3, most: float = 100.0) -> DataFrame:
+    """stream_id, frame_id, track_id, det_idx, cost of the least-cost assignment in every frame; unmatched tracks and detections have the other id null.
+
+    tracks(stream_id, frame_id, track_id, box) and detections(stream_id, frame_id, det_idx, box). A frame's boxes are one run of a sorted
+    partition; pairs below the IoU gate cost `most` and don't match. Rows without stream, frame or box are left out.
+    """
+    side = lambda d, n, i: d.select(*[F.col(c).cast("long").alias(c) for c in ("stream_id", "frame_id")], F.lit(n).alias("side"), F.col(i).cast("long").alias("i"), *[F.col(c).cast("double").alias(c) for c in BOX])
+    rows = side(tracks, 0, "track_id").unionByName(side(detections, 1, "det_idx")).dropna()
+    rows = rows.repartition("stream_id", "frame_id").sortWithinPartitions("stream_id", "frame_id", "side", "i")
+    return rows.mapInArrow(_associated(gate, most), "stream_id long, frame_id long, track_id long, det_idx long, cost double")
+
+
 def statistics(tracked: DataFrame, max_age: int = 30) -> DataFrame:
     """For every stream after its last frame: live tracks, confirmed ones among them, the frame and the next id."""
     last = tracked.groupBy("stream_id", "track_id").agg(F.max("frame_id").alias("last"), F.bool_or("confirmed").alias("confirmed"))

@@ -84,11 +84,21 @@ iou AS (SELECT *, CASE WHEN w > 0 AND h > 0 THEN w*h/(areas-w*h) ELSE 0 END AS i
 add("asc_03_build_cost_matrix", "v_detections", _consecutive, f"{_PAIR} SELECT stream_id, frame_id, track_id, det_idx, {_rs('iou')}, {_r('dist*(1-iou)', 'cost')} FROM iou WHERE iou > 0.3")
 
 
-def _unmatched(d: DataFrame) -> DataFrame:
-    return d.join(_consecutive(d), ["stream_id", "frame_id", "det_idx"], "left_anti").select("stream_id", "frame_id", "det_idx")
+def _associated(d: DataFrame) -> DataFrame:
+    tracks = d.select("stream_id", (F.col("frame_id") + 1).alias("frame_id"), F.col("obj").alias("track_id"), *_BOX)
+    return tracking.associated(tracks, d)
 
 
-add("asc_04_unmatched_detections", "v_detections", _unmatched, f"{_PAIR} SELECT stream_id, frame_id, det_idx FROM v_detections ANTI JOIN (SELECT stream_id, frame_id, det_idx FROM iou WHERE iou > 0.3) USING (stream_id, frame_id, det_idx)")
+add(
+    "asc_04_associate",
+    "v_detections",
+    _associated,
+    f"""{_PAIR}, m AS (SELECT stream_id, frame_id, track_id, det_idx, dist*(1-iou) AS cost FROM iou WHERE iou > 0.3),
+u AS (SELECT * FROM m
+  UNION ALL SELECT stream_id, frame_id + 1, obj, NULL, NULL FROM v_detections t WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.stream_id = t.stream_id AND m.frame_id = t.frame_id + 1 AND m.track_id = t.obj)
+  UNION ALL SELECT stream_id, frame_id, NULL, det_idx, NULL FROM v_detections d WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.stream_id = d.stream_id AND m.frame_id = d.frame_id AND m.det_idx = d.det_idx))
+SELECT stream_id, frame_id, track_id, det_idx, {_r('cost', 'cost')} FROM u""",
+)
 
 # Trackers. An object of the view overlaps none but itself, so in SQL tracks are islands of its frames.
 
@@ -126,7 +136,26 @@ _CA = ("x + coalesce(vx,0)*step + coalesce(ax,0)*step*step/2", "y + coalesce(vy,
 add("prd_01_cv_predict", "v_positions", lambda d: motion.forecast(d, "cv", 1).drop("step"), f"{_D} SELECT track_id, {_r(_CV[0].replace('*step', ''), 'x')}, {_r(_CV[1].replace('*step', ''), 'y')} FROM l")
 add("prd_02_cv_trajectory", "v_positions", lambda d: motion.forecast(d, "cv", 5), f"{_D} SELECT track_id, step, {_r(_CV[0], 'x')}, {_r(_CV[1], 'y')} FROM l, {_STEPS}")
 add("prd_04_ca_trajectory", "v_positions", lambda d: motion.forecast(d, "ca", 5), f"{_D} SELECT track_id, step, {_r(_CA[0], 'x')}, {_r(_CA[1], 'y')} FROM l, {_STEPS}")
-add("prd_11_ade_fde", "v_positions", lambda d: motion.displacement_errors(motion.forecast(d, "cv", 5), motion.forecast(d, "ca", 5)), f"{_D}, e AS (SELECT track_id, step, sqrt(power(coalesce(ax,0)*step*step/2,2)+power(coalesce(ay,0)*step*step/2,2)) AS e FROM l, {_STEPS}) SELECT track_id, {_r('avg(e)', 'ade')}, {_r('max_by(e, step)', 'fde')} FROM e GROUP BY track_id")
+
+
+def _held_back(d: DataFrame) -> DataFrame:
+    """The forecast of every track's last five frames from those before, against these frames."""
+    end = d.groupBy("track_id").agg(F.max("frame_id").alias("end"))
+    cut = d.join(end, "track_id")
+    truth = cut.filter("frame_id > end - 5").select("track_id", (F.col("frame_id") - F.col("end") + 5).alias("step"), "x", "y")
+    return motion.displacement_errors(motion.forecast(cut.filter("frame_id <= end - 5").drop("end"), "ca", 5), truth)
+
+
+add(
+    "prd_11_ade_fde",
+    "v_positions",
+    _held_back,
+    f"""q AS (SELECT *, max(frame_id) OVER (PARTITION BY track_id) AS n FROM v_positions),
+c AS (SELECT track_id, frame_id, x, y, x-lag(x) OVER w AS vx, y-lag(y) OVER w AS vy, x-2*lag(x) OVER w+lag(x, 2) OVER w AS ax, y-2*lag(y) OVER w+lag(y, 2) OVER w AS ay FROM q WHERE frame_id <= n-5 WINDOW w AS (PARTITION BY track_id ORDER BY frame_id)),
+l AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY frame_id DESC) = 1),
+e AS (SELECT track_id, frame_id-n+5 AS step, sqrt(power({_CA[0].replace('x +', 'l.x +', 1)}-q.x, 2)+power({_CA[1].replace('y +', 'l.y +', 1)}-q.y, 2)) AS e FROM (SELECT track_id, n, frame_id, x, y, frame_id-n+5 AS step FROM q WHERE frame_id > n-5) q JOIN (SELECT track_id, x, y, vx, vy, ax, ay FROM l) l USING (track_id))
+SELECT track_id, {_r('avg(e)', 'ade')}, {_r('max_by(e, step)', 'fde')} FROM e GROUP BY track_id""",
+)
 add("unc_01_position", "v_positions", motion.position_uncertainty, f"{_D} SELECT track_id, {_r('coalesce(sqrt(vx*vx+vy*vy)*0.5, 0)', 'sigma_v')}, {_r('coalesce(sqrt(ax*ax+ay*ay)*0.2, 0)', 'sigma_a')} FROM l")
 add("unc_02_forecast", "v_positions", motion.forecast_uncertainty, f"{_D} SELECT track_id, step, {_r('sqrt(power((vx*vx+vy*vy)*0.5*step,2)+power((ax*ax+ay*ay)*0.2*step,2))', 'sigma')} FROM l, {_STEPS}")
 add("unc_03_ellipse", "v_positions", lambda d: motion.confidence_ellipse(d.groupBy("track_id").agg(F.covar_samp("x", "x").alias("a"), F.covar_samp("x", "y").alias("b"), F.covar_samp("y", "y").alias("c")), F.col("a"), F.col("b"), F.col("c")).select("track_id", "major", "minor", "angle"), f"c AS (SELECT track_id, covar_samp(x,x) AS a, covar_samp(x,y) AS b, covar_samp(y,y) AS c FROM v_positions GROUP BY track_id) SELECT track_id, {_r('2*sqrt((a+c)/2+sqrt((a-c)*(a-c)/4+b*b))', 'major')}, {_r('2*sqrt(greatest((a+c)/2-sqrt((a-c)*(a-c)/4+b*b),0))', 'minor')}, {_r('atan2(2*b,a-c)/2', 'angle')} FROM c")
@@ -145,7 +174,7 @@ m AS (SELECT *, CASE WHEN speed < 1 THEN 'stopped' WHEN angular_velocity > 0.1 T
 _SIX = "speed angular_velocity acceleration speed_variance direction_variance heading_change"
 add("beh_01_motion_features", "v_positions", motion.motion_features, f"{_FEAT} SELECT track_id, {_rs(_SIX)} FROM f")
 add("beh_02_motion_pattern", "v_positions", lambda d: motion.motion_pattern(motion.motion_features(d)).select("track_id", "pattern", "confidence"), f"{_FEAT} SELECT track_id, pattern, {_rs('confidence')} FROM m")
-add("beh_03_behaviour_pattern", "v_positions", lambda d: motion.behaviour_pattern(motion.motion_pattern(motion.motion_features(d))).select("track_id", "behaviour"), f"{_FEAT} SELECT track_id, CASE WHEN pattern = 'stopped' THEN 'stationary' WHEN direction_variance > 0.5 OR pattern = 'turning' THEN 'curved' ELSE 'linear' END AS behaviour FROM m")
+add("beh_03_behaviour_pattern", "v_positions", lambda d: motion.behaviour_pattern(motion.motion_pattern(motion.motion_features(d))).select("track_id", "behaviour"), f"{_FEAT} SELECT track_id, CASE WHEN pattern = 'stopped' THEN 'stationary' WHEN direction_variance > 0.5 OR pattern = 'turning' THEN 'curved_motion' ELSE 'linear_motion' END AS behaviour FROM m")
 add("beh_06_collision_course", "v_positions", lambda d: motion.collision_course(motion.motion_features(d), F.col("track_id") % 10), f"{_FEAT} SELECT a.track_id AS track_a, b.track_id AS track_b, NOT (a.speed < 0.1 AND b.speed < 0.1) AS on_course FROM f a JOIN f b ON a.track_id % 10 = b.track_id % 10 AND a.track_id < b.track_id")
 add("beh_07_lane_change", "v_positions", lambda d: motion.motion_features(d).join(d.groupBy("track_id").agg(F.count("*").alias("n")), "track_id").select("track_id", ((F.col("heading_change") > 0.3) & (F.col("n") > 10)).alias("lane_change")), f"{_FEAT} SELECT track_id, heading_change > 0.3 AND n > 10 AS lane_change FROM f JOIN (SELECT track_id, count(*) AS n FROM v_positions GROUP BY track_id) USING (track_id)")
 _INT = f"""{_D},
@@ -165,7 +194,7 @@ def _pairs(d: DataFrame) -> DataFrame:
 
 _TTC = f"""{_D}, p AS (SELECT a.track_id AS track_id_a, b.track_id AS track_id_b, sqrt(power(b.x-a.x,2)+power(b.y-a.y,2)) AS dist, sqrt(power(b.vx-a.vx,2)+power(b.vy-a.vy,2)) AS rel
   FROM l a JOIN l b ON a.track_id % 10 = b.track_id % 10 AND a.track_id < b.track_id), q AS (SELECT *, dist/(rel+1e-6) AS ttc FROM p)"""
-add("int_05_time_to_collision", "v_positions", lambda d: motion.time_to_collision(_pairs(d)).select("track_id_a", "track_id_b", "ttc", "collision", "confidence"), f"{_TTC} SELECT track_id_a, track_id_b, {_r('CASE WHEN rel >= 0.1 THEN ttc END', 'ttc')}, rel >= 0.1 AND ttc < 3 AS collision, {_r('CASE WHEN rel < 0.1 THEN 1 WHEN ttc <= 0 THEN 0 ELSE greatest(0, least(1, 1-ttc/3)) END', 'confidence')} FROM q")
+add("int_05_time_to_collision", "v_positions", lambda d: motion.time_to_collision(_pairs(d)).select("track_id_a", "track_id_b", "ttc", "collision", "confidence", "reason"), f"{_TTC} SELECT track_id_a, track_id_b, {_r('CASE WHEN rel >= 0.1 THEN ttc END', 'ttc')}, rel >= 0.1 AND ttc < 3 AS collision, {_r('CASE WHEN rel < 0.1 THEN 1 WHEN ttc <= 0 THEN 0 ELSE greatest(0, least(1, 1-ttc/3)) END', 'confidence')}, CASE WHEN rel < 0.1 THEN 'No relative motion' ELSE printf('TTC: %.2fs, distance: %.2fm', ttc, dist) END AS reason FROM q")
 
 # Point clouds
 
@@ -179,7 +208,7 @@ add("lid_05_statistics", "v_points", spatial.cloud_statistics, "SELECT cloud_id,
 add("lid_06_process_raw", "v_points", lambda d: spatial.in_height(spatial.in_range(d, 0.5, 100.0), -1.0, 5.0), f"SELECT cloud_id, pt_idx, {_XYZ} FROM v_points WHERE {_RANGE} BETWEEN 0.5 AND 100 AND z BETWEEN -1 AND 5")
 add("lid_07_remove_ground", "v_points", lambda d: d.filter("z >= 0.5"), f"SELECT cloud_id, pt_idx, {_XYZ} FROM v_points WHERE z >= 0.5")
 _NEAR = "nb AS (SELECT a.cloud_id, a.pt_idx AS a, b.pt_idx AS b FROM v_points a JOIN v_points b ON a.cloud_id = b.cloud_id WHERE power(a.x-b.x,2)+power(a.y-b.y,2)+power(a.z-b.z,2) > 0 AND sqrt(power(a.x-b.x,2)+power(a.y-b.y,2)+power(a.z-b.z,2)) < 1.77)"
-add("lid_08_neighbours", "v_points", lambda d: spatial.neighbours(d, 1.77).groupBy("cloud_id", F.col("a").alias("pt_idx")).agg(F.count("*").alias("n")), f"{_NEAR} SELECT cloud_id, a AS pt_idx, count(*) AS n FROM nb GROUP BY 1, 2")
+add("lid_08_neighbours", "v_points", lambda d: spatial.neighbour_counts(d, 1.77), f"{_NEAR} SELECT cloud_id, a AS pt_idx, count(*) AS n FROM nb GROUP BY 1, 2")
 _DBSCAN = f"""{_NEAR}, core AS (SELECT cloud_id, a FROM nb GROUP BY 1, 2 HAVING count(*) >= 3),
 ed AS (SELECT nb.* FROM nb SEMI JOIN core c ON nb.cloud_id = c.cloud_id AND nb.a = c.a SEMI JOIN core e ON nb.cloud_id = e.cloud_id AND nb.b = e.a),
 reach AS (SELECT cloud_id, a, a AS r FROM core UNION SELECT reach.cloud_id, ed.b, reach.r FROM reach JOIN ed ON reach.cloud_id = ed.cloud_id AND reach.a = ed.a WHERE reach.r < ed.b),
@@ -226,16 +255,16 @@ add("iml_05_normalise", "v_transitions", lambda d: learning.normalised(d.select(
 add("iml_07_train_split", "v_transitions", lambda d: learning.train_part(d).groupBy("train").agg(F.count("*").alias("n"), F.countDistinct("episode_id").alias("episodes")), "r AS (SELECT *, dense_rank() OVER (ORDER BY episode_id) AS k FROM v_transitions) SELECT k <= floor((SELECT max(k) FROM r)*0.8::DOUBLE) AS train, count(*) AS n, count(DISTINCT episode_id) AS episodes FROM r GROUP BY 1")
 _GAE = "z AS (SELECT episode_id, step, reward + 0.99::DOUBLE*coalesce(lead(obs1) OVER w, 0) - obs1 AS delta, obs1, max(step) OVER (PARTITION BY episode_id) AS n FROM v_transitions WINDOW w AS (PARTITION BY episode_id ORDER BY step)), a AS (SELECT p.episode_id, p.step, any_value(p.obs1) AS v, sum(power(0.99::DOUBLE*0.95::DOUBLE, q.step-p.step)*q.delta) AS adv FROM z p JOIN z q ON p.episode_id = q.episode_id AND q.step >= p.step GROUP BY 1, 2)"
 add("pol_03_gae", "v_transitions", lambda d: learning.advantages(d, "obs1"), f"{_GAE} SELECT episode_id, step, {_r('adv', 'advantage', 4)}, {_r('adv+v', 'ret', 4)} FROM a", 4)
-_STATE = "s AS (SELECT episode_id, step, act0 AS acceleration, act1 AS steering, speed, obs1 AS distance FROM v_transitions), c AS (SELECT episode_id, step, unnest([{name: 'max_acceleration', value: abs(acceleration), t: 5.0::DOUBLE}, {name: 'max_steering', value: abs(steering), t: 45.0::DOUBLE}, {name: 'collision_avoidance', value: 1/(distance+1e-8::DOUBLE), t: 1.0::DOUBLE}, {name: 'max_speed', value: speed, t: 30.0::DOUBLE}], recursive := true) FROM s)"
+_STATE = "s AS (SELECT episode_id, step, act0 AS acceleration, act1 AS steering_angle, speed, obs1 AS min_distance_to_obstacle FROM v_transitions), c AS (SELECT episode_id, step, unnest([{name: 'acceleration_limit', value: abs(acceleration), t: 5.0::DOUBLE}, {name: 'steering_limit', value: abs(steering_angle), t: 45.0::DOUBLE}, {name: 'collision_risk', value: 1/(min_distance_to_obstacle+1e-8::DOUBLE), t: 1.0::DOUBLE}, {name: 'speed_limit', value: speed, t: 30.0::DOUBLE}], recursive := true) FROM s)"
 
 
 def _states(d: DataFrame) -> DataFrame:
-    return d.select("episode_id", "step", F.col("act0").alias("acceleration"), F.col("act1").alias("steering"), "speed", F.col("obs1").alias("distance"))
+    return d.select("episode_id", "step", F.col("act0").alias("acceleration"), F.col("act1").alias("steering_angle"), "speed", F.col("obs1").alias("min_distance_to_obstacle"))
 
 
-add("saf_02_violations", "v_transitions", lambda d: learning.violations(_states(d), learning.default_constraints()).select("episode_id", "step", "name", "value", "severity"), f"{_STATE} SELECT episode_id, step, name, {_r('value', 'value', 4)}, {_r('least(1, (value-t)/(t+1e-8::DOUBLE))', 'severity', 4)} FROM c WHERE value > t", 4)
-add("saf_06_correct_action", "v_transitions", lambda d: learning.corrected(_states(d)).select("episode_id", "step", "acceleration", "steering"), f"SELECT episode_id, step, {_r('greatest(-5, least(5, act0))', 'acceleration')}, {_r('greatest(-45, least(45, act1))', 'steering')} FROM v_transitions")
+add("saf_02_violations", "v_transitions", lambda d: learning.violations(_states(d), learning.default_constraints()).select("episode_id", "step", "name", "value", "severity", "message"), f"{_STATE} SELECT episode_id, step, name, {_r('value', 'value', 4)}, {_r('least(1, (value-t)/(t+1e-8::DOUBLE))', 'severity', 4)}, printf('Constraint ''%s'' violated: %.4f > %.4f', name, value, t) AS message FROM c WHERE value > t", 4)
+add("saf_06_correct_action", "v_transitions", lambda d: learning.corrected(_states(d)).select("episode_id", "step", "acceleration", "steering_angle"), f"SELECT episode_id, step, {_r('greatest(-5, least(5, act0))', 'acceleration')}, {_r('greatest(-45, least(45, act1))', 'steering_angle')} FROM v_transitions")
 add("fus_01_gps_to_local", "v_sensor", lambda d: learning.gps_to_local(d.filter("kind = 'gps'"), F.lit(0.0), F.lit(0.0), F.lit(0.0)).select("vehicle_id", "seq", "north", "east", "up"), f"SELECT vehicle_id, seq, {_r('6371000.0::DOUBLE*radians(lat)', 'north', 4)}, {_r('6371000.0::DOUBLE*radians(lon)', 'east', 4)}, {_r('alt', 'up', 4)} FROM v_sensor WHERE kind = 'gps'", 4)
 _EWMA = "e AS (SELECT stream_id, seq, CAST(latency_ms AS DOUBLE) AS ewma, CASE WHEN latency_ms > 33.3 THEN least(trunc(latency_ms/33.3::DOUBLE)::INT, 4) ELSE 0 END AS skip, CASE WHEN latency_ms > 33.3 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS scale FROM v_latency WHERE seq = 1 UNION ALL SELECT stream_id, seq, m, CASE WHEN m > 33.3::DOUBLE THEN greatest(skip, least(trunc(m/33.3::DOUBLE)::INT, 4)) WHEN m <= 0.8::DOUBLE*33.3::DOUBLE THEN greatest(skip-1, 0) ELSE skip END, CASE WHEN m > 33.3::DOUBLE THEN greatest(0.5::DOUBLE, scale-0.1::DOUBLE) WHEN m <= 0.8::DOUBLE*33.3::DOUBLE THEN least(1.0::DOUBLE, scale+0.1::DOUBLE) ELSE scale END FROM (SELECT l.stream_id, l.seq, 0.2::DOUBLE*l.latency_ms+0.8::DOUBLE*e.ewma AS m, e.skip, e.scale FROM e JOIN v_latency l ON l.stream_id = e.stream_id AND l.seq = e.seq+1))"
-add("adp_02_frame_control", "v_latency", learning.frame_control, f"{_EWMA} SELECT stream_id, seq, {_rs('ewma', 4)}, skip, {_rs('scale', 4)} FROM e", 4)
+add("adp_02_frame_control", "v_latency", lambda d: learning.frame_control(d).select("stream_id", "seq", "ewma", "skip", "scale"), f"{_EWMA} SELECT stream_id, seq, {_rs('ewma', 4)}, skip, {_rs('scale', 4)} FROM e", 4)
 add("opt_02_latency_profile", "v_latency", learning.latency_profile, f"SELECT stream_id, {_r('avg(latency_ms)', 'mean')}, {_r('quantile_cont(latency_ms, 0.5)', 'median')}, {_r('quantile_cont(latency_ms, 0.95)', 'p95')}, {_r('quantile_cont(latency_ms, 0.99)', 'p99')}, {_r('stddev_pop(latency_ms)', 'std')} FROM v_latency GROUP BY stream_id")

@@ -95,6 +95,12 @@ def lookup_join(left: DataFrame, table: DataFrame, on: list[str], how: str = "le
     return left.withColumn(salt, dealt).join(table, [*on, salt], how).drop(salt)
 
 
+def _nodes(column) -> list:
+    """Values that can be compared and hashed; structs as tuples of their fields."""
+    fields = [column.field(k).to_pylist() for k in range(column.type.num_fields)]
+    return list(zip(*fields, strict=True)) if fields else column.to_pylist()
+
+
 def _forest(batches):
     """Of the edges in a partition, a spanning forest whose edges point to the least node."""
     import pyarrow as pa
@@ -112,7 +118,7 @@ def _forest(batches):
     kind = None
     for batch in batches:
         kind = batch.schema
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for a, b in zip(*(_nodes(batch.column(k)) for k in (0, 1)), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -120,7 +126,9 @@ def _forest(batches):
     pairs = [p for p in pairs if p[0] != p[1]]
     for i in range(0, len(pairs), 20_000):
         part = pairs[i : i + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in part], type=kind.field(k).type) for k in (0, 1)], schema=kind)
+        names = [[f.name for f in kind.field(k).type] if pa.types.is_struct(kind.field(k).type) else None for k in (0, 1)]
+        ends = [[dict(zip(names[k], p[k], strict=True)) if names[k] else p[k] for p in part] for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(ends[k], type=kind.field(k).type) for k in (0, 1)], schema=kind)
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
