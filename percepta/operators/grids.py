@@ -87,12 +87,14 @@ def of_costmap(costs: DataFrame, grid: Grid, threshold: float = 0.5) -> DataFram
     """
     size = costs.groupBy(grid.key).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     hot = costs.filter(F.col("cost") > threshold).join(size, grid.key)
+
     # Cell i falls on int(i · h / n), capped at the last row: the cells from y · n / h upward, up to the next row's.
-    for c, most, g in (("y", "h", "gy"), ("x", "w", "gx")):
+    def falling(c: str, most: str) -> Column:
         share = F.col(most) / F.lit(float(grid.n))
         near = F.sequence(F.floor(F.col(c) / share).cast("int") - 1, F.ceil((F.col(c) + 1) / share).cast("int"))
-        fits = lambda i, c=c, most=most, share=share: (i >= 0) & (i < grid.n) & (F.least((i * share).cast("int"), F.col(most) - 1) == F.col(c))
-        hot = hot.withColumn(g, F.explode(F.filter(near, fits)))
+        return F.filter(near, lambda i: (i >= 0) & (i < grid.n) & (F.least((i * share).cast("int"), F.col(most) - 1) == F.col(c)))
+
+    hot = hot.withColumn("gy", F.explode(falling("y", "h"))).withColumn("gx", F.explode(falling("x", "w")))
     return hot.select(grid.key, "gx", "gy", F.lit(1.0).alias("value"))
 
 
@@ -123,13 +125,13 @@ def rays_hit(rays: DataFrame, cells: DataFrame, grid: Grid, threshold: float = 0
     n, res, (ox, oy) = grid.n, grid.resolution, grid.origin
     reach = float(n * res * 2**0.5) if max_range is None else float(max_range)
     length = norm(F.col("rx"), F.col("ry"))
-    r = rays.select(grid.key, "ray_id", F.floor((F.col("x") - ox) / res).cast("int").alias("sx"), F.floor((F.col("y") - oy) / res).cast("int").alias("sy"), "x", "y", (F.col("rx") / length).alias("ux"), (F.col("ry") / length).alias("uy"))
+    r = rays.select(grid.key, "ray_id", F.floor((F.col("x") - ox) / res).cast("int").alias("sx"), F.floor((F.col("y") - oy) / res).cast("int").alias("sy"), "x", "y", F.try_divide("rx", length).alias("ux"), F.try_divide("ry", length).alias("uy"))
     r = r.filter((length > 0) & F.col("sx").between(0, n - 1) & F.col("sy").between(0, n - 1))
 
     def crossings(p: str, start: str, u: str, o: float, tie: int) -> Column:
         ahead = F.col(u) > 0
         lines = F.when(ahead, F.sequence(F.col(start) + 1, F.lit(n))).when(F.col(u) < 0, F.sequence(F.col(start), F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        event = lambda line: F.struct(((line * res + o - F.col(p)) / F.col(u)).alias("t"), F.lit(tie).alias("tie"), F.when(F.lit(tie == 1), F.signum(u)).otherwise(0.0).cast("int").alias("mx"), F.when(F.lit(tie == 0), F.signum(u)).otherwise(0.0).cast("int").alias("my"))
+        event = lambda line: F.struct(F.try_divide(line * res + o - F.col(p), F.col(u)).alias("t"), F.lit(tie).alias("tie"), F.when(F.lit(tie == 1), F.signum(u)).otherwise(0.0).cast("int").alias("mx"), F.when(F.lit(tie == 0), F.signum(u)).otherwise(0.0).cast("int").alias("my"))
         return F.transform(lines, event)
 
     start = F.array(F.struct(F.lit(-1.0).alias("t"), F.lit(0).alias("tie"), F.lit(0).alias("mx"), F.lit(0).alias("my")))
@@ -139,7 +141,7 @@ def rays_hit(rays: DataFrame, cells: DataFrame, grid: Grid, threshold: float = 0
     # Steps only lead away from the start, so once outside the grid a ray never comes back.
     hit = passed.filter(F.col("t") <= reach).join(cells.filter(F.col("value") > threshold), [grid.key, "gx", "gy"]).groupBy(grid.key, "ray_id").agg(F.min("t").alias("distance"))
     out = rays.join(hit, [grid.key, "ray_id"], "left")
-    return out.withColumns({"hx": F.col("x") + F.col("rx") / length * F.col("distance"), "hy": F.col("y") + F.col("ry") / length * F.col("distance")})
+    return out.withColumns({"hx": F.col("x") + F.try_divide("rx", length) * F.col("distance"), "hy": F.col("y") + F.try_divide("ry", length) * F.col("distance")})
 
 
 def in_sight(segments: DataFrame, cells: DataFrame, grid: Grid, threshold: float = 0.5) -> DataFrame:

@@ -86,7 +86,7 @@ add("asc_03_build_cost_matrix", "v_detections", _consecutive, f"{_PAIR} SELECT s
 
 def _associated(d: DataFrame) -> DataFrame:
     tracks = d.select("stream_id", (F.col("frame_id") + 1).alias("frame_id"), F.col("obj").alias("track_id"), *_BOX)
-    return tracking.associated(tracks, d)
+    return tracking.associated(tracks, d).fillna(-1)
 
 
 add(
@@ -97,7 +97,7 @@ add(
 u AS (SELECT * FROM m
   UNION ALL SELECT stream_id, frame_id + 1, obj, NULL, NULL FROM v_detections t WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.stream_id = t.stream_id AND m.frame_id = t.frame_id + 1 AND m.track_id = t.obj)
   UNION ALL SELECT stream_id, frame_id, NULL, det_idx, NULL FROM v_detections d WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.stream_id = d.stream_id AND m.frame_id = d.frame_id AND m.det_idx = d.det_idx))
-SELECT stream_id, frame_id, track_id, det_idx, {_r('cost', 'cost')} FROM u""",
+SELECT stream_id, frame_id, coalesce(track_id, -1) AS track_id, coalesce(det_idx, -1) AS det_idx, {_r('coalesce(cost, -1)', 'cost')} FROM u""",
 )
 
 # Trackers. An object of the view overlaps none but itself, so in SQL tracks are islands of its frames.

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from percepta.plans import catalog
+from percepta import plans as catalog
 
 DATA = "/root/testdata/sf0.001"
 
