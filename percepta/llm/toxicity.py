@@ -32,7 +32,7 @@ class _Scores(dict):
 
     def __init__(self, known: dict, stems: dict, neutral: float):
         super().__init__(known)
-        self.stems, self.neutral, self.room = stems, neutral, 500_000
+        self.stems, self.neutral, self.room = stems, neutral, 100_000
 
     def __missing__(self, token: str) -> float:
         score = self.stems.get(token[:STEM], self.neutral) if len(token) > STEM else self.neutral
@@ -218,10 +218,10 @@ def _scanned(models: list[ToxicityModel]):
     def scan(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        tables = [m.table() for m in models]
         for batch in batches:
             texts, labels = batch.column("text").to_pylist(), batch.column("y").to_pylist()
-            for choice, table in enumerate(tables):
+            for choice, model in enumerate(models):
+                table = model.table()  # what it remembers lasts for a batch
                 rows = [_found(t, table) for t in texts]
                 scores = pa.array([[s for _, _, s in found] for _, found in rows], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array([choice] * len(rows), pa.int32()), pa.array(labels, pa.int32()), pa.array([n for n, _ in rows], pa.int64()), scores], names=["choice", "y", "n", "scores"])
@@ -233,11 +233,10 @@ def _scored(model: ToxicityModel, level: float):
     def score(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        table = model.table()
         for batch in batches:
-            out, spans = [], []
-            for text in batch.column(1).to_pylist():
-                n, found = _found(text, table)
+            table, out, spans = model.table(), [], []
+            for text in batch.column(1):
+                n, found = _found(text.as_py(), table)
                 out.append(model.score(n, found))
                 spans.append([{"start": s, "end": e, "score": v} for s, e, v in found if model.surprise(n, v) >= level])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -246,6 +245,20 @@ def _scored(model: ToxicityModel, level: float):
     return score
 
 
+def _below(model: ToxicityModel, least: float, at: int):
+    """The rows (struct columns) whose field number `at`, the text, scores below least."""
+
+    def keep(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            table = model.table()
+            fine = [model.score(*_found(text.as_py(), table)) < least for text in batch.column(0).field(at)]
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return keep
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, level: float = 3.0) -> DataFrame:
     """doc_id, the columns in keep, score (0 to 1) and passages (token positions and scores of every segment whose surprise is `level` or more).
 
@@ -258,10 +271,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None
     return rows.mapInArrow(_scored(model, level), f"doc_id long{fields}, score double, passages array<struct<start:bigint,end:bigint,score:double>>")
 
 
-def toxic_apart(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
-    """The rows of docs that score below `least`, with all their columns, whatever the names."""
-    rows = packed(docs).select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "row")
-    return score_toxicity(rows, model, keep=["row"]).filter(F.col("score") < least).select("row.*")
+def toxic_apart(docs: DataFrame, model: ToxicityModel, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs that score below `least`, with all their columns, whatever the names. Each row crosses to Python once."""
+    rows = packed(docs)
+    return rows.mapInArrow(_below(model, least, docs.columns.index(text)), rows.schema).select("row.*")
 
 
 __all__ = ["ToxicityModel", "fit_toxicity", "held_out", "score_toxicity", "segments", "tokens", "toxic_apart"]
