@@ -305,10 +305,14 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     with nothing and all stay. All columns of docs come back as they are, whatever their names.
     """
     found = near_documents(docs, k, percent, id_col, text_col, seed).filter("kept and group is not null")
-    kept = found.select("group", F.struct(*_row_key("doc_id", F.col("tk"))).alias("k")).groupBy("group").agg(F.min("k").alias("k"))
-    kept = written(kept.select("k.*"), "kept")
+    same = found.groupBy("group", *_row_key("doc_id", F.col("tk"))).agg(F.count("*").alias("rows"))
+    kept = written(same.groupBy("group").agg(F.min(F.struct("d", "no", "tk", "rows")).alias("k")).select("k.*"), "kept")
     text = F.coalesce(F.col(f"row.{text_col}").cast("string"), F.lit(""))
     rows = packed(docs).withColumn("id", F.col(f"row.{id_col}").cast("long"))
     rows = rows.select("row", *_row_key("id", F.unhex(F.md5(text.cast("binary")))), text.rlike(r"[^\x20\x09-\x0D]").alias("said"))
-    chosen = lookup_join(rows.filter("said"), kept, ["d", "no", "tk"], "inner", spread=[F.col("tk")]).dropDuplicates(["d", "no", "tk"])
-    return chosen.select("row.*").union(rows.filter("not said").select("row.*"))
+    key = ["d", "no", "tk"]
+    chosen = lookup_join(rows.filter("said"), kept, key, "inner", spread=[F.col("tk")])
+    # Only rows that are repeated as they stand travel to be told apart.
+    single = chosen.filter("rows = 1").select("row")
+    repeated = chosen.filter("rows > 1").dropDuplicates(key).select("row")
+    return single.union(repeated).union(rows.filter("not said").select("row")).select("row.*")
