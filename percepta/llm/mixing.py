@@ -9,7 +9,7 @@ from percepta.llm.text import words
 from percepta.shared import lookup_join, written
 
 #: Slots of the keys for each factor of e.
-SLOTS = 1024
+SLOTS = 256
 #: Signs that mark junk rather than prose, for quality_weight.
 SIGNS = "#$%&*<>{}[]|\\^~=_+@"
 
@@ -44,7 +44,7 @@ def targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (
     return t.select("source", "source_size", F.coalesce(F.least("cap", F.col("final") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), most_epochs: int = 2, seed: str = "mix-1", weight: Column | None = None, keep: list[str] | None = None, rows_per_bin: int = 50_000, most_sources: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), most_epochs: int = 2, seed: str = "mix-1", weight: Column | None = None, keep: list[str] | None = None, rows_per_bin: int = 10_000, most_sources: int = 50_000) -> DataFrame:
     """How many words of every document a mix takes: doc_id, size, source_size, target, taken, and the columns in keep.
 
     size is the number of words (null text: 0). A source whose target holds e complete epochs takes every document e
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0,
     named = lambda c: [F.coalesce(c, F.lit("")).alias("_s"), c.isNull().alias("_none")]
     plan = written(plan.select(*named(F.col("source")), "source_size", "target", "epochs", "rest"), "plan")
     rows = lookup_join(rows.select("*", *named(F.col("_src"))), plan, ["_s", "_none"], most_rows=most_sources, spread=[F.col("_key")])
-    # Slots of keys that differ by 1/1024 at most keep the order, and are counted; neighbouring slots then form the bins.
+    # Slots of keys that differ by 1/256 at most keep the order, and are counted; neighbouring slots then form the bins.
     rows = rows.withColumn("_slot", F.floor(F.log("_key") * SLOTS))
     slots = written(rows.groupBy("_s", "_none", "_slot").agg(F.sum("_size").alias("_in"), F.count("*").alias("_n")), "slots")
     ahead = Window.partitionBy("_s", "_none").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
