@@ -242,11 +242,18 @@ add(
     f"b AS (SELECT image_id*100+y*10+x AS box_id, image_id, CAST(trunc(greatest(0, least(9, x+0.75::DOUBLE))) AS BIGINT) AS px, CAST(trunc(greatest(0, least(9, y+0.75::DOUBLE))) AS BIGINT) AS py FROM v_pixels) SELECT box_id, b.image_id, {_r('(px-5)*depth/500', 'cx')}, {_r('(py-4)*depth/400', 'cy')}, {_r('depth', 'cz')}, {_r('6.5::DOUBLE/500*depth', 'dx')}, {_r('4.5::DOUBLE/400*depth', 'dy')}, {_r('depth*0.5', 'dz')} FROM b JOIN v_pixels v ON v.image_id = b.image_id AND v.y = b.py AND v.x = b.px",
 )
 add("box_06_from_cloud", "v_points", lambda d: boxes.from_cloud(d).drop("rotation"), f"SELECT cloud_id, {_r('avg(x)', 'cx')}, {_r('avg(y)', 'cy')}, {_r('avg(z)', 'cz')}, {_r('max(x)-min(x)', 'dx')}, {_r('max(y)-min(y)', 'dy')}, {_r('max(z)-min(z)', 'dz')}, 0.9::DOUBLE AS confidence FROM v_points GROUP BY 1")
-_VAR = F.col("variances")
+
+
+def _invariants(d: DataFrame) -> DataFrame:
+    """What the principal variances add up to, whatever the signs of the axes."""
+    v = F.col("variances")
+    return boxes.with_axes(boxes.moments(d)).select("cloud_id", (v[0] + v[1] + v[2]).alias("total"), (v[0] * v[1] + v[1] * v[2] + v[0] * v[2]).alias("pairs"), ((v[0] >= v[1]) & (v[1] >= v[2])).alias("sorted"))
+
+
 add(
     "box_07_principal_axes",
     "v_points",
-    lambda d: boxes.with_axes(boxes.moments(d)).select("cloud_id", (_VAR[0] + _VAR[1] + _VAR[2]).alias("total"), (_VAR[0] * _VAR[1] + _VAR[1] * _VAR[2] + _VAR[0] * _VAR[2]).alias("pairs"), ((_VAR[0] >= _VAR[1]) & (_VAR[1] >= _VAR[2])).alias("sorted")),
+    _invariants,
     f"m AS (SELECT cloud_id, covar_samp(x,x) AS a, covar_samp(y,y) AS b, covar_samp(z,z) AS c, covar_samp(x,y) AS d, covar_samp(x,z) AS e, covar_samp(y,z) AS f FROM v_points GROUP BY 1) SELECT cloud_id, {_r('a+b+c', 'total', 4)}, {_r('a*b+b*c+a*c-d*d-e*e-f*f', 'pairs', 4)}, true AS sorted FROM m",
     4,
 )
@@ -383,19 +390,19 @@ add("pol_01_sampled_actions", "v_transitions", lambda d: networks.sampled_action
 
 # Safety
 
-_CHECKS = learning.default_constraints()
+_checks = learning.default_constraints  # columns are made when a query is built
 add(
     "saf_01_statistics",
     "v_transitions",
-    lambda d: learning.constraint_statistics(_states(d), _CHECKS, ["episode_id", "step"]),
+    lambda d: learning.constraint_statistics(_states(d), _checks(), ["episode_id", "step"]),
     f"""{_STATE}, o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY episode_id, step) AS k FROM c),
 ew AS (SELECT name, sum(value * 0.1::DOUBLE * power(0.9::DOUBLE, n - k)) AS avg_value, greatest(0, max(value)) AS max_value, min(value) AS min_value, count(*) FILTER (WHERE value > t) AS violations FROM (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM o) GROUP BY name)
 SELECT name, {_rs('avg_value max_value min_value', 4)}, violations FROM ew""",
     4,
 )
-add("saf_04_with_action", "v_transitions", lambda d: learning.violations(learning.with_action(_states(d).join(d.select("episode_id", "step", F.when(F.col("step") % 2 == 0, F.col("act1")).alias("a0"), F.lit(None).cast("double").alias("a1")), ["episode_id", "step"]), "a0", "a1"), _CHECKS).groupBy("episode_id", "name").agg(F.count("*").alias("n")), "s AS (SELECT episode_id, unnest([{name: 'acceleration_limit', value: abs(CASE WHEN step % 2 = 0 THEN act1 ELSE act0 END), t: 5.0::DOUBLE}, {name: 'steering_limit', value: abs(act1), t: 45.0::DOUBLE}, {name: 'collision_risk', value: 1/(obs1+1e-8::DOUBLE), t: 1.0::DOUBLE}, {name: 'speed_limit', value: speed, t: 30.0::DOUBLE}], recursive := true) FROM v_transitions) SELECT episode_id, name, count(*) AS n FROM s WHERE value > t GROUP BY 1, 2")
-add("saf_05_trajectory", "v_transitions", lambda d: learning.trajectory_safety(_states(d), "episode_id", _CHECKS), f"{_STATE} SELECT episode_id, count(*) FILTER (WHERE value > t) = 0 AS safe, count(*) FILTER (WHERE value > t) AS n_violations FROM c GROUP BY 1")
-add("saf_07_metrics", "v_transitions", lambda d: learning.safety_metrics(_states(d), _CHECKS), f"{_STATE} SELECT count(*) AS total_violations, count(DISTINCT (episode_id, step)) AS unsafe_states FROM c WHERE value > t")
+add("saf_04_with_action", "v_transitions", lambda d: learning.violations(learning.with_action(_states(d).join(d.select("episode_id", "step", F.when(F.col("step") % 2 == 0, F.col("act1")).alias("a0"), F.lit(None).cast("double").alias("a1")), ["episode_id", "step"]), "a0", "a1"), _checks()).groupBy("episode_id", "name").agg(F.count("*").alias("n")), "s AS (SELECT episode_id, unnest([{name: 'acceleration_limit', value: abs(CASE WHEN step % 2 = 0 THEN act1 ELSE act0 END), t: 5.0::DOUBLE}, {name: 'steering_limit', value: abs(act1), t: 45.0::DOUBLE}, {name: 'collision_risk', value: 1/(obs1+1e-8::DOUBLE), t: 1.0::DOUBLE}, {name: 'speed_limit', value: speed, t: 30.0::DOUBLE}], recursive := true) FROM v_transitions) SELECT episode_id, name, count(*) AS n FROM s WHERE value > t GROUP BY 1, 2")
+add("saf_05_trajectory", "v_transitions", lambda d: learning.trajectory_safety(_states(d), "episode_id", _checks()), f"{_STATE} SELECT episode_id, count(*) FILTER (WHERE value > t) = 0 AS safe, count(*) FILTER (WHERE value > t) AS n_violations FROM c GROUP BY 1")
+add("saf_07_metrics", "v_transitions", lambda d: learning.safety_metrics(_states(d), _checks()), f"{_STATE} SELECT count(*) AS total_violations, count(DISTINCT (episode_id, step)) AS unsafe_states FROM c WHERE value > t")
 
 # Adapters
 

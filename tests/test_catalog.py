@@ -26,3 +26,11 @@ def test_equals_sql(spark, duck, name):
         return cols, sorted(map(str, df.where(df.notna(), None).itertuples(index=False, name=None)))
 
     assert rows(catalog.queries()[name](spark, DATA).toPandas()) == rows(duck.sql(catalog.oracle_sql()[name]).df())
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
