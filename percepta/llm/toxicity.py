@@ -21,6 +21,8 @@ STEM = 4
 #: What cross-fitting on the training rows chooses from: the least log-odds of a toxic token, the standard deviations that it lies
 #: above 0 at least, and the tokens that are added to a text's length, as chance segments at its ends are rarer than the law says.
 EFFECTS, DEVIATIONS, ENDS = (1.0, 2.0), (2.0, 3.0, 4.0), (0, 100)
+#: Rows that are filtered and sent back at once: a copy of a whole batch would double a worker's memory.
+SLICE = 500
 
 
 def tokens(text: str) -> list[str]:
@@ -253,8 +255,10 @@ def _below(model: ToxicityModel, least: float, at: int):
 
         for batch in batches:
             table = model.table()
-            fine = [model.score(*_found(text.as_py(), table)) < least for text in batch.column(0).field(at)]
-            yield batch.filter(pa.array(fine, pa.bool_()))
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                fine = [model.score(*_found(text.as_py(), table)) < least for text in part.column(0).field(at)]
+                yield part.filter(pa.array(fine, pa.bool_()))
 
     return keep
 
