@@ -304,15 +304,18 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     Groups are told apart by their texts, so unrelated texts under null or repeated ids all stay. Rows without words link
     with nothing and all stay. All columns of docs come back as they are, whatever their names.
     """
-    found = near_documents(docs, k, percent, id_col, text_col, seed).filter("kept and group is not null")
-    same = found.groupBy("group", *_row_key("doc_id", F.col("tk"))).agg(F.count("*").alias("rows"))
-    kept = written(same.groupBy("group").agg(F.min(F.struct("d", "no", "tk", "rows")).alias("k")).select("k.*"), "kept")
+    found = near_documents(docs, k, percent, id_col, text_col, seed).filter("group is not null")
+    same = written(found.groupBy("group", *_row_key("doc_id", F.col("tk"))).agg(F.count("*").alias("rows")), "group-rows")
+    firsts = same.groupBy("group").agg(F.min(F.struct("no", "d", "tk")).alias("first"), F.sum("rows").alias("members"))
+    firsts = written(firsts.filter("members > 1").select("group", "first"), "groups")
+    # Keys of the rows that go, and of those that are repeated as they stand: rows of neither kind meet nothing and don't travel far.
+    judged = lookup_join(same, firsts, ["group"], "inner", spread=[F.col("tk")]).withColumn("goes", F.struct("no", "d", "tk") != F.col("first"))
+    odd = written(judged.filter("goes or rows > 1").select("d", "no", "tk", "goes"), "odd-rows")
+    freed(same, firsts)
     text = F.coalesce(F.col(f"row.{text_col}").cast("string"), F.lit(""))
     rows = packed(docs).withColumn("id", F.col(f"row.{id_col}").cast("long"))
-    rows = rows.select("row", *_row_key("id", F.unhex(F.md5(text.cast("binary")))), text.rlike(r"[^\x20\x09-\x0D]").alias("said"))
+    rows = rows.select("row", *_row_key("id", F.unhex(F.md5(text.cast("binary")))))
     key = ["d", "no", "tk"]
-    chosen = lookup_join(rows.filter("said"), kept, key, "inner", spread=[F.col("tk")])
-    # Only rows that are repeated as they stand travel to be told apart.
-    single = chosen.filter("rows = 1").select("row")
-    repeated = chosen.filter("rows > 1").dropDuplicates(key).select("row")
-    return single.union(repeated).union(rows.filter("not said").select("row")).select("row.*")
+    marked = lookup_join(rows, odd, key)
+    stay, repeated = marked.filter(F.col("goes").isNull()), marked.filter(~F.col("goes")).dropDuplicates(key)
+    return stay.select("row").union(repeated.select("row")).select("row.*")
