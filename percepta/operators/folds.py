@@ -1,35 +1,43 @@
 """Ordered folds: a step function runs over each key's rows in order, in one pass and with one state in memory.
 
-Spark deals the keys, sorts each partition and streams it; a key's history is never held as an array, so a pass is linear in its
-rows and a key may have any number of them.
+Over a table, Spark deals the keys, sorts each partition and streams it; a key's history is never held as an array, so a pass is
+linear in its rows and a key may have any number of them. Over a stream, the state is kept between batches.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator
+from copy import deepcopy
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Step = Callable[..., tuple]
 
+class Fold(NamedTuple):
+    """start: the state of a key before its first row, a list that JSON can hold. step(state, *values) changes it and gives the row's output."""
 
-def _run(begin: Callable[[], Step], n_in: int, schema: T.StructType):
+    start: list
+    step: Callable[..., tuple]
+
+
+def _run(fold: Fold, n_in: int, schema: T.StructType):
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
         fields = [(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
-        at, step = None, None
+        at, state = None, None
         for batch in batches:
             keys = batch.column(0).to_pylist()
             orders = batch.column(1).to_pylist()
             out = []
             for key, *values in zip(keys, *(batch.column(2 + k).to_pylist() for k in range(n_in)), strict=True):
-                if step is None or key != at:
-                    at, step = key, begin()
-                out.append(step(*values))
+                if state is None or key != at:
+                    at, state = key, deepcopy(fold.start)
+                out.append(fold.step(state, *values))
             columns = list(zip(*out, strict=True)) if out else [[]] * (len(fields) - 2)
             arrays = [pa.array(keys, fields[0][1]), pa.array(orders, fields[1][1]), *(pa.array(c, t) for c, (_, t) in zip(columns, fields[2:], strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
@@ -37,14 +45,40 @@ def _run(begin: Callable[[], Step], n_in: int, schema: T.StructType):
     return run
 
 
-def folded(df: DataFrame, key: str, order: str | Column, values: list[Column], begin: Callable[[], Step], out: str, down: bool = False) -> DataFrame:
-    """key, order and the columns of `out` (a schema string) for every row of df, made by begin()'s step from `values`, in order.
+def _run_on(fold: Fold, names: list[str]):
+    """A key's rows of one batch of a stream, from the state after its batch before."""
+
+    def run(key: tuple, frames: Iterable, held) -> Iterator:
+        import pandas as pd
+
+        last, state = json.loads(held.get[0]) if held.exists else (None, deepcopy(fold.start))
+        rows = pd.concat(list(frames))
+        rows = rows.sort_values(list(rows.columns[1:]), na_position="first")
+        out = []
+        for order, *values in rows.iloc[:, 1:].itertuples(index=False, name=None):
+            if last is None or order > last:
+                out.append((key[0], order, *fold.step(state, *(None if pd.isna(v) else v for v in values))))
+        newest = int(rows.iloc[-1, 1])
+        held.update((json.dumps([newest if last is None else max(newest, last), state]),))
+        yield pd.DataFrame(out, columns=names)
+
+    return run
+
+
+def folded(df: DataFrame, key: str, order: str | Column, values: list[Column], fold: Fold, out: str, down: bool = False) -> DataFrame:
+    """key, order and the columns of `out` (a schema string) for every row of df, made by the fold's step from `values`, in order.
 
-    begin makes the step of one key; it keeps the state. Rows whose key or order is null are left out. down: from the last row to the first.
+    Rows whose key or order is null are left out. down: from the last row to the first.
+    df may be a stream (append mode): then each batch goes on from its keys' states. Rows whose order isn't later than the last one of the
+    key's batches before are left out, NaN counts as null, and down is an error, as a stream has no last row. A task holds a key's rows of one batch.
     """
     name = order if isinstance(order, str) else "order"
     at = F.col(order) if isinstance(order, str) else order
     rows = df.select(F.col(key), at.cast("long").alias(name), *[v.alias(f"value_{i}") for i, v in enumerate(values)]).dropna(subset=[key, name])
-    rows = rows.repartition(key).sortWithinPartitions(key, F.col(name).desc() if down else F.col(name), *[f"value_{i}" for i in range(len(values))])
     schema = T.StructType([*rows.schema.fields[:2], *T.StructType.fromDDL(out).fields])
-    return rows.mapInArrow(_run(begin, len(values), schema), schema)
+    if df.isStreaming:
+        if down:
+            raise ValueError("a stream has no last row to begin at")
+        return rows.groupBy(key).applyInPandasWithState(_run_on(fold, schema.names), schema, "state string", "append", "NoTimeout")
+    rows = rows.repartition(key).sortWithinPartitions(key, F.col(name).desc() if down else F.col(name), *[f"value_{i}" for i in range(len(values))])
+    return rows.mapInArrow(_run(fold, len(values), schema), schema)

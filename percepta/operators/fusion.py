@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from percepta.operators.folds import folded
+from percepta.operators.folds import Fold, folded
 
 #: Metres; the sphere on which GPS positions are unrolled.
 EARTH = 6_371_000.0
@@ -34,38 +34,34 @@ def _turned(pose: list[float], a: tuple[float, float, float]) -> list[float]:
     return [x, y, z]
 
 
-def _fusing(origin: tuple[float, float, float], process_noise: float, gps_noise: float):
+def _fusing(origin: tuple[float, float, float], process_noise: float, gps_noise: float) -> Fold:
     lat0, lon0, alt0 = origin
 
-    def begin():
-        pose, last, spread, rest = [0.0] * 9, None, 0.1, 0.1
-
-        def step(kind, t, ax, ay, az, gx, gy, gz, lat, lon, alt, speed, heading, accuracy):
-            nonlocal last, spread, rest
-            if kind == "imu" and last is None:
-                last = t
-            elif kind == "imu":
-                dt, last = t - last, t
-                world = _turned(pose, (ax, ay, az))
-                for k in range(3):
-                    pose[3 + k] += world[k] * dt
-                    pose[k] += pose[3 + k] * dt
-                for k, rate in enumerate((gx, gy, gz)):
-                    pose[6 + k] += rate * dt
-                spread, rest = spread + process_noise, rest + process_noise
-            elif kind == "gps":
-                at = (EARTH * math.radians(lat - lat0), EARTH * math.radians(lon - lon0) * math.cos(math.radians(lat0)), alt - alt0)
-                gain = spread / (spread + gps_noise / (accuracy + 1e-6))
-                for k in range(3):
-                    pose[k] += gain * (at[k] - pose[k])
-                spread *= 1 - gain
-                if speed > 0:
-                    pose[3:5] = speed * math.sin(math.radians(heading)), speed * math.cos(math.radians(heading))
-            return (*pose, spread, rest)
-
-        return step
-
-    return begin
+    def step(state, kind, t, ax, ay, az, gx, gy, gz, lat, lon, alt, speed, heading, accuracy):
+        pose, last, spread, rest = state
+        if kind == "imu" and last is None:
+            last = t
+        elif kind == "imu":
+            dt, last = t - last, t
+            world = _turned(pose, (ax, ay, az))
+            for k in range(3):
+                pose[3 + k] += world[k] * dt
+                pose[k] += pose[3 + k] * dt
+            for k, rate in enumerate((gx, gy, gz)):
+                pose[6 + k] += rate * dt
+            spread, rest = spread + process_noise, rest + process_noise
+        elif kind == "gps":
+            at = (EARTH * math.radians(lat - lat0), EARTH * math.radians(lon - lon0) * math.cos(math.radians(lat0)), alt - alt0)
+            gain = spread / (spread + gps_noise / (accuracy + 1e-6))
+            for k in range(3):
+                pose[k] += gain * (at[k] - pose[k])
+            spread *= 1 - gain
+            if speed > 0:
+                pose[3:5] = speed * math.sin(math.radians(heading)), speed * math.cos(math.radians(heading))
+        state[1:] = last, spread, rest
+        return (*pose, spread, rest)
+
+    return Fold([[0.0] * 9, None, 0.1, 0.1], step)
 
 
 def fused(events: DataFrame, origin: tuple[float, float, float] = (0.0, 0.0, 0.0), process_noise: float = 0.01, gps_noise: float = 1.0) -> DataFrame:
@@ -73,7 +69,8 @@ def fused(events: DataFrame, origin: tuple[float, float, float] = (0.0, 0.0, 0.0
 
     events(vehicle_id, seq, kind, t, ax, ay, az, gx, gy, gz, lat, lon, alt, speed, heading, accuracy). The first IMU event only sets
     the clock, which GPS events leave alone; gravity is not taken out; a larger accuracy means less noise. Readings that are
-    null count as 0 (accuracy: 1), other kinds change nothing. Every row is a snapshot of its own.
+    null count as 0 (accuracy: 1), other kinds change nothing. Every row is a snapshot of its own. events may be a
+    stream, as folded() says.
     """
     zero = [F.coalesce(F.col(c).cast("double"), F.lit(1.0 if c == "accuracy" else 0.0)) for c in ("t", "ax", "ay", "az", "gx", "gy", "gz", "lat", "lon", "alt", "speed", "heading", "accuracy")]
     out = ", ".join(f"{c} double" for c in [*POSE, "position_variance", "other_variance"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from percepta.operators.folds import folded
+from percepta.operators.folds import Fold, folded
 
 Axis = tuple[float, float, float, float, float]
 STATE = ", ".join(f"{n} double" for a in "xy" for n in (a, f"v{a}", f"{a}_pp", f"{a}_pv", f"{a}_vv"))
@@ -33,29 +33,24 @@ def born(z: float) -> Axis:
     return z, 0.0, 0.5, 0.0, 1.0
 
 
-def _axes(dt: float):
-    def begin():
-        held: list[Axis | None] = [None, None]
+def _axes(dt: float) -> Fold:
+    def step(held: list[Axis | None], *z):
+        for k, m in enumerate(z):
+            if held[k] is None:
+                held[k] = None if m is None else born(m)
+            else:
+                ahead = predicted(held[k], dt)
+                held[k] = ahead if m is None else updated(ahead, m)
+        return tuple(v for s in held for v in (s or (None,) * 5))
 
-        def step(*z):
-            for k, m in enumerate(z):
-                if held[k] is None:
-                    held[k] = None if m is None else born(m)
-                else:
-                    ahead = predicted(held[k], dt)
-                    held[k] = ahead if m is None else updated(ahead, m)
-            return tuple(v for s in held for v in (s or (None,) * 5))
-
-        return step
-
-    return begin
+    return Fold([None, None], step)
 
 
 def filter_tracks(positions: DataFrame, key: str = "track_id", frame: str = "frame_id", dt: float = 1.0) -> DataFrame:
     """State of both axes after every frame: x, y and for each axis position, velocity and covariance.
 
     An axis whose measurement is null is only predicted in that frame, so the track goes on; before its first measurement it has no
-    state. Rows without a key or frame are left out.
+    state. Rows without a key or frame are left out. positions may be a stream, as folded() says.
     """
     return folded(positions, key, frame, [F.col(c).cast("double") for c in "xy"], _axes(dt), STATE)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from percepta.operators.folds import folded
+from percepta.operators.folds import Fold, folded
 from percepta.shared import freed, written
 
 
@@ -44,18 +44,13 @@ def train_part(transitions: DataFrame, ratio: float = 0.8) -> DataFrame:
     return transitions.withColumn("train", F.lit(False) if cut is None else F.coalesce(F.col("episode_id") <= F.lit(cut), F.lit(False)))
 
 
-def _backward(gamma: float, lam: float):
-    def begin():
-        held = [0.0, 0.0]  # advantage and value of the step after
+def _backward(gamma: float, lam: float) -> Fold:
+    def step(held, reward, value):  # held: advantage and value of the step after
+        r, v = reward or 0.0, value or 0.0
+        held[:] = r + gamma * held[1] - v + gamma * lam * held[0], v
+        return held[0], held[0] + v
 
-        def step(reward, value):
-            r, v = reward or 0.0, value or 0.0
-            held[:] = r + gamma * held[1] - v + gamma * lam * held[0], v
-            return held[0], held[0] + v
-
-        return step
-
-    return begin
+    return Fold([0.0, 0.0], step)
 
 
 def advantages(transitions: DataFrame, value: str, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
@@ -93,15 +88,13 @@ def violations(states: DataFrame, constraints: list[tuple[str, Column, float]])
     return _checked(states, constraints).filter("value > threshold").withColumns({"severity": severity, "message": message})
 
 
-def _running():
-    seen = [0.0, 0.0, float("inf"), 0]  # moving average from 0, largest from 0, least, violations
-
-    def step(value, threshold):
+def _running() -> Fold:
+    def step(seen, value, threshold):
         v = value or 0.0
         seen[:] = 0.9 * seen[0] + 0.1 * v, max(seen[1], v), min(seen[2], v), seen[3] + (v > threshold)
         return tuple(seen)
 
-    return step
+    return Fold([0.0, 0.0, float("inf"), 0], step)  # moving average from 0, largest from 0, least, violations
 
 
 def constraint_statistics(states: DataFrame, constraints: list[tuple[str, Column, float]], order: list[str]) -> DataFrame:
@@ -111,7 +104,7 @@ def constraint_statistics(states: DataFrame, constraints: list[tuple[str, Column
     """
     rows = _checked(states, constraints).withColumn("at", F.struct(*order))
     numbered = rows.repartitionByRange("at").sortWithinPartitions("at").withColumn("seq", F.monotonically_increasing_id())
-    run = folded(written(numbered.select("name", "seq", "value", "threshold"), "checked"), "name", "seq", [F.col("value"), F.col("threshold")], _running, "avg_value double, max_value double, min_value double, violations long")
+    run = folded(written(numbered.select("name", "seq", "value", "threshold"), "checked"), "name", "seq", [F.col("value"), F.col("threshold")], _running(), "avg_value double, max_value double, min_value double, violations long")
     return run.groupBy("name").agg(*[F.max_by(c, "seq").alias(c) for c in ("avg_value", "max_value", "min_value", "violations")])
 
 
@@ -144,29 +137,25 @@ def gps_to_local(df: DataFrame, lat0: Column, lon0: Column, alt0: Column) -> Dat
     return df.withColumns({"north": r * F.radians(F.col("lat") - lat0), "east": r * F.radians(F.col("lon") - lon0) * F.cos(F.radians(lat0)), "up": F.col("alt") - alt0})
 
 
-def _controlled(target: float, recovery: float, alpha: float, step: float, least_scale: float, most: int, gated: bool):
-    def begin():
-        ewma, skip, scale, seen, dropped = None, 0, 1.0, 0, 0
-
-        def observe(latency):
-            nonlocal ewma, skip, scale, seen, dropped
-            seen += 1
-            processed = not gated or skip == 0
-            if not processed:
-                skip, dropped = skip - 1, dropped + 1
-            elif latency is not None:
-                if latency < 0:
-                    raise ValueError(f"a latency of {latency} is below 0")
-                ewma = latency if ewma is None else alpha * latency + (1 - alpha) * ewma
-                if ewma > target:
-                    skip, scale = max(skip, min(int(ewma / target), most)), max(least_scale, scale - step)
-                elif ewma <= recovery:
-                    skip, scale = max(skip - 1, 0), min(1.0, scale + step)
-            return ewma, skip, scale, processed, 1 - dropped / seen
-
-        return observe
+def _controlled(target: float, recovery: float, alpha: float, step: float, least_scale: float, most: int, gated: bool) -> Fold:
+    def observe(state, latency):
+        ewma, skip, scale, seen, dropped = state
+        seen += 1
+        processed = not gated or skip == 0
+        if not processed:
+            skip, dropped = skip - 1, dropped + 1
+        elif latency is not None:
+            if latency < 0:
+                raise ValueError(f"a latency of {latency} is below 0")
+            ewma = latency if ewma is None else alpha * latency + (1 - alpha) * ewma
+            if ewma > target:
+                skip, scale = max(skip, min(int(ewma / target), most)), max(least_scale, scale - step)
+            elif ewma <= recovery:
+                skip, scale = max(skip - 1, 0), min(1.0, scale + step)
+        state[:] = ewma, skip, scale, seen, dropped
+        return ewma, skip, scale, processed, 1 - dropped / seen
 
-    return begin
+    return Fold([None, 0, 1.0, 0, 0], observe)
 
 
 def frame_control(latencies: DataFrame, target: float = 33.3, alpha: float = 0.2, step: float = 0.1, least_scale: float = 0.5, max_skip: int = 4, cap: float = 0.8, recovery: float | None = None, gated: bool = False) -> DataFrame:
@@ -174,14 +163,14 @@ def frame_control(latencies: DataFrame, target: float = 33.3, alpha: float = 0.2
 
     gated: frames are skipped while skip is above 0, each using up one, and only processed frames are observed; processed says which,
     and kept is the share of frames processed so far. Without it every frame is observed. A null latency changes nothing; one below 0
-    fails the job. Settings out of range raise ValueError.
+    fails the job. Settings out of range raise ValueError. latencies may be a stream, as folded() says.
     """
     recovery = 0.8 * target if recovery is None else recovery
     if target <= 0 or not 0 < alpha <= 1 or not 0 < least_scale <= 1 or step <= 0 or max_skip < 0 or not 0 <= cap < 1 or not 0 < recovery <= target:
         raise ValueError("a setting of the frame control is out of range")
     most = min(max_skip, int(cap / (1 - cap) + 1))
-    begin = _controlled(target, recovery, alpha, step, least_scale, most, gated)
-    return folded(latencies, "stream_id", "seq", [F.col("latency_ms").cast("double")], begin, "ewma double, skip int, scale double, processed boolean, kept double")
+    control = _controlled(target, recovery, alpha, step, least_scale, most, gated)
+    return folded(latencies, "stream_id", "seq", [F.col("latency_ms").cast("double")], control, "ewma double, skip int, scale double, processed boolean, kept double")
 
 
 def target_size(width: Column, height: Column, scale: Column) -> tuple[Column, Column]:
