@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from percepta.llm import decontaminate, lattice, line_dedup, minhash, mixing, quality, secrets, toxicity, url_rules, warc
+from percepta.llm import collocations, decontaminate, lattice, line_dedup, minhash, mixing, quality, quality_rules, secrets, toxicity, url_rules, warc, whitening
 from percepta.llm.labelled import held_out
 
 #: host, path, verdict.
@@ -66,8 +66,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate_lines(_table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality_rules.MEASURES[:5], "base_failed", "kept")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_warc, op3_minhash_near_dedup, op4_decontamination, op5_secret_scan, op6_mix_sources, op7_url_filter, op8_quality_classifier, op9_toxicity, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_warc, op3_minhash_near_dedup, op4_decontamination, op5_secret_scan, op6_mix_sources, op7_url_filter, op8_quality_classifier, op9_toxicity, op10_line_dedup, op11_quality_rules, op12_embedding_whitening, op13_phrase_collocations)}
 
 
 OP1_SQL = """
@@ -158,4 +171,4 @@ FROM x
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1_SQL, "op6_mix_sources": OP6_SQL, "op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op6_mix_sources": OP6_SQL, "op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_quality_rules": quality_rules.SQL, "op13_phrase_collocations": collocations.SQL}
