@@ -138,10 +138,11 @@ def string_windows(docs: DataFrame, width: int) -> DataFrame:
 def phrase_counts(windows: DataFrame, width: int, least: int, pad) -> DataFrame:
     """lang, k, w1 …, f: every phrase of up to `width` words that occurs `least` times or more, from the counts of padded longest windows.
 
-    A phrase's occurrences are the windows that begin with it. ROLLUP sums the counts over the last word, the last two and so on.
+    A phrase's occurrences are the windows that begin with it. ROLLUP sums the counts over the last word, the last two and so on. Windows
+    of more than two words are counted first, so that each distinct one is summed into its prefixes once; pairs come counted by slice.
     """
     names = [f"w{k + 1}" for k in range(width)]
-    counted = windows.groupBy("lang", *names).agg(F.sum("c").alias("c"))
+    counted = windows.groupBy("lang", *names).agg(F.sum("c").alias("c")) if width > 2 else windows
     summed = counted.rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
     # With the last j columns summed away the grouping number is 2^j - 1; a pad left among the others is no word.
     k = reduce(lambda e, j: F.when(F.col("g") == (1 << j) - 1, width - j).otherwise(e), range(width), F.lit(0))
