@@ -64,17 +64,17 @@ def _fusing(origin: tuple[float, float, float], process_noise: float, gps_noise:
     return Fold([[0.0] * 9, None, 0.1, 0.1], step)
 
 
-def fused(events: DataFrame, origin: tuple[float, float, float] = (0.0, 0.0, 0.0), process_noise: float = 0.01, gps_noise: float = 1.0) -> DataFrame:
+def fused(events: DataFrame, origin: tuple[float, float, float] = (0.0, 0.0, 0.0), process_noise: float = 0.01, gps_noise: float = 1.0, reset: str | None = None, time: str | None = None, expire_ms: int | None = None) -> DataFrame:
     """vehicle_id, seq, the nine numbers of POSE and both variances after every event of kind imu or gps.
 
     events(vehicle_id, seq, kind, t, ax, ay, az, gx, gy, gz, lat, lon, alt, speed, heading, accuracy). The first IMU event only sets
     the clock, which GPS events leave alone; gravity is not taken out; a larger accuracy means less noise. Readings that are
     null count as 0 (accuracy: 1), other kinds change nothing. Every row is a snapshot of its own. events may be a
-    stream, as folded() says.
+    stream; reset (a boolean column), time and expire_ms are those of folded(). After a reset the pose is zero and the clock unset.
     """
     zero = [F.coalesce(F.col(c).cast("double"), F.lit(1.0 if c == "accuracy" else 0.0)) for c in ("t", "ax", "ay", "az", "gx", "gy", "gz", "lat", "lon", "alt", "speed", "heading", "accuracy")]
     out = ", ".join(f"{c} double" for c in [*POSE, "position_variance", "other_variance"])
-    return folded(events, "vehicle_id", "seq", [F.col("kind"), *zero], _fusing(origin, process_noise, gps_noise), out)
+    return folded(events, "vehicle_id", "seq", [F.col("kind"), *zero], _fusing(origin, process_noise, gps_noise), out, reset=reset, time=time, expire_ms=expire_ms)
 
 
 def fusion_statistics(events: DataFrame, states: DataFrame) -> DataFrame:

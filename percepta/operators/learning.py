@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from percepta.operators.folds import Fold, folded
+from percepta.operators.scans import Scan, reduced, scanned, then_affine, then_clamped
 from percepta.shared import freed, written
 
 
@@ -44,19 +46,25 @@ def train_part(transitions: DataFrame, ratio: float = 0.8) -> DataFrame:
     return transitions.withColumn("train", F.lit(False) if cut is None else F.coalesce(F.col("episode_id") <= F.lit(cut), F.lit(False)))
 
 
-def _backward(gamma: float, lam: float) -> Fold:
-    def step(held, reward, value):  # held: advantage and value of the step after
-        r, v = reward or 0.0, value or 0.0
-        held[:] = r + gamma * held[1] - v + gamma * lam * held[0], v
-        return held[0], held[0] + v
+def _backward(gamma: float, lam: float) -> Scan:
+    """(advantage, value) of the step after become p · advantage + q · value + c and w."""
 
-    return Fold([0.0, 0.0], step)
+    def elements(values):
+        r, v = (np.nan_to_num(x) for x in values)
+        return np.full(len(r), gamma * lam), np.full(len(r), gamma), r - v, v
 
+    def combine(e, f):
+        return f[0] * e[0], f[0] * e[1], f[0] * e[2] + f[1] * e[3] + f[2], f[3]
 
-def advantages(transitions: DataFrame, value: str, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
-    """Generalised advantages and returns of every step, from an episode's end, whose next value is 0. Null rewards and values count as 0."""
-    values = [F.col(c).cast("double") for c in ("reward", value)]
-    return folded(transitions, "episode_id", "step", values, _backward(gamma, lam), "advantage double, ret double", down=True)
+    return Scan([()] * 4, elements, combine, lambda e: [e[2], e[2] + e[3]])
+
+
+def advantages(transitions: DataFrame, value: str, gamma: float = 0.99, lam: float = 0.95, block: int | None = 500_000) -> DataFrame:
+    """Generalised advantages and returns of every step, from an episode's end, whose next value is 0. Null rewards and values count as 0.
+
+    The recurrence is linear: episodes of more than `block` steps are dealt over tasks, as scanned() says.
+    """
+    return scanned(transitions, "episode_id", "step", [F.col("reward"), F.col(value)], _backward(gamma, lam), "advantage double, ret double", down=True, block=block)
 
 
 #: Names and state fields of the default constraints.
@@ -88,24 +96,30 @@ def violations(states: DataFrame, constraints: list[tuple[str, Column, float]])
     return _checked(states, constraints).filter("value > threshold").withColumns({"severity": severity, "message": message})
 
 
-def _running() -> Fold:
-    def step(seen, value, threshold):
-        v = value or 0.0
-        seen[:] = 0.9 * seen[0] + 0.1 * v, max(seen[1], v), min(seen[2], v), seen[3] + (v > threshold)
-        return tuple(seen)
+def _running(decay: float = 0.9) -> Scan:
+    """Moving average from 0, largest from 0, least, violations."""
+
+    def elements(values):
+        v, threshold = np.nan_to_num(values[0]), values[1]
+        return np.full(len(v), decay), (1 - decay) * v, np.maximum(v, 0.0), v, (v > threshold).astype(float)
 
-    return Fold([0.0, 0.0, float("inf"), 0], step)  # moving average from 0, largest from 0, least, violations
+    def combine(e, f):
+        return *then_affine(e[:2], f[:2]), np.maximum(e[2], f[2]), np.minimum(e[3], f[3]), e[4] + f[4]
 
+    return Scan([()] * 5, elements, combine, lambda e: list(e[1:]))
 
-def constraint_statistics(states: DataFrame, constraints: list[tuple[str, Column, float]], order: list[str]) -> DataFrame:
+
+def constraint_statistics(states: DataFrame, constraints: list[tuple[str, Column, float]], order: list[str], block: int = 500_000) -> DataFrame:
     """avg_value (moving, 0.9 and 0.1, from 0), max_value (from 0), min_value and violations of every constraint after all states, in `order`.
 
-    Each constraint's values are one ordered run; the order is numbered by range, so sorting is dealt over tasks.
+    States are numbered by range of the order. Each constraint's values are one ordered run; ranges of about `block` of them are reduced to
+    one element each, so a constraint's states are dealt over tasks and only these elements meet. Null values count as 0.
     """
     rows = _checked(states, constraints).withColumn("at", F.struct(*order))
     numbered = rows.repartitionByRange("at").sortWithinPartitions("at").withColumn("seq", F.monotonically_increasing_id())
-    run = folded(written(numbered.select("name", "seq", "value", "threshold"), "checked"), "name", "seq", [F.col("value"), F.col("threshold")], _running(), "avg_value double, max_value double, min_value double, violations long")
-    return run.groupBy("name").agg(*[F.max_by(c, "seq").alias(c) for c in ("avg_value", "max_value", "min_value", "violations")])
+    numbered = written(numbered.select("name", "seq", "value", "threshold"), "checked")
+    out = reduced(numbered, "name", "seq", [F.col("value"), F.col("threshold")], _running(), "avg_value double, max_value double, min_value double, violations double", block)
+    return out.withColumn("violations", F.col("violations").cast("long"))
 
 
 def with_action(states: DataFrame, acceleration: str, steering: str) -> DataFrame:
@@ -137,7 +151,7 @@ def gps_to_local(df: DataFrame, lat0: Column, lon0: Column, alt0: Column) -> Dat
     return df.withColumns({"north": r * F.radians(F.col("lat") - lat0), "east": r * F.radians(F.col("lon") - lon0) * F.cos(F.radians(lat0)), "up": F.col("alt") - alt0})
 
 
-def _controlled(target: float, recovery: float, alpha: float, step: float, least_scale: float, most: int, gated: bool) -> Fold:
+def _controlled(target: float, recovery: float, alpha: float, step: float, least_scale: float, most: int, gated: bool, max_scale: float) -> Fold:
     def observe(state, latency):
         ewma, skip, scale, seen, dropped = state
         seen += 1
@@ -151,26 +165,71 @@ def _controlled(target: float, recovery: float, alpha: float, step: float, least
             if ewma > target:
                 skip, scale = max(skip, min(int(ewma / target), most)), max(least_scale, scale - step)
             elif ewma <= recovery:
-                skip, scale = max(skip - 1, 0), min(1.0, scale + step)
+                skip, scale = max(skip - 1, 0), min(max_scale, scale + step)
         state[:] = ewma, skip, scale, seen, dropped
         return ewma, skip, scale, processed, 1 - dropped / seen
 
-    return Fold([None, 0, 1.0, 0, 0], observe)
+    return Fold([None, 0, max_scale, 0, 0], observe)
+
+
+def _smoothed(alpha: float) -> Scan:
+    """(has, first, a, b): a first latency is taken as it is, later ones by a · x + b; has tells whether there was one. Rows are numbered too, so that ties keep their order."""
+
+    def elements(values):
+        v = values[0]
+        if (v < 0).any():
+            raise ValueError(f"a latency of {np.nanmin(v)} is below 0")
+        there = ~np.isnan(v)
+        v = np.nan_to_num(v)
+        return there.astype(float), v, np.where(there, 1 - alpha, 1.0), alpha * v, there.astype(float), np.ones(len(v))
 
+    def combine(e, f):
+        return np.maximum(e[0], f[0]), np.where(e[0] > 0, f[2] * e[1] + f[3], f[1]), *then_affine(e[2:4], f[2:4]), f[4], e[5] + f[5]
 
-def frame_control(latencies: DataFrame, target: float = 33.3, alpha: float = 0.2, step: float = 0.1, least_scale: float = 0.5, max_skip: int = 4, cap: float = 0.8, recovery: float | None = None, gated: bool = False) -> DataFrame:
-    """ewma, skip and scale after every frame of a stream: above the target, skip more and scale down; at 0.8 of it or below, relax.
+    return Scan([()] * 6, elements, combine, lambda e: [e[5], np.where(e[0] > 0, e[1], np.nan), e[4]])
+
+
+def _adjusted(target: float, recovery: float, step: float, least_scale: float, max_scale: float, most: int) -> Scan:
+    """Skip and scale as clamped steps from the moving average after each observed frame."""
+
+    def elements(values):
+        _, ewma, seen = values
+        over, under = (seen > 0) & (ewma > target), (seen > 0) & (ewma <= recovery)
+        inf = np.full(len(ewma), np.inf)
+        to = np.where(over, np.minimum(np.trunc(np.nan_to_num(ewma) / target), most), 0.0)
+        skip = np.where(under, -1.0, 0.0), np.where(over, to, np.where(under, 0.0, -inf)), inf
+        scale = np.where(over, -step, np.where(under, step, 0.0)), np.where(over, least_scale, -inf), np.where(under, max_scale, inf)
+        return *skip, *scale, ewma
+
+    def combine(e, f):
+        return *then_clamped(e[:3], f[:3]), *then_clamped(e[3:6], f[3:6]), f[6]
+
+    at = lambda x, e: np.minimum(np.maximum(x + e[0], e[1]), e[2])
+    return Scan([()] * 7, elements, combine, lambda e: [e[6], at(0.0, e[:3]), at(max_scale, e[3:6])])
+
+
+def frame_control(latencies: DataFrame, target: float = 33.3, alpha: float = 0.2, step: float = 0.1, least_scale: float = 0.5, max_skip: int = 4, cap: float = 0.8, recovery: float | None = None, gated: bool = False, max_scale: float = 1.0, block: int | None = 500_000, reset: str | None = None, time: str | None = None, expire_ms: int | None = None) -> DataFrame:
+    """ewma, skip and scale after every frame of a stream: above the target, skip more and scale down; at 0.8 of it or below, relax, to max_scale at most.
 
     gated: frames are skipped while skip is above 0, each using up one, and only processed frames are observed; processed says which,
     and kept is the share of frames processed so far. Without it every frame is observed. A null latency changes nothing; one below 0
-    fails the job. Settings out of range raise ValueError. latencies may be a stream, as folded() says.
+    fails the job. Settings out of range raise ValueError. latencies may be a stream; reset (a boolean column), time and expire_ms are those of folded().
+
+    Over a table without gates or resets the average is a linear recurrence and skip and scale are clamped steps, so streams of more than
+    `block` frames are dealt over tasks, as scanned() says. With gates the frames observed depend on skip, and a stream is one ordered run.
     """
     recovery = 0.8 * target if recovery is None else recovery
-    if target <= 0 or not 0 < alpha <= 1 or not 0 < least_scale <= 1 or step <= 0 or max_skip < 0 or not 0 <= cap < 1 or not 0 < recovery <= target:
+    if target <= 0 or not 0 < alpha <= 1 or not 0 < least_scale <= max_scale <= 1 or step <= 0 or max_skip < 0 or not 0 <= cap < 1 or not 0 < recovery <= target:
         raise ValueError("a setting of the frame control is out of range")
     most = min(max_skip, int(cap / (1 - cap) + 1))
-    control = _controlled(target, recovery, alpha, step, least_scale, most, gated)
-    return folded(latencies, "stream_id", "seq", [F.col("latency_ms").cast("double")], control, "ewma double, skip int, scale double, processed boolean, kept double")
+    latency, out = F.col("latency_ms").cast("double"), "ewma double, skip int, scale double, processed boolean, kept double"
+    if gated or latencies.isStreaming or reset:
+        control = _controlled(target, recovery, alpha, step, least_scale, most, gated, max_scale)
+        return folded(latencies, "stream_id", "seq", [latency], control, out, reset=reset, time=time, expire_ms=expire_ms)
+    averages = scanned(latencies, "stream_id", "seq", [latency], _smoothed(alpha), "n double, ewma double, seen double", block=block)
+    control = _adjusted(target, recovery, step, least_scale, max_scale, most)
+    steps = scanned(averages, "stream_id", "seq", [F.col("n"), F.col("ewma"), F.col("seen")], control, "ewma double, skip double, scale double", block=block)
+    return steps.select("stream_id", "seq", "ewma", F.col("skip").cast("int").alias("skip"), "scale", F.lit(True).alias("processed"), F.lit(1.0).alias("kept"))
 
 
 def target_size(width: Column, height: Column, scale: Column) -> tuple[Column, Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from percepta.operators.folds import Fold, folded
+
 def frames() -> WindowSpec:
     return Window.partitionBy("track_id").orderBy("frame_id")
 
@@ -150,12 +152,32 @@ def pattern_states(patterns: DataFrame, least: int = 5) -> DataFrame:
     return s.select("track_id", "frame_id", "pattern", "frame_count", F.col("own.start").alias("pattern_start"), F.col("own.confidence").alias("confidence"), (F.col("frame_count") - F.col("own.start")).alias("duration"), "ended")
 
 
-def collision_course(f: DataFrame, cell: Column) -> DataFrame:
-    """Pairs of tracks in one cell; on course unless both are slower than 0.1."""
-    a = f.select(cell.alias("cell"), F.col("track_id").alias("track_a"), F.col("speed").alias("sa"))
-    b = f.select(cell.alias("cell"), F.col("track_id").alias("track_b"), F.col("speed").alias("sb"))
-    pairs = a.join(b, "cell").filter("track_a < track_b")
-    return pairs.select("track_a", "track_b", (~((F.col("sa") < 0.1) & (F.col("sb") < 0.1))).alias("on_course"))
+def _patterns(least: int) -> Fold:
+    def step(state, frame, pattern, confidence):
+        count, start, current, sure = state
+        count += 1
+        ended = (start, current, sure) if count > 1 and pattern != current and count >= least else None
+        if count == 1 or pattern != current:
+            start, current, sure = frame, pattern, confidence
+        state[:] = count, start, current, sure
+        return current, count, start, sure, count - start, None if ended is None else dict(zip(("start", "pattern", "confidence"), ended, strict=True))
+
+    return Fold([0, None, None, None], step)
+
+
+def pattern_stream(patterns: DataFrame, least: int = 5, reset: str | None = None, time: str | None = None, expire_ms: int | None = None) -> DataFrame:
+    """pattern_states() whose states live with their tracks: patterns may be a stream, and a row in which `reset` is true removes its track's state.
+
+    A removed track begins again with frame_count 1. reset, time and expire_ms are those of folded(); over a table only reset counts.
+    """
+    values = [F.col("frame_id").cast("long"), F.col("pattern"), F.col("confidence").cast("double")]
+    out = "pattern string, frame_count long, pattern_start long, confidence double, duration long, ended struct<start: long, pattern: string, confidence: double>"
+    return folded(patterns, "track_id", "frame_id", values, _patterns(least), out, reset=reset, time=time, expire_ms=expire_ms)
+
+
+def collision_course(pairs: DataFrame, speed_a: str = "speed_a", speed_b: str = "speed_b") -> DataFrame:
+    """Adds on_course to pairs of tracks: true unless both are slower than 0.1. near_pairs() of encounters.py forms them."""
+    return pairs.withColumn("on_course", ~((F.col(speed_a) < 0.1) & (F.col(speed_b) < 0.1)))
 
 
 def intent(positions: DataFrame, lookahead: int = 30) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from percepta.operators import kalman, learning, motion, spatial, tracking
+from percepta.operators import encounters, kalman, learning, motion, spatial, tracking
 from percepta.sources.views import view, with_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,7 +175,15 @@ _SIX = "speed angular_velocity acceleration speed_variance direction_variance he
 add("beh_01_motion_features", "v_positions", motion.motion_features, f"{_FEAT} SELECT track_id, {_rs(_SIX)} FROM f")
 add("beh_02_motion_pattern", "v_positions", lambda d: motion.motion_pattern(motion.motion_features(d)).select("track_id", "pattern", "confidence"), f"{_FEAT} SELECT track_id, pattern, {_rs('confidence')} FROM m")
 add("beh_03_behaviour_pattern", "v_positions", lambda d: motion.behaviour_pattern(motion.motion_pattern(motion.motion_features(d))).select("track_id", "behaviour"), f"{_FEAT} SELECT track_id, CASE WHEN pattern = 'stopped' THEN 'stationary' WHEN direction_variance > 0.5 OR pattern = 'turning' THEN 'curved_motion' ELSE 'linear_motion' END AS behaviour FROM m")
-add("beh_06_collision_course", "v_positions", lambda d: motion.collision_course(motion.motion_features(d), F.col("track_id") % 10), f"{_FEAT} SELECT a.track_id AS track_a, b.track_id AS track_b, NOT (a.speed < 0.1 AND b.speed < 0.1) AS on_course FROM f a JOIN f b ON a.track_id % 10 = b.track_id % 10 AND a.track_id < b.track_id")
+
+
+def _on_course(d: DataFrame) -> DataFrame:
+    last = motion.latest(d).select("track_id", "x", "y").join(motion.motion_features(d), "track_id")
+    pairs = encounters.near_pairs(last, 2.0, ("speed",))
+    return motion.collision_course(pairs).select(F.col("track_id_a").alias("track_a"), F.col("track_id_b").alias("track_b"), "on_course")
+
+
+add("beh_06_collision_course", "v_positions", _on_course, f"{_FEAT}, p AS (SELECT f.track_id, speed, x, y FROM f JOIN l USING (track_id)) SELECT a.track_id AS track_a, b.track_id AS track_b, NOT (a.speed < 0.1 AND b.speed < 0.1) AS on_course FROM p a JOIN p b ON a.track_id < b.track_id AND sqrt(power(b.x-a.x,2)+power(b.y-a.y,2)) <= 2")
 add("beh_07_lane_change", "v_positions", lambda d: motion.motion_features(d).join(d.groupBy("track_id").agg(F.count("*").alias("n")), "track_id").select("track_id", ((F.col("heading_change") > 0.3) & (F.col("n") > 10)).alias("lane_change")), f"{_FEAT} SELECT track_id, heading_change > 0.3 AND n > 10 AS lane_change FROM f JOIN (SELECT track_id, count(*) AS n FROM v_positions GROUP BY track_id) USING (track_id)")
 _INT = f"""{_D},
 h1 AS (SELECT *, atan2(vy,vx) - lag(atan2(vy,vx)) OVER (PARTITION BY track_id ORDER BY frame_id) AS hc, sqrt(vx*vx+vy*vy) AS s FROM d),
@@ -186,15 +194,13 @@ add("int_01_predict_intent", "v_positions", motion.intent, f"{_INT} SELECT track
 
 
 def _pairs(d: DataFrame) -> DataFrame:
-    l = motion.latest(motion.differences(d)).withColumn("g", F.col("track_id") % 10)
-    a, b = (l.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("track_id", "x", "y", "vx", "vy")]) for s in "ab")
-    p = a.join(b, "g").filter("track_id_a < track_id_b")
-    return p.select("track_id_a", "track_id_b", *[(F.col(f"{c}_b") - F.col(f"{c}_a")).alias(f"d{c}") for c in ("x", "y", "vx", "vy")])
+    return encounters.meeting_pairs(motion.latest(motion.differences(d)), 0.25)
 
 
+# The view's tracks cross the plane in a few frames, so the time within which pairs meet is a quarter of a second here.
 _TTC = f"""{_D}, p AS (SELECT a.track_id AS track_id_a, b.track_id AS track_id_b, sqrt(power(b.x-a.x,2)+power(b.y-a.y,2)) AS dist, sqrt(power(b.vx-a.vx,2)+power(b.vy-a.vy,2)) AS rel
-  FROM l a JOIN l b ON a.track_id % 10 = b.track_id % 10 AND a.track_id < b.track_id), q AS (SELECT *, dist/(rel+1e-6) AS ttc FROM p)"""
-add("int_05_time_to_collision", "v_positions", lambda d: motion.time_to_collision(_pairs(d)).select("track_id_a", "track_id_b", "ttc", "collision", "confidence", "reason"), f"{_TTC} SELECT track_id_a, track_id_b, {_r('CASE WHEN rel >= 0.1 THEN ttc END', 'ttc')}, rel >= 0.1 AND ttc < 3 AS collision, {_r('CASE WHEN rel < 0.1 THEN 1 WHEN ttc <= 0 THEN 0 ELSE greatest(0, least(1, 1-ttc/3)) END', 'confidence')}, CASE WHEN rel < 0.1 THEN 'No relative motion' ELSE printf('TTC: %.2fs, distance: %.2fm', ttc, dist) END AS reason FROM q")
+  FROM l a JOIN l b ON a.track_id < b.track_id), q AS (SELECT *, dist/(rel+1e-6) AS ttc FROM p WHERE rel >= 0.1 AND dist/(rel+1e-6) < 0.25)"""
+add("int_05_time_to_collision", "v_positions", lambda d: motion.time_to_collision(_pairs(d), 0.25).select("track_id_a", "track_id_b", "ttc", "collision", "confidence", "reason"), f"{_TTC} SELECT track_id_a, track_id_b, {_r('ttc', 'ttc')}, true AS collision, {_r('CASE WHEN ttc <= 0 THEN 0 ELSE greatest(0, least(1, 1-ttc/0.25::DOUBLE)) END', 'confidence')}, printf('TTC: %.2fs, distance: %.2fm', ttc, dist) AS reason FROM q")
 
 # Point clouds
 

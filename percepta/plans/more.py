@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from percepta.operators import adapters, boxes, fusion, grids, imitation, learning, motion, networks, rasters, spatial, tracking
+from percepta.operators import adapters, boxes, encounters, fusion, grids, imitation, learning, motion, networks, rasters, spatial, tracking
 from percepta.plans.catalog import _D, _FEAT, _GAE, _STATE, _STEPS, _r, _rs, _islands, _states, _tracks, add
 
 # Tracks in every frame, occluded ones too
@@ -124,17 +124,17 @@ add(
 
 
 def _evading(d: DataFrame) -> DataFrame:
-    l = motion.latest(motion.differences(d)).withColumn("g", F.col("track_id") % 10)
-    other = l.select("g", F.col("track_id").alias("track_b"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    p = l.join(other, "g").filter("track_id < track_b").withColumns({"dx": F.col("ox") - F.col("x"), "dy": F.col("oy") - F.col("y")})
-    return motion.evasion(p, 20.0).select(F.col("track_id").alias("track_a"), "track_b", "ex", "ey")
+    l = motion.latest(motion.differences(d)).select("track_id", "x", "y", F.coalesce("vx", F.lit(0.0)).alias("vx"), F.coalesce("vy", F.lit(0.0)).alias("vy"))
+    p = encounters.near_pairs(l, 6.0, ("vx", "vy"))
+    p = p.select(F.col("track_id_a").alias("track_a"), F.col("track_id_b").alias("track_b"), F.col("vx_a").alias("vx"), F.col("vy_a").alias("vy"), *[(F.col(f"{c}_b") - F.col(f"{c}_a")).alias(f"d{c}") for c in "xy"])
+    return motion.evasion(p, 2.0).select("track_a", "track_b", "ex", "ey")
 
 
 add(
     "int_06_evasion",
     "v_positions",
     _evading,
-    f"{_D}, p AS (SELECT a.track_id AS track_a, b.track_id AS track_b, b.x-a.x AS dx, b.y-a.y AS dy, a.vx, a.vy, sqrt(power(b.x-a.x,2)+power(b.y-a.y,2)) AS dist FROM l a JOIN l b ON a.track_id % 10 = b.track_id % 10 AND a.track_id < b.track_id), q AS (SELECT *, -dy/(dist+1e-6) AS px, dx/(dist+1e-6) AS py, sqrt(vx*vx+vy*vy) AS s FROM p) SELECT track_a, track_b, {_r('CASE WHEN dist <= 60 THEN px*sign(px*vx+py*vy)*s END', 'ex')}, {_r('CASE WHEN dist <= 60 THEN py*sign(px*vx+py*vy)*s END', 'ey')} FROM q",
+    f"{_D}, p AS (SELECT a.track_id AS track_a, b.track_id AS track_b, b.x-a.x AS dx, b.y-a.y AS dy, coalesce(a.vx, 0) AS vx, coalesce(a.vy, 0) AS vy, sqrt(power(b.x-a.x,2)+power(b.y-a.y,2)) AS dist FROM l a JOIN l b ON a.track_id < b.track_id WHERE sqrt(power(b.x-a.x,2)+power(b.y-a.y,2)) <= 6), q AS (SELECT *, -dy/(dist+1e-6) AS px, dx/(dist+1e-6) AS py, sqrt(vx*vx+vy*vy) AS s FROM p) SELECT track_a, track_b, {_r('px*sign(px*vx+py*vy)*s', 'ex')}, {_r('py*sign(px*vx+py*vy)*s', 'ey')} FROM q",
 )
 
 # Fusion

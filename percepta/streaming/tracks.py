@@ -2,42 +2,43 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from percepta.operators.folds import ordered_stream
 from percepta.operators.tracking import BOX, Live
 
 OUT = "stream_id long, frame_id long, det_idx long, track_id long"
 
 
 def _stepped(max_age: int, high: float | None, low: float):
-    def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        live, last = Live(), None
-        if state.exists:
-            next_id, last, ids, seen, boxes = json.loads(state.get[0])
-            live = Live(next_id, ids, seen, [tuple(b) for b in boxes])
-        rows = pd.concat(list(frames)).dropna(subset=["frame_id", *BOX]).sort_values(["frame_id", "det_idx"])
+    def apply(state: list, rows: list[tuple]) -> list[tuple]:
+        live = Live(state[0], *state[1:3], [tuple(b) for b in state[3]])
         out = []
-        for frame, part in rows.groupby("frame_id", sort=True):
-            if last is not None and frame <= last:
-                continue
-            ids = live.step(int(frame), list(part[BOX].itertuples(index=False, name=None)), part["confidence"].fillna(1.0).tolist(), max_age, high, low)
-            out += [(key[0], int(frame), int(d), i) for d, i in zip(part["det_idx"], ids, strict=True) if i is not None]
-            last = int(frame)
-        state.update((json.dumps([live.next_id, last, live.ids, live.seen, live.boxes]),))
-        yield pd.DataFrame(out, columns=["stream_id", "frame_id", "det_idx", "track_id"])
+        for frame, part in groupby(rows, key=lambda r: r[0]):
+            found = list(part)
+            ids = live.step(frame, [r[2:6] for r in found], [1.0 if r[6] is None else r[6] for r in found], max_age, high, low)
+            out += [(frame, int(r[1]), i) for r, i in zip(found, ids, strict=True) if i is not None]
+        state[:] = live.next_id, live.ids, live.seen, live.boxes
+        return out
 
-    return step
+    return apply
 
 
-def track_stream(detections: DataFrame, max_age: int = 30, high: float | None = None, low: float = 0.1) -> DataFrame:
+def track_stream(detections: DataFrame, max_age: int = 30, high: float | None = None, low: float = 0.1, reset: str | None = None, time: str | None = None, expire_ms: int | None = None) -> DataFrame:
     """identified() over a streaming DataFrame, in append mode.
 
-    A frame must come whole within one batch; rows of frames that aren't later than the stream's last one are left out.
+    A frame must come whole within one batch, or share one `time`; rows of frames that aren't later than the stream's last one are left out. reset (a boolean
+    column; its row needs no box), time and expire_ms are those of ordered_stream(): after a reset ids begin at 1 again.
     The state holds a stream's live tracks and grows with them only.
     """
-    return detections.groupBy("stream_id").applyInPandasWithState(_stepped(max_age, high, low), OUT, "live string", "append", GroupStateTimeout.NoTimeout)
+    box = F.lit(True)
+    for c in BOX:
+        box = box & F.col(c).isNotNull()
+    kept = detections.filter(box | F.coalesce(F.col(reset), F.lit(False)) if reset else box)
+    values = [F.col("det_idx").cast("long"), *[F.col(c).cast("double") for c in BOX], F.col("confidence").cast("double")]
+    rows = kept.withColumn("stream_id", F.col("stream_id").cast("long"))
+    return ordered_stream(rows, "stream_id", F.col("frame_id"), values, [1, [], [], []], _stepped(max_age, high, low), T.StructType.fromDDL(OUT), reset, time, expire_ms)
