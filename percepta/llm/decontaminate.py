@@ -66,15 +66,16 @@ def _within(a: str, b: str, radius: int) -> Column:
     return near & (F.aggregate(far, F.lit(0), lambda acc, n: acc + n) <= radius)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 63, slack: float = 0.125, most_seeds: int = 2_000_000, most_texts: int = 200_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 63, most_seeds: int = 2_000_000, most_texts: int = 200_000) -> DataFrame:
     """doc_id, item_id, similarity, start, n_words: the documents that hold a passage like a benchmark item, one row for each document, item and row of docs.
 
     Words are runs without ASCII blanks, lower-cased. A window is as long as the item, in words. Similarity is the weighted
     Jaccard similarity of the k-word shingles of window and item, with their counts, weighted by how rare a shingle is
     among the items: ln(1 + items / items that have it). Without a common shingle it is 0. At `similarity` the window shares that share
-    of the item's mass at least, so it shares one of the item's rarest shingles that make up the rest: only these seed windows, and each
-    window carries its item. A seed aligns the window with the item; starts up to slack · n words beside it are windows
-    too, for passages with words put in or left out. Equal windows are fingerprinted once.
+    of the item's mass at least, so it shares one of the item's rarest shingles that make up the rest. Texts are searched for these seeds
+    first. Where a text and an item share one, the masses of all shingles that they share are summed over every window of the text (a running sum
+    over the words where shared shingles enter and leave it), and each window in which `similarity` of the item's mass can be reached is
+    a candidate, wherever in it the shared words stand: parts may be moved, exchanged, put in or left out. Equal windows are fingerprinted once.
 
     A window and its item are compared by the Hamming blocks of their SimHash fingerprints of 256 bits: none within `radius` is
     lost. At a similarity of 0.8 the distance is 39 bits on average and beyond 63 for fewer than
@@ -105,14 +106,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity:
     said = _hashed(keyed.select("text", t1, t2), "text").select("t1", "t2", F.size("_h").alias("words"), "_h")
     said = reduce(DataFrame.unionByName, [said.select("t1", "t2", "words", F.posexplode(_grams("_h", w)).alias("at", "h")) for w in widths])
     hits = lookup_join(said, seeds, ["h"], "inner", most_rows=most_seeds, spread=[F.col("t1"), F.col("at")])
-    reach = F.floor(F.col("n") * slack).cast("int")
-    hits = hits.withColumn("start", F.explode(F.sequence(F.col("at") - F.col("q") - reach, F.col("at") - F.col("q") + reach)))
-    # A passage at the ends of a text may be shorter than the item.
-    start = F.greatest(F.least(F.col("start"), F.col("words") - F.col("n")), F.lit(0))
-    hits = written(hits.select("t1", "t2", "same", "n", start.alias("start")).distinct(), "hits")
-    hit_texts = written(hits.select("t1", "t2").distinct(), "hit-texts")
+    pairs_of = written(hits.select("t1", "t2", "same").distinct(), "hit-pairs")
+    hit_texts = written(pairs_of.select("t1", "t2").distinct(), "hit-texts")
     found = lookup_join(keyed.select("doc_id", "text", t1, t2), hit_texts, ["t1", "t2"], "inner", most_rows=most_texts)
     texts = written(_hashed(found.groupBy("t1", "t2").agg(F.first("text").alias("text")), "text").select("t1", "t2", "_h"), "texts")
+    shared = reduce(DataFrame.unionByName, [texts.select("t1", "t2", F.size("_h").alias("words"), F.posexplode(_grams("_h", w)).alias("at", "h")) for w in widths])
+    shared = lookup_join(shared, wanted.select("same", "n", "h", "idf"), ["h"], "inner", most_rows=most_seeds, spread=[F.col("t1"), F.col("at")])
+    shared = shared.join(pairs_of, ["t1", "t2", "same"], "left_semi")
+    last = F.greatest(F.col("words") - F.col("n"), F.lit(0))  # a text may be shorter than the item
+    enters, leaves = F.greatest(F.col("at") - F.col("n") + F.least(F.col("n"), F.lit(k)), F.lit(0)), F.least("at", last) + 1
+    events = shared.select("t1", "t2", "same", "n", F.explode(F.array(F.struct(enters.alias("start"), F.col("idf").alias("w")), F.struct(leaves.alias("start"), (-F.col("idf")).alias("w")))).alias("e"))
+    events = events.groupBy("t1", "t2", "same", "n", "e.start").agg(F.sum("e.w").alias("w"))
+    along = Window.partitionBy("t1", "t2", "same").orderBy("start")
+    events = events.select("t1", "t2", "same", "n", "start", F.sum("w").over(along).alias("mass"), F.lead("start").over(along).alias("next"))
+    goal = wanted.groupBy("same").agg((F.sum(F.col("tf") * F.col("idf")) * similarity - 1e-6).alias("goal"))
+    hits = events.join(goal, "same").filter("next is not null and mass >= goal")
+    hits = written(hits.select("t1", "t2", "same", "n", F.explode(F.sequence(F.col("start"), F.col("next") - 1)).alias("start")), "hits")
     windows = hits.join(texts, ["t1", "t2"]).withColumn("_h", F.slice("_h", F.col("start") + 1, F.col("n")))
     wid = F.md5(F.array_join(F.transform("_h", lambda x: x.cast("string")), ","))
     windows = written(windows.select("t1", "t2", "same", "n", "start", wid.alias("wid"), "_h"), "windows")
@@ -133,7 +142,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity:
     best = best.groupBy("t1", "t2", "same", "n").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start")).alias("b"))
     each = F.struct("item_id", (-F.col("b.s")).alias("similarity"), F.col("b.start").alias("start"), F.col("n").alias("n_words"))
     best = written(best.join(names, "same").groupBy("t1", "t2").agg(F.collect_list(each).alias("m")), "contaminated")
-    freed(names, items, rare, wanted, seeds, hits, hit_texts, texts, windows, contents, near)
+    freed(names, items, rare, wanted, seeds, pairs_of, hits, hit_texts, texts, windows, contents, near)
     out = lookup_join(keyed.select("doc_id", t1, t2), best, ["t1", "t2"], "inner", most_rows=most_texts)
     return out.select("doc_id", "t1", "t2", F.explode("m").alias("m")).select("doc_id", "m.*", "t1", "t2")
 

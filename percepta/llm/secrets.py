@@ -22,6 +22,8 @@ NAMED = r"""(?i:client_?id|key_?id|account(?:_?(?:id|name))?|user_?name|user|log
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]{1,63}){1,126}"
 IDENTIFIER = f"(?:{NAMED}|{MAIL})"
 
+#: Spans that are appended one by one.
+_BLOCK = 256
 _SPANS = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 
@@ -34,14 +36,21 @@ def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.split(text, pattern, -1)
     steps = F.zip_with(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"))), groups, lambda s, g: F.struct(s["gap"].alias("gap"), s["n"].alias("n"), F.length(g).alias("len")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("out"))
+    none = F.array().cast(_SPANS)
 
     def add(acc: Column, s: Column) -> Column:
         start = acc["at"] + s["gap"]
         one = F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + s["n"]).alias("end"))).cast(_SPANS)
         return F.struct((start + s["n"]).cast("bigint").alias("at"), F.when(s["len"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    spans = F.aggregate(steps, zero, add, lambda acc: acc["out"])
+    def folded(all_steps: Column) -> Column:
+        """Blocks of spans one after the other: appending copies a block at most, so the work is linear in the spans."""
+        of = lambda acc, b: F.aggregate(F.slice(all_steps, b * _BLOCK + 1, F.lit(_BLOCK)), F.struct(acc["at"].alias("at"), none.alias("out")), add)
+        grown = lambda acc, b: F.element_at(F.transform(F.array(of(acc, b)), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out"))), 1)
+        zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(all_steps) / _BLOCK).cast("int")), zero, grown, lambda acc: F.flatten(acc["out"]))
+
+    spans = F.element_at(F.transform(F.array(steps), folded), 1)
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPANS))
 
 

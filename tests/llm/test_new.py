@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from percepta.llm import collocations, quality_rules, queries, whitening
+from percepta.llm import collocations, decontaminate, quality_rules, queries, secrets, whitening
 
 DATA = "/root/testdata/sf0.01"
 WORDS = [f"w{i}" for i in range(300)]
@@ -179,3 +179,43 @@ def test_collocations_of_odd_input(spark):
     assert [(r.rank, r.phrase, r.a, r.l, r.r, r.n, r.score) for r in one] == [(1, "a b", 2, 2, 2, 4, 2000)]
     top = collocations.collocations(df, least=1, top=1).collect()
     assert len(top) == 1
+
+
+def test_passages_with_moved_parts_are_found(spark):
+    """Halves, thirds and quarters of an item in another order, words put in at both ends: all windows are compared by brute force."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    items, docs, want = [], [], set()
+    for i in range(20):
+        item = list(rng.choice(vocabulary, 60))
+        items.append((i, " ".join(item)))
+        for parts in (1, 2, 3):
+            cut = [item[k * 60 // parts : (k + 1) * 60 // parts] for k in range(parts)][::-1]
+            body = [w for part in cut for w in part]
+            text = [*rng.choice(vocabulary, rng.integers(0, 90)), *body, *rng.choice(vocabulary, rng.integers(0, 90))]
+            docs.append((len(docs), " ".join(text)))
+            own, grams = Counter(tuple(item[j : j + 5]) for j in range(56)), [tuple(text[j : j + 5]) for j in range(len(text) - 4)]
+            for at in range(len(text) - 59):
+                c = Counter(grams[at : at + 56])
+                if sum((c & own).values()) / sum((c | own).values()) >= 0.8:
+                    want.add((len(docs) - 1, i))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert got == want and all((3 * i, i) in got and (3 * i + 1, i) in got for i in range(20))
+
+
+def test_many_spans_in_one_text(spark):
+    """Twice the spans take about twice the time, and all are there."""
+    import time
+
+    def run(n):
+        text = " ".join(f"{i:016x}" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        row = secrets.find_secrets(df).select("n_hex", "base").first()
+        assert row.n_hex == n and row.base.endswith(f"hex:{17 * (n - 1)}:{17 * n - 1}")
+        return time.time() - began
+
+    run(300)
+    half, whole = run(32_000), run(64_000)
+    assert whole < 3 * half + 2 and whole < 30
