@@ -95,16 +95,21 @@ def moved(boxes: DataFrame, m: list[list[float]]) -> DataFrame:
 def near_boxes(boxes: DataFrame, group: str) -> DataFrame:
     """group, a, b, iou of the pairs of boxes of a group whose overlap by centre distance is above 0.
 
-    Boxes meet in the cells of a grid as wide as the group's largest reach, so the join's pairs are those that can overlap.
+    Boxes fall into levels by powers of two of their reach, and each meets smaller ones, or ones of its own level, in the cells around it of a grid as
+    wide as its level; so a huge box doesn't widen the cells of small ones. A box stands in one cell of each level above its own.
     """
     reach = norm(F.col("dx"), F.col("dy"), F.col("dz"))
     b = boxes.filter(volume() > 0).select(group, F.col("box_id").alias("id"), "cx", "cy", "cz", volume().alias("volume"), reach.alias("reach"))
-    wide = b.groupBy(group).agg((2 * F.max("reach")).alias("wide"))
-    b = b.join(wide, group).withColumns({f"g{c}": F.floor(F.col(f"c{c}") / F.col("wide")) for c in "xyz"})
+    b = b.withColumn("level", F.ceil(F.log2("reach")).cast("int"))
+    levels = sorted(r.level for r in b.select("level").distinct().collect() if r.level is not None)  # at most one for each exponent of a double
+    cells = lambda d: d.withColumns({f"g{c}": F.floor(F.col(f"c{c}") / F.pow(F.lit(2.0), F.col("level") + 1)) for c in "xyz"})
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    other = b.withColumn("o", F.explode(around)).select(group, *[(F.col(f"g{c}") + F.col(f"o.{n}")).alias(f"g{c}") for c, n in zip("xyz", "ijk", strict=True)], *[F.col(c).alias(f"o_{c}") for c in ("id", "cx", "cy", "cz", "volume", "reach")])
-    both = b.join(other, [group, "gx", "gy", "gz"]).filter(F.col("id") < F.col("o_id"))
+    large = cells(b).withColumn("o", F.explode(around)).withColumns({f"g{c}": F.col(f"g{c}") + F.col(f"o.{n}") for c, n in zip("xyz", "ijk", strict=True)}).drop("o")
+    above = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda v: v >= F.col("level"))
+    small = cells(b.withColumn("own", F.col("level")).withColumn("level", F.explode(above))).select(group, "level", "gx", "gy", "gz", "own", *[F.col(c).alias(f"o_{c}") for c in ("id", "cx", "cy", "cz", "volume", "reach")])
+    both = large.join(small, [group, "level", "gx", "gy", "gz"]).filter((F.col("own") < F.col("level")) | ((F.col("own") == F.col("level")) & (F.col("id") < F.col("o_id"))))
     dist, most = norm(*[F.col(f"c{c}") - F.col(f"o_c{c}") for c in "xyz"]), F.col("reach") + F.col("o_reach")
     shared = (1 - dist / most) * F.least("volume", "o_volume")
-    out = both.filter(dist < most).select(group, F.col("id").alias("a"), F.col("o_id").alias("b"), (shared / (F.col("volume") + F.col("o_volume") - shared)).alias("iou"))
+    out = both.filter((dist < most) & (F.col("id") != F.col("o_id")))
+    out = out.select(group, F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"), (shared / (F.col("volume") + F.col("o_volume") - shared)).alias("iou"))
     return out.filter(F.col("iou") > 0)

@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from percepta.shared import freed, written
+from percepta.operators.scans import Scan, scanned
+from percepta.shared import freed, lookup_join, written
 
 
-def recorded(stream: DataFrame, key: str = "buffer_id", order: str = "seq", most: int = 100_000) -> DataFrame:
+def _recording() -> Scan:
+    """(rows, completed episodes; step of the row and steps since the last end as a · steps before + b; whether the row ends its episode)."""
+
+    def elements(values):
+        done = np.nan_to_num(values[0])
+        one = np.ones(len(done))
+        return one, done, one, one, 1 - done, 1 - done, done
+
+    def combine(e, f):
+        return e[0] + f[0], e[1] + f[1], f[2] * e[4], f[2] * e[5] + f[3], f[4] * e[4], f[4] * e[5] + f[5], f[6]
+
+    return Scan([()] * 7, elements, combine, lambda e: [e[1] - e[6], e[3], e[0]])
+
+
+def recorded(stream: DataFrame, key: str = "buffer_id", order: str = "seq", most: int = 100_000, block: int = 500_000) -> DataFrame:
     """The last `most` transitions of each buffer, with episode (0, 1, …; a new one after each done) and step.
 
-    Episodes are counted before old transitions leave, so an episode may have lost its first steps. Null done counts as not done.
+    Episodes are counted before old transitions leave, so an episode may have lost its first steps. Null done counts as not done; rows
+    without a buffer or order are left out. All counts are prefix sums, so buffers of more than `block` rows are dealt over tasks, as scanned() says.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    ended = F.coalesce(F.sum(F.coalesce(F.col("done"), F.lit(False)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = stream.withColumn("episode", ended).withColumn("step", F.row_number().over(Window.partitionBy(key, "episode").orderBy(order)))
-    n = stream.groupBy(key).agg(F.count("*").alias("rows"))
-    out = out.withColumn("nth", F.row_number().over(w)).join(n, key)
-    return out.filter(F.col("nth") > F.col("rows") - most).drop("nth", "rows")
+    rest = [c for c in stream.columns if c not in (key, order)]
+    out = scanned(stream, key, order, [F.col("done").cast("double")], _recording(), "episode_ double, step_ double, nth_ double", block=block, keep=rest)
+    n = stream.filter(F.col(order).isNotNull()).groupBy(key).agg(F.count("*").alias("rows_"))
+    out = lookup_join(out, n, [key], "inner").filter(F.col("nth_") > F.col("rows_") - most)
+    return out.select(*stream.columns, F.col("episode_").cast("long").alias("episode"), F.col("step_").cast("int").alias("step"))
 
 
 def episode(transitions: DataFrame, number: int) -> DataFrame:

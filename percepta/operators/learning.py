@@ -67,6 +67,14 @@ def advantages(transitions: DataFrame, value: str, gamma: float = 0.99, lam: flo
     return scanned(transitions, "episode_id", "step", [F.col("reward"), F.col(value)], _backward(gamma, lam), "advantage double, ret double", down=True, block=block)
 
 
+def policy_statistics(updates: DataFrame, key: str) -> DataFrame:
+    """For every run of updates(key, update, policy_loss, entropy, learning_rate): num_updates, average loss and entropy, and the last learning rate.
+
+    A run without updates has no row; null losses don't count in their average.
+    """
+    return updates.groupBy(key).agg(F.count("*").alias("num_updates"), F.avg("policy_loss").alias("avg_policy_loss"), F.avg("entropy").alias("avg_entropy"), F.max_by("learning_rate", "update").alias("learning_rate"))
+
+
 #: Names and state fields of the default constraints.
 ACCELERATION, STEERING, COLLISION, SPEED = "acceleration_limit", "steering_limit", "collision_risk", "speed_limit"
 STATE_FIELDS = ["acceleration", "steering_angle", "min_distance_to_obstacle", "speed"]

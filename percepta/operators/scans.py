@@ -128,10 +128,10 @@ def _applied(rows: DataFrame, scan: Scan, n_in: int, schema: T.StructType, what:
     return rows.select(F.xxhash64(*by).alias("segment"), *values, "carry", *rest).mapInArrow(_scanning(scan, n_in, schema, what), schema)
 
 
-def _dealt(df: DataFrame, key: str, at: Column, values: list[Column], block: int | None, down: bool) -> tuple[DataFrame, DataFrame | None]:
+def _dealt(df: DataFrame, key: str, at: Column, values: list[Column], block: int | None, down: bool, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """rows(key, sub, order, value_…, carry), and those of keys with more than a block of rows, whose sub is a range of the order."""
     order = at.cast("long")
-    rows = df.select(F.col(key).alias("key"), (-order if down else order).alias("order"), *[v.cast("double").alias(f"value_{i}") for i, v in enumerate(values)]).dropna(subset=["key", "order"])
+    rows = df.select(F.col(key).alias("key"), (-order if down else order).alias("order"), *[v.cast("double").alias(f"value_{i}") for i, v in enumerate(values)], *([F.struct(*keep).alias("kept")] if keep else [])).dropna(subset=["key", "order"])
     none = F.lit(None).cast("array<double>").alias("carry")
     if block:
         counts = written(rows.groupBy("key").count().filter(F.col("count") > block), "long-keys")
@@ -153,14 +153,14 @@ def _below(cuts: str, value: str) -> Column:
     return F.when(F.col(cuts).isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(24)), F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), step, lambda acc: acc["lo"]))
 
 
-def scanned(df: DataFrame, key: str, order: str | Column, values: list[Column], scan: Scan, out: str, down: bool = False, block: int | None = 500_000, begin: tuple[str, Callable[[np.ndarray], Element]] | None = None) -> DataFrame:
+def scanned(df: DataFrame, key: str, order: str | Column, values: list[Column], scan: Scan, out: str, down: bool = False, block: int | None = 500_000, begin: tuple[str, Callable[[np.ndarray], Element]] | None = None, keep: list[str] | None = None) -> DataFrame:
     """key, order and the columns of `out` (a schema string) for every row of df: the scan's state after it.
 
     Rows whose key or order is null are left out; values are doubles, null as NaN. down: from the last row to the first. Rows of equal key
     and order come by their values and stay in one range. Keys with more than `block` rows are dealt by approximate quantiles of
     their order, so that a task has about a block of them, with one more pass over these keys only; None: no key is that long, and rows aren't counted.
     begin: an array column that is null but in rows that give a key's state before its first row (one a key, order null), and
-    what makes elements of such arrays, NaN for null; with it, block must be None.
+    what makes elements of such arrays, NaN for null; with it, block must be None. keep: columns of df that come along, after the others.
     """
     if df.isStreaming:
         raise ValueError("a scan takes a table: a stream has no last row to begin at" if down else "a scan takes a table")
@@ -169,19 +169,19 @@ def scanned(df: DataFrame, key: str, order: str | Column, values: list[Column],
     if begin:
         elements = begin[1]
         given = df.filter(F.col(begin[0]).isNotNull()).select(F.col(key).alias("key"), F.lit(0).alias("sub"), F.transform(begin[0], lambda v: F.coalesce(v.cast("double"), F.lit(float("nan")))).alias("carry"))
-        rows, long = _dealt(df.filter(F.col(begin[0]).isNull()), key, at, values, None, down)
-        rows = rows.unionByName(_as_rows(given.mapInArrow(_elements(elements), _totals_schema(rows)), n_in))
+        rows, long = _dealt(df.filter(F.col(begin[0]).isNull()), key, at, values, None, down, keep)
+        rows = rows.unionByName(_as_rows(given.mapInArrow(_elements(elements), _totals_schema(rows)), n_in), allowMissingColumns=True)
     else:
-        rows, long = _dealt(df, key, at, values, block, down)
-    head = [T.StructField("key", rows.schema["key"].dataType), T.StructField("order", T.LongType())]
+        rows, long = _dealt(df, key, at, values, block, down, keep)
+    head = [T.StructField("key", rows.schema["key"].dataType), T.StructField("order", T.LongType()), *([T.StructField("kept", rows.schema["kept"].dataType)] if keep else [])]
     schema = T.StructType([*head, *T.StructType.fromDDL(out).fields])
     if long is not None:
         totals = _applied(long, scan, n_in, _totals_schema(rows), "totals", ["key", "sub"], ["key", "sub"])
         carried = _applied(_as_rows(totals, n_in), scan, n_in, _totals_schema(rows), "carried", ["key"], ["key", "sub"])
         # A range begins with a row that stands for all rows before it.
-        rows = rows.unionByName(written(_as_rows(carried, n_in), "carried"))
-    found = _applied(rows, scan, n_in, schema, "rows", ["key", "sub"], ["key", "order"])
-    return found.select(F.col("key").alias(key), (-F.col("order") if down else F.col("order")).alias(name), *schema.names[2:])
+        rows = rows.unionByName(written(_as_rows(carried, n_in), "carried"), allowMissingColumns=True)
+    found = _applied(rows, scan, n_in, schema, "rows", ["key", "sub"], schema.names[: len(head)])
+    return found.select(F.col("key").alias(key), (-F.col("order") if down else F.col("order")).alias(name), *schema.names[len(head) :], *([f"kept.{c}" for c in keep] if keep else []))
 
 
 def _elements(of: Callable[[np.ndarray], Element]):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from percepta.operators.kalman import filter_tracks
+from percepta.shared import connected_components, written
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -114,22 +115,25 @@ def _identified(max_age: int, high: float | None, low: float):
         at, live, held = None, Live(), []
 
         def settle():
-            ids = live.step(at[1], [r[1] for r in held], [r[2] for r in held], max_age, high, low)
+            ids = live.step(at[2], [r[1] for r in held], [r[2] for r in held], max_age, high, low)
             made.extend((*at, r[0], i) for r, i in zip(held, ids, strict=True) if i is not None)
 
         def flushed():
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], pa.int64()) for k in range(4)], names=["stream_id", "frame_id", "det_idx", "track_id"])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], pa.int64()) for k in range(5)], names=["group_id", "stream_id", "frame_id", "det_idx", "track_id"])
 
         for batch in batches:
             made: list[tuple] = []
-            for stream, frame, det, x1, y1, x2, y2, score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (stream, frame) != at:
+            for group, stream, frame, det, x1, y1, x2, y2, score, ended in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, stream, frame) != at:
                     if at:
                         settle()
-                    if at and at[0] != stream:
+                    if at and at[:2] != (group, stream):
                         live = Live()
-                    at, held = (stream, frame), []
-                held.append((det, (x1, y1, x2, y2), score))
+                    at, held = (group, stream, frame), []
+                if ended:
+                    live = Live()
+                else:
+                    held.append((det, (x1, y1, x2, y2), score))
             yield flushed()
         made = []
         if at:
@@ -139,16 +143,66 @@ def _identified(max_age: int, high: float | None, low: float):
     return run
 
 
-def identified(detections: DataFrame, max_age: int = 30, high: float | None = None, low: float = 0.1) -> DataFrame:
+def _iou(a: str, b: str) -> Column:
+    """Overlap of two boxes whose columns are BOX and those names with a suffix."""
+    c = lambda n, k: F.col(n + k)
+    w, h = (F.greatest(F.least(c(f"{d}2", a), c(f"{d}2", b)) - F.greatest(c(f"{d}1", a), c(f"{d}1", b)), F.lit(0.0)) for d in "xy")
+    area = lambda k: (c("x2", k) - c("x1", k)) * (c("y2", k) - c("y1", k))
+    return F.try_divide(w * h, area(a) + area(b) - w * h)
+
+
+def gate_components(rows: DataFrame, max_age: int, gate: float = 0.3) -> DataFrame:
+    """rows(stream_id, frame_id, det_idx, box, …) with group_id: detections that no chain of gated pairs connects have different ones.
+
+    A detection can only meet a track whose last box it overlaps by more than the gate, at most max_age frames later: such pairs are edges, their
+    connected components never compete. Overlap above a gate needs sizes within a factor 1 / gate, so pairs meet in the cells of a grid as wide as
+    the larger box, of levels by powers of two, and in buckets of frames; boxes of all sizes can be mixed.
+    """
+    size = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    node = F.struct("stream_id", "frame_id", "det_idx")
+    d = rows.select(node.alias("node"), *BOX, F.ceil(F.log2(size)).cast("int").alias("level"), F.floor(F.col("frame_id") / (max_age + 1)).alias("bucket")).filter(size > 0)
+    deepest = int(np.ceil(np.log2(1 / gate)))
+    at = lambda c: F.floor((F.col(f"{c}1") + F.col(f"{c}2")) / 2 / F.pow(F.lit(2.0), F.col("level"))).alias(f"c{c}")
+    key = ["stream", "level", "cx", "cy", "bucket"]
+    around = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((i, j, k), "ijk", strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    large = d.select(F.col("node.stream_id").alias("stream"), "*", at("x"), at("y"), F.explode(around).alias("o")).withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j"), "bucket": F.col("bucket") + F.col("o.k")}).drop("o")
+    small = d.withColumn("own", F.col("level")).withColumn("level", F.explode(F.sequence("level", F.col("level") + deepest)))
+    small = small.select(F.col("node.stream_id").alias("stream"), "level", at("x"), at("y"), "bucket", "own", F.col("node").alias("node_o"), *[F.col(c).alias(f"{c}_o") for c in BOX])
+    gap = F.abs(F.col("node.frame_id") - F.col("node_o.frame_id"))
+    pairs = large.join(small, key).filter((F.col("own") < F.col("level")) | (F.col("node_o") < F.col("node"))).filter((gap > 0) & (gap <= max_age) & (_iou("", "_o") > gate))
+    found = connected_components(pairs.select(F.col("node").alias("a"), F.col("node_o").alias("b")), "gate")
+    out = rows.withColumn("node", node).join(found, "node", "left")
+    return out.withColumn("group_id", F.xxhash64(F.coalesce("component", "node"))).drop("node", "component")
+
+
+def identified(detections: DataFrame, max_age: int = 30, high: float | None = None, low: float = 0.1, reset: str | None = None, components: bool = False) -> DataFrame:
     """stream_id, frame_id, det_idx, track_id of the detections that belong to a track; ids count births within a stream.
 
     Frames of a stream come in order; frame ids without rows are frames without detections. A track ends after max_age
     frames without a match. high: detections below it are matched second and found no track (two-stage tracking). Rows whose stream,
     frame or box is null are left out; a null confidence is 1. Streams are sorted runs of a partition, never held whole.
+
+    reset: a boolean column; a row in which it is true ends all tracks of its stream before its frame, needs no box, has no row, and ids begin at 1
+    again. components: each component of the gate (see gate_components) is a run of its own, so that a long stream isn't one task; a frame's
+    least-cost assignment is that of its components, and births are numbered over the stream afterwards, so ids are the same, but where
+    assignments of equal cost tie. Not together with reset.
     """
-    d = detections.select(*[F.col(c).cast("long").alias(c) for c in ("stream_id", "frame_id", "det_idx")], *[F.col(c).cast("double").alias(c) for c in BOX], F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)).alias("score"))
-    d = d.dropna(subset=["stream_id", "frame_id", *BOX]).repartition("stream_id").sortWithinPartitions("stream_id", "frame_id", "det_idx")
-    return d.mapInArrow(_identified(max_age, high, low), "stream_id long, frame_id long, det_idx long, track_id long")
+    if reset and components:
+        raise ValueError("components of the gate don't end with a reset")
+    ended = F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False)
+    d = detections.select(*[F.col(c).cast("long").alias(c) for c in ("stream_id", "frame_id", "det_idx")], *[F.col(c).cast("double").alias(c) for c in BOX], F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)).alias("score"), ended.alias("ended"))
+    there = F.col("ended")
+    d = d.dropna(subset=["stream_id", "frame_id"]).filter(there | ~F.array_contains(F.array(*[F.col(c).isNull() for c in BOX]), True))
+    d = gate_components(d, max_age) if components else d.withColumn("group_id", F.col("stream_id"))
+    d = d.select("group_id", "stream_id", "frame_id", "det_idx", *BOX, "score", "ended")
+    d = d.repartition("group_id").sortWithinPartitions("group_id", "stream_id", "frame_id", F.col("ended").desc(), "det_idx")
+    out = d.mapInArrow(_identified(max_age, high, low), "group_id long, stream_id long, frame_id long, det_idx long, track_id long")
+    if not components:
+        return out.drop("group_id")
+    out = written(out, "identified")
+    births = out.groupBy("group_id", "stream_id", "track_id").agg(F.min(F.struct("frame_id", "det_idx")).alias("born"))
+    births = births.select("group_id", "stream_id", F.col("track_id").alias("nth"), F.row_number().over(Window.partitionBy("stream_id").orderBy("born")).cast("long").alias("track_id"))
+    return out.withColumnRenamed("track_id", "nth").join(births, ["group_id", "stream_id", "nth"]).select("stream_id", "frame_id", "det_idx", "track_id")
 
 
 def histories(ids: DataFrame) -> DataFrame:

@@ -56,6 +56,13 @@ kf AS (
         FROM kf k JOIN v_positions p ON p.track_id = k.track_id AND p.frame_id = k.frame_id + 1)
 )"""
 add("kf_02_track_states", "v_positions", kalman.filter_tracks, f"{_KF} SELECT track_id, frame_id, {_rs('x vx x_pp x_pv x_vv y vy y_pp y_pv y_vv', 4)} FROM kf", 4)
+add(
+    "kf_05_set_state",
+    "v_positions",
+    lambda d: kalman.filter_tracks_from(d.filter("frame_id > 3"), kalman.filter_tracks(d.filter("frame_id <= 3")).filter("frame_id = 3")),
+    f"{_KF} SELECT track_id, frame_id, {_rs('x vx x_pp x_pv x_vv y vy y_pp y_pv y_vv', 4)} FROM kf WHERE frame_id > 3",
+    4,
+)
 add("kf_05_last_states", "v_positions", lambda d: motion.latest(kalman.filter_tracks(d)).select("track_id", "frame_id", "x", "y", "vx", "vy"), f"{_KF} SELECT track_id, frame_id, {_rs('x y vx vy', 4)} FROM kf QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY frame_id DESC) = 1", 4)
 
 
@@ -121,6 +128,24 @@ t AS (SELECT stream_id, frame_id, det_idx, dense_rank() OVER (PARTITION BY strea
 
 
 add("trk_06_mot", "v_detections", lambda d: _tracked(d, max_age=8), f"{_islands('true', 8)}, {_tracks(0)} SELECT * FROM t")
+add("trk_06_gate_components", "v_detections", lambda d: _tracked(d, max_age=8, components=True), f"{_islands('true', 8)}, {_tracks(0)} SELECT * FROM t")
+# Objects a quarter of a box apart overlap their neighbours: the gate isn't one-to-one, and the solver decides.
+add("trk_06_ambiguous_gate", "v_detections", lambda d: _tracked(d.withColumns({"x1": F.col("obj") * 10.0 + F.col("x1") % 7, "x2": F.col("obj") * 10.0 + F.col("x1") % 7 + 40}), max_age=2, components=True))
+
+
+def _with_resets(d: DataFrame) -> DataFrame:
+    """The tracker starts anew every 40 frames, whose own detections are left out."""
+    control = d.groupBy("stream_id").agg(F.max("frame_id").alias("last")).select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), "last", F.lit(40).cast("long"))).alias("frame_id"), F.lit(True).alias("reset"))
+    return d.filter("frame_id % 40 > 0").withColumn("reset", F.lit(False)).unionByName(control, allowMissingColumns=True)
+
+
+_EPOCHS = "(SELECT stream_id * 100000 + frame_id // 40 AS stream_id, frame_id, det_idx, obj, confidence FROM v_detections WHERE frame_id % 40 > 0)"
+add(
+    "trk_11_reset",
+    "v_detections",
+    lambda d: _tracked(_with_resets(d), max_age=8, reset="reset").select("stream_id", "frame_id", "det_idx", "track_id"),
+    f"{_islands('true', 8).replace('FROM v_detections WHERE true', f'FROM {_EPOCHS}')}, {_tracks(0)} SELECT stream_id // 100000 AS stream_id, frame_id, det_idx, track_id FROM t",
+)
 add("trk_12_two_stage", "v_detections", lambda d: _tracked(d, max_age=8, high=0.5, low=0.1), f"{_islands('confidence >= 0.1::DOUBLE', 8)}, {_tracks(0.5)} SELECT * FROM t")
 add("trk_10_statistics", "v_detections", lambda d: tracking.statistics(_tracked(d, max_age=3), 3), f"{_islands('true', 3)}, {_tracks(0)}, l AS (SELECT stream_id, track_id, max(frame_id) AS f, bool_or(confirmed) AS c FROM t GROUP BY 1, 2), e AS (SELECT stream_id, max(f) AS current_frame, max(track_id) + 1 AS next_track_id FROM l GROUP BY 1) SELECT stream_id, current_frame, next_track_id, count(*) FILTER (WHERE current_frame - f < 3) AS total, count(*) FILTER (WHERE current_frame - f < 3 AND c) AS confirmed FROM l JOIN e USING (stream_id) GROUP BY 1, 2, 3")
 
@@ -260,6 +285,12 @@ add("iml_04_episode_statistics", "v_transitions", learning.episode_statistics, f
 add("iml_05_normalise", "v_transitions", lambda d: learning.normalised(d.select("episode_id", "step", "obs0", "obs1"), ["obs0", "obs1"]), f"SELECT episode_id, step, {_r('(obs0-avg(obs0) OVER ())/(stddev_pop(obs0) OVER ()+1e-8)', 'obs0')}, {_r('(obs1-avg(obs1) OVER ())/(stddev_pop(obs1) OVER ()+1e-8)', 'obs1')} FROM v_transitions")
 add("iml_07_train_split", "v_transitions", lambda d: learning.train_part(d).groupBy("train").agg(F.count("*").alias("n"), F.countDistinct("episode_id").alias("episodes")), "r AS (SELECT *, dense_rank() OVER (ORDER BY episode_id) AS k FROM v_transitions) SELECT k <= floor((SELECT max(k) FROM r)*0.8::DOUBLE) AS train, count(*) AS n, count(DISTINCT episode_id) AS episodes FROM r GROUP BY 1")
 _GAE = "z AS (SELECT episode_id, step, reward + 0.99::DOUBLE*coalesce(lead(obs1) OVER w, 0) - obs1 AS delta, obs1, max(step) OVER (PARTITION BY episode_id) AS n FROM v_transitions WINDOW w AS (PARTITION BY episode_id ORDER BY step)), a AS (SELECT p.episode_id, p.step, any_value(p.obs1) AS v, sum(power(0.99::DOUBLE*0.95::DOUBLE, q.step-p.step)*q.delta) AS adv FROM z p JOIN z q ON p.episode_id = q.episode_id AND q.step >= p.step GROUP BY 1, 2)"
+add(
+    "pol_05_statistics",
+    "v_transitions",
+    lambda d: learning.policy_statistics(d.groupBy((F.col("episode_id") % 10).alias("run_id"), F.col("step").alias("update")).agg(F.avg("reward").alias("policy_loss"), F.avg("obs1").alias("entropy")).withColumn("learning_rate", 0.001 / F.col("update")), "run_id"),
+    f"u AS (SELECT episode_id % 10 AS run_id, step, avg(reward) AS p, avg(obs1) AS e FROM v_transitions GROUP BY 1, 2) SELECT run_id, count(*) AS num_updates, {_r('avg(p)', 'avg_policy_loss')}, {_r('avg(e)', 'avg_entropy')}, {_r('0.001::DOUBLE/max(step)', 'learning_rate')} FROM u GROUP BY run_id",
+)
 add("pol_03_gae", "v_transitions", lambda d: learning.advantages(d, "obs1"), f"{_GAE} SELECT episode_id, step, {_r('adv', 'advantage', 4)}, {_r('adv+v', 'ret', 4)} FROM a", 4)
 _STATE = "s AS (SELECT episode_id, step, act0 AS acceleration, act1 AS steering_angle, speed, obs1 AS min_distance_to_obstacle FROM v_transitions), c AS (SELECT episode_id, step, unnest([{name: 'acceleration_limit', value: abs(acceleration), t: 5.0::DOUBLE}, {name: 'steering_limit', value: abs(steering_angle), t: 45.0::DOUBLE}, {name: 'collision_risk', value: 1/(min_distance_to_obstacle+1e-8::DOUBLE), t: 1.0::DOUBLE}, {name: 'speed_limit', value: speed, t: 30.0::DOUBLE}], recursive := true) FROM s)"
 
@@ -273,4 +304,12 @@ add("saf_06_correct_action", "v_transitions", lambda d: learning.corrected(_stat
 add("fus_01_gps_to_local", "v_sensor", lambda d: learning.gps_to_local(d.filter("kind = 'gps'"), F.lit(0.0), F.lit(0.0), F.lit(0.0)).select("vehicle_id", "seq", "north", "east", "up"), f"SELECT vehicle_id, seq, {_r('6371000.0::DOUBLE*radians(lat)', 'north', 4)}, {_r('6371000.0::DOUBLE*radians(lon)', 'east', 4)}, {_r('alt', 'up', 4)} FROM v_sensor WHERE kind = 'gps'", 4)
 _EWMA = "e AS (SELECT stream_id, seq, CAST(latency_ms AS DOUBLE) AS ewma, CASE WHEN latency_ms > 33.3 THEN least(trunc(latency_ms/33.3::DOUBLE)::INT, 4) ELSE 0 END AS skip, CASE WHEN latency_ms > 33.3 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS scale FROM v_latency WHERE seq = 1 UNION ALL SELECT stream_id, seq, m, CASE WHEN m > 33.3::DOUBLE THEN greatest(skip, least(trunc(m/33.3::DOUBLE)::INT, 4)) WHEN m <= 0.8::DOUBLE*33.3::DOUBLE THEN greatest(skip-1, 0) ELSE skip END, CASE WHEN m > 33.3::DOUBLE THEN greatest(0.5::DOUBLE, scale-0.1::DOUBLE) WHEN m <= 0.8::DOUBLE*33.3::DOUBLE THEN least(1.0::DOUBLE, scale+0.1::DOUBLE) ELSE scale END FROM (SELECT l.stream_id, l.seq, 0.2::DOUBLE*l.latency_ms+0.8::DOUBLE*e.ewma AS m, e.skip, e.scale FROM e JOIN v_latency l ON l.stream_id = e.stream_id AND l.seq = e.seq+1))"
 add("adp_02_frame_control", "v_latency", lambda d: learning.frame_control(d).select("stream_id", "seq", "ewma", "skip", "scale"), f"{_EWMA} SELECT stream_id, seq, {_rs('ewma', 4)}, skip, {_rs('scale', 4)} FROM e", 4)
+add("adp_01_max_scale", "v_latency", lambda d: learning.frame_control(d, max_scale=0.8).select("stream_id", "seq", "ewma", "skip", "scale"), f"{_EWMA.replace('0.9::DOUBLE ELSE 1.0::DOUBLE', '0.7::DOUBLE ELSE 0.8::DOUBLE').replace('least(1.0::DOUBLE', 'least(0.8::DOUBLE')} SELECT stream_id, seq, {_rs('ewma', 4)}, skip, {_rs('scale', 4)} FROM e", 4)
+add(
+    "adp_05_reset",
+    "v_latency",
+    lambda d: learning.frame_control(d.withColumn("reset", F.col("seq") % 50 == 0), reset="reset").select("stream_id", "seq", "ewma", "skip", "scale"),
+    f"v2 AS (SELECT stream_id * 1000000 + seq // 50 AS stream_id, seq % 50 AS seq, latency_ms FROM v_latency WHERE seq % 50 > 0), {_EWMA.replace('v_latency', 'v2')} SELECT stream_id // 1000000 AS stream_id, stream_id % 1000000 * 50 + seq AS seq, {_rs('ewma', 4)}, skip, {_rs('scale', 4)} FROM e",
+    4,
+)
 add("opt_02_latency_profile", "v_latency", learning.latency_profile, f"SELECT stream_id, {_r('avg(latency_ms)', 'mean')}, {_r('quantile_cont(latency_ms, 0.5)', 'median')}, {_r('quantile_cont(latency_ms, 0.95)', 'p95')}, {_r('quantile_cont(latency_ms, 0.99)', 'p99')}, {_r('stddev_pop(latency_ms)', 'std')} FROM v_latency GROUP BY stream_id")

@@ -70,18 +70,25 @@ add("prd_09_learned_forecast", "v_positions", lambda d: networks.forecast(d, "le
 
 # Behaviour over time and intents
 
-add(
-    "beh_04_pattern_states",
-    "v_positions",
-    lambda d: motion.pattern_states(_frame_patterns(d)).select("track_id", "frame_id", "pattern", "frame_count", "pattern_start", "confidence", "duration", F.coalesce("ended.start", F.lit(-1)).alias("ended_start"), F.col("ended.pattern").alias("ended_pattern")),
-    f"""{_FEAT.split('f AS (')[0].rstrip().rstrip(',')},
+_STATES = f"""{_FEAT.split('f AS (')[0].rstrip().rstrip(',')},
 fp AS (SELECT track_id, frame_id, CASE WHEN s < 1 THEN 'stopped' WHEN coalesce(turn, 0) > 0.1 THEN 'turning' WHEN coalesce(sqrt(ax*ax+ay*ay), 0) > 0.5 THEN 'accelerating' ELSE 'moving_straight' END AS pattern,
   CASE WHEN s < 1 THEN 0.95 WHEN coalesce(turn, 0) > 0.1 THEN least(0.9::DOUBLE, turn/0.2) WHEN coalesce(sqrt(ax*ax+ay*ay), 0) > 0.5 THEN least(0.9::DOUBLE, sqrt(ax*ax+ay*ay)) ELSE 0.8 END AS c0 FROM t WHERE vx IS NOT NULL),
 g AS (SELECT *, row_number() OVER w AS frame_count, lag(pattern) OVER w IS DISTINCT FROM pattern AS b FROM fp WINDOW w AS (PARTITION BY track_id ORDER BY frame_id)),
 h AS (SELECT *, sum(b::INT) OVER (PARTITION BY track_id ORDER BY frame_id) AS run FROM g),
 i AS (SELECT *, min(frame_id) OVER r AS pattern_start, first_value(c0) OVER (PARTITION BY track_id, run ORDER BY frame_id) AS confidence FROM h WINDOW r AS (PARTITION BY track_id, run)),
 j AS (SELECT *, lag(pattern_start) OVER w AS ps, lag(pattern) OVER w AS pp FROM i WINDOW w AS (PARTITION BY track_id ORDER BY frame_id))
-SELECT track_id, frame_id, pattern, frame_count, pattern_start, {_rs('confidence')}, frame_count - pattern_start AS duration, CASE WHEN b AND frame_count >= 5 THEN ps ELSE -1 END AS ended_start, CASE WHEN b AND frame_count >= 5 THEN pp END AS ended_pattern FROM j""",
+SELECT track_id, frame_id, pattern, frame_count, pattern_start, {_rs('confidence')}, frame_count - pattern_start AS duration, CASE WHEN b AND frame_count >= 5 THEN ps ELSE -1 END AS ended_start, CASE WHEN b AND frame_count >= 5 THEN pp END AS ended_pattern FROM j"""
+add(
+    "beh_04_pattern_states",
+    "v_positions",
+    lambda d: motion.pattern_states(_frame_patterns(d)).select("track_id", "frame_id", "pattern", "frame_count", "pattern_start", "confidence", "duration", F.coalesce("ended.start", F.lit(-1)).alias("ended_start"), F.col("ended.pattern").alias("ended_pattern")),
+    _STATES,
+)
+add(
+    "beh_05_removed_tracks",
+    "v_positions",
+    lambda d: motion.pattern_stream(_frame_patterns(d).withColumn("reset", F.col("frame_id") % 30 == 0), reset="reset").select("track_id", "frame_id", "pattern", "frame_count", "pattern_start", "confidence", "duration", F.coalesce("ended.start", F.lit(-1)).alias("ended_start"), F.col("ended.pattern").alias("ended_pattern")),
+    _STATES.replace("fp AS (SELECT track_id, frame_id", "fp AS (SELECT track_id * 10000 + frame_id // 30 AS track_id, frame_id").replace("FROM t WHERE vx IS NOT NULL", "FROM t WHERE vx IS NOT NULL AND frame_id % 30 > 0").replace("SELECT track_id, frame_id, pattern, frame_count, pattern_start", "SELECT track_id // 10000 AS track_id, frame_id, pattern, frame_count, pattern_start"),
 )
 
 
@@ -161,6 +168,13 @@ f AS (
   FROM (SELECT s.*, f.clock, f.px, f.py, f.pz, f.vx, f.vy, f.vz, f.yaw, f.pvar, f.ovar, CASE WHEN s.kind = 'imu' AND f.clock IS NOT NULL THEN s.t - f.clock ELSE 0 END AS dt, f.pvar/(f.pvar+1/(s.accuracy+1e-6::DOUBLE)) AS k, s.ax*cos(f.yaw)-s.ay*sin(f.yaw) AS wx, s.ax*sin(f.yaw)+s.ay*cos(f.yaw) AS wy FROM f JOIN v_sensor s ON s.vehicle_id = f.vehicle_id AND s.seq = f.seq + 1)
 )"""
 add("fus_03_fused_states", "v_sensor", lambda d: fusion.fused(_sensor(d)).select("vehicle_id", "seq", "px", "py", "pz", "vx", "vy", "vz", "yaw", "position_variance", "other_variance"), f"{_FUSE} SELECT vehicle_id, seq, {_rs('px py pz vx vy vz yaw', 5)}, {_r('pvar', 'position_variance', 5)}, {_r('ovar', 'other_variance', 5)} FROM f", 5)
+add(
+    "fus_07_reset",
+    "v_sensor",
+    lambda d: fusion.fused(_sensor(d).withColumn("reset", F.col("seq") % 20 == 0), reset="reset").select("vehicle_id", "seq", "px", "vx", "yaw", "position_variance"),
+    f"v2 AS (SELECT * REPLACE (vehicle_id * 1000000 + seq // 20 AS vehicle_id, seq % 20 AS seq) FROM v_sensor WHERE seq % 20 > 0), {_FUSE.replace('v_sensor', 'v2')} SELECT vehicle_id // 1000000 AS vehicle_id, vehicle_id % 1000000 * 20 + seq AS seq, {_rs('px vx yaw', 5)}, {_r('pvar', 'position_variance', 5)} FROM f",
+    5,
+)
 add("fus_06_statistics", "v_sensor", lambda d: fusion.fusion_statistics(_sensor(d), fusion.fused(_sensor(d))).select("vehicle_id", "total_updates", "imu_updates", "gps_updates", "px", "yaw", "position_uncertainty"), f"{_FUSE}, l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY seq DESC) = 1), n AS (SELECT vehicle_id, count(*) AS total_updates, count(*) FILTER (WHERE kind = 'imu') AS imu_updates, count(*) FILTER (WHERE kind = 'gps') AS gps_updates FROM v_sensor GROUP BY 1) SELECT vehicle_id, total_updates, imu_updates, gps_updates, {_rs('px yaw', 5)}, {_r('sqrt(3*pvar)', 'position_uncertainty', 5)} FROM l JOIN n USING (vehicle_id)", 5)
 
 
