@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from percepta.operators.folds import Fold, folded
-from percepta.operators.scans import Scan, reduced, scanned, then_affine, then_clamped
+from percepta.operators.scans import Scan, may_be_long, reduced, scanned, then_affine, then_clamped
 from percepta.shared import freed, written
 
 
@@ -235,6 +235,8 @@ def frame_control(latencies: DataFrame, target: float = 33.3, alpha: float = 0.2
         control = _controlled(target, recovery, alpha, step, least_scale, most, gated, max_scale)
         return folded(latencies, "stream_id", "seq", [latency], control, out, reset=reset, time=time, expire_ms=expire_ms)
     averages = scanned(latencies, "stream_id", "seq", [latency], _smoothed(alpha), "n double, ewma double, seen double", block=block)
+    if block and may_be_long(averages, block):
+        averages = written(averages, "averages")  # read by the count of rows and by the second scan
     control = _adjusted(target, recovery, step, least_scale, max_scale, most)
     steps = scanned(averages, "stream_id", "seq", [F.col("n"), F.col("ewma"), F.col("seen")], control, "ewma double, skip double, scale double", block=block)
     return steps.select("stream_id", "seq", "ewma", F.col("skip").cast("int").alias("skip"), "scale", F.lit(True).alias("processed"), F.lit(1.0).alias("kept"))
