@@ -96,6 +96,7 @@ def cloning_losses(model: Cloned, data: DataFrame, observation: str = "observati
 
 def clone_behaviour(data: DataFrame, hidden: tuple[int, ...] = (256, 256), steps: int = 20, rate: float = 1e-3, seed: int = 0, observation: str = "observation", action: str = "action", validation: DataFrame | None = None, patience: int = 10) -> Cloned:
     """Trains actions from observations (array columns), a full pass a step; with validation rows it ends when their loss hasn't fallen for `patience` steps."""
+    data = written(data.select(observation, action), "cloning")  # read at every step
     first = data.select(F.size(observation).alias("x"), F.size(action).alias("y")).first()
     if first is None:
         raise ValueError("no rows to train on")
@@ -111,6 +112,7 @@ def clone_behaviour(data: DataFrame, hidden: tuple[int, ...] = (256, 256), steps
             best, since = (loss, 0) if loss < best else (best, since + 1)
             if since >= patience:
                 break
+    freed(data)
     return model
 
 

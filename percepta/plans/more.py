@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from percepta.operators import adapters, boxes, encounters, fusion, grids, imitation, learning, motion, networks, rasters, spatial, tracking
+from percepta.operators import adapters, boxes, encounters, fusion, grids, imitation, learning, motion, networks, ordered, rasters, spatial, tracking
 from percepta.plans.catalog import _D, _FEAT, _GAE, _STATE, _STEPS, _r, _rs, _islands, _states, _tracks, add
 
 # Tracks in every frame, occluded ones too
@@ -369,6 +369,41 @@ def _trained(d: DataFrame) -> DataFrame:
 add("bcl_02_train", "v_transitions", _trained)
 
 
+# A net without hidden layers and zero weights at first: its steps are sums of a batch's moments, so SQL can follow them one by one.
+_HELD = "episode_id % 5 = 0"
+
+
+def _in_batches(d: DataFrame, epochs: int) -> ordered.Trained:
+    zeros = [np.zeros((2, 2)), np.zeros(2)]
+    return ordered.train_in_batches(_pairs(d).filter(f"not ({_HELD})"), ["episode_id", "step"], size=32, epochs=epochs, hidden=(), rate=0.01, weights=zeros, validation=_pairs(d).filter(_HELD))
+
+
+def _epochs(d: DataFrame) -> DataFrame:
+    rows = [(h["epoch"], h["loss"], h["mse"], h["validation"]) for h in _in_batches(d, 3).history]
+    return d.sparkSession.createDataFrame(rows, "epoch int, loss double, mse double, validation double")
+
+
+def _descent(epochs: int) -> str:
+    """SQL: w, the weights before each step; loss, every row's square and divergence under the weights of a step."""
+    step = lambda i: f"a{i} - 0.01::DOUBLE/32*(p*a{i}+q*g{i}+s*c{i}-u{i}), g{i} - 0.01::DOUBLE/32*(q*a{i}+r*g{i}+t*c{i}-v{i}), c{i} - 0.01::DOUBLE/32*(s*a{i}+t*g{i}+32*c{i}-z{i})"
+    sums = ", ".join(f"sum(obs0*act{i}) AS u{i}, sum(obs1*act{i}) AS v{i}, sum(act{i}) AS z{i}" for i in (0, 1))
+    zeros = ", ".join(f"0.0::DOUBLE AS {n}{i}" for i in (0, 1) for n in "agc")
+    share = lambda p, i: f"(abs({p}{i})+1e-8::DOUBLE)/(abs({p}0)+abs({p}1)+2e-8::DOUBLE)"
+    kl = " + ".join(f"{share('act', i)}*(ln({share('act', i)}+1e-8::DOUBLE)-ln({share('p', i)}+1e-8::DOUBLE))" for i in (0, 1))
+    made = ", ".join(f"a{i}*obs0+g{i}*obs1+c{i} AS p{i}" for i in (0, 1))
+    return f"""o AS (SELECT *, row_number() OVER (ORDER BY episode_id, step) - 1 AS nth, count(*) OVER () AS n FROM v_transitions WHERE NOT ({_HELD})),
+b AS (SELECT *, nth // 32 AS b FROM o WHERE nth < n // 32 * 32), nb AS (SELECT count(DISTINCT b) AS nb FROM b),
+m AS (SELECT b, sum(obs0*obs0) AS p, sum(obs0*obs1) AS q, sum(obs1*obs1) AS r, sum(obs0) AS s, sum(obs1) AS t, {sums} FROM b GROUP BY b),
+w AS (SELECT 0::BIGINT AS k, {zeros} UNION ALL SELECT k + 1, {step(0)}, {step(1)} FROM w, nb JOIN m ON m.b = w.k % nb.nb WHERE w.k < {epochs} * nb.nb),
+rows_ AS (SELECT w.k, w.k // nb AS epoch, false AS held, obs0, obs1, act0, act1, COLUMNS('^[agc][01]$') FROM w, nb JOIN b ON b.b = w.k % nb.nb WHERE w.k < {epochs} * nb UNION ALL SELECT w.k, w.k // nb - 1, true, obs0, obs1, act0, act1, COLUMNS('^[agc][01]$') FROM w, nb, v_transitions WHERE w.k > 0 AND w.k % nb = 0 AND {_HELD}),
+made AS (SELECT k, epoch, held, act0, act1, {made} FROM rows_),
+loss AS (SELECT k, epoch, held, avg(((p0-act0)*(p0-act0)+(p1-act1)*(p1-act1))/2) AS mse, sum({kl}) AS kl FROM made GROUP BY ALL)"""
+
+
+add("trn_02_ordered_steps", "v_transitions", lambda d: _in_batches(d, 1).log.select("batch", "mse", "kl", "total"), f"{_descent(1)} SELECT k AS batch, {_rs('mse kl', 5)}, {_r('mse+0.1::DOUBLE*kl', 'total', 5)} FROM loss WHERE NOT held", 5)
+add("trn_03_validation", "v_transitions", _epochs, f"{_descent(3)} SELECT CAST(epoch AS INT) AS epoch, {_r('avg(mse+0.1::DOUBLE*kl) FILTER (WHERE NOT held)', 'loss', 5)}, {_r('avg(mse) FILTER (WHERE NOT held)', 'mse', 5)}, {_r('max(mse+0.1::DOUBLE*kl) FILTER (WHERE held)', 'validation', 5)} FROM loss GROUP BY epoch", 5)
+
+
 def _log(d: DataFrame) -> DataFrame:
     return d.select(F.col("stream_id").alias("run_id"), F.col("seq").alias("step"), F.col("latency_ms").alias("total"), (F.col("latency_ms") / 2).alias("mse"), (F.col("latency_ms") * 0.9 + F.col("seq") % 3).alias("validation"))
 
