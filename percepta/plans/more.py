@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from percepta.operators import adapters, boxes, encounters, fusion, grids, imitation, learning, motion, networks, ordered, rasters, spatial, tracking
+from percepta.operators import adapters, boxes, encounters, fusion, grids, imitation, learning, motion, neighbours, networks, ordered, rasters, spatial, tracking
 from percepta.plans.catalog import _D, _FEAT, _GAE, _STATE, _STEPS, _r, _rs, _islands, _states, _tracks, add
 
 # Tracks in every frame, occluded ones too
@@ -273,8 +273,8 @@ add(
 )
 _MOVE = [[0.0, -1.0, 0.0, 1.0], [1.0, 0.0, 0.0, 2.0], [0.0, 0.0, 1.0, 3.0], [0.0, 0.0, 0.0, 1.0]]
 add("box_08_transform", "v_points", lambda d: boxes.moved(_cloud_boxes(d), _MOVE).select("box_id", "cx", "cy", "cz", "dx", *[F.col("rotation")[i][j].alias(f"r{i}{j}") for i in range(2) for j in range(2)]), f"{_BOXES} SELECT box_id, {_r('1-cy', 'cx')}, {_r('cx+2', 'cy')}, {_r('cz+3', 'cz')}, {_rs('dx')}, {_r(f'-{_HALF}', 'r00')}, {_r(f'-{_HALF}', 'r01')}, {_r(_HALF, 'r10')}, {_r(f'-{_HALF}', 'r11')} FROM bx")
-add("lid_10_nearest", "v_points", lambda d: rasters.nearest(d, 4, 2.0).groupBy("cloud_id", "pt_idx").agg(F.count("*").alias("n"), F.min_by("nb", "rank").alias("first"), F.max_by("nb", "rank").alias("last")), "k AS (SELECT a.cloud_id, a.pt_idx, b.pt_idx AS nb, row_number() OVER (PARTITION BY a.cloud_id, a.pt_idx ORDER BY power(a.x-b.x,2)+power(a.y-b.y,2)+power(a.z-b.z,2), a.pt_idx <> b.pt_idx, b.pt_idx) AS rank FROM v_points a JOIN v_points b ON a.cloud_id = b.cloud_id) SELECT cloud_id, pt_idx, count(*) AS n, min_by(nb, rank) AS first, max_by(nb, rank) AS last FROM k WHERE rank <= 4 GROUP BY 1, 2")
-add("lid_10_normals", "v_points", lambda d: rasters.normals(d, 5).select("cloud_id", "pt_idx", *[F.abs(f"n{c}").alias(f"n{c}") for c in "xyz"]))
+add("lid_10_nearest", "v_points", lambda d: neighbours.nearest(d, 4).groupBy("cloud_id", "pt_idx").agg(F.count("*").alias("n"), F.min_by("nb", "rank").alias("first"), F.max_by("nb", "rank").alias("last")), "k AS (SELECT a.cloud_id, a.pt_idx, b.pt_idx AS nb, row_number() OVER (PARTITION BY a.cloud_id, a.pt_idx ORDER BY power(a.x-b.x,2)+power(a.y-b.y,2)+power(a.z-b.z,2), a.pt_idx <> b.pt_idx, b.pt_idx) AS rank FROM v_points a JOIN v_points b ON a.cloud_id = b.cloud_id) SELECT cloud_id, pt_idx, count(*) AS n, min_by(nb, rank) AS first, max_by(nb, rank) AS last FROM k WHERE rank <= 4 GROUP BY 1, 2")
+add("lid_10_normals", "v_points", lambda d: neighbours.normals(d, 5).select("cloud_id", "pt_idx", *[F.abs(f"n{c}").alias(f"n{c}") for c in "xyz"]))
 
 # Grids with values
 

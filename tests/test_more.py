@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from percepta.operators import adapters, boxes, fusion, grids, imitation, kalman, learning, motion, networks, rasters, spatial, tracking
+from percepta.operators import adapters, boxes, fusion, grids, imitation, kalman, learning, motion, neighbours, networks, rasters, spatial, tracking
 
 
 def test_kalman_goes_on_after_a_missing_measurement(spark):
@@ -97,7 +97,7 @@ def test_boxes(spark):
 
 def test_normals_of_a_plane(spark):
     rows = [(1, i, float(i % 6), float(i // 6), 0.1 * (i % 6)) for i in range(36)] + [(2, 0, 0.0, 0.0, 0.0), (2, 1, 1.0, 0.0, 0.0)]
-    got = rasters.normals(spark.createDataFrame(rows, "cloud_id long, pt_idx long, x double, y double, z double"), 5, 1.0).collect()
+    got = neighbours.normals(spark.createDataFrame(rows, "cloud_id long, pt_idx long, x double, y double, z double"), 5).collect()
     want = np.array([-0.1, 0.0, 1.0]) / math.sqrt(1.01)
     assert all(abs(np.dot([r.nx, r.ny, r.nz], want)) == pytest.approx(1, abs=1e-6) for r in got if r.cloud_id == 1)
     assert len(got) == 38 and all((r.nx, r.ny, r.nz) == (0, 0, 0) for r in got if r.cloud_id == 2)
