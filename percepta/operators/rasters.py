@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from percepta.operators.spatial import edges, stencil
+from percepta.operators.tiles import edges, majorities
 
 
 def depth_at(raster: DataFrame, points: DataFrame, most: float = 100.0) -> DataFrame:
@@ -18,7 +18,7 @@ def depth_from_edges(raster: DataFrame, value: str = "grey", near: float = 3.5,
     """Adds a placeholder depth: near at edges, far elsewhere, then the median of 5 × 5 pixels, which for two values is a majority of 13."""
     marks = edges(raster, value).select("image_id", "y", "x", F.col("edge").cast("int").alias("edge"))
     if median:
-        marks = stencil(marks, "edge", 2).groupBy("image_id", "y", "x").agg((F.sum("v") >= 13).cast("int").alias("edge"))
+        marks = majorities(marks, "edge")
     depth = F.when(F.col("edge") == 1, near).otherwise(far)
     return marks.select("image_id", "y", "x", F.greatest(F.lit(least), F.least(F.lit(most), depth)).alias("depth"))
 

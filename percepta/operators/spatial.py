@@ -204,29 +204,6 @@ def calibrated(raster: DataFrame, references: DataFrame) -> DataFrame:
     return raster.join(fit, "image_id").withColumn("depth", F.greatest(F.col("slope") * F.col("depth") + F.col("shift"), F.lit(1e-6)))
 
 
-def stencil(raster: DataFrame, value: str, reach: int) -> DataFrame:
-    """Rows (image_id, y, x, dy, dx, v): the neighbourhood of every pixel with the edge pixels repeated outward."""
-    size = raster.groupBy("image_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    at = raster.select("image_id", "y", "x").join(size, "image_id").withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
-    at = at.withColumns({"ny": F.greatest(F.lit(0), F.least("h", F.col("y") + F.col("dy"))), "nx": F.greatest(F.lit(0), F.least("w", F.col("x") + F.col("dx")))})
-    return at.join(raster.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(value).alias("v")), ["image_id", "ny", "nx"]).select("image_id", "y", "x", "dy", "dx", "v")
-
-
-def edges(raster: DataFrame, value: str = "grey") -> DataFrame:
-    """Adds mag (Sobel magnitude) and edge (above the image's median magnitude)."""
-    s = stencil(raster, value, 1)
-    weight = lambda along, across: F.col(along) * F.when(F.col(across) == 0, 2).otherwise(1)
-    mag = s.groupBy("image_id", "y", "x").agg(F.sqrt(F.sum(F.col("v") * weight("dx", "dy")) ** 2 + F.sum(F.col("v") * weight("dy", "dx")) ** 2).alias("mag"))
-    middle = mag.groupBy("image_id").agg(F.percentile("mag", F.lit(0.5)).alias("mid"))
-    return mag.join(middle, "image_id").select("image_id", "y", "x", "mag", (F.col("mag") > F.col("mid")).alias("edge"))
-
-
-def local_deviation(raster: DataFrame) -> DataFrame:
-    s = stencil(raster, "depth", 1).groupBy("image_id", "y", "x")
-    return s.agg(F.sqrt(F.greatest(F.avg(F.col("v") * F.col("v")) - F.avg("v") * F.avg("v"), F.lit(0.0))).alias("sigma"))
-
-
 def proxy_iou(a: str, b: str) -> Column:
     """3-D overlap by centre distance of struct columns (cx, cy, cz, dx, dy, dz); rotation doesn't count."""
     c = lambda s, n: F.col(f"{s}.{n}")

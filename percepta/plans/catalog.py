@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from percepta.operators import encounters, kalman, learning, motion, spatial, tracking
+from percepta.operators import encounters, kalman, learning, motion, spatial, tiles, tracking
 from percepta.sources.views import view, with_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -275,9 +275,10 @@ add("dep_04_downsample", "v_pixels", lambda d: spatial.block_mean(d, 3), f"SELEC
 add("dep_05_calibrate", "v_pixels", lambda d: spatial.calibrated(d, d.filter("y = x").select("image_id", "y", "x", (F.col("depth") * 1.5 + F.col("y") / 10.0).alias("metres"))).select("image_id", "y", "x", "depth"), f"f AS (SELECT image_id, regr_slope(depth*1.5+y/10.0, depth) AS a, regr_intercept(depth*1.5+y/10.0, depth) AS b FROM v_pixels WHERE y = x GROUP BY 1) SELECT image_id, y, x, {_r('greatest(a*depth+b, 1e-6)', 'depth')} FROM v_pixels JOIN f USING (image_id)")
 add("dep_06_to_3d", "v_pixels", lambda d: spatial.back_projected(d, 500.0, 500.0, 5.0, 5.0, 2.5, 6.0), f"SELECT image_id, y, x, {_r('(x-5)*depth/500', 'px')}, {_r('(y-5)*depth/500', 'py')}, {_r('depth', 'pz')} FROM v_pixels WHERE depth BETWEEN 2.5 AND 6")
 _ST = "s AS (SELECT p.image_id, p.y, p.x, dy, dx, q.grey AS v, q.depth AS w FROM v_pixels p, (SELECT unnest([-1,0,1]) AS dy) a, (SELECT unnest([-1,0,1]) AS dx) b JOIN v_pixels q ON q.image_id = p.image_id AND q.y = greatest(0, least(9, p.y+dy)) AND q.x = greatest(0, least(9, p.x+dx)))"
-add("dep_08_sobel", "v_pixels", lambda d: spatial.edges(d).select("image_id", "y", "x", "mag"), f"{_ST} SELECT image_id, y, x, {_r('sqrt(power(sum(v*dx*(2-abs(dy))),2)+power(sum(v*dy*(2-abs(dx))),2))', 'mag')} FROM s GROUP BY 1, 2, 3")
+add("dep_08_sobel", "v_pixels", tiles.magnitudes, f"{_ST} SELECT image_id, y, x, {_r('sqrt(power(sum(v*dx*(2-abs(dy))),2)+power(sum(v*dy*(2-abs(dx))),2))', 'mag')} FROM s GROUP BY 1, 2, 3")
+add("dep_08_edges", "v_pixels", lambda d: tiles.edges(d.withColumn("grey", F.round(F.col("grey") * 255))).select("image_id", "y", "x", "edge"), f"{_ST}, m AS (SELECT image_id, y, x, sqrt(power(sum(round(v*255)*dx*(2-abs(dy))),2)+power(sum(round(v*255)*dy*(2-abs(dx))),2)) AS mag FROM s GROUP BY 1, 2, 3) SELECT image_id, y, x, mag > quantile_cont(mag, 0.5) OVER (PARTITION BY image_id) AS edge FROM m")
 add("dep_11_normalise", "v_pixels", lambda d: d.join(d.groupBy("image_id").agg(F.min("inv_depth").alias("lo"), F.max("inv_depth").alias("hi")), "image_id").select("image_id", "y", "x", F.when(F.col("hi") > F.col("lo"), 10 - (F.col("inv_depth") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 9.9).otherwise(10.0).alias("depth")), f"m AS (SELECT *, min(inv_depth) OVER (PARTITION BY image_id) AS lo, max(inv_depth) OVER (PARTITION BY image_id) AS hi FROM v_pixels) SELECT image_id, y, x, {_r('CASE WHEN hi > lo THEN 10-(inv_depth-lo)/(hi-lo)*9.9 ELSE 10 END', 'depth')} FROM m")
-add("dep_13_uncertainty", "v_pixels", spatial.local_deviation, f"{_ST} SELECT image_id, y, x, {_r('sqrt(greatest(avg(w*w)-avg(w)*avg(w),0))', 'sigma', 5)} FROM s GROUP BY 1, 2, 3", 5)
+add("dep_13_uncertainty", "v_pixels", tiles.local_deviation, f"{_ST} SELECT image_id, y, x, {_r('sqrt(greatest(avg(w*w)-avg(w)*avg(w),0))', 'sigma', 5)} FROM s GROUP BY 1, 2, 3", 5)
 
 # Learning, safety, fusion, frame control
 
