@@ -48,6 +48,21 @@ def waypoints(outputs: DataFrame, value: str = "pred_xyz", key: str = "clip_id",
     return flat.select(key, "sample", "t", *[F.get("p", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")])
 
 
+def sample_counts(trajectories: DataFrame, key: str = "clip_id") -> DataFrame:
+    """key and num_samples of waypoints' rows (key, sample, t, …)."""
+    return trajectories.groupBy(key).agg((F.max("sample") + 1).alias("num_samples"))
+
+
+def first_samples(trajectories: DataFrame) -> DataFrame:
+    """The waypoints of each clip's sample 0."""
+    return trajectories.filter(F.col("sample") == 0)
+
+
+def positions_2d(trajectories: DataFrame) -> DataFrame:
+    """Waypoints without their height."""
+    return trajectories.drop("z")
+
+
 def rotations(outputs: DataFrame, value: str = "pred_rot", key: str = "clip_id", batch_index: int = 0) -> DataFrame:
     """key, sample, t, rotation (three rows of three) of a nested array column of matrices, or of rows of nine numbers."""
     depth = _depth(outputs.schema[value].dataType)

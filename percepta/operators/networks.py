@@ -99,6 +99,7 @@ def clone_behaviour(data: DataFrame, hidden: tuple[int, ...] = (256, 256), steps
     data = written(data.select(observation, action), "cloning")  # read at every step
     first = data.select(F.size(observation).alias("x"), F.size(action).alias("y")).first()
     if first is None:
+        freed(data)
         raise ValueError("no rows to train on")
     model, best, since = Cloned(layers([first.x, *hidden, first.y], seed)), float("inf"), 0
     for step in range(steps):
@@ -144,10 +145,10 @@ def divergence(predicted: str, wanted: str) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def training_statistics(log: DataFrame, order: str = "step", loss: str = "total", mse: str = "mse") -> DataFrame:
-    """One row over a log of steps: their number, average, least and largest loss, average mse and whether the last loss is below the first."""
+def training_statistics(log: DataFrame, order: str = "step", loss: str = "total", mse: str = "mse", run: str | None = None) -> DataFrame:
+    """One row over a log of steps, or one for each run: their number, average, least and largest loss, average mse and whether the last loss is below the first."""
     trend = F.when(F.max_by(loss, order) < F.min_by(loss, order), "decreasing").otherwise("increasing")
-    return log.agg(F.count("*").alias("num_steps"), F.avg(loss).alias("avg_loss"), F.min(loss).alias("min_loss"), F.max(loss).alias("max_loss"), F.avg(mse).alias("avg_mse"), trend.alias("loss_trend"))
+    return (log.groupBy(run) if run else log).agg(F.count("*").alias("num_steps"), F.avg(loss).alias("avg_loss"), F.min(loss).alias("min_loss"), F.max(loss).alias("max_loss"), F.avg(mse).alias("avg_mse"), trend.alias("loss_trend"))
 
 
 def batches_of(rows: DataFrame, size: int, key: str, order: str) -> DataFrame:
@@ -170,12 +171,12 @@ def stopping(log: DataFrame, run: str = "run_id", epoch: str = "epoch", loss: st
     return seen.groupBy(run, "stopped").agg(F.min_by(epoch, F.struct(loss, epoch)).alias("best_epoch"), F.min(loss).alias("best_loss"), F.count("*").alias("epochs"))
 
 
-def training_summary(log: DataFrame, order: str = "step", loss: str = "total", mse: str = "mse", validation: str = "validation") -> DataFrame:
-    """One row over a log of epochs: their number, the best one by validation loss and its loss, the last, average, least and largest
+def training_summary(log: DataFrame, order: str = "step", loss: str = "total", mse: str = "mse", validation: str = "validation", run: str | None = None) -> DataFrame:
+    """One row over a log of epochs, or one for each run: their number, the best one by validation loss and its loss, the last, average, least and largest
     loss, the average mse, the improvement from first to last, and the last validation loss."""
     first, last = F.min_by(loss, order), F.max_by(loss, order)
     best = F.min_by(order, F.when(F.col(validation).isNotNull(), F.struct(validation, order)))
-    return log.agg(F.count("*").alias("total_epochs"), best.alias("best_epoch"), F.min(validation).alias("best_loss"), last.alias("final_loss"), F.avg(loss).alias("avg_loss"), F.min(loss).alias("min_loss"), F.max(loss).alias("max_loss"), F.avg(mse).alias("avg_mse"), (first - last).alias("loss_improvement"), F.max_by(validation, order).alias("val_final_loss"))
+    return (log.groupBy(run) if run else log).agg(F.count("*").alias("total_epochs"), best.alias("best_epoch"), F.min(validation).alias("best_loss"), last.alias("final_loss"), F.avg(loss).alias("avg_loss"), F.min(loss).alias("min_loss"), F.max(loss).alias("max_loss"), F.avg(mse).alias("avg_mse"), (first - last).alias("loss_improvement"), F.max_by(validation, order).alias("val_final_loss"))
 
 
 def save_settings(spark, settings: dict, path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from percepta.operators.tiles import edges, majorities
+from percepta.shared import lookup_join, written
 
 
 def depth_at(raster: DataFrame, points: DataFrame, most: float = 100.0) -> DataFrame:
@@ -23,6 +24,14 @@ def depth_from_edges(raster: DataFrame, value: str = "grey", near: float = 3.5,
     return marks.select("image_id", "y", "x", F.greatest(F.lit(least), F.least(F.lit(most), depth)).alias("depth"))
 
 
+def depth_from_inverse(raster: DataFrame, value: str = "inv_depth", least: float = 0.1, most: float = 10.0) -> DataFrame:
+    """image_id, y, x, depth: an image's inverse depths spread over least (the largest) to most; most throughout an image of one value."""
+    ends = written(raster.groupBy("image_id").agg(F.min(value).alias("lo"), F.max(value).alias("hi")), "inverse-ends")
+    both = lookup_join(raster.select("image_id", "y", "x", F.col(value).alias("v")), ends, ["image_id"], "inner", spread=[F.col("y"), F.col("x")])
+    share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    return both.select("image_id", "y", "x", F.when(F.col("hi") > F.col("lo"), most - share * (most - least)).otherwise(most).alias("depth"))
+
+
 def fused_with_points(raster: DataFrame, points: DataFrame, fx: float, fy: float, cx: float, cy: float, weight: float = 0.5, least: float = 0.1, most: float = 100.0) -> DataFrame:
     """The raster with the depth of points(image_id, pt_idx, x, y, z) mixed in where they fall; the last point of a pixel counts.
 

@@ -62,6 +62,11 @@ def in_height(points: DataFrame, least: float, most: float) -> DataFrame:
     return points.filter(F.col("z").between(least, most))
 
 
+def without_ground(points: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The points at the threshold's height or above; those without a height go."""
+    return points.filter(F.col("z") >= threshold)
+
+
 def sampled(points: DataFrame, n: int) -> DataFrame:
     """n points of every cloud (all where it has no more), in the order of a hash of their index."""
     order = Window.partitionBy("cloud_id").orderBy(F.md5(F.col("pt_idx").cast("string")), "pt_idx")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from percepta.operators import encounters, kalman, learning, motion, spatial, tiles, tracking
+from percepta.operators import encounters, kalman, learning, motion, rasters, spatial, tiles, tracking
 from percepta.sources.views import view, with_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,6 +202,22 @@ add("beh_02_motion_pattern", "v_positions", lambda d: motion.motion_pattern(moti
 add("beh_03_behaviour_pattern", "v_positions", lambda d: motion.behaviour_pattern(motion.motion_pattern(motion.motion_features(d))).select("track_id", "behaviour"), f"{_FEAT} SELECT track_id, CASE WHEN pattern = 'stopped' THEN 'stationary' WHEN direction_variance > 0.5 OR pattern = 'turning' THEN 'curved_motion' ELSE 'linear_motion' END AS behaviour FROM m")
 
 
+def _remembered(d: DataFrame) -> DataFrame:
+    """Patterns with the features of up to five tracks, the own one last, as their history."""
+    last = Window.partitionBy(F.col("track_id") % 10).orderBy("track_id").rowsBetween(-4, 0)
+    return motion.motion_pattern(motion.motion_features(d)).withColumn("past", F.collect_list(F.struct("heading_change", "acceleration", "direction_variance")).over(last))
+
+
+_MEAN = "CASE WHEN count({c}) OVER w = count(*) OVER w THEN avg({c}) OVER w END"
+add(
+    "beh_03_with_history",
+    "v_positions",
+    lambda d: motion.behaviour_pattern(_remembered(d), "past").select("track_id", "behaviour"),
+    f"""{_FEAT}, h AS (SELECT *, row_number() OVER (PARTITION BY track_id % 10 ORDER BY track_id) AS n, {_MEAN.format(c='heading_change')} AS mh, {_MEAN.format(c='acceleration')} AS ma FROM m WINDOW w AS (PARTITION BY track_id % 10 ORDER BY track_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+SELECT track_id, CASE WHEN pattern = 'stopped' THEN 'stationary' WHEN n > 3 AND mh > 0.3 THEN 'lane_change' WHEN ma > 0.5 THEN 'acceleration_event' WHEN ma < -0.5 THEN 'braking_event' WHEN direction_variance > 0.5 OR pattern = 'turning' THEN 'curved_motion' ELSE 'linear_motion' END AS behaviour FROM h""",
+)
+
+
 def _on_course(d: DataFrame) -> DataFrame:
     last = motion.latest(d).select("track_id", "x", "y").join(motion.motion_features(d), "track_id")
     pairs = encounters.near_pairs(last, 2.0, ("speed",))
@@ -237,7 +253,7 @@ add("lid_03_voxelize", "v_points", lambda d: spatial.voxelize(d, 4.3), f"SELECT
 add("lid_04_downsample", "v_points", lambda d: spatial.sampled(d, 50), f"SELECT cloud_id, pt_idx, {_XYZ} FROM v_points QUALIFY row_number() OVER (PARTITION BY cloud_id ORDER BY md5(CAST(pt_idx AS VARCHAR)), pt_idx) <= 50")
 add("lid_05_statistics", "v_points", spatial.cloud_statistics, "SELECT cloud_id, count(*) AS n, " + ", ".join(_r(f"{f}({c})", f"{n}_{c}") for c in "xyz" for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))) + f", {_r(f'max({_RANGE})', 'max_range')} FROM v_points GROUP BY cloud_id")
 add("lid_06_process_raw", "v_points", lambda d: spatial.in_height(spatial.in_range(d, 0.5, 100.0), -1.0, 5.0), f"SELECT cloud_id, pt_idx, {_XYZ} FROM v_points WHERE {_RANGE} BETWEEN 0.5 AND 100 AND z BETWEEN -1 AND 5")
-add("lid_07_remove_ground", "v_points", lambda d: d.filter("z >= 0.5"), f"SELECT cloud_id, pt_idx, {_XYZ} FROM v_points WHERE z >= 0.5")
+add("lid_07_remove_ground", "v_points", spatial.without_ground, f"SELECT cloud_id, pt_idx, {_XYZ} FROM v_points WHERE z >= 0.5")
 _NEAR = "nb AS (SELECT a.cloud_id, a.pt_idx AS a, b.pt_idx AS b FROM v_points a JOIN v_points b ON a.cloud_id = b.cloud_id WHERE power(a.x-b.x,2)+power(a.y-b.y,2)+power(a.z-b.z,2) > 0 AND sqrt(power(a.x-b.x,2)+power(a.y-b.y,2)+power(a.z-b.z,2)) < 1.77)"
 add("lid_08_neighbours", "v_points", lambda d: spatial.neighbour_counts(d, 1.77), f"{_NEAR} SELECT cloud_id, a AS pt_idx, count(*) AS n FROM nb GROUP BY 1, 2")
 _DBSCAN = f"""{_NEAR}, core AS (SELECT cloud_id, a FROM nb GROUP BY 1, 2 HAVING count(*) >= 3),
@@ -277,7 +293,7 @@ add("dep_06_to_3d", "v_pixels", lambda d: spatial.back_projected(d, 500.0, 500.0
 _ST = "s AS (SELECT p.image_id, p.y, p.x, dy, dx, q.grey AS v, q.depth AS w FROM v_pixels p, (SELECT unnest([-1,0,1]) AS dy) a, (SELECT unnest([-1,0,1]) AS dx) b JOIN v_pixels q ON q.image_id = p.image_id AND q.y = greatest(0, least(9, p.y+dy)) AND q.x = greatest(0, least(9, p.x+dx)))"
 add("dep_08_sobel", "v_pixels", tiles.magnitudes, f"{_ST} SELECT image_id, y, x, {_r('sqrt(power(sum(v*dx*(2-abs(dy))),2)+power(sum(v*dy*(2-abs(dx))),2))', 'mag')} FROM s GROUP BY 1, 2, 3")
 add("dep_08_edges", "v_pixels", lambda d: tiles.edges(d.withColumn("grey", F.round(F.col("grey") * 255))).select("image_id", "y", "x", "edge"), f"{_ST}, m AS (SELECT image_id, y, x, sqrt(power(sum(round(v*255)*dx*(2-abs(dy))),2)+power(sum(round(v*255)*dy*(2-abs(dx))),2)) AS mag FROM s GROUP BY 1, 2, 3) SELECT image_id, y, x, mag > quantile_cont(mag, 0.5) OVER (PARTITION BY image_id) AS edge FROM m")
-add("dep_11_normalise", "v_pixels", lambda d: d.join(d.groupBy("image_id").agg(F.min("inv_depth").alias("lo"), F.max("inv_depth").alias("hi")), "image_id").select("image_id", "y", "x", F.when(F.col("hi") > F.col("lo"), 10 - (F.col("inv_depth") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 9.9).otherwise(10.0).alias("depth")), f"m AS (SELECT *, min(inv_depth) OVER (PARTITION BY image_id) AS lo, max(inv_depth) OVER (PARTITION BY image_id) AS hi FROM v_pixels) SELECT image_id, y, x, {_r('CASE WHEN hi > lo THEN 10-(inv_depth-lo)/(hi-lo)*9.9 ELSE 10 END', 'depth')} FROM m")
+add("dep_11_normalise", "v_pixels", rasters.depth_from_inverse, f"m AS (SELECT *, min(inv_depth) OVER (PARTITION BY image_id) AS lo, max(inv_depth) OVER (PARTITION BY image_id) AS hi FROM v_pixels) SELECT image_id, y, x, {_r('CASE WHEN hi > lo THEN 10-(inv_depth-lo)/(hi-lo)*9.9 ELSE 10 END', 'depth')} FROM m")
 add("dep_13_uncertainty", "v_pixels", tiles.local_deviation, f"{_ST} SELECT image_id, y, x, {_r('sqrt(greatest(avg(w*w)-avg(w)*avg(w),0))', 'sigma', 5)} FROM s GROUP BY 1, 2, 3", 5)
 
 # Learning, safety, fusion, frame control

@@ -410,6 +410,7 @@ def _log(d: DataFrame) -> DataFrame:
 
 _LOG = "g AS (SELECT stream_id AS run_id, seq AS step, latency_ms AS total, latency_ms/2 AS mse, latency_ms*0.9::DOUBLE + seq % 3 AS validation FROM v_latency)"
 add("bcl_05_training_statistics", "v_latency", lambda d: networks.training_statistics(_log(d).filter("run_id = 3")), f"{_LOG} SELECT count(*) AS num_steps, {_r('avg(total)', 'avg_loss')}, {_r('min(total)', 'min_loss')}, {_r('max(total)', 'max_loss')}, {_r('avg(mse)', 'avg_mse')}, CASE WHEN max_by(total, step) < min_by(total, step) THEN 'decreasing' ELSE 'increasing' END AS loss_trend FROM g WHERE run_id = 3")
+add("bcl_05_by_run", "v_latency", lambda d: networks.training_statistics(_log(d), run="run_id"), f"{_LOG} SELECT run_id, count(*) AS num_steps, {_r('avg(total)', 'avg_loss')}, {_r('min(total)', 'min_loss')}, {_r('max(total)', 'max_loss')}, {_r('avg(mse)', 'avg_mse')}, CASE WHEN max_by(total, step) < min_by(total, step) THEN 'decreasing' ELSE 'increasing' END AS loss_trend FROM g GROUP BY run_id")
 add("trn_02_batches", "v_transitions", lambda d: networks.batches_of(d, 4, "episode_id", "step").select("episode_id", "step", "batch"), "b AS (SELECT episode_id, step, CAST(floor((row_number() OVER (PARTITION BY episode_id ORDER BY step) - 1) / 4) AS BIGINT) AS batch, floor(count(*) OVER (PARTITION BY episode_id) / 4) AS n FROM v_transitions) SELECT episode_id, step, batch FROM b WHERE batch < n")
 add(
     "trn_04_early_stopping",
@@ -419,6 +420,7 @@ add(
 SELECT run_id, coalesce(max(step) FILTER (WHERE since >= 10), -1) AS stopped, max(step - since) AS best_epoch, {_r('min(best)', 'best_loss')}, count(*) AS epochs FROM w GROUP BY run_id""",
 )
 add("trn_05_summary", "v_latency", lambda d: networks.training_summary(_log(d).filter("run_id = 4")), f"{_LOG} SELECT count(*) AS total_epochs, min_by(step, validation) AS best_epoch, {_r('min(validation)', 'best_loss')}, {_r('max_by(total, step)', 'final_loss')}, {_r('avg(total)', 'avg_loss')}, {_r('min(total)', 'min_loss')}, {_r('max(total)', 'max_loss')}, {_r('avg(mse)', 'avg_mse')}, {_r('min_by(total, step)-max_by(total, step)', 'loss_improvement')}, {_r('max_by(validation, step)', 'val_final_loss')} FROM g WHERE run_id = 4")
+add("trn_05_by_run", "v_latency", lambda d: networks.training_summary(_log(d), run="run_id"), f"{_LOG} SELECT run_id, count(*) AS total_epochs, min_by(step, validation) AS best_epoch, {_r('min(validation)', 'best_loss')}, {_r('max_by(total, step)', 'final_loss')}, {_r('avg(total)', 'avg_loss')}, {_r('min(total)', 'min_loss')}, {_r('max(total)', 'max_loss')}, {_r('avg(mse)', 'avg_mse')}, {_r('min_by(total, step)-max_by(total, step)', 'loss_improvement')}, {_r('max_by(validation, step)', 'val_final_loss')} FROM g GROUP BY run_id")
 
 
 def _policy(d: DataFrame) -> DataFrame:
@@ -472,6 +474,19 @@ _SMP = "sp AS (SELECT track_id AS clip_id, CAST((frame_id-1) % 3 AS INT) AS samp
 _ERR = f"{_SMP}, e AS (SELECT p.clip_id, p.sample, p.t, sqrt(power(p.x-q.x,2)+power(p.y-q.y,2)+power(p.z-q.z,2)) AS e FROM sp p JOIN sp q ON q.clip_id = p.clip_id AND q.t = p.t AND q.sample = 0), a AS (SELECT clip_id, sample, avg(e) AS ade, max_by(e, t) AS fde, count(*) AS horizon FROM e GROUP BY 1, 2)"
 _truth = lambda d: _samples(d).filter("sample = 0").drop("sample")
 add("alp_01_waypoints", "v_positions", lambda d: adapters.waypoints(_outputs(d)), f"{_SMP} SELECT clip_id, sample, t, {_rs('x y z')} FROM sp")
+
+
+def _rotated(d: DataFrame, flat: bool) -> DataFrame:
+    """A matrix for every waypoint, nested by clip and sample; as nine numbers if flat."""
+    rows = F.array(F.array("x", "y", "z"), F.array("y", "z", "x"), F.array("z", "x", "y"))
+    one = _samples(d).groupBy("clip_id", "sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", (F.flatten(rows) if flat else rows).alias("r")))), lambda s: s["r"]).alias("s"))
+    return one.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "s"))), lambda s: s["s"]).alias("pred_rot"))
+
+
+for _name, _flat in (("alp_02_rotations", False), ("alp_02_flat_rotations", True)):
+    add(_name, "v_positions", lambda d, flat=_flat: adapters.rotations(_rotated(d, flat)).select("clip_id", "sample", "t", *[F.col("rotation")[i][j].alias(f"r{i}{j}") for i, j in ((0, 0), (0, 2), (1, 2), (2, 1))]), f"{_SMP} SELECT clip_id, sample, t, {_r('x', 'r00')}, {_r('z', 'r02')}, {_r('x', 'r12')}, {_r('x', 'r21')} FROM sp")
+add("alp_07_sample_counts", "v_positions", lambda d: adapters.sample_counts(adapters.waypoints(_outputs(d))), f"{_SMP} SELECT clip_id, count(DISTINCT sample)::INT AS num_samples FROM sp GROUP BY 1")
+add("alp_07_first_positions", "v_positions", lambda d: adapters.positions_2d(adapters.first_samples(adapters.waypoints(_outputs(d)))), f"{_SMP} SELECT clip_id, sample, t, {_rs('x y')} FROM sp WHERE sample = 0")
 add("alp_03_reasoning", "v_positions", lambda d: adapters.reasoning(_outputs(d).withColumn("n", F.size("pred_xyz")), "n"), "SELECT DISTINCT track_id AS clip_id, CAST((frame_id-1) % 3 AS INT) AS sample, CASE (frame_id-1) % 3 WHEN 0 THEN 'first of ' || CAST(track_id AS VARCHAR) WHEN 1 THEN 'second' END AS reasoning FROM v_positions")
 add("alp_04_parsed", "v_positions", lambda d: adapters.parsed(_outputs(d)).select("clip_id", "sample", "n_waypoints", F.col("trajectory")[0][0].alias("x0"), "reasoning"), f"{_SMP} SELECT clip_id, sample, count(*) AS n_waypoints, {_r('min_by(x, t)', 'x0')}, CASE sample WHEN 0 THEN 'first of ' || CAST(clip_id AS VARCHAR) WHEN 1 THEN 'second' END AS reasoning FROM sp GROUP BY clip_id, sample")
 add("alp_05_errors", "v_positions", lambda d: adapters.sample_errors(_samples(d), _truth(d)), f"{_ERR} SELECT clip_id, sample, {_rs('ade fde')}, horizon FROM a")
