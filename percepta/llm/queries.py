@@ -100,6 +100,41 @@ SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.
 FROM embeddings e JOIN comp c USING (vec_id) LEFT JOIN n USING (vec_id)
 """
 
+# Base 32 from the hexadecimal digest: five digits give four letters.
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+), r AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM r
+"""
+
+OP3_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i, len(l) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents)
+), g AS (
+  SELECT doc_id, n, x || coalesce(' ' || lead(x, 1) OVER o, '') || coalesce(' ' || lead(x, 2) OVER o, '') || coalesce(' ' || lead(x, 3) OVER o, '') AS s, i
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), s AS (SELECT DISTINCT doc_id, s FROM g WHERE i = 1 OR i <= n - 3),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sized AS (SELECT doc_id, s, n FROM s JOIN z USING (doc_id)),
+met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS m, any_value(b.n) AS n
+  FROM sized a JOIN sized b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id
+), links AS (SELECT a, b FROM met WHERE 100 * shared >= 80 * (m + n - shared)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN ways l ON r.b = l.a
+), comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN comp c USING (doc_id) LEFT JOIN z USING (doc_id)
+"""
+
 OP6_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
@@ -171,4 +206,4 @@ FROM x
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1_SQL, "op6_mix_sources": OP6_SQL, "op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_quality_rules": quality_rules.SQL, "op13_phrase_collocations": collocations.SQL}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op6_mix_sources": OP6_SQL, "op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_quality_rules": quality_rules.SQL, "op13_phrase_collocations": collocations.SQL}
