@@ -16,8 +16,10 @@ PERMUTATIONS = 48
 BLOCK = 1024
 #: Members that are verified against one copy of their centre.
 STAR = 512
-#: Rounds in which each row of a bucket of several components tries its most similar partner of another one.
-BEST_ROUNDS = 1
+#: Bands of each round: pairs that meet in the first bands are settled, and mostly joined, before the other bands are looked at.
+ROUNDS = ((0, 4), (4, PERMUTATIONS // 2))
+#: Shingles of the residents whose full sets one task holds at once, unless a single text has more.
+SHINGLES = 1 << 22
 #: Ranges of hashes of which a sketch keeps a byte each.
 BIN_BITS = 10
 BINS = 1 << BIN_BITS
@@ -134,13 +136,16 @@ def _row_key(doc_id: str, digest) -> list:
     return [F.coalesce(doc_id, F.lit(-1)).alias("d"), F.col(doc_id).isNull().alias("no"), digest.alias("tk")]
 
 
-def _with_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """wanted(cid, keys…) with the text that stands for each class, one row for each of keys. Only these texts travel."""
+def _texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """wanted(cid, …) without cid, with the text that stands for each class. Only these texts travel. Repeated rows of one id and text give repeated rows."""
     at = classes.select("cid", *_row_key("rep.doc_id", F.col("rep.tk")))
     rows = written(wanted.join(at, "cid").drop("cid"), f"{name}-wanted")
-    texts = lookup_join(_marked(docs), rows, ["d", "no", "tk"], "inner", spread=[F.col("tk")]).select(*keys, "text")
-    # Repeated rows of one id and text stand for a class more than once.
-    return texts.groupBy(*keys).agg(F.first("text").alias("text"))
+    return lookup_join(_marked(docs), rows, ["d", "no", "tk"], "inner", spread=[F.col("tk")]).drop("d", "no", "tk")
+
+
+def _with_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """wanted(cid, keys…) with the text that stands for each class, one row for each of keys."""
+    return _texts_of(wanted, classes, docs, name).groupBy(*keys).agg(F.first("text").alias("text"))
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
@@ -178,8 +183,8 @@ def sketch_of(shingles: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def may_be_similar(sketches: np.ndarray, rows: np.ndarray, filled: np.ndarray, sizes: np.ndarray, own: np.ndarray, size: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of sketches, of so many filled bins, may belong to sets whose similarity with own reaches share, and the estimates.
+def may_be_similar(sketches: np.ndarray, rows: np.ndarray, filled: np.ndarray, sizes: np.ndarray, own: np.ndarray, size: int, share: float) -> np.ndarray:
+    """Which rows of sketches, of so many filled bins, may belong to sets whose similarity with own reaches share.
 
     The estimate is the share of equal bins among those that either fills, a sample of the union without replacement: its
     variance shrinks as the bins hold all of the union. Four standard deviations and two bins are allowed for.
@@ -190,14 +195,13 @@ def may_be_similar(sketches: np.ndarray, rows: np.ndarray, filled: np.ndarray, s
     either = np.maximum(filled + len(bins) - np.count_nonzero(there, 1), 1)
     union = np.maximum((sizes + size) / (1 + share), either)
     slack = 4 * np.sqrt(share * (1 - share) / either * (1 - either / union) + 1e-9) + 2 / either
-    return equal / either >= share - slack, equal / either
+    return equal / either >= share - slack
 
 
-def _crossed(percent: int, best: bool):
-    """Streams buckets, residents first: pairs of different components whose sketches allow the similarity.
+def _crossed(percent: int):
+    """Streams buckets, residents first: the rows with a partner of another component in the bucket whose sketch allows the similarity.
 
     A pair is looked at in the first band that its two rows share only: both are in that bucket, and in its other ones again.
-    best: for each row of a bucket only the pair that agrees most.
     """
 
     share = percent / 100
@@ -205,14 +209,26 @@ def _crossed(percent: int, best: bool):
     def cross(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        at, ids, names = None, [], {}
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+        at, ids, names, out = None, [], {}, []
         matrix, keys = np.zeros((16, BINS), np.uint8), np.zeros((16, PERMUTATIONS // 2), np.int64)
-        labels, sizes, filled = (np.zeros(16, np.int64) for _ in range(3))
+        labels, sizes, filled, hit = (np.zeros(16, np.int64) for _ in range(4))
+
+        def drained() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["key", "cid", "label", "n"])
+
+        def close() -> None:
+            for i in np.flatnonzero(hit[: len(ids)]).tolist():
+                out.append((at[0], *ids[i], int(sizes[i])))
+            hit[:] = 0
+
         for batch in batches:
-            a, b = [], []
             bands = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, PERMUTATIONS // 2)
             for key, block, cid, label, n, raw, home, own_keys in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "cid", "label", "n", "sketch", "home")), bands, strict=True):
                 if (key, block) != at:
+                    close()
                     at, ids, names = (key, block), [], {}
                 own, tag, m = np.frombuffer(raw, np.uint8), names.setdefault(label, len(names)), len(ids)
                 fits = np.minimum(sizes[:m], n) >= share * np.maximum(sizes[:m], n) - 1e-9
@@ -220,23 +236,127 @@ def _crossed(percent: int, best: bool):
                 if len(other):
                     other = other[own_keys[(keys[other] == own_keys).argmax(1)] == key]
                 if len(other):
-                    ok, near = may_be_similar(matrix, other, filled[other], sizes[other], own, n, share)
-                    found = np.flatnonzero(ok)
-                    if best and len(found):
-                        found = found[[near[found].argmax()]]
-                    for i in other[found].tolist():
-                        a.append(min(ids[i], cid))
-                        b.append(max(ids[i], cid))
+                    other = other[may_be_similar(matrix, other, filled[other], sizes[other], own, n, share)]
+                    hit[other] = 1
                 if home:
                     if m == len(matrix):
-                        matrix, keys, labels, sizes, filled = (np.concatenate([x, np.zeros_like(x)]) for x in (matrix, keys, labels, sizes, filled))
-                    matrix[m], keys[m], labels[m], sizes[m], filled[m] = own, own_keys, tag, n, np.count_nonzero(own)
-                    ids.append(cid)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["hub", "member"])
+                        matrix, keys, labels, sizes, filled, hit = (np.concatenate([x, np.zeros_like(x)]) for x in (matrix, keys, labels, sizes, filled, hit))
+                    matrix[m], keys[m], labels[m], sizes[m], filled[m], hit[m] = own, own_keys, tag, n, np.count_nonzero(own), len(other) > 0
+                    ids.append((cid, label))
+                elif len(other):
+                    out.append((key, cid, label, n))
+            yield drained()
+        close()
+        yield drained()
 
     return cross
 
 
+class Block:
+    """Full sets of the residents of a block as one sorted index, which gives a set's intersections with all of them at once."""
+
+    def __init__(self, percent: int):
+        self.percent, self.rows, self.sets, self.parent = percent, [], [], {}
+        self.hashes = None
+
+    def _root(self, x):
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def add(self, cid: bytes, label: bytes, own: np.ndarray) -> None:
+        self.rows.append((cid, label))
+        self.sets.append(own)
+
+    def closed(self) -> Iterator[tuple[bytes, bytes]]:
+        """After the last resident: builds the index and gives the residents' links among themselves."""
+        if self.hashes is None and self.rows:
+            self.sizes = np.array([len(s) for s in self.sets])
+            hashes = np.concatenate(self.sets)
+            order = np.argsort(hashes)
+            self.hashes, self.owners = hashes[order], np.repeat(np.arange(len(self.sets), dtype=np.int32), self.sizes)[order]
+            for m, ((cid, label), own) in enumerate(zip(self.rows, self.sets, strict=True)):
+                yield from self.links(cid, label, own, m)
+            self.sets = []
+
+    def links(self, cid: bytes, label: bytes, own: np.ndarray, m: int | None = None) -> Iterator[tuple[bytes, bytes]]:
+        """Links of a row with the first m residents (all), but for those of components that the block's links already join."""
+        if not self.rows or m == 0:
+            return
+        lo, hi = np.searchsorted(self.hashes, own, "left"), np.searchsorted(self.hashes, own, "right")
+        counts = hi - lo
+        at = np.repeat(hi - counts.cumsum(), counts) + np.arange(counts.sum())
+        both = np.bincount(self.owners[at], minlength=len(self.rows))[:m]
+        for i in np.flatnonzero(100 * both >= self.percent * (self.sizes[:m] + len(own) - both)).tolist():
+            a, b = self._root(label), self._root(self.rows[i][1])
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                yield cid, self.rows[i][0]
+
+
+def _compared(k: int, percent: int):
+    """Streams blocks of buckets, residents first: links between different components, confirmed on full sets, at most one for each row that they join."""
+
+    def compare(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        at = last = None
+        block, out = Block(percent), []
+
+        def drained() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            out.clear()
+            return made
+
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            for i, (key, number, home, label, cid) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "block", "home", "label", "own")), strict=True)):
+                if (key, number) != at:
+                    out.extend(block.closed())
+                    at, last, block = (key, number), None, Block(percent)
+                if cid == last:  # a repeated row that stands for the class again
+                    continue
+                last, own = cid, shingle_set(texts[i].as_py(), k)
+                if home:
+                    block.add(cid, label, own)
+                else:
+                    out.extend(block.closed())
+                    out.extend(block.links(cid, label, own))
+            yield drained()
+        out.extend(block.closed())
+        yield drained()
+
+    return compare
+
+
+def _open(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, with these."""
+    labelled = written(met.join(parts, "cid", "left").select("key", "band", "cid", "homes", F.coalesce("component", "cid").alias("label")), "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.ceil(F.col("homes") / BLOCK)).cast("int").alias("blocks")).filter("lo <> hi").select("key", "blocks")
+    out = written(labelled.join(mixed, "key").select("key", "band", "cid", "label", "blocks"), "open")
+    freed(labelled)
+    return out
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of buckets dealt over their blocks: each row lives in one, home, and visits those before it, so two rows of a bucket meet once."""
+    rows = rows.withColumn("own_block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own_block")))).withColumn("home", F.col("block") == F.col("own_block"))
+
+
+def _links_across(open_rows: DataFrame, sketches: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+    """Links between components of one bucket. A text travels once to each block of those of its buckets in which a sketch allows a link; pairs never do."""
+    dealt = _dealt(open_rows.join(sketches, "cid")).select("key", "block", "cid", "label", "n", "bands", "sketch", "home")
+    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", F.col("home").desc())
+    wanted = written(dealt.mapInArrow(_crossed(percent), "key long, cid binary, label binary, n long").distinct(), f"{name}-rows")
+    sized = wanted.groupBy("key").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("blocks"))
+    rows = _dealt(wanted.join(sized, "key")).select("cid", "key", "block", "home", "label", F.col("cid").alias("own"))
+    texts = _texts_of(rows, classes, docs, name).repartition("key", "block").sortWithinPartitions("key", "block", F.col("home").desc(), "own")
+    out = written(texts.mapInArrow(_compared(k, percent), "a binary, b binary"), f"{name}-links")
+    freed(wanted)
+    return out
+
+
 def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", seed: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, the digest tk of the text and the key of its group for every row of docs.
 
@@ -247,8 +367,8 @@ def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     Texts with equal sets form a class. Each class has min-max values under 48 permutations, banded by four values in 24
     bands: of two texts at 0.8, fewer than one pair in 100,000 shares no band. In each band bucket all classes are first
     verified against the bucket's least class: one row each, however large the bucket. Links found join components; then rows
-    of one bucket in different components are compared by sketches of 1,024 bytes. Pairs that can be similar enough are verified on full sets: first the best pair of each
-    row, which joins most of a group, and then every pair that is left. Pairs already joined need no check.
+    of one bucket in different components are compared by sketches of 1,024 bytes. Rows whose sketches allow a link send their texts
+    to the bucket once, or once for each of its blocks of 4 million shingles, and are compared there on full sets; pairs are never written. Components already joined need no check.
     Large buckets are dealt over blocks and large stars over copies of their centre, so no task holds a whole group.
     Null or repeated ids are rows like any other: the group comes from the texts' sets, so two texts that don't link differ in
     it whatever their ids are. It is null without words.
@@ -261,7 +381,7 @@ def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     # Only keys travel to find the buckets of several classes; only the rows in these go on.
     keys = F.explode("bands").alias("key")
     shared = written(classes.select(keys).groupBy("key").agg(F.count("*").alias("homes")).filter("homes > 1"), "shared-keys")
-    met = written(lookup_join(classes.select("cid", "n", keys), shared, ["key"], "inner", most_rows=1_000_000, spread=[F.col("cid")]), "met")
+    met = written(lookup_join(classes.select("cid", "n", F.posexplode("bands").alias("band", "key")), shared, ["key"], "inner", most_rows=1_000_000, spread=[F.col("cid")]), "met")
     leads = met.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("lead"))
     fit = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
     starred = met.join(leads, "key").filter(fit & (F.col("cid") != F.col("lead.cid"))).select(F.col("lead.cid").alias("hub"), F.col("cid").alias("member"))
@@ -269,23 +389,18 @@ def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     parts = connected_components(links).withColumnRenamed("node", "cid")
 
     sketches = None
-    for step in range(BEST_ROUNDS + 1):
-        labelled = written(met.join(parts, "cid", "left").select("key", "cid", "homes", F.coalesce("component", "cid").alias("label")), "labelled")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.ceil(F.col("homes") / BLOCK)).cast("int").alias("blocks")).filter("lo <> hi").select("key", "blocks")
-        open_rows = written(labelled.join(mixed, "key").select("key", "cid", "label", "blocks"), "open")
+    for step, (first, last) in enumerate(ROUNDS):
+        open_rows = _open(met if sketches is None else met.filter(F.col("band") >= first), parts)
         if sketches is None:  # components only grow, so later rounds have no other classes
             needed = open_rows.select("cid").distinct().withColumn("own", F.col("cid"))
             texts = _with_texts(needed, classes, docs, ["own"], "sketch").withColumnRenamed("own", "cid")
             sketches = written(texts.mapInArrow(_sketched(k), "cid binary, sketch binary").join(classes.select("cid", "n", "bands"), "cid"), "sketches")
-        dealt = open_rows.join(sketches, "cid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("home", F.col("block") == F.pmod(F.xxhash64("cid"), F.col("blocks")))
-        dealt = dealt.select("key", "block", "cid", "label", "n", "bands", "sketch", "home").repartition("key", "block").sortWithinPartitions("key", "block", F.col("home").desc())
-        crossed = dealt.mapInArrow(_crossed(percent, step < BEST_ROUNDS), "hub binary, member binary")
-        more = _verify(crossed, classes, docs, k, percent, f"cross-{step}")
+        here = open_rows.filter(F.col("band").between(first, last - 1)).drop("band")
+        more = _links_across(here, sketches, classes, docs, k, percent, f"cross-{step}")
         if more.limit(1).count():
             links = links.union(more)
             parts = connected_components(links, f"components-{step}").withColumnRenamed("node", "cid")
-        freed(labelled, open_rows)
+        freed(open_rows)
     freed(met, shared, sketches)
     linked = parts.join(classes.select("cid", "least_id"), "cid")
     least_of = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))

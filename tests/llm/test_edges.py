@@ -56,7 +56,7 @@ def test_one_of_each_tells_texts_with_null_or_repeated_ids_apart(spark):
     assert sorted(map(repr, set(kept) - set(linked))) == sorted(map(repr, rest)) and len(kept) == len(rest) + 1
 
 
-def test_minhash_equals_brute_force(spark):
+def near_groups():
     rng = np.random.default_rng(5)
     docs = []
     for g in range(12):
@@ -65,8 +65,11 @@ def test_minhash_equals_brute_force(spark):
             own = base.copy()
             own[rng.integers(0, 80, rng.integers(0, 7))] = "x"
             docs.append(" ".join(own))
-    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, docs)]
+    return docs
+
+
+def least_reached(docs, k=4):
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in map(str.split, docs)]
     parent = list(range(len(docs)))
 
     def root(x):
@@ -79,8 +82,64 @@ def test_minhash_equals_brute_force(spark):
             if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
-    got = {r.doc_id: r.component_id for r in minhash.near_documents(df, k=4).collect()}
-    assert got == {i: root(i) for i in range(len(docs))}
+    return {i: root(i) for i in range(len(docs))}
+
+
+def components(spark, docs):
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in minhash.near_documents(df, k=4).collect()}
+
+
+def test_minhash_equals_brute_force(spark):
+    docs = near_groups()
+    assert components(spark, docs) == least_reached(docs)
+
+
+def test_minhash_in_small_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "SHINGLES", 300)
+    docs = near_groups()
+    assert components(spark, docs) == least_reached(docs)
+
+
+def test_minhash_blocks_count_each_intersection():
+    rng = np.random.default_rng(6)
+    pool = np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([pool[:300], rng.choice(pool, n)])) for n in rng.integers(0, 60, 40)] + [np.zeros(0, np.uint64), pool[:1]]
+    names = [bytes([i]) for i in range(len(sets))]
+    block = minhash.Block(90)
+    for name, s in zip(names[:30], sets, strict=False):
+        block.add(name, name, s)
+    found = list(block.closed()) + [x for name, s in zip(names[30:], sets[30:], strict=True) for x in block.links(name, name, s)]
+    near = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 90 * len(np.union1d(sets[a], sets[b]))
+    group = {i: {i} for i in range(len(sets))}
+    for a in range(len(sets)):
+        for b in range(min(a, 30)):
+            if near(a, b) and group[a] is not group[b]:
+                group[a] |= group[b]
+                for x in group[a]:
+                    group[x] = group[a]
+    assert all(near(a[0], b[0]) for a, b in found)
+    assert len(found) == len(sets) - len({id(g) for g in group.values()})
+    assert list(minhash.Block(80).closed()) == [] and list(minhash.Block(80).links(b"a", b"a", pool)) == []
+
+
+def test_minhash_sends_refused_texts_a_bounded_number_of_times(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    shared = [f"s{i}" for i in range(700)]
+    docs = [" ".join(shared + [f"o{d}x{i}" for i in range(100)]) for d in range(150)]
+    docs.append(" ".join(shared + [f"o0x{i}" for i in range(99)] + ["y"]))
+    order = rng.permutation(len(docs))
+    docs = [docs[i] for i in order]
+    sent, before = {}, minhash._texts_of
+
+    def counted(wanted, classes, docs, name):
+        sent[name] = sent.get(name, 0) + wanted.count()
+        return before(wanted, classes, docs, name)
+
+    monkeypatch.setattr(minhash, "_texts_of", counted)
+    assert components(spark, docs) == least_reached(docs)
+    assert 0 < sum(n for name, n in sent.items() if name.startswith("cross")) <= 24 * len(docs)
 
 
 def test_lattice_points():
