@@ -24,16 +24,17 @@ def _recording() -> Scan:
     return Scan([()] * 7, elements, combine, lambda e: [e[1] - e[6], e[3], e[0]])
 
 
-def recorded(stream: DataFrame, key: str = "buffer_id", order: str = "seq", most: int = 100_000, block: int = 500_000) -> DataFrame:
-    """The last `most` transitions of each buffer, with episode (0, 1, …; a new one after each done) and step.
+def recorded(stream: DataFrame, key: str = "buffer_id", order: str = "seq", most: int | None = 100_000, block: int = 500_000) -> DataFrame:
+    """The last `most` transitions of each buffer (all if None), with episode (0, 1, …; a new one after each done) and step.
 
     Episodes are counted before old transitions leave, so an episode may have lost its first steps. Null done counts as not done; rows
     without a buffer or order are left out. All counts are prefix sums, so buffers of more than `block` rows are dealt over tasks, as scanned() says.
     """
     rest = [c for c in stream.columns if c not in (key, order)]
     out = scanned(stream, key, order, [F.col("done").cast("double")], _recording(), "episode_ double, step_ double, nth_ double", block=block, keep=rest)
-    n = stream.filter(F.col(order).isNotNull()).groupBy(key).agg(F.count("*").alias("rows_"))
-    out = lookup_join(out, n, [key], "inner").filter(F.col("nth_") > F.col("rows_") - most)
+    if most is not None:
+        n = stream.filter(F.col(order).isNotNull()).groupBy(key).agg(F.count("*").alias("rows_"))
+        out = lookup_join(out, n, [key], "inner").filter(F.col("nth_") > F.col("rows_") - most)
     return out.select(*stream.columns, F.col("episode_").cast("long").alias("episode"), F.col("step_").cast("int").alias("step"))
 
 
