@@ -53,9 +53,8 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(r), c) for c, r in enumerate(owner) if r >= 0)
 
 
-def costs(tracks: np.ndarray, detections: np.ndarray, gate: float = 0.3, most: float = 100.0) -> np.ndarray:
-    """Centre distance · (1 − IoU) where the IoU exceeds gate, most elsewhere."""
-    a, b = tracks[:, None, :], detections[None, :, :]
+def _compared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """IoU and centre distance · (1 − IoU) of boxes side by side."""
     w = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
     h = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
     both = np.maximum(w, 0) * np.maximum(h, 0)
@@ -63,15 +62,150 @@ def costs(tracks: np.ndarray, detections: np.ndarray, gate: float = 0.3, most: f
     either = area(a) + area(b) - both
     iou = np.divide(both, either, out=np.zeros_like(both), where=either > 0)
     gap = (a[..., :2] + a[..., 2:] - b[..., :2] - b[..., 2:]) / 2
-    return np.where(iou > gate, np.sqrt((gap**2).sum(-1)) * (1 - iou), most)
+    return iou, np.sqrt((gap**2).sum(-1)) * (1 - iou)
+
+
+def costs(tracks: np.ndarray, detections: np.ndarray, gate: float = 0.3, most: float = 100.0) -> np.ndarray:
+    """Centre distance · (1 − IoU) where the IoU exceeds gate, most elsewhere."""
+    iou, cost = _compared(tracks[:, None, :], detections[None, :, :])
+    return np.where(iou > gate, cost, most)
+
+
+def _near(tracks: np.ndarray, detections: np.ndarray, gate: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that can overlap by more than gate, in parts of about a million; a pair may come twice.
+
+    Such boxes differ in size by a factor 1 / gate at most, so they meet in neighbouring cells of a grid as wide as the larger one's level, a power of two.
+    """
+    sides, reach = [], np.inf if gate == 0 else np.ceil(np.log2(1 / gate))
+    for box in (tracks, detections):
+        size = np.maximum(box[:, 2] - box[:, 0], box[:, 3] - box[:, 1])
+        kept = np.flatnonzero(np.isfinite(box).all(1) & (box[:, 2] > box[:, 0]) & (box[:, 3] > box[:, 1]) & np.isfinite(size))
+        sides.append((kept, (box[kept, :2] + box[kept, 2:]) / 2, np.ceil(np.log2(size[kept]))))
+    (ti, tc, tl), (di, dc, dl) = sides
+    for at in np.unique(tl):
+        for other in np.unique(dl[np.abs(dl - at) <= reach]):
+            own, there, width = tl == at, dl == other, 2.0 ** max(at, other)
+            t, cells, d, held = ti[own], np.floor(tc[own] / width), di[there], np.floor(dc[there] / width)
+            (ux, ix), (uy, iy) = (np.unique(c, return_inverse=True) for c in held.T)
+            code = ix * len(uy) + iy
+            order = np.argsort(code, kind="stable")
+            d, code = d[order], code[order]
+            for i, j in ((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                x, y = cells[:, 0] + i, cells[:, 1] + j
+                px, py = np.minimum(np.searchsorted(ux, x), len(ux) - 1), np.minimum(np.searchsorted(uy, y), len(uy) - 1)
+                hit = np.flatnonzero((ux[px] == x) & (uy[py] == y))
+                at_code = px[hit] * len(uy) + py[hit]
+                lo = np.searchsorted(code, at_code)
+                n = np.searchsorted(code, at_code, "right") - lo
+                for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(np.cumsum(n) // 1_000_000)) + 1):
+                    m = n[part]
+                    within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                    yield np.repeat(t[hit[part]], m), d[np.repeat(lo[part], m) + within]
+
+
+def gated(tracks: np.ndarray, detections: np.ndarray, gate: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """track, detection and cost of all pairs whose IoU exceeds gate (0 at least), in order."""
+    if len(tracks) * len(detections) <= 4096:
+        iou, cost = _compared(tracks[:, None, :], detections[None, :, :])
+        t, d = np.nonzero(iou > gate)
+        return t, d, cost[t, d]
+    found = []
+    for t, d in _near(tracks, detections, gate):
+        iou, cost = _compared(tracks[t], detections[d])
+        found.append((t[iou > gate] * len(detections) + d[iou > gate], cost[iou > gate]))
+    code, first = np.unique(np.concatenate([c for c, _ in found] or [np.zeros(0, int)]), return_index=True)
+    cost = np.concatenate([c for _, c in found] or [np.zeros(0)])[first]
+    return code // len(detections), code % len(detections), cost
+
+
+def assign_pairs(t: np.ndarray, d: np.ndarray, cost: np.ndarray, most: float) -> np.ndarray:
+    """Which of the pairs (t, d), all cheaper than most, are in the least-cost assignment where staying alone costs a t `most`.
+
+    Shortest augmenting paths, one t after the other; a path ends at a free d or where a t is better left alone, so it looks no farther than it must.
+    """
+    from heapq import heappop, heappush
+
+    if not len(t):
+        return np.zeros(0, int)
+    lone = (np.bincount(t)[t] == 1) & (np.bincount(d)[d] == 1)
+    ways: dict[int, list[tuple[int, float, int]]] = {}
+    for k in np.flatnonzero(~lone).tolist():
+        ways.setdefault(int(t[k]), []).append((int(d[k]), float(cost[k]), k))
+    owner: dict[int, tuple[int, int]] = {}  # of a d its t and their pair
+    row_price: dict[int, float] = dict.fromkeys(ways, 0.0)
+    col_price: dict[int, float] = {}
+    for row in ways:
+        reach: dict[int, float] = {}
+        via: dict[int, tuple[int, int]] = {}  # of a d the t before it and their pair
+        done: dict[int, float] = {}
+        into: dict[int, int] = {}  # of a t in the tree the d that it owns
+        heap, at, length = [], row, 0.0
+        alone, last = np.inf, row
+        while True:
+            base = length - row_price[at]
+            if base + most < alone:
+                alone, last = base + most, at
+            for col, c, k in ways[at]:
+                ahead = base + c - col_price.get(col, 0.0)
+                if col not in done and ahead < reach.get(col, np.inf):
+                    reach[col], via[col] = ahead, (at, k)
+                    heappush(heap, (ahead, col))
+            while heap and (heap[0][1] in done or heap[0][0] > reach[heap[0][1]]):
+                heappop(heap)
+            if not heap or heap[0][0] > alone:
+                length, end = alone, into.get(last)
+                break
+            length, end = heappop(heap)
+            if end not in owner:
+                break
+            done[end] = length
+            at = owner[end][0]
+            into[at] = end
+        for r in (row, *into):
+            row_price[r] += length - (done[into[r]] if r in into else 0.0)
+        for col, far in done.items():
+            col_price[col] = col_price.get(col, 0.0) + far - length
+        while end is not None:
+            r, _ = owner[end] = via[end]
+            end = into.get(r)
+    return np.sort(np.concatenate([np.flatnonzero(lone), np.array([k for _, k in owner.values()], int)]))
+
+
+def _pairable(rows: int, cols: int, t: np.ndarray, d: np.ndarray) -> bool:
+    """Whether the shorter side can surely be paired without the pairs (t, d): Hall's condition by the most pairs of one of either side."""
+    if not len(t):
+        return True
+    a, b = np.bincount(t).max(), np.bincount(d).max()
+    if rows > cols:
+        rows, cols, a, b = cols, rows, b, a
+    return cols - a >= min(rows, b)
+
+
+def matched(tracks: np.ndarray, detections: np.ndarray, gate: float = 0.3, most: float = 100.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """track, detection and cost of the pairs of the least-cost assignment of costs() that cost less than most.
+
+    Only gated pairs are formed, as all others cost the same. The matrix is made only where leftovers would have to take a pair dearer than that.
+    """
+    if gate >= 0:
+        t, d, cost = gated(tracks, detections, gate)
+        below = cost < most
+        met = np.flatnonzero(below)[assign_pairs(t[below], d[below], cost[below], most)]
+        free_t, free_d = np.ones(len(tracks), bool), np.ones(len(detections), bool)
+        free_t[t[met]], free_d[d[met]] = False, False
+        dear = (cost > most) & free_t[t] & free_d[d]
+        if _pairable(free_t.sum(), free_d.sum(), t[dear], d[dear]):
+            return t[met], d[met], cost[met]
+    c = costs(tracks, detections, gate, most)
+    t, d = np.array([p for p in assign(c) if c[p] < most], int).reshape(-1, 2).T
+    return t, d, c[t, d]
 
 
 def matches(tracks: np.ndarray, detections: np.ndarray, gate: float = 0.3, most: float = 100.0) -> list[tuple[int, int]]:
     """Pairs (track, detection) of the least-cost assignment that cost less than most."""
     if not len(tracks) or not len(detections):
         return []
-    c = costs(tracks, detections, gate, most)
-    return [(t, d) for t, d in assign(c) if c[t, d] < most]
+    t, d, _ = matched(tracks, detections, gate, most)
+    return list(zip(t.tolist(), d.tolist(), strict=True))
 
 
 @dataclass
@@ -260,11 +394,11 @@ def _associated(gate: float, most: float):
 
         def settle():
             (ti, tb), (di, db) = (([r[0] for r in s], np.array([r[1] for r in s], float).reshape(-1, 4)) for s in sides)
-            met = matches(tb, db, gate, most)
-            c = costs(tb, db, gate, most) if met else None
-            out = [(*at, ti[t], di[d], float(c[t, d])) for t, d in met]
-            out += [(*at, t, None, None) for k, t in enumerate(ti) if k not in {m[0] for m in met}]
-            return out + [(*at, None, d, None) for k, d in enumerate(di) if k not in {m[1] for m in met}]
+            t, d, c = (x.tolist() for x in matched(tb, db, gate, most)) if len(ti) and len(di) else ([], [], [])
+            out = [(*at, ti[i], di[j], v) for i, j, v in zip(t, d, c, strict=True)]
+            t, d = set(t), set(d)
+            out += [(*at, i, None, None) for k, i in enumerate(ti) if k not in t]
+            return out + [(*at, None, j, None) for k, j in enumerate(di) if k not in d]
 
         def flushed(rows):
             kinds = [pa.int64()] * 4 + [pa.float64()]

@@ -57,3 +57,25 @@ def test_stream_equals_batch(spark, tmp_path):
     q = track_stream(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert ids(spark.read.parquet(str(tmp_path / "out"))) == ids(tracking.identified(spark.createDataFrame(rows, SCHEMA)))
+
+
+def test_sparse_assignment_equals_that_of_the_matrix():
+    rng = np.random.default_rng(11)
+    for k in range(400):
+        gate, most, span = (0.3, 0.1, 0.0)[k % 3], (100.0, 5.0)[k % 2], (15, 60, 600)[k % 3 if k % 7 else 2]
+        made = []
+        for _ in range(2):
+            at = rng.uniform(0, span, (int(rng.integers(1, 12)) if k % 20 else 80, 2))
+            made.append(np.concatenate([at, at + rng.uniform(5, 40, at.shape) * 2.0 ** rng.integers(-2, 6, (len(at), 1))], 1))
+        c = tracking.costs(*made, gate, most)
+        assert tracking.matches(*made, gate, most) == [p for p in tracking.assign(c) if c[p] < most]
+
+
+def test_a_large_frame_makes_no_matrix(monkeypatch):
+    def refused(*_):
+        raise AssertionError("a matrix of all pairs")
+
+    monkeypatch.setattr(tracking, "costs", refused)
+    at = np.arange(20_000) * 10.0  # a chain: each box overlaps its neighbours beyond the gate
+    boxes = np.stack([at, at * 0, at + 40, at * 0 + 60], 1)
+    assert tracking.matches(boxes, boxes + 1) == [(i, i) for i in range(20_000)]
