@@ -5,8 +5,11 @@ Coordinates are cut toward 0, so the strip before the origin falls into cell 0;
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,21 +101,101 @@ def of_costmap(costs: DataFrame, grid: Grid, threshold: float = 0.5) -> DataFram
     return hot.select(grid.key, "gx", "gy", F.lit(1.0).alias("value"))
 
 
+#: Cells a side of a block that one step of a stencil holds.
+BLOCK = 128
+
+
+def _blocks(cells: DataFrame, key: str, n: int, off: range, back: bool, made: Callable) -> DataFrame:
+    """key, gx, gy, value that `made` gives for blocks of the grid: cells cross once, and also to a block whose edge is within reach.
+
+    made(present, known, value, x0, y0): arrays of a block with its border, and where the block begins; the block's present, known, value.
+    """
+    side, low, high = min(BLOCK, n), -off[0], off[-1]
+    if back:
+        low, high = high, low
+    # A cell reaches the cells from `-low` to `high` around it, so a block needs `high` cells before and `low` after it.
+    block = lambda c: F.sequence(F.floor((F.col(c) - low) / side), F.floor((F.col(c) + high) / side))
+    dealt = cells.select(key, "gx", "gy", F.col("value").cast("double").alias("value"), F.explode(block("gx")).alias("bx")).withColumn("by", F.explode(block("gy")))
+    last = (n - 1) // side
+    dealt = dealt.filter(F.col("bx").between(0, last) & F.col("by").between(0, last)).repartition(key, "bx", "by").sortWithinPartitions(key, "bx", "by")
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        def stepped(rows):
+            """Output of whole blocks."""
+            code = rows.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            gx, gy, bx, by = (rows.column(i).to_numpy() for i in (1, 2, 4, 5))
+            known = rows.column(3).is_valid().to_numpy(zero_copy_only=False)
+            value = rows.column(3).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(bx) != 0) | (np.diff(by) != 0)) + 1
+            at, xs, ys, vs, ks = [], [], [], [], []
+            for lo, hi in zip([0, *cuts], [*cuts, len(code)], strict=True):
+                x0, y0, wide = int(bx[lo]) * side, int(by[lo]) * side, side + low + high
+                x, y = gx[lo:hi] - x0 + high, gy[lo:hi] - y0 + high
+                present, valid, held = (np.zeros((wide, wide), t) for t in (bool, bool, float))
+                present[x, y], valid[x, y], held[x, y] = True, known[lo:hi], value[lo:hi]
+                present, valid, held = made(present, valid, held, x0, y0)
+                x, y = np.nonzero(present[: n - x0, : n - y0])
+                at.append(np.full(len(x), lo))
+                xs.append(x + x0)
+                ys.append(y + y0)
+                vs.append(held[x, y])
+                ks.append(valid[x, y])
+            keys = rows.column(0).take(pa.array(np.concatenate(at)))
+            ints = [pa.array(np.concatenate(c), rows.column(i).type) for i, c in ((1, xs), (2, ys))]
+            return pa.RecordBatch.from_arrays([keys, *ints, pa.array(np.concatenate(vs), mask=~np.concatenate(ks))], names=[key, "gx", "gy", "value"])
+
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not rows.num_rows:
+                continue
+            ends = [rows.column(i) for i in (0, 4, 5)]
+            cut, last = rows.num_rows - 1, tuple(c[-1] for c in ends)
+            while cut and tuple(c[cut - 1] for c in ends) == last:
+                cut -= 1
+            held = rows.slice(cut)
+            if cut:
+                yield stepped(rows.slice(0, cut))
+        if held is not None:
+            yield stepped(held)
+
+    return dealt.mapInArrow(run, f"`{key}` {kinds[key]}, gx {kinds['gx']}, gy {kinds['gy']}, value double")
+
+
 def dilated(cells: DataFrame, grid: Grid, k: int = 3) -> DataFrame:
     """The largest value within −k // 2 … k // 2 cells, which for k = 3 reaches two back and one ahead."""
-    some = F.array(*[F.lit(o) for o in range(-k // 2, k // 2 + 1)])
-    out = cells.withColumn("sx", F.explode(some)).withColumn("sy", F.explode(some)).withColumns({"gx": F.col("gx") + F.col("sx"), "gy": F.col("gy") + F.col("sy")})
-    return out.filter(grid.inside()).groupBy(grid.key, "gx", "gy").agg(F.max("value").alias("value"))
+    off = range(-k // 2, k // 2 + 1)
+
+    def largest(present, known, value, *_):
+        value = np.where(known, value, -np.inf)
+        # A block's cell i stands at i + off[-1] of the border and takes the values of the cells i − o.
+        for axis in (0, 1):
+            size = present.shape[axis] - len(off) + 1
+            parts = [tuple(np.take(m, range(i, i + size), axis) for m in (present, known, value)) for i in range(len(off))]
+            present, known, value = reduce(lambda a, b: (a[0] | b[0], a[1] | b[1], np.maximum(a[2], b[2])), parts)
+        return present, known, value
+
+    return _blocks(cells, grid.key, grid.n, off, False, largest)
 
 
 def eroded(cells: DataFrame, grid: Grid, k: int = 3) -> DataFrame:
     """The least value within the same reach, 1 at most; cells outside the grid don't count, missing ones are 0 and go."""
-    off = range(-k // 2, k // 2 + 1)
-    some = F.array(*[F.lit(o) for o in off])
-    seen = cells.withColumn("sx", F.explode(some)).withColumn("sy", F.explode(some)).withColumns({"gx": F.col("gx") - F.col("sx"), "gy": F.col("gy") - F.col("sy")})
-    least = seen.groupBy(grid.key, "gx", "gy").agg(F.count("*").alias("n"), F.min("value").alias("value"))
-    span = lambda c: F.least(F.lit(grid.n - 1), F.col(c) + off[-1]) - F.greatest(F.lit(0), F.col(c) + off[0]) + 1
-    return least.filter(grid.inside() & (F.col("n") == span("gx") * span("gy")) & (F.col("value") > 0)).select(grid.key, "gx", "gy", F.least(F.lit(1.0), "value").alias("value"))
+    off, n = range(-k // 2, k // 2 + 1), grid.n
+
+    def least(present, known, value, x0, y0):
+        x, y = (np.arange(len(present)) + c + off[0] for c in (x0, y0))
+        beyond = ((x < 0) | (x >= n))[:, None] | ((y < 0) | (y >= n))[None, :]
+        present, known, value = present | beyond, known & ~beyond, np.where(known & ~beyond, value, np.inf)
+        for axis in (0, 1):
+            size = present.shape[axis] - len(off) + 1
+            parts = [tuple(np.take(m, range(i, i + size), axis) for m in (present, known, value)) for i in range(len(off))]
+            present, known, value = reduce(lambda a, b: (a[0] & b[0], a[1] | b[1], np.fmin(a[2], b[2])), parts)
+        return present & known & (value > 0), known, np.minimum(value, 1.0)
+
+    return _blocks(cells.filter(grid.inside()), grid.key, n, off, True, least)
 
 
 def rays_hit(rays: DataFrame, cells: DataFrame, grid: Grid, threshold: float = 0.5, max_range: float | None = None) -> DataFrame:

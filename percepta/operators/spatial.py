@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from percepta.operators import grids
 from percepta.operators.motion import norm
 from percepta.shared import connected_components, freed, lookup_join, written
 
@@ -152,20 +153,12 @@ def offsets(k: int) -> list[int]:
 
 
 def dilated(cells: DataFrame, n: int, k: int = 3) -> DataFrame:
-    some = F.array(*[F.lit(o) for o in offsets(k)])
-    out = cells.withColumn("dx", F.explode(some)).withColumn("dy", F.explode(some))
-    out = out.withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")}).drop("dx", "dy")
-    return out.filter(F.col("gx").between(0, n - 1) & F.col("gy").between(0, n - 1)).distinct()
+    return grids.dilated(cells.withColumn("value", F.lit(1.0)), grids.Grid(float(n), 1.0), k).drop("value")
 
 
 def eroded(cells: DataFrame, n: int, k: int = 3) -> DataFrame:
     """Cells all of whose neighbours within the grid are occupied."""
-    off = offsets(k)
-    some = F.array(*[F.lit(o) for o in off])
-    seen = cells.withColumn("dx", F.explode(some)).withColumn("dy", F.explode(some))
-    seen = seen.select("cloud_id", (F.col("gx") - F.col("dx")).alias("gx"), (F.col("gy") - F.col("dy")).alias("gy")).groupBy("cloud_id", "gx", "gy").agg(F.count("*").alias("have"))
-    span = lambda c: F.least(F.lit(n - 1), F.col(c) + off[-1]) - F.greatest(F.lit(0), F.col(c) + off[0]) + 1
-    return seen.filter(F.col("gx").between(0, n - 1) & F.col("gy").between(0, n - 1) & (F.col("have") == span("gx") * span("gy"))).select("cloud_id", "gx", "gy")
+    return grids.eroded(cells.withColumn("value", F.lit(1.0)), grids.Grid(float(n), 1.0), k).drop("value")
 
 
 def connectivity(cells: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Queries on tables beyond the caps of their operators, and trackers and clouds whose work must grow with their rows."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from percepta import plans
+from percepta.operators import grids, spatial
 
 
 def test_an_episode_of_a_long_buffer_is_kept(spark, tmp_path):
@@ -14,3 +16,31 @@ def test_an_episode_of_a_long_buffer_is_kept(spark, tmp_path):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert got == sorted(duck.sql(plans.oracle_sql()["iml_03_episode"]).fetchall()) and len(got) == 30
+
+
+def test_stencils_cross_blocks_and_shuffle_cells_once(spark):
+    rng = np.random.default_rng(5)
+    n = 300  # three blocks a side
+    cells = {(c, int(x), int(y)): float(v) for c in (1, 2) for (x, y), v in zip(np.concatenate([rng.integers(0, n, (400, 2)), rng.integers(120, 136, (900, 2)), rng.integers(n - 9, n, (200, 2))]), rng.uniform(0.1, 2, 1500), strict=True)}
+    df = spark.createDataFrame([(*k, None if k[1:] == (128, 128) else v) for k, v in cells.items()], "cloud_id long, gx int, gy int, value double").repartition(3)
+    cells = {k: None if k[1:] == (128, 128) else v for k, v in cells.items()}
+    for k in (3, 5):
+        off, grid = spatial.offsets(k), grids.Grid(float(n), 1.0)
+        wide: dict = {}
+        for (c, x, y), v in cells.items():
+            for i, j in ((x + i, y + j) for i in off for j in off):
+                if 0 <= i < n and 0 <= j < n:
+                    wide.setdefault((c, i, j), []).append(v)
+        most = {p: max((v for v in vs if v is not None), default=None) for p, vs in wide.items()}
+        made = grids.dilated(df, grid, k)
+        assert {(r.cloud_id, r.gx, r.gy): r.value for r in made.collect()} == most
+        least = {}
+        for c, x, y in {(c, x - i, y - j) for c, x, y in most for i in off for j in off}:
+            around = [(c, x + i, y + j) for i in off for j in off if 0 <= x + i < n and 0 <= y + j < n]
+            if 0 <= x < n and 0 <= y < n and all(p in most for p in around):
+                if there := [most[p] for p in around if most[p] is not None]:
+                    least[c, x, y] = min(1.0, *there)
+        narrow = grids.eroded(made, grid, k)
+        assert {(r.cloud_id, r.gx, r.gy): r.value for r in narrow.collect()} == least and len(least) > 300
+        # Cells aren't copied for each of their neighbours.
+        assert "sx" not in narrow._jdf.queryExecution().optimizedPlan().toString()
