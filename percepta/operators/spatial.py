@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from percepta.operators import grids
 from percepta.operators.motion import norm
-from percepta.shared import connected_components, freed, lookup_join, written
+from percepta.shared import connected_components, freed, large, lookup_join, written
 
 
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -102,7 +102,7 @@ def near_pairs(points: DataFrame, eps: float, cell_rows: int = 2048) -> DataFram
     there = lookup_join(there, dense, ["cloud_id", *cell], spread=[F.col("j")])
     there = there.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shares") - 1, F.lit(0))))).drop("shares")
     d = norm(*[F.col(c) - F.col(f"b{c}") for c in "xyz"])
-    both = own.join(there, ["cloud_id", *cell, "share"]).filter((~F.col("same") | (F.col("i") < F.col("j"))) & (d > 0) & (d < eps))
+    both = large(own).join(there, ["cloud_id", *cell, "share"]).filter((~F.col("same") | (F.col("i") < F.col("j"))) & (d > 0) & (d < eps))
     return both.select("cloud_id", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
@@ -124,19 +124,19 @@ def clusters(points: DataFrame, eps: float, min_points: int) -> DataFrame:
     pairs = written(near_pairs(points, eps), "near-pairs")
     ends = pairs.select("cloud_id", F.explode(F.array("a", "b")).alias("i"))
     cores = written(ends.groupBy("cloud_id", "i").agg(F.count("*").alias("k")).filter(F.col("k") >= min_points).select("cloud_id", "i"), "cores")
-    marked = pairs.join(cores.select("cloud_id", F.col("i").alias("a"), F.lit(True).alias("ca")), ["cloud_id", "a"], "left")
-    marked = written(marked.join(cores.select("cloud_id", F.col("i").alias("b"), F.lit(True).alias("cb")), ["cloud_id", "b"], "left"), "marked-pairs")
+    marked = large(pairs).join(cores.select("cloud_id", F.col("i").alias("a"), F.lit(True).alias("ca")), ["cloud_id", "a"], "left")
+    marked = written(large(marked).join(cores.select("cloud_id", F.col("i").alias("b"), F.lit(True).alias("cb")), ["cloud_id", "b"], "left"), "marked-pairs")
     # A node is a struct of longs; the least one of a component has the least core index.
     node = lambda c: F.struct("cloud_id", F.col(c).alias("i"))
     parts = connected_components(marked.filter("ca and cb").select(node("a").alias("a"), node("b").alias("b")))
     labels = parts.select("node.cloud_id", F.col("node.i").alias("i"), F.col("component.i").alias("cluster"))
-    labels = cores.join(labels, ["cloud_id", "i"], "left").withColumn("cluster", F.coalesce("cluster", "i"))
+    labels = large(cores).join(labels, ["cloud_id", "i"], "left").withColumn("cluster", F.coalesce("cluster", "i"))
     ways = marked.filter("(ca is null) <> (cb is null)").select("cloud_id", F.when(F.col("ca"), F.col("a")).otherwise(F.col("b")).alias("i"), F.when(F.col("ca"), F.col("b")).otherwise(F.col("a")).alias("edge"))
-    border = ways.join(labels, ["cloud_id", "i"]).groupBy("cloud_id", F.col("edge").alias("i")).agg(F.min("cluster").alias("cluster"))
+    border = large(ways).join(labels, ["cloud_id", "i"]).groupBy("cloud_id", F.col("edge").alias("i")).agg(F.min("cluster").alias("cluster"))
     every = written(labels.unionByName(border), "clustered")
     big = every.groupBy("cloud_id", "cluster").agg(F.count("*").alias("n")).filter(F.col("n") >= min_points).select("cloud_id", "cluster")
     freed(pairs, cores, marked)
-    return every.join(big, ["cloud_id", "cluster"]).select("cloud_id", F.col("i").alias("pt_idx"), "cluster")
+    return large(every).join(big, ["cloud_id", "cluster"]).select("cloud_id", F.col("i").alias("pt_idx"), "cluster")
 
 
 def occupied(points: DataFrame, size: float, resolution: float, least: float, most: float) -> DataFrame:

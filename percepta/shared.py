@@ -56,6 +56,11 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def large(df: DataFrame) -> DataFrame:
+    """df, not to be broadcast in its next join: the files of a written table are far smaller than its rows, so by their size Spark would send millions of rows through the driver."""
+    return df.hint("merge")
+
+
 def freed(*tables: DataFrame) -> None:
     """Deletes tables that written() made; their last reader must be done. Other DataFrames are left alone."""
     for t in tables:
@@ -143,15 +148,15 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     both = written(thin.select(F.explode(ways).alias("e")).select("e.*").distinct(), f"{name}-edges")
     labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("l")), f"{name}-labels")
     while True:
-        near = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        least = written(labels.join(near, "a").select("a", F.least("l", "m").alias("l"), F.col("l").alias("was")), f"{name}-least")
+        near = large(both).join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
+        least = written(large(labels).join(near, "a").select("a", F.least("l", "m").alias("l"), F.col("l").alias("was")), f"{name}-least")
         if not least.filter("l <> was").limit(1).count():
             freed(both, least)
             out = labels.withColumnsRenamed({"a": "node", "l": "component"})
             _PATHS[out] = _PATHS.pop(labels)
             return out
         # Labels are joined to the few rows of labels that stand for others, so a giant component's label is one lookup.
-        tops = written(least.join(least.select(F.col("l").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("l"), F.col("l").alias("top")), f"{name}-tops")
+        tops = written(large(least).join(least.select(F.col("l").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("l"), F.col("l").alias("top")), f"{name}-tops")
         step = lookup_join(least, tops, ["l"], "inner", spread=[F.col("a")]).select("a", F.col("top").alias("l"))
         before, labels = labels, written(step, f"{name}-labels")
         freed(before, least, tops)

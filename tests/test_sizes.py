@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from percepta import plans
-from percepta.operators import grids, spatial
+from percepta.operators import grids, neighbours, spatial
 
 
 def test_an_episode_of_a_long_buffer_is_kept(spark, tmp_path):
@@ -44,3 +44,12 @@ def test_stencils_cross_blocks_and_shuffle_cells_once(spark):
         assert {(r.cloud_id, r.gx, r.gy): r.value for r in narrow.collect()} == least and len(least) > 300
         # Cells aren't copied for each of their neighbours.
         assert "sx" not in narrow._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    rng = np.random.default_rng(2)
+    p = spark.createDataFrame([(1, i, *map(float, v)) for i, v in enumerate(rng.uniform(0, 1, (60, 3)))], "cloud_id long, pt_idx long, x double, y double, z double")
+    for made in (spatial.near_pairs(p, 0.3), spatial.clusters(p, 0.3, 3), neighbours.nearest(p, 3), neighbours.normals(p, 3)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        last = [line for line in plan.splitlines() if "Join" in line][0]
+        assert "SortMergeJoin" in last and made.count()
