@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from percepta.operators.kalman import filter_tracks
-from percepta.shared import connected_components, written
+from percepta.shared import connected_components, large, written
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -299,13 +299,13 @@ def gate_components(rows: DataFrame, max_age: int, gate: float = 0.3) -> DataFra
     at = lambda c: F.floor((F.col(f"{c}1") + F.col(f"{c}2")) / 2 / F.pow(F.lit(2.0), F.col("level"))).alias(f"c{c}")
     key = ["stream", "level", "cx", "cy", "bucket"]
     around = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((i, j, k), "ijk", strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    large = d.select(F.col("node.stream_id").alias("stream"), "*", at("x"), at("y"), F.explode(around).alias("o")).withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j"), "bucket": F.col("bucket") + F.col("o.k")}).drop("o")
+    wide = d.select(F.col("node.stream_id").alias("stream"), "*", at("x"), at("y"), F.explode(around).alias("o")).withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j"), "bucket": F.col("bucket") + F.col("o.k")}).drop("o")
     small = d.withColumn("own", F.col("level")).withColumn("level", F.explode(F.sequence("level", F.col("level") + deepest)))
     small = small.select(F.col("node.stream_id").alias("stream"), "level", at("x"), at("y"), "bucket", "own", F.col("node").alias("node_o"), *[F.col(c).alias(f"{c}_o") for c in BOX])
     gap = F.abs(F.col("node.frame_id") - F.col("node_o.frame_id"))
-    pairs = large.join(small, key).filter((F.col("own") < F.col("level")) | (F.col("node_o") < F.col("node"))).filter((gap > 0) & (gap <= max_age) & (_iou("", "_o") > gate))
+    pairs = large(wide).join(small, key).filter((F.col("own") < F.col("level")) | (F.col("node_o") < F.col("node"))).filter((gap > 0) & (gap <= max_age) & (_iou("", "_o") > gate))
     found = connected_components(pairs.select(F.col("node").alias("a"), F.col("node_o").alias("b")), "gate")
-    out = rows.withColumn("node", node).join(found, "node", "left")
+    out = large(rows.withColumn("node", node)).join(found, "node", "left")
     return out.withColumn("group_id", F.xxhash64(F.coalesce("component", "node"))).drop("node", "component")
 
 
@@ -336,7 +336,7 @@ def identified(detections: DataFrame, max_age: int = 30, high: float | None = No
     out = written(out, "identified")
     births = out.groupBy("group_id", "stream_id", "track_id").agg(F.min(F.struct("frame_id", "det_idx")).alias("born"))
     births = births.select("group_id", "stream_id", F.col("track_id").alias("nth"), F.row_number().over(Window.partitionBy("stream_id").orderBy("born")).cast("long").alias("track_id"))
-    return out.withColumnRenamed("track_id", "nth").join(births, ["group_id", "stream_id", "nth"]).select("stream_id", "frame_id", "det_idx", "track_id")
+    return large(out.withColumnRenamed("track_id", "nth")).join(births, ["group_id", "stream_id", "nth"]).select("stream_id", "frame_id", "det_idx", "track_id")
 
 
 def histories(ids: DataFrame) -> DataFrame:
