@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from percepta.operators.folds import Fold, folded
-from percepta.operators.scans import Scan, may_be_long, reduced, scanned, then_affine, then_clamped
+from percepta.operators.scans import Scan, may_be_long, scanned, then_affine, then_clamped
 from percepta.shared import freed, written
 
 
@@ -104,30 +104,32 @@ def violations(states: DataFrame, constraints: list[tuple[str, Column, float]])
     return _checked(states, constraints).filter("value > threshold").withColumns({"severity": severity, "message": message})
 
 
-def _running(decay: float = 0.9) -> Scan:
-    """Moving average from 0, largest from 0, least, violations."""
-
-    def elements(values):
-        v, threshold = np.nan_to_num(values[0]), values[1]
-        return np.full(len(v), decay), (1 - decay) * v, np.maximum(v, 0.0), v, (v > threshold).astype(float)
-
-    def combine(e, f):
-        return *then_affine(e[:2], f[:2]), np.maximum(e[2], f[2]), np.minimum(e[3], f[3]), e[4] + f[4]
-
-    return Scan([()] * 5, elements, combine, lambda e: list(e[1:]))
-
-
-def constraint_statistics(states: DataFrame, constraints: list[tuple[str, Column, float]], order: list[str], block: int = 500_000) -> DataFrame:
+def constraint_statistics(states: DataFrame, constraints: list[tuple[str, Column, float]], order: list[str], block: int | None = None, decay: float = 0.9) -> DataFrame:
     """avg_value (moving, 0.9 and 0.1, from 0), max_value (from 0), min_value and violations of every constraint after all states, in `order`.
 
-    States are numbered by range of the order. Each constraint's values are one ordered run; ranges of about `block` of them are reduced to
-    one element each, so a constraint's states are dealt over tasks and only these elements meet. Null values count as 0.
+    States are numbered once by ranges of the order, for all constraints. A value counts in the moving average by the power of its distance from the
+    last state, so all figures are sums and extremes that partitions add up. Null values count as 0. block: rows of a range, for which they are
+    counted; None: Spark's own number of ranges.
     """
-    rows = _checked(states, constraints).withColumn("at", F.struct(*order))
-    numbered = rows.repartitionByRange("at").sortWithinPartitions("at").withColumn("seq", F.monotonically_increasing_id())
-    numbered = written(numbered.select("name", "seq", "value", "threshold"), "checked")
-    out = reduced(numbered, "name", "seq", [F.col("value"), F.col("threshold")], _running(), "avg_value double, max_value double, min_value double, violations double", block)
-    return out.withColumn("violations", F.col("violations").cast("long"))
+    most = float(np.finfo(float).max)
+    of = lambda v: F.greatest(F.lit(-most), F.least(F.lit(most), F.nanvl(F.coalesce(v.cast("double"), F.lit(0.0)), F.lit(0.0))))
+    rows = states.select(F.struct(*order).alias("at"), *[of(v).alias(f"v{i}") for i, (_, v, _) in enumerate(constraints)])
+    ranges = [max(1, -(-rows.count() // block))] if block else []
+    seq = F.monotonically_increasing_id()  # the partition in the upper bits, the row in the lower 33
+    ranged = written(rows.repartitionByRange(*ranges, "at").sortWithinPartitions("at").withColumn("seq", seq).drop("at"), "checked")
+    part = F.shiftright("seq", 33)
+    # One row a range, of which there are as many as shuffle partitions.
+    ends = ranged.groupBy(part.alias("range_")).agg(F.count("*").alias("rows_"))
+    ends = ends.select("range_", (F.sum("rows_").over(Window.orderBy(F.col("range_").desc())) - 1).alias("end_"))
+    ranged = ranged.withColumn("range_", part).join(F.broadcast(ends), "range_")
+    weight = (1 - decay) * F.pow(F.lit(decay), F.col("end_") - F.col("seq").bitwiseAND((1 << 33) - 1))
+    every = []
+    for i, (name, _, threshold) in enumerate(constraints):
+        v = F.col(f"v{i}")
+        figures = F.sum(v * F.col("weight")), F.greatest(F.lit(0.0), F.max(v)), F.min(v), F.count_if(v > float(threshold))
+        every.append(F.struct(F.lit(name).alias("name"), *[f.alias(n) for f, n in zip(figures, ("avg_value", "max_value", "min_value", "violations"), strict=True)]))
+    found = ranged.withColumn("weight", weight).agg(F.count("*").alias("n"), F.array(*every).alias("every"))
+    return found.filter("n > 0").select(F.explode("every").alias("c")).select("c.*")
 
 
 def with_action(states: DataFrame, acceleration: str, steering: str) -> DataFrame:

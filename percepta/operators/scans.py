@@ -63,7 +63,7 @@ def _shaped(scan: Scan, flat: np.ndarray) -> Element:
 
 
 def _scanning(scan: Scan, n_in: int, schema: T.StructType, what: str):
-    """Over sorted rows (segment, values…, carry, key, sub, order). what: rows (outputs of each), totals (one element a segment), carried (of each total, the element of those before), last (output of each segment's end)."""
+    """Over sorted rows (segment, values…, carry, key, sub, order). what: rows (outputs of each), totals (one element a segment), carried (of each total, the element of those before)."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -112,7 +112,7 @@ def _scanning(scan: Scan, n_in: int, schema: T.StructType, what: str):
                 yield made([c.take(pa.array(keep)) for c in rest], [_flat(tuple(prior))])
             else:
                 ends = np.append(np.flatnonzero(starts)[1:] - 1, len(segment) - 1)
-                of = lambda i: made([c.take(pa.array(i)) for c in rest], [_flat(tuple(x[i] for x in e))] if what == "totals" else scan.output(tuple(x[i] for x in e)))  # noqa: E731, B023
+                of = lambda i: made([c.take(pa.array(i)) for c in rest], [_flat(tuple(x[i] for x in e))])  # noqa: E731, B023
                 yield of(ends[:-1])
                 tail = of(ends[-1:])
         if tail is not None:
@@ -212,15 +212,6 @@ def _as_rows(totals: DataFrame, n_in: int) -> DataFrame:
     return totals.select("key", "sub", F.lit(None).cast("long").alias("order"), *[F.lit(None).cast("double").alias(f"value_{i}") for i in range(n_in)], "carry")
 
 
-def reduced(df: DataFrame, key: str, order: str | Column, values: list[Column], scan: Scan, out: str, block: int | None = 500_000) -> DataFrame:
-    """key and the columns of `out` after each key's last row: ranges of long keys are reduced to an element each, and these by key."""
-    rows, _ = _dealt(df, key, F.col(order) if isinstance(order, str) else order, values, block, False)
-    n_in = len(values)
-    totals = _applied(rows, scan, n_in, _totals_schema(rows), "totals", ["key", "sub"], ["key", "sub"])
-    schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *T.StructType.fromDDL(out).fields])
-    return _applied(_as_rows(totals, n_in), scan, n_in, schema, "last", ["key"], ["key"]).withColumnRenamed("key", key)
-
-
 def affine(a: np.ndarray, b: np.ndarray) -> Element:
     """x becomes a · x + b."""
     return a, b

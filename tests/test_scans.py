@@ -95,6 +95,16 @@ def test_constraint_statistics_equal_the_loop(spark, block):
     assert got == want
 
 
+def test_constraint_statistics_stay_in_the_jvm_and_number_states_once(spark):
+    states = "episode_id long, step long, speed double"
+    df = spark.createDataFrame([(i % 7, i, float(i)) for i in range(50)] + [(8, 0, float("nan")), (9, 0, None)], states)
+    checks = [(str(t), F.col("speed"), float(t)) for t in range(20)]
+    made = learning.constraint_statistics(df, checks, ["episode_id", "step"])
+    assert "InArrow" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.name: r.violations for r in made.collect()} == {str(t): 49 - t for t in range(20)}
+    assert learning.constraint_statistics(df.limit(0), checks, ["episode_id", "step"]).count() == 0
+
+
 def controlled(values, target, most, max_scale, least=0.5, alpha=0.2, step=0.1):
     ewma, skip, scale, out = None, 0, max_scale, []
     for v in values:
