@@ -79,3 +79,23 @@ def test_a_large_frame_makes_no_matrix(monkeypatch):
     at = np.arange(20_000) * 10.0  # a chain: each box overlaps its neighbours beyond the gate
     boxes = np.stack([at, at * 0, at + 40, at * 0 + 60], 1)
     assert tracking.matches(boxes, boxes + 1) == [(i, i) for i in range(20_000)]
+
+
+@pytest.mark.parametrize(("high", "reset"), [(None, False), (0.5, False), (None, True)])
+def test_trackers_step_large_frames_without_a_matrix(monkeypatch, high, reset):
+    import pyarrow as pa
+
+    def refused(*_):
+        raise AssertionError("a matrix of all pairs")
+
+    monkeypatch.setattr(tracking, "costs", refused)
+    n, frames = 5000, []
+    for frame in (1, 2, 3):
+        at = np.arange(n) * 10.0 + frame
+        score = np.where(np.arange(n) % 2, 0.3 if frame > 1 else 0.9, 0.9)
+        columns = [np.full(n, 1), np.full(n, 1), np.full(n, frame), np.arange(n), at, at * 0, at + 40, at * 0 + 60, score, np.zeros(n, bool)]
+        if reset and frame == 3:
+            columns = [np.insert(c, 0, True if c.dtype == bool else c[0]) for c in columns]
+        frames.append(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list("abcdefghij")))
+    got = [i for b in tracking._identified(8, high, 0.1)(frames) for i in b.column(4).to_pylist()]
+    assert got == list(range(1, n + 1)) * 3
