@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from percepta.operators import grids
 from percepta.operators.motion import norm
-from percepta.shared import connected_components, freed, large, lookup_join, written
+from percepta.shared import all_of, connected_components, freed, large, lookup_join, written
 
 
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -80,29 +80,50 @@ def transformed(points: DataFrame, m: list[list[float]]) -> DataFrame:
     return points.withColumns(out)
 
 
-#: Of the 27 cells around a cell, those ahead of it in one order, and itself: each pair of cells meets once.
-AHEAD = [(i, j, k) for i in (0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+#: Offsets of the 27 cells around a cell, itself included.
+AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
 
-def near_pairs(points: DataFrame, eps: float, cell_rows: int = 2048) -> DataFrame:
-    """cloud_id, a, b of all pairs of points, each once, at a distance above 0 and below eps: an equi-join on cells of eps.
+def near_pairs(points: DataFrame, eps: float, cell_rows: int = 2048, block_rows: int = 256) -> DataFrame:
+    """cloud_id, a, b of all pairs of points, each once, at a distance above 0 and below eps: an equi-join on blocks of 8 × 8 × 8 cells of eps.
 
-    A point stays in its own cell and is copied to the 13 cells ahead of it. Cells of more than cell_rows points are counted and dealt over
-    shares of that many, to each of which the copies go, so a dense cell is no task of its own.
+    A point stays in its own block and, where its cell is at the border, is copied to those blocks beyond it that come before its own; so pairs across
+    blocks meet once, in the first of the two, and most points cross once a side. Blocks of more than block_rows points are joined cell by cell, and their cells of
+    more than cell_rows points are dealt over shares of that many, to each of which the copies go, so neither is a task of its own.
     """
-    cell = ["cx", "cy", "cz"]
-    at = points.select("cloud_id", F.col("pt_idx").alias("i"), "x", "y", "z", *[F.floor(F.col(c) / eps).alias(f"c{c}") for c in "xyz"])
-    dense = at.groupBy("cloud_id", *cell).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("shares")).filter("shares > 1")
-    dense = written(dense, "dense-cells")
-    own = lookup_join(at, dense, ["cloud_id", *cell], spread=[F.col("i")])
+    block, key = ["bx", "by", "bz"], ["cloud_id", "fine", "gx", "gy", "gz"]
+    # Read four times: the view's order of points is made once.
+    at = written(points.select("cloud_id", F.col("pt_idx").alias("i"), "x", "y", "z").dropna(), "points")
+    at = at.select("*", *[F.floor(F.col(c) / eps).alias(f"c{c}") for c in "xyz"])
+    at = at.withColumns({f"b{c}": F.shiftright(f"c{c}", 3) for c in "xyz"})
+    dense = at.groupBy("cloud_id", *block).agg(F.count("*").alias("n")).filter(F.col("n") > block_rows)
+    dense = written(dense.select("cloud_id", *block, F.lit(True).alias("fine")), "dense-blocks")
+    cells = lookup_join(at, dense, ["cloud_id", *block], "inner", spread=[F.col("i")]).select("cloud_id", "fine", *[F.col(f"c{c}").alias(f"g{c}") for c in "xyz"])
+    cells = written(cells.groupBy(key).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("shares")).filter("shares > 1"), "dense-cells")
+
+    own = lookup_join(at, dense, ["cloud_id", *block], spread=[F.col("i")]).withColumn("fine", F.coalesce("fine", F.lit(False)))
+    own = own.select("cloud_id", "fine", "i", "x", "y", "z", *[F.when(F.col("fine"), F.col(f"c{c}")).otherwise(F.col(f"b{c}")).alias(f"g{c}") for c in "xyz"])
+    own = lookup_join(own, cells, key, spread=[F.col("i")])
     own = own.withColumn("share", F.when(F.col("shares").isNotNull(), F.pmod(F.xxhash64("i"), F.col("shares"))).otherwise(0).cast("int")).drop("shares")
-    ahead = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, ("ox", "oy", "oz"), strict=True)]) for o in AHEAD])
-    there = at.withColumn("o", F.explode(ahead))
-    there = there.select("cloud_id", F.col("i").alias("j"), *[F.col(c).alias(f"b{c}") for c in "xyz"], *[(F.col(f"c{c}") + F.col(f"o.o{c}")).alias(f"c{c}") for c in "xyz"], ((F.col("o.ox") == 0) & (F.col("o.oy") == 0) & (F.col("o.oz") == 0)).alias("same"))
-    there = lookup_join(there, dense, ["cloud_id", *cell], spread=[F.col("j")])
+
+    # Blocks in reach that come before a point's own in the order of x, y, z, and its own.
+    there = at.select("cloud_id", F.col("i").alias("j"), *[F.col(c).alias(f"o{c}") for c in "xyz"], *[f"c{c}" for c in "xyz"], *[F.col(f"b{c}").alias(f"h{c}") for c in "xyz"])
+    before = F.lit(False)
+    for c in "xyz":
+        first, beyond = F.shiftright(F.col(f"c{c}") - 1, 3), F.shiftright(F.col(f"c{c}") + 1, 3)
+        there = there.withColumn(f"b{c}", F.explode(F.sequence(first, F.when(before, beyond).otherwise(F.col(f"h{c}")))))
+        before = before | (F.col(f"b{c}") < F.col(f"h{c}"))
+    there = lookup_join(there, dense, ["cloud_id", *block], spread=[F.col("j")])
+    home = ~before
+    target = lambda fine, places, same: F.struct(F.lit(fine).alias("fine"), *[v.alias(f"g{c}") for c, v in zip("xyz", places, strict=True)], same.alias("same"))
+    each = [(o, [F.col(f"c{c}") + d for c, d in zip("xyz", o, strict=True)]) for o in AROUND]
+    fine = [F.when(all_of([F.shiftright(v, 3) == F.col(f"b{c}") for c, v in zip("xyz", places, strict=True)]) & (~home | F.lit(o <= (0, 0, 0))), target(True, places, F.lit(o == (0, 0, 0)))) for o, places in each]
+    there = there.withColumn("t", F.explode(F.when(F.col("fine"), F.array_compact(F.array(*fine))).otherwise(F.array(target(False, [F.col(c) for c in block], home)))))
+    there = there.select("cloud_id", "j", "ox", "oy", "oz", "t.*")
+    there = lookup_join(there, cells, key, spread=[F.col("j")])
     there = there.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shares") - 1, F.lit(0))))).drop("shares")
-    d = norm(*[F.col(c) - F.col(f"b{c}") for c in "xyz"])
-    both = large(own).join(there, ["cloud_id", *cell, "share"]).filter((~F.col("same") | (F.col("i") < F.col("j"))) & (d > 0) & (d < eps))
+    d = norm(*[F.col(c) - F.col(f"o{c}") for c in "xyz"])
+    both = large(own).join(there, [*key, "share"]).filter((~F.col("same") | (F.col("i") < F.col("j"))) & (d > 0) & (d < eps))
     return both.select("cloud_id", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 

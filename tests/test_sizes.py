@@ -53,3 +53,28 @@ def test_tables_that_grow_are_not_broadcast(spark):
         plan = made._jdf.queryExecution().executedPlan().toString()
         last = [line for line in plan.splitlines() if "Join" in line][0]
         assert "SortMergeJoin" in last and made.count()
+
+
+def test_near_pairs_of_blocks_equal_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    p = np.concatenate([rng.uniform(-9, 9, (900, 3)), rng.normal(0, 0.4, (500, 3)), rng.integers(-9, 9, (300, 3)).astype(float), [[1.0, 1.0, 1.0]] * 3])
+    df = spark.createDataFrame([(k, i, *map(float, v)) for k in (1, 2) for i, v in enumerate(p + k)], "cloud_id long, pt_idx long, x double, y double, z double").repartition(3)
+    for rows, share in ((256, 2048), (256, 40), (0, 2048), (10_000, 2048)):  # some, some and cells dealt, all and no blocks by cells
+        got = [(r.cloud_id, r.a, r.b) for r in spatial.near_pairs(df, 1.0, share, rows).collect()]
+        want = set()
+        for k in (1, 2):
+            q = p + k
+            d = np.sqrt(((q[:, None] - q[None]) ** 2).sum(2))
+            want |= {(k, int(a), int(b)) for a, b in zip(*np.nonzero((d > 0) & (d < 1.0)), strict=True) if a < b}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_sparse_clouds_cross_about_three_times(spark):
+    rng = np.random.default_rng(4)
+    p = spark.createDataFrame([(i % 20, i, *map(float, v)) for i, v in enumerate(rng.uniform(0, 40, (6000, 3)))], "cloud_id long, pt_idx long, x double, y double, z double")
+    join = spatial.near_pairs(p, 1.0)._jdf.queryExecution().optimizedPlan()
+    while join.nodeName() != "Join":
+        join = join.children().apply(0)
+    of = spark._jvm.org.apache.spark.sql.classic.Dataset
+    rows = [of.ofRows(spark._jsparkSession, join.children().apply(k)).count() for k in (0, 1)]
+    assert rows[0] == 6000 and rows[1] < 3 * 6000
