@@ -63,10 +63,11 @@ def outputs(weights: Weights, x: np.ndarray) -> list[np.ndarray]:
     return made
 
 
-def _divergences(predicted: np.ndarray, wanted: np.ndarray) -> float:
+def _divergences(predicted: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Sums over the rows of a batch, or of each of several."""
     p, q = (np.abs(v) + 1e-8 for v in (predicted, wanted))
-    p, q = p / p.sum(1, keepdims=True), q / q.sum(1, keepdims=True)
-    return float((q * (np.log(q + 1e-8) - np.log(p + 1e-8))).sum())
+    p, q = p / p.sum(-1, keepdims=True), q / q.sum(-1, keepdims=True)
+    return (q * (np.log(q + 1e-8) - np.log(p + 1e-8))).sum((-2, -1))
 
 
 def _cloning(weights: Weights, x: np.ndarray, y: np.ndarray) -> tuple[Weights, list[float]]:
@@ -76,7 +77,7 @@ def _cloning(weights: Weights, x: np.ndarray, y: np.ndarray) -> tuple[Weights, l
         out[:0] = [made[i // 2].T @ delta, delta.sum(0)]
         if i:
             delta = (delta @ weights[i].T) * (made[i // 2] > 0)
-    return out, [float(((made[-1] - y) ** 2).sum()), _divergences(made[-1], y)]
+    return out, [float(((made[-1] - y) ** 2).sum()), float(_divergences(made[-1], y))]
 
 
 @dataclass

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from percepta.operators.networks import Cloned, Weights, _cloning, cloning_losses, layers
+from percepta.operators.networks import Cloned, Weights, _cloning, _divergences, cloning_losses, layers
 from percepta.shared import fresh_path, freed, written
 
 
@@ -40,29 +40,65 @@ def numbered(rows: DataFrame, order: list[str], name: str = "nth") -> DataFrame:
     return out
 
 
+def _arrays(column) -> np.ndarray:
+    """Rows of an Arrow column of arrays without nulls; ValueError unless they are of one length."""
+    import pyarrow.compute as pc
+
+    n = pc.list_value_length(column)
+    if pc.min(n).as_py() != pc.max(n).as_py():
+        raise ValueError("arrays of different lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _one_by_one(now: Weights, x: np.ndarray, y: np.ndarray, rate: float) -> tuple[Weights, list[tuple[float, float]]]:
+    """The weights after a step for each batch x[k], y[k], and the sums (squares, divergence) before each."""
+    losses = []
+    for a, b in zip(x, y, strict=True):
+        g, (squares, kl) = _cloning(now, a, b)
+        now = [w - rate * v / len(a) for w, v in zip(now, g, strict=True)]
+        losses.append((squares, kl))
+    return now, losses
+
+
+def _without_layers(now: Weights, x: np.ndarray, y: np.ndarray, rate: float) -> tuple[Weights, list[tuple[float, float]]]:
+    """As _one_by_one() for a net without hidden layers: a step is a linear map of the weights by its batch's moments, which are summed for
+    all batches at once; only the small product is left for each step. The losses follow for all batches at once too."""
+    x = np.concatenate([x, np.ones((*x.shape[:2], 1))], axis=2)
+    turned = x.transpose(0, 2, 1)
+    keep, add = np.eye(x.shape[2]) - rate / x.shape[1] * (turned @ x), rate / x.shape[1] * (turned @ y)
+    every = np.empty((len(x) + 1, x.shape[2], y.shape[2]))
+    every[0] = np.concatenate([now[0], now[1][None]])
+    for k in range(len(x)):
+        every[k + 1] = keep[k] @ every[k] + add[k]
+    made = x @ every[:-1]
+    return [every[-1, :-1], every[-1, -1]], list(zip(((made - y) ** 2).sum((1, 2)).tolist(), _divergences(made, y).tolist(), strict=True))
+
+
 def _steps(weights: Weights, size: int, rate: float, first: int):
     """Over sorted rows (observation, action): (batch, mse, kl, null) before each step, and (null, null, null, weights) after the last."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("batch", pa.int64()), ("mse", pa.float64()), ("kl", pa.float64()), ("weights", pa.list_(pa.float64()))])
+        names = ["batch", "mse", "kl", "weights"]
         now, at, held = weights, first, None
+        stepped = _without_layers if len(weights) == 2 else _one_by_one
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [np.array(batch.column(i).to_pylist(), float) for i in (0, 1)]
+            new = [_arrays(batch.column(i)) for i in (0, 1)]
             held = new if held is None else [np.concatenate(p) for p in zip(held, new, strict=True)]
-            log = []
-            for i in range(0, len(held[0]) - size + 1, size):
-                y = held[1][i : i + size]
-                g, (squares, kl) = _cloning(now, held[0][i : i + size], y)
-                now = [w - rate * x / size for w, x in zip(now, g, strict=True)]
-                log.append({"batch": at, "mse": squares / y.size, "kl": kl, "weights": None})
-                at += 1
-            held = [h[len(log) * size :] for h in held]
-            yield pa.RecordBatch.from_pylist(log, schema)
-        yield pa.RecordBatch.from_pylist([{"batch": None, "mse": None, "kl": None, "weights": np.concatenate([w.ravel() for w in now]).tolist()}], schema)
+            n = len(held[0]) // size
+            if not n:
+                continue
+            x, y = (h[: n * size].reshape(n, size, -1) for h in held)
+            now, losses = stepped(now, x, y, rate)
+            squares, kl = np.array(losses).T
+            held = [h[n * size :] for h in held]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), pa.array(squares / y[0].size), pa.array(kl), pa.nulls(n, pa.list_(pa.float64()))], names=names)
+            at += n
+        flat = pa.array([np.concatenate([w.ravel() for w in now]).tolist()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64()), flat], names=names)
 
     return run
 
@@ -100,6 +136,8 @@ def train_in_batches(
     per = max(1, share // size)
     shares = written(nth.filter(F.col("nth") < batches * size).select("nth", "x_", "y_", F.floor(F.col("nth") / (size * per)).cast("long").alias("share_")), "shares", by="share_")
     freed(nth)
+    if validation is not None:
+        validation = written(validation.select(observation, action), "validation")  # read after every epoch
     first = shares.select(F.size("x_").alias("x"), F.size("y_").alias("y")).first()
     model = Trained(weights or layers([first.x, *hidden, first.y], seed))
     spark, logs, best, since = data.sparkSession, fresh_path(data.sparkSession, "steps"), float("inf"), 0
@@ -119,7 +157,7 @@ def train_in_batches(
             best, since = (loss, 0) if loss < best else (best, since + 1)
             if since >= patience:
                 break
-    freed(shares)
+    freed(shares, *([] if validation is None else [validation]))
     if model.history:
         model.log = spark.read.option("basePath", logs).parquet(logs).filter("batch is not null").select(F.col("epoch").cast("int").alias("epoch"), "batch", "mse", "kl", (F.col("mse") + 0.1 * F.col("kl")).alias("total"))
     return model

@@ -71,3 +71,24 @@ def test_numbers_follow_the_order(spark):
     df = spark.range(1000).selectExpr("(id * 37) % 1000 as v", "if(id % 3 = 0, null, id) as extra").repartition(9)
     got = ordered.numbered(df, ["v"]).select("v", "nth").collect()
     assert len(got) == 1000 and all(r.v == r.nth for r in got)
+
+
+def test_a_net_without_layers_steps_by_moments(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(130, 3)), rng.normal(size=(130, 2))
+    w = [rng.normal(size=(3, 2)), rng.normal(size=2)]
+    now, losses = ordered._one_by_one(w, x[:128].reshape(16, 8, 3), y[:128].reshape(16, 8, 2), 0.1)
+
+    def refused(*_):
+        raise AssertionError("a gradient for each batch")
+
+    monkeypatch.setattr(ordered, "_cloning", refused)
+    rows = [pa.RecordBatch.from_arrays([pa.array(v[i : i + 50].tolist(), pa.list_(pa.float64())) for v in (x, y)], names=["x_", "y_"]) for i in (0, 50, 100)]
+    got = [r for b in ordered._steps(w, 8, 0.1, 5)(rows) for r in b.to_pylist()]
+    assert [(r["batch"], r["mse"], r["kl"]) for r in got[:-1]] == [(5 + k, pytest.approx(s / 16), pytest.approx(kl)) for k, (s, kl) in enumerate(losses)]
+    assert got[-1]["weights"] == pytest.approx(np.concatenate([v.ravel() for v in now]), rel=1e-9)
+    ragged = pa.RecordBatch.from_arrays([pa.array([[1.0], [1.0, 2.0, 3.0]]), pa.array([[1.0, 1.0]] * 2)], names=["x_", "y_"])
+    with pytest.raises(ValueError):
+        list(ordered._steps(w, 1, 0.1, 0)([ragged]))
