@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from percepta.operators import encounters
+from percepta.operators import boxes, encounters
 
 SCHEMA = "track_id long, x double, y double, vx double, vy double"
 
@@ -66,3 +66,19 @@ def _join_rows(plan):
         children = p.children()
         todo += [children.apply(i) for i in range(children.size())]
     return found
+
+
+def test_a_crowded_cell_is_dealt_over_tasks(spark):
+    rng = np.random.default_rng(12)
+    p = rng.uniform(0, 1, (2600, 4))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "track_id long, x double, y double, vx double, vy double")
+    apart, relative = (np.sqrt(((p[:, None, c] - p[None, :, c]) ** 2).sum(2)) for c in ([0, 1], [2, 3]))
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero((relative >= 0.1) & (apart / (relative + 1e-6) < 0.25)), strict=True) if a < b}
+    made = encounters.meeting_pairs(df, 0.25)
+    got = [(r.track_id_a, r.track_id_b) for r in made.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    flat = spark.createDataFrame([(1, i, *map(float, v[:3]), 2.0, 2.0, 2.0) for i, v in enumerate(p)], "scene long, box_id long, cx double, cy double, cz double, dx double, dy double, dz double")
+    boxed = boxes.near_boxes(flat, "scene")
+    assert boxed.count() == boxed.select("a", "b").distinct().count() == 2600 * 2599 // 2
+    for plan in (made, boxed):
+        assert "share_" in plan._jdf.queryExecution().optimizedPlan().toString()
