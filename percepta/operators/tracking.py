@@ -213,66 +213,82 @@ class Live:
     """The live tracks of a stream in the order of their births."""
 
     next_id: int = 1
-    ids: list[int] = field(default_factory=list)
-    seen: list[int] = field(default_factory=list)
-    boxes: list[tuple] = field(default_factory=list)
-
-    def step(self, frame: int, boxes: list[tuple], scores: list[float], max_age: int, high: float | None, low: float) -> list[int | None]:
-        """Ids of a frame's detections. With high, those of `low` or more meet the tracks that the higher ones left, and give no birth."""
-        live = [k for k, f in enumerate(self.seen) if frame - f <= max_age]
-        self.ids, self.seen, self.boxes = ([x[k] for k in live] for x in (self.ids, self.seen, self.boxes))
-        out: list[int | None] = [None] * len(boxes)
-        first = [i for i, s in enumerate(scores) if high is None or s >= high]
-        second = [] if high is None else [i for i, s in enumerate(scores) if low <= s < high]
-        free = list(range(len(self.ids)))
-        for part in (first, second):
-            met = matches(np.array([self.boxes[k] for k in free], float).reshape(-1, 4), np.array([boxes[i] for i in part], float).reshape(-1, 4))
-            for t, d in met:
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    seen: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    boxes: np.ndarray = field(default_factory=lambda: np.zeros((0, 4)))
+
+    def step(self, frame: int, boxes: np.ndarray, scores: np.ndarray, max_age: int, high: float | None, low: float) -> np.ndarray:
+        """Ids of a frame's detections, 0 for none. With high, those of `low` or more meet the tracks that the higher ones left, and give no birth."""
+        live = frame - self.seen <= max_age
+        if not live.all():
+            self.ids, self.seen, self.boxes = self.ids[live], self.seen[live], self.boxes[live]
+        out = np.zeros(len(boxes), np.int64)
+        parts = [np.arange(len(boxes))] if high is None else [np.flatnonzero(scores >= high), np.flatnonzero((low <= scores) & (scores < high))]
+        free = np.arange(len(self.ids))
+        for part in parts:
+            if len(free) and len(part):
+                t, d, _ = matched(self.boxes[free], boxes[part])
                 k, i = free[t], part[d]
                 out[i], self.seen[k], self.boxes[k] = self.ids[k], frame, boxes[i]
-            taken = {t for t, _ in met}
-            free = [k for t, k in enumerate(free) if t not in taken]
-        for i in first:
-            if out[i] is None:
-                out[i] = self.next_id
-                self.ids.append(self.next_id)
-                self.seen.append(frame)
-                self.boxes.append(boxes[i])
-                self.next_id += 1
+                free = np.delete(free, t)
+        new = parts[0][out[parts[0]] == 0]
+        if len(new):
+            out[new] = self.next_id + np.arange(len(new))
+            self.ids, self.seen, self.boxes = np.append(self.ids, out[new]), np.append(self.seen, np.full(len(new), frame)), np.concatenate([self.boxes, boxes[new]])
+            self.next_id += len(new)
         return out
 
 
 def _identified(max_age: int, high: float | None, low: float):
+    """Over sorted rows (group, stream, frame, det, box, score, ended, …): group, stream, frame, det and track of those that have one, and the columns after ended."""
+
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        at, live, held = None, Live(), []
+        at, live, held = None, Live(), []  # held: the parts of the frame `at`, each with its rows of a batch
 
         def settle():
-            ids = live.step(at[2], [r[1] for r in held], [r[2] for r in held], max_age, high, low)
-            made.extend((*at, r[0], i) for r, i in zip(held, ids, strict=True) if i is not None)
+            ids = live.step(at[2], np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), max_age, high, low)
+            for (_, scores, batch, rows), some in zip(held, np.split(ids, np.cumsum([len(h[1]) for h in held])[:-1]), strict=True):
+                if made and made[-1][0] is batch:
+                    made[-1][1].append(rows[some > 0])
+                    made[-1][2].append(some[some > 0])
+                else:
+                    made.append((batch, [rows[some > 0]], [some[some > 0]]))
 
         def flushed():
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], pa.int64()) for k in range(5)], names=["group_id", "stream_id", "frame_id", "det_idx", "track_id"])
+            for batch, rows, ids in made:
+                out = batch.take(pa.array(np.concatenate(rows)))
+                names = ["group_id", "stream_id", "frame_id", "det_idx", "track_id", *out.schema.names[10:]]
+                yield pa.RecordBatch.from_arrays([*out.columns[:4], pa.array(np.concatenate(ids)), *out.columns[10:]], names=names)
 
         for batch in batches:
             made: list[tuple] = []
-            for group, stream, frame, det, x1, y1, x2, y2, score, ended in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (group, stream, frame) != at:
-                    if at:
+            if not len(batch):
+                continue
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            boxes = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(4, 8)], 1)
+            scores, ended = (batch.column(k).to_numpy(zero_copy_only=False) for k in (8, 9))
+            resets = ended.any()
+            cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), len(batch)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(int(k[lo]) for k in keys)
+                if key != at:
+                    if held:
                         settle()
-                    if at and at[:2] != (group, stream):
+                    if at and at[:2] != key[:2]:
                         live = Live()
-                    at, held = (group, stream, frame), []
-                if ended:
-                    live = Live()
-                else:
-                    held.append((det, (x1, y1, x2, y2), score))
-            yield flushed()
+                    at, held = key, []
+                rows = np.arange(lo, hi)
+                if resets and ended[lo:hi].any():
+                    live, rows = Live(), rows[~ended[lo:hi]]
+                if len(rows):
+                    held.append((boxes[rows], scores[rows], batch, rows))
+            yield from flushed()
         made = []
-        if at:
+        if held:
             settle()
-            yield flushed()
+            yield from flushed()
 
     return run
 

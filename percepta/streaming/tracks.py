@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import groupby
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,13 +17,14 @@ OUT = "stream_id long, frame_id long, det_idx long, track_id long"
 
 def _stepped(max_age: int, high: float | None, low: float):
     def apply(state: list, rows: list[tuple]) -> list[tuple]:
-        live = Live(state[0], *state[1:3], [tuple(b) for b in state[3]])
+        live = Live(state[0], *(np.array(x, np.int64) for x in state[1:3]), np.array(state[3], float).reshape(-1, 4))
         out = []
         for frame, part in groupby(rows, key=lambda r: r[0]):
             found = list(part)
-            ids = live.step(frame, [r[2:6] for r in found], [1.0 if r[6] is None else r[6] for r in found], max_age, high, low)
-            out += [(frame, int(r[1]), i) for r, i in zip(found, ids, strict=True) if i is not None]
-        state[:] = live.next_id, live.ids, live.seen, live.boxes
+            boxes, scores = np.array([r[2:6] for r in found], float), np.array([1.0 if r[6] is None else r[6] for r in found], float)
+            ids = live.step(frame, boxes, scores, max_age, high, low).tolist()
+            out += [(frame, int(r[1]), i) for r, i in zip(found, ids, strict=True) if i]
+        state[:] = live.next_id, live.ids.tolist(), live.seen.tolist(), live.boxes.tolist()
         return out
 
     return apply

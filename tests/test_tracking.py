@@ -99,3 +99,21 @@ def test_trackers_step_large_frames_without_a_matrix(monkeypatch, high, reset):
         frames.append(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list("abcdefghij")))
     got = [i for b in tracking._identified(8, high, 0.1)(frames) for i in b.column(4).to_pylist()]
     assert got == list(range(1, n + 1)) * 3
+
+
+def test_a_frame_over_several_batches_and_columns_that_come_along():
+    import pyarrow as pa
+
+    rng, rows = np.random.default_rng(5), []
+    for stream in (1, 2):
+        for frame in range(1, 30):
+            rows += [(stream, stream, frame, d, 100.0 * d + rng.integers(0, 9), 0.0, 100.0 * d + 60, 60.0, float(rng.choice([0.05, 0.3, 0.9])), False, f"{stream}-{frame}-{d}") for d in range(30) if rng.random() < 0.6]
+            if frame % 10 == 0:
+                rows.append((stream, stream, frame, 99, 9e6 + 500 * frame, 0.0, 9e6 + 500 * frame + 40, 60.0, 0.9, False, f"{stream}-{frame}-99"))
+    names = [*"abcdefghij", "kept"]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+    for high in (None, 0.5):
+        run = lambda parts: [r for b in tracking._identified(3, high, 0.1)(parts) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]  # noqa: E731, B023
+        want = run([whole])
+        assert want == run([whole.slice(k, 7) for k in range(0, len(whole), 7)])
+        assert all(r[5] == f"{r[1]}-{r[2]}-{r[3]}" for r in want) and len({r[4] for r in want}) > 30
