@@ -96,17 +96,19 @@ def _filtering(dt: float) -> Scan:
     return Scan([(2, 2, 2), (2, 2), (2, 2, 2), (2, 2), (2, 2, 2), (2,), (2, 2), (2, 2, 2)], elements, combine, output)
 
 
-def filter_tracks(positions: DataFrame, key: str = "track_id", frame: str = "frame_id", dt: float = 1.0, block: int | None = 500_000, reset: str | None = None, time: str | None = None, expire_ms: int | None = None) -> DataFrame:
+def filter_tracks(positions: DataFrame, key: str = "track_id", frame: str = "frame_id", dt: float = 1.0, block: int | None = 500_000, reset: str | None = None, time: str | None = None, expire_ms: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """State of both axes after every frame: x, y and for each axis position, velocity and covariance.
 
     An axis whose measurement is null is only predicted in that frame, so the track goes on; before its first measurement it has no
     state. Rows without a key or frame are left out. Tracks of more than `block` frames are dealt over tasks, as scanned() says.
-    positions may be a stream; reset (a boolean column), time and expire_ms are those of folded().
+    positions may be a stream; reset (a boolean column), time and expire_ms are those of folded(). keep: columns of a table that come along, after the others.
     """
     values = [F.col(c).cast("double") for c in "xy"]
     if positions.isStreaming or reset:
+        if keep:
+            raise ValueError("columns come along only in a table without resets")
         return folded(positions, key, frame, values, _axes(dt), STATE, reset=reset, time=time, expire_ms=expire_ms)
-    return scanned(positions, key, frame, values, _filtering(dt), STATE, block=block)
+    return scanned(positions, key, frame, values, _filtering(dt), STATE, block=block, keep=keep)
 
 
 def filter_tracks_from(positions: DataFrame, states: DataFrame, key: str = "track_id", frame: str = "frame_id", dt: float = 1.0) -> DataFrame:

@@ -12,9 +12,10 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from percepta.operators.kalman import filter_tracks
-from percepta.shared import connected_components, large, written
+from percepta.shared import connected_components, large, lookup_join, written
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -325,7 +326,7 @@ def gate_components(rows: DataFrame, max_age: int, gate: float = 0.3) -> DataFra
     return out.withColumn("group_id", F.xxhash64(F.coalesce("component", "node"))).drop("node", "component")
 
 
-def identified(detections: DataFrame, max_age: int = 30, high: float | None = None, low: float = 0.1, reset: str | None = None, components: bool = False) -> DataFrame:
+def identified(detections: DataFrame, max_age: int = 30, high: float | None = None, low: float = 0.1, reset: str | None = None, components: bool = False, keep: list[str] | None = None) -> DataFrame:
     """stream_id, frame_id, det_idx, track_id of the detections that belong to a track; ids count births within a stream.
 
     Frames of a stream come in order; frame ids without rows are frames without detections. A track ends after max_age
@@ -335,24 +336,26 @@ def identified(detections: DataFrame, max_age: int = 30, high: float | None = No
     reset: a boolean column; a row in which it is true ends all tracks of its stream before its frame, needs no box, has no row, and ids begin at 1
     again. components: each component of the gate (see gate_components) is a run of its own, so that a long stream isn't one task; a frame's
     least-cost assignment is that of its components, and births are numbered over the stream afterwards, so ids are the same, but where
-    assignments of equal cost tie. Not together with reset.
+    assignments of equal cost tie. Not together with reset. keep: columns of detections that come along, after the others.
     """
     if reset and components:
         raise ValueError("components of the gate don't end with a reset")
     ended = F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False)
-    d = detections.select(*[F.col(c).cast("long").alias(c) for c in ("stream_id", "frame_id", "det_idx")], *[F.col(c).cast("double").alias(c) for c in BOX], F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)).alias("score"), ended.alias("ended"))
+    d = detections.select(*[F.col(c).cast("long").alias(c) for c in ("stream_id", "frame_id", "det_idx")], *[F.col(c).cast("double").alias(c) for c in BOX], F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)).alias("score"), ended.alias("ended"), *([F.struct(*keep).alias("kept")] if keep else []))
     there = F.col("ended")
     d = d.dropna(subset=["stream_id", "frame_id"]).filter(there | ~F.array_contains(F.array(*[F.col(c).isNull() for c in BOX]), True))
     d = gate_components(d, max_age) if components else d.withColumn("group_id", F.col("stream_id"))
-    d = d.select("group_id", "stream_id", "frame_id", "det_idx", *BOX, "score", "ended")
+    d = d.select("group_id", "stream_id", "frame_id", "det_idx", *BOX, "score", "ended", *(["kept"] if keep else []))
     d = d.repartition("group_id").sortWithinPartitions("group_id", "stream_id", "frame_id", F.col("ended").desc(), "det_idx")
-    out = d.mapInArrow(_identified(max_age, high, low), "group_id long, stream_id long, frame_id long, det_idx long, track_id long")
+    schema = T.StructType.fromDDL("group_id long, stream_id long, frame_id long, det_idx long, track_id long")
+    out = d.mapInArrow(_identified(max_age, high, low), T.StructType([*schema.fields, *([d.schema["kept"]] if keep else [])]))
+    names = ["stream_id", "frame_id", "det_idx", "track_id", *[f"kept.{c}" for c in keep or []]]
     if not components:
-        return out.drop("group_id")
+        return out.select(names)
     out = written(out, "identified")
     births = out.groupBy("group_id", "stream_id", "track_id").agg(F.min(F.struct("frame_id", "det_idx")).alias("born"))
     births = births.select("group_id", "stream_id", F.col("track_id").alias("nth"), F.row_number().over(Window.partitionBy("stream_id").orderBy("born")).cast("long").alias("track_id"))
-    return large(out.withColumnRenamed("track_id", "nth")).join(births, ["group_id", "stream_id", "nth"]).select("stream_id", "frame_id", "det_idx", "track_id")
+    return large(out.withColumnRenamed("track_id", "nth")).join(births, ["group_id", "stream_id", "nth"]).select(names)
 
 
 def histories(ids: DataFrame) -> DataFrame:
@@ -362,32 +365,37 @@ def histories(ids: DataFrame) -> DataFrame:
     return out.withColumn("confirmed", F.col("hit_streak") >= 3)
 
 
+def live_tracks(detections: DataFrame, max_age: int = 30, high: float | None = None, low: float = 0.1, ends: DataFrame | None = None) -> DataFrame:
+    """track_states() without the Kalman states, which no other column needs."""
+    extra = ["confidence", *(["class_id"] if "class_id" in detections.columns else [])]
+    h = histories(identified(detections, max_age, high, low, keep=[*BOX, *extra])).drop("det_idx", "misses")
+    w = Window.partitionBy("stream_id", "track_id").orderBy("frame_id")
+    h = h.withColumn("until", F.least(F.lead("frame_id").over(w) - 1, F.col("frame_id") + max_age - 1))
+    last = detections.groupBy(F.col("stream_id").cast("long").alias("stream_id")).agg(F.max(F.col("frame_id").cast("long")).alias("last_frame")) if ends is None else ends
+    h = lookup_join(h, written(last, "last-frames"), ["stream_id"], "inner", spread=[F.col("track_id")]).withColumn("until", F.least("until", "last_frame"))
+    # An empty sequence can't be: a row's own frame is always live.
+    h = h.withColumn("at", F.explode(F.sequence("frame_id", F.greatest("until", "frame_id")))).withColumn("misses", F.col("at") - F.col("frame_id"))
+    return h.select("stream_id", "track_id", F.col("at").alias("frame_id"), "misses", "hit_streak", "confirmed", *BOX, *extra)
+
+
 def track_states(detections: DataFrame, max_age: int = 30, high: float | None = None, low: float = 0.1, ends: DataFrame | None = None) -> DataFrame:
     """A row for every live track after every frame of its stream, also the frames that miss it.
 
-    stream_id, frame_id, track_id, misses (frames since the last match), hit_streak (2 at birth, never reset; age is the same count),
+    stream_id, track_id, frame_id, misses (frames since the last match), hit_streak (2 at birth, never reset; age is the same count),
     confirmed, the last matched box with its confidence and class, and the Kalman state: corrected where a detection matched, predicted
     where none did. A track is live while it has fewer than max_age misses. Frames of a stream run from its first to its last
     one, or to last_frame in ends(stream_id, last_frame).
     """
-    extra = ["confidence", *(["class_id"] if "class_id" in detections.columns else [])]
-    ids = identified(detections, max_age, high, low)
-    boxes = detections.select(*[F.col(c).cast("long").alias(c) for c in ("stream_id", "frame_id", "det_idx")], *BOX, *extra)
-    h = histories(ids).join(boxes, ["stream_id", "frame_id", "det_idx"]).drop("misses")
-    last = detections.groupBy("stream_id").agg(F.max("frame_id").alias("last_frame")) if ends is None else ends
-    w = Window.partitionBy("stream_id", "track_id").orderBy("frame_id")
-    h = h.join(last, "stream_id").withColumn("until", F.least(F.coalesce(F.lead("frame_id").over(w) - 1, F.col("last_frame")), F.col("frame_id") + max_age - 1, "last_frame"))
-    h = h.withColumn("at", F.explode(F.sequence("frame_id", F.greatest("until", "frame_id")))).withColumn("misses", F.col("at") - F.col("frame_id"))
-    # An empty sequence can't be: a row's own frame is always live.
+    live = live_tracks(detections, max_age, high, low, ends)
+    kept = [c for c in live.columns if c != "frame_id"]
     seen = F.col("misses") == 0
-    rows = h.select(F.struct("stream_id", "track_id").alias("key"), F.col("at").alias("frame_id"), *[F.when(seen, (F.col(f"{c}1") + F.col(f"{c}2")) / 2).alias(c) for c in "xy"])
-    states = filter_tracks(rows, "key", "frame_id").select("key.*", "frame_id", "x", "y", "vx", "vy", "x_pp", "y_pp")
-    kept = h.select("stream_id", "track_id", F.col("at").alias("frame_id"), "misses", "hit_streak", "confirmed", *BOX, *extra)
-    return kept.join(states, ["stream_id", "track_id", "frame_id"])
+    rows = live.select("*", F.struct("stream_id", "track_id").alias("key"), *[F.when(seen, (F.col(f"{c}1") + F.col(f"{c}2")) / 2).alias(c) for c in "xy"])
+    states = filter_tracks(rows, "key", "frame_id", keep=kept)
+    return states.select("stream_id", "track_id", "frame_id", *kept[2:], "x", "y", "vx", "vy", "x_pp", "y_pp")
 
 
 def confirmed_tracks(states: DataFrame) -> DataFrame:
-    """The confirmed ones of track_states, occluded ones too."""
+    """The confirmed ones of live_tracks or track_states, occluded ones too."""
     return states.filter("confirmed")
 
 

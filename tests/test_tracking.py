@@ -117,3 +117,22 @@ def test_a_frame_over_several_batches_and_columns_that_come_along():
         want = run([whole])
         assert want == run([whole.slice(k, 7) for k in range(0, len(whole), 7)])
         assert all(r[5] == f"{r[1]}-{r[2]}-{r[3]}" for r in want) and len({r[4] for r in want}) > 30
+
+
+def test_rows_of_a_frame_that_share_a_number_keep_their_own_columns(spark):
+    rows = [box(1, f, 0, x, c) for f in (1, 2, 3) for x, c in ((0, 0.9), (500, 0.8))]
+    got = tracking.live_tracks(spark.createDataFrame(rows, SCHEMA), max_age=3).select("frame_id", "track_id", "x1", "confidence").collect()
+    assert len(got) == 6 and len({(r.track_id, r.x1, r.confidence) for r in got}) == 2
+
+
+@pytest.mark.parametrize("name", ["sva_02_tracked_arrays", "trk_06_tracks_by_frame", "trk_08_counts", "trk_09_track_by_id"])
+def test_queries_without_states_run_no_filter_and_join_no_boxes(spark, monkeypatch, name):
+    from percepta import plans
+
+    def refused(*_, **__):
+        raise AssertionError("a filter whose states nobody reads")
+
+    monkeypatch.setattr(tracking, "filter_tracks", refused)
+    plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert len([line for line in plan.splitlines() if " Join " in line]) <= (2 if name.startswith("sva") else 1)
