@@ -27,7 +27,7 @@ def updated(s: Axis, z: float) -> Axis:
     """One axis corrected by a measurement with unit noise."""
     p, v, pp, pv, vv = s
     near, along = pp / (pp + 1), pv / (pp + 1)
-    return p + near * (z - p), v + along * (z - p), pp * (1 - near), pv * (1 - near), vv - pv * along
+    return p + near * (z - p), v + along * (z - p), pp * (1 - near), pv * (1 - near), vv - pv * pv / (pp + 1)
 
 
 def born(z: float) -> Axis:
@@ -93,7 +93,17 @@ def _filtering(dt: float) -> Scan:
         born, m, p = e[5:]
         return [np.where(born[:, k] > 0, v, np.nan) for k in (0, 1) for v in (m[:, k, 0], m[:, k, 1], p[:, k, 0, 0], p[:, k, 0, 1], p[:, k, 1, 1])]
 
-    return Scan([(2, 2, 2), (2, 2), (2, 2, 2), (2, 2), (2, 2, 2), (2,), (2, 2), (2, 2, 2)], elements, combine, output)
+    def after(states, z):
+        """The columns of both axes after one more row, many tracks at once."""
+        s = states.reshape(2, 5, -1)
+        ahead = np.stack(predicted(tuple(s.transpose(1, 0, 2)), dt))
+        there, alive = ~np.isnan(z), ~np.isnan(s[:, 0])
+        first = np.zeros_like(ahead) + np.array(born(0.0))[:, None, None]
+        first[0] = z
+        known = np.where(there, np.stack(updated(tuple(ahead), z)), ahead)
+        return np.where(alive, known, np.where(there, first, np.nan)).transpose(1, 0, 2).reshape(states.shape)
+
+    return Scan([(2, 2, 2), (2, 2), (2, 2, 2), (2, 2), (2, 2, 2), (2,), (2, 2), (2, 2, 2)], elements, combine, output, after, _begun)
 
 
 def filter_tracks(positions: DataFrame, key: str = "track_id", frame: str = "frame_id", dt: float = 1.0, block: int | None = 500_000, reset: str | None = None, time: str | None = None, expire_ms: int | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -19,15 +19,23 @@ from percepta.shared import lookup_join, written
 Element = tuple[np.ndarray, ...]
 #: Rows that are combined one after the other; all chunks of a batch at once.
 CHUNK = 32
+#: Rows of a segment in a batch up to which a scan that can steps from row to row, all segments of the batch at once.
+STEPS = 1024
 
 
 class Scan(NamedTuple):
-    """shapes: those of an element's parts for one row. elements: from the values of rows (NaN: null). combine: earlier, later. output: the columns of a state, NaN for null."""
+    """shapes: those of an element's parts for one row. elements: from the values of rows (NaN: null). combine: earlier, later. output: the columns of a state, NaN for null.
+
+    step: the columns of the states after rows, from those before them (NaN: none) and the rows' values; begun: the element of given columns. With both, batches of short segments are
+    stepped, as a loop over each would: fewer and simpler operations than combining, and its very rounding.
+    """
 
     shapes: list[tuple[int, ...]]
     elements: Callable[[list[np.ndarray]], Element]
     combine: Callable[[Element, Element], Element]
     output: Callable[[Element], list[np.ndarray]]
+    step: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+    begun: Callable[[np.ndarray], Element] | None = None
 
 
 def prefix(scan: Scan, e: Element, starts: np.ndarray) -> Element:
@@ -53,6 +61,25 @@ def prefix(scan: Scan, e: Element, starts: np.ndarray) -> Element:
     return tuple(p.reshape(m * CHUNK, *p.shape[2:])[:n] for p in parts)
 
 
+def stepped(scan: Scan, values: np.ndarray, starts: np.ndarray, before: np.ndarray | None) -> np.ndarray | None:
+    """The columns of the states after all rows (column, row), before: those before the first one; None if a segment has more than STEPS rows."""
+    first = np.flatnonzero(starts)
+    lengths = np.diff(np.append(first, len(starts)))
+    if lengths.max() > STEPS:
+        return None
+    of = np.argsort(-lengths, kind="stable")
+    first, lengths = first[of], lengths[of]
+    state = np.full((len(scan.output(scan.elements(list(values[:, :1])))), len(first)), np.nan)
+    if before is not None:
+        state[:, of == 0] = before[:, None]
+    out = np.empty((len(state), len(starts)))
+    for j in range(lengths[0]):
+        n = np.searchsorted(-lengths, -j)  # segments of more than j rows come first
+        state = scan.step(state[:, :n], values[:, first[:n] + j])
+        out[:, first[:n] + j] = state
+    return out
+
+
 def _flat(e: Element) -> np.ndarray:
     return np.concatenate([x.reshape(len(x), int(np.prod(x.shape[1:]))) for x in e], axis=1)
 
@@ -81,8 +108,17 @@ def _scanning(scan: Scan, n_in: int, schema: T.StructType, what: str):
             if not len(batch):
                 continue
             segment = batch.column(0).to_numpy()
-            e = tuple(np.array(x) for x in scan.elements([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1 : 1 + n_in]]))
+            values = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1 : 1 + n_in]]
             carry = batch.column(1 + n_in)
+            if what == "rows" and scan.step and carry.null_count == len(carry):
+                starts = np.append(True, segment[1:] != segment[:-1])
+                before = np.concatenate(scan.output(held)) if at is not None and segment[0] == at else None
+                found = stepped(scan, np.stack(values), starts, before)
+                if found is not None:
+                    held, at = scan.begun(found[:, -1][None]), segment[-1]
+                    yield made([batch.column(k) for k in range(2 + n_in, batch.num_columns)], list(found))
+                    continue
+            e = tuple(np.array(x) for x in scan.elements(values))
             given = np.flatnonzero(carry.is_valid().to_numpy(zero_copy_only=False))
             if len(given):
                 flat = carry.take(pa.array(given)).flatten().to_numpy().reshape(len(given), -1)

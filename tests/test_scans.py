@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from percepta.operators import kalman, learning
+from percepta.operators import kalman, learning, scans
 
 
 def rounded(rows):
@@ -42,6 +43,33 @@ def test_kalman_scan_equals_the_loop(spark, block):
         assert rounded(kalman.filter_tracks(df, dt=dt, block=block).collect()) == looped(df, dt)
 
 
+def test_short_tracks_have_the_very_states_of_a_loop(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = [(t, f, *(None if rng.random() < 0.4 else float(rng.normal()) * 1e5 for _ in "xy")) for t in range(40) for f in range(int(rng.integers(1, 130)))]
+    df = spark.createDataFrame(rows, "track_id long, frame_id long, x double, y double")
+    want, held = {}, {}
+    for t, f, *z in rows:
+        s = held.setdefault(t, [None, None])
+        for k, m in enumerate(z):
+            ahead = s[k] and kalman.predicted(s[k], 1.0)
+            s[k] = ahead if m is None else kalman.updated(ahead, m) if ahead else kalman.born(m)
+        want[t, f] = tuple(v for a in s for v in (a or (None,) * 5))
+    assert {(r[0], r[1]): tuple(r[2:]) for r in kalman.filter_tracks(df).collect()} == want
+    # The same where a track goes over batches, and where long segments between them are combined.
+    scan = kalman._filtering(1.0)
+    schema = T.StructType.fromDDL(f"order long, {kalman.STATE}")
+    for longest, near in ((1024, 0), (50, 1e-9)):
+        z = [[r[k] for r in rows] for k in (2, 3)]
+        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), *(pa.array(c, pa.float64()) for c in z), pa.nulls(len(rows), pa.list_(pa.float64())), pa.array([r[1] for r in rows])], names=list("szwco"))
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(scans, "STEPS", longest)
+            got = [r for b in scans._scanning(scan, 2, schema, "rows")([batch.slice(i, 60) for i in range(0, len(batch), 60)]) for r in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+        for (t, f, *_), r in zip(rows, got, strict=True):
+            assert r == (want[t, f] if not near else tuple(v if v is None else pytest.approx(v, rel=near, abs=1e-6) for v in want[t, f]))
+
+
 def test_tracks_go_on_from_given_states(spark):
     df = positions(spark)
     start = {"long": [(5.0, 1.0, 0.5, 0.1, 1.0), None], "k3": [(1.0, 0.0, 2.0, 0.0, 3.0), (7.0, -1.0, 1.0, 0.5, 1.0)], "none": [(0.0,) * 5, None]}
