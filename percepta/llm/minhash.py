@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from percepta.shared import connected_components, freed, lookup_join, packed, written
+from percepta.shared import CROWD, connected_components, freed, lookup_join, packed, written
 
 #: Permutations; each gives a minimum and a maximum. A band takes two permutations, so four values.
 PERMUTATIONS = 48
@@ -381,7 +381,8 @@ def near_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     # Only keys travel to find the buckets of several classes; only the rows in these go on.
     keys = F.explode("bands").alias("key")
     shared = written(classes.select(keys).groupBy("key").agg(F.count("*").alias("homes")).filter("homes > 1"), "shared-keys")
-    met = written(lookup_join(classes.select("cid", "n", F.posexplode("bands").alias("band", "key")), shared, ["key"], "inner", most_rows=1_000_000, spread=[F.col("cid")]), "met")
+    crowded = shared.filter(F.col("homes") > CROWD).select("key")
+    met = written(lookup_join(classes.select("cid", "n", F.posexplode("bands").alias("band", "key")), shared, ["key"], "inner", most_rows=1_000_000, spread=[F.col("cid")], crowded=crowded), "met")
     leads = met.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("lead"))
     fit = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
     starred = met.join(leads, "key").filter(fit & (F.col("cid") != F.col("lead.cid"))).select(F.col("lead.cid").alias("hub"), F.col("cid").alias("member"))

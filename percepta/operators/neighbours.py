@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from percepta.operators.boxes import moments, with_axes
-from percepta.shared import freed, large, lookup_join, written
+from percepta.shared import CROWD, freed, large, lookup_join, written
 
 _BITS = 50  # halvings of a cloud's extent along an axis, within a double's precision
 _SLACK = 1 + 1e-9  # beyond the rounding of distances
@@ -50,8 +50,9 @@ def leaves(points: DataFrame, most: int) -> tuple[DataFrame, list[DataFrame]]:
             w = Window.partitionBy("cloud_id", *[F.shiftright(c, top - level) for c in _CELL])
             counts = counts.withColumn(f"n{level}", F.sum("n").over(w))
         level = F.coalesce(*[F.when(F.col(f"n{i}") <= most, i) for i in range(base, top + 1)], F.lit(_BITS if top == _BITS else None)).cast("int")
-        counts = written(counts.select("cloud_id", *_CELL, level.alias("level")), "cell-counts")
-        dealt = written(lookup_join(open_points.withColumns(cells), counts, ["cloud_id", *_CELL], "inner").drop(*_CELL), "leaf-points")
+        counts = written(counts.select("cloud_id", *_CELL, level.alias("level"), "n"), "cell-counts")
+        crowded = counts.filter(F.col("n") > CROWD).select("cloud_id", *_CELL)
+        dealt = written(lookup_join(open_points.withColumns(cells), counts, ["cloud_id", *_CELL], "inner", crowded=crowded).drop(*_CELL, "n"), "leaf-points")
         freed(counts)
         tables.append(dealt)
         parts.append(dealt.filter("level is not null"))

@@ -73,6 +73,10 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
+#: Rows of one key that are left to one task of a join.
+CROWD = 50_000
+
+
 def fits(table: DataFrame, most_rows: int, most_bytes: int = 64 << 20) -> bool:
     """Whether a table is small enough to broadcast: its rows are counted and, if it was written, its files measured."""
     if path := _PATHS.get(table):
@@ -82,22 +86,36 @@ def fits(table: DataFrame, most_rows: int, most_bytes: int = 64 << 20) -> bool:
     return table.limit(most_rows + 1).count() <= most_rows
 
 
-def lookup_join(left: DataFrame, table: DataFrame, on: list[str], how: str = "left", most_rows: int = 200_000, salts: int = 32, spread: list[Column] | None = None) -> DataFrame:
+def lookup_join(left: DataFrame, table: DataFrame, on: list[str], how: str = "left", most_rows: int = 200_000, salts: int = 32, spread: list[Column] | None = None, crowded: DataFrame | None = None) -> DataFrame:
     """Joins left to a written table that has few rows for each key.
 
-    A table of at most most_rows rows and 64 MB of files is broadcast. Beyond, the rows of every key of left are dealt over
-    `salts` shares and the table is repeated for each share, so that a key with a third of all rows has no task of its own.
+    A table of at most most_rows rows and 64 MB of files is broadcast. Beyond, the two are merged and neither goes through the driver: only left's rows of keys that
+    have more than CROWD of them, or a null, are dealt over `salts` shares, and only these keys' rows of the table are repeated for each share, so that a key with a
+    third of all rows has no task of its own. crowded: a table of these keys where they are known; else left's rows are counted.
     """
     if fits(table, most_rows):
         return left.join(F.broadcast(table), on, how)
-    salt = "salt"
-    while salt in {c.lower() for c in (*left.columns, *table.columns)}:
+    names = {c.lower() for c in (*left.columns, *table.columns)}
+    salt, mark = "salt", "crowd"
+    while salt in names:
         salt += "_"
+    while mark in names:
+        mark += "_"
     kinds = {f.name: f.dataType.simpleString() for f in left.schema.fields}
     hashable = [F.col(f"`{c}`") for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind]
     dealt = F.pmod(F.xxhash64(*(spread or hashable or [F.lit(0)])), F.lit(salts)).cast("int")
-    table = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn(salt, dealt).join(table, [*on, salt], how).drop(salt)
+    if crowded is None:
+        crowded = left.groupBy(on).agg(F.count("*").alias(mark)).filter(F.col(mark) > CROWD)
+    # One key for each CROWD rows at most.
+    crowded = written(crowded.select(*on, F.lit(True).alias(mark)), "crowded")
+    apart = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in on])
+    shares = F.array(F.lit(0))
+    if crowded.limit(1).count():
+        left, table = (d.join(F.broadcast(crowded), on, "left") for d in (left, table))
+        apart, shares = apart | F.col(mark).isNotNull(), F.when(F.col(mark), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(shares)
+    left = left.withColumn(salt, F.when(apart, dealt).otherwise(0)).drop(mark)
+    table = table.withColumn(salt, F.explode(shares)).drop(mark)
+    return large(left).join(table, [*on, salt], how).drop(salt)
 
 
 def crowded_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column, most_rows: int = 1024) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from percepta import plans
+from percepta import plans, shared
 from percepta.operators import grids, neighbours, spatial
 
 
@@ -78,3 +78,43 @@ def test_sparse_clouds_cross_about_three_times(spark):
     of = spark._jvm.org.apache.spark.sql.classic.Dataset
     rows = [of.ofRows(spark._jsparkSession, join.children().apply(k)).count() for k in (0, 1)]
     assert rows[0] == 6000 and rows[1] < 3 * 6000
+
+
+def _lookup_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_table_beyond_the_bound_is_merged_and_repeated_for_crowded_keys_only(spark, monkeypatch):
+    table = shared.written(spark.range(300).select(F.when(F.col("id") < 299, F.col("id")).alias("k"), (F.col("id") * 2).alias("v")), "table")
+    left = spark.range(2000).select(F.when(F.col("id") % 7 > 0, F.when(F.col("id") % 3 > 0, 5).otherwise(F.col("id") % 400)).cast("long").alias("k"), F.col("id").alias("n"))
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, left.join(F.broadcast(table), "k", how).fillna(-1).collect()))
+        plain = shared.lookup_join(left, table, ["k"], how, most_rows=10)
+        assert "Broadcast" not in _lookup_plan(plain) and sorted(map(tuple, plain.fillna(-1).collect())) == want
+        with monkeypatch.context() as m:
+            m.setattr(shared, "CROWD", 100)
+            dealt = shared.lookup_join(left, table, ["k"], how, most_rows=10)
+            assert "SortMergeJoin" in _lookup_plan(dealt) and sorted(map(tuple, dealt.fillna(-1).collect())) == want
+            # Key 5 alone is in 32 shares.
+            known = shared.lookup_join(left, table, ["k"], how, most_rows=10, crowded=spark.createDataFrame([(5,)], "k long"))
+            assert sorted(map(tuple, known.fillna(-1).collect())) == want
+            rows = []
+            monkeypatch.setattr(shared, "large", lambda d: rows.append(d) or d.hint("merge"))
+            shared.lookup_join(left, table, ["k"], how, most_rows=10)
+            shares = {r.k: r.n for r in rows[-1].groupBy("k").agg(F.countDistinct("salt").alias("n")).collect()}
+            assert shares[5] == 32 and shares[None] == 32 and max(n for k, n in shares.items() if k not in (5, None)) == 1
+
+
+def test_components_and_leaves_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+    """With a bound of no rows nothing that grows goes through the driver."""
+    rng = np.random.default_rng(3)
+    p = spark.createDataFrame([(1 + i % 2, i, *map(float, v)) for i, v in enumerate(rng.uniform(0, 1, (400, 3)))], "cloud_id long, pt_idx long, x double, y double, z double")
+    edges = spark.createDataFrame([(int(a), int(a) - int(rng.integers(1, 4))) for a in range(4, 300)], "a long, b long")
+    want_near, want_parts = (sorted(map(tuple, d.collect())) for d in (neighbours.nearest(p, 3, 16), shared.connected_components(edges)))
+    plans_of, write = [], shared.written
+    monkeypatch.setattr(shared, "fits", lambda *_: False)
+    for module in (shared, neighbours):
+        monkeypatch.setattr(module, "written", lambda d, *a: plans_of.append(_lookup_plan(d)) or write(d, *a))
+    assert sorted(map(tuple, neighbours.nearest(p, 3, 16).collect())) == want_near
+    assert sorted(map(tuple, shared.connected_components(edges).collect())) == want_parts
+    assert len(plans_of) > 10 and not any("Broadcast" in x for x in plans_of)
