@@ -118,3 +118,18 @@ def test_components_and_leaves_beyond_the_bound_are_not_broadcast(spark, monkeyp
     assert sorted(map(tuple, neighbours.nearest(p, 3, 16).collect())) == want_near
     assert sorted(map(tuple, shared.connected_components(edges).collect())) == want_parts
     assert len(plans_of) > 10 and not any("Broadcast" in x for x in plans_of)
+
+
+def test_verdicts_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+    """op7: neither rules nor verdicts, which grow with the URLs, go through the driver."""
+    from percepta.llm import url_rules
+
+    rules = spark.createDataFrame([("com", "/en/", "block"), ("a.com", "/en/7", "allow")], "host string, path string, verdict string")
+    urls = spark.range(300).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), F.when(F.col("id") % 3 > 0, "a.com/en/7").otherwise(F.concat(F.lit("h"), F.col("id"), F.lit(".com/en/")))).alias("url"))
+    want = sorted(map(tuple, url_rules.filter_urls(urls, rules).collect()))
+    monkeypatch.setattr(shared, "CROWD", 100)
+    got = url_rules.filter_urls(urls, rules, most_rules=0, most_verdicts=0)
+    plan = _lookup_plan(got)
+    # Only the crowded keys are sent.
+    assert "SortMergeJoin" in plan and plan.count("BroadcastExchange") <= 2
+    assert sorted(map(tuple, got.collect())) == want and {r[-1] for r in want} == {"allow", "block"}
