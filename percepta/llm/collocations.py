@@ -22,15 +22,22 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text that are taken apart at once.
 SLICE = 8 << 20
+#: Of the bits for pairs: 16 for each pair, but no more than 2 to this power, 32 MB.
+MOST_BITS = 28
+#: Bits that one row holds on their way to the driver, as a power of two.
+RUN_BITS = 15
 
 
 class Frequent(NamedTuple):
-    """Words that may be in a phrase: langs, distinct words, and for each language the sorted numbers of its frequent words and, where known, of its frequent pairs (first · len(words) + second)."""
+    """Words that may be in a phrase: langs, distinct words, and for each language the sorted numbers of its frequent words and, where known, of its frequent pairs (first · len(words) + second).
+
+    Where the pairs are too many, bits holds those of their hashes: a pair without its bit is rare."""
 
     langs: list[str]
     words: list[str]
     singles: list[np.ndarray]
     pairs: list[np.ndarray] | None = None
+    bits: np.ndarray | None = None
 
 
 def _slices(batch) -> Iterator[tuple]:
@@ -76,6 +83,43 @@ def _word_counts(batches: Iterable) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), said.dictionary, pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
 
+def _bit_of(lang, first: np.ndarray, second: np.ndarray, power: int) -> np.ndarray:
+    """The number of a pair's bit among 2 to the power."""
+    h = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(lang).astype(np.uint64)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(32))) >> np.uint64(64 - power)).astype(np.int64)
+
+
+def _bits(pairs: DataFrame) -> np.ndarray:
+    """The bits of pairs(lang, w1, w2): each run of them is made in a task, the driver gets 32 MB at most."""
+    power = min(MOST_BITS, max(RUN_BITS, int(16 * pairs.count()).bit_length()))
+
+    def placed(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            at = np.unique(_bit_of(*(batch.column(c).to_numpy() for c in ("lang", "w1", "w2")), power))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> RUN_BITS), pa.array(at & ((1 << RUN_BITS) - 1))], names=["run", "at"])
+
+    def packed(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for found in batch.column("found"):
+                run = np.zeros(1 << RUN_BITS, bool)
+                run[found.values.to_numpy()] = True
+                rows.append(np.packbits(run, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(rows, pa.binary())], names=["run", "raw"])
+
+    runs = pairs.mapInArrow(placed, "run long, at long").groupBy("run").agg(F.collect_set("at").alias("found"))
+    out = np.zeros(1 << (power - 3), np.uint8)
+    for run, raw in zip(*runs.mapInArrow(packed, "run long, raw binary").toArrow().to_pydict().values(), strict=True):
+        out[run << (RUN_BITS - 3) : (run + 1) << (RUN_BITS - 3)] = np.frombuffer(raw, np.uint8)
+    return out
+
+
 def _windows(shared, width: int):
     """Windows of `width` frequent words that begin at each of them, as numbers, and their count c; -1 beyond the piece and from the first word or pair on that is rare.
 
@@ -109,6 +153,9 @@ def _windows(shared, width: int):
                     at = np.searchsorted(among, pairs)
                     rare = np.append(among, -1)[at] != pairs if len(among) else np.ones(len(pairs), bool)
                     breaks[1:] |= rare
+                elif frequent.bits is not None and len(number):
+                    at = _bit_of(lang, number[:-1], number[1:], len(frequent.bits).bit_length() + 2)
+                    breaks[1:] |= (frequent.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 0
                 # A pad between pieces and at the end.
                 at = np.arange(len(number)) + np.cumsum(breaks)
                 padded = np.full((int(at[-1]) + 1 if len(at) else 0) + width, -1, np.int64)
@@ -159,8 +206,8 @@ def collocations(docs: DataFrame, least: int = 100, width: int = 5, top: int = 2
     within a longer one of equal count go. Whole numbers of up to 38 digits are used, so scores are exact.
 
     A phrase holds no word or pair that is rarer than itself: words are counted first, and where the frequent ones fit in most_words rows and most_bytes
-    they are sent to all tasks; windows of two then give the frequent pairs, and the longest windows end at rare words and, if the pairs
-    are at most most_words, at rare pairs. Beyond the bound, windows are made of all words as they are, with equal results and a
+    they are sent to all tasks; windows of two then give the frequent pairs, and the longest windows end at rare words and at rare pairs; if the pairs
+    are more than most_words, at pairs whose hash no frequent one has (32 MB of bits at most). Beyond the bound of words, windows are made of all words as they are, with equal results and a
     larger shuffle. Windows are counted in two steps, so common phrases don't meet in one task.
 
     A null language is und; null and empty texts have no words; texts are taken whole, whatever their length; repeated rows
@@ -202,6 +249,8 @@ def _from_frequent(rows: DataFrame, common: DataFrame, width: int, least: int, m
         seen = {n: c.to_numpy() for n, c in zip(pairs.columns, pairs.toArrow().columns, strict=True)}
         keys = seen["w1"].astype(np.int64) * len(words) + seen["w2"]
         frequent = frequent._replace(pairs=[np.sort(keys[seen["lang"] == i]) for i in range(len(langs))])
+    else:
+        frequent = frequent._replace(bits=_bits(pairs))
     shared = context.broadcast(frequent)
     return counts(shared, width).mapInArrow(_named(shared, width), "lang string, k int, words array<string>, f long")
 

@@ -219,3 +219,26 @@ def test_many_spans_in_one_text(spark):
     run(300)
     half, whole = run(32_000), run(64_000)
     assert whole < 3 * half + 2 and whole < 30
+
+
+def test_windows_end_at_rare_pairs_however_many_pairs_are_frequent(spark, monkeypatch):
+    """op13: with more frequent pairs than are sent as they are, bits of their hashes end the windows; the result stays the same."""
+    import numpy as np
+    from percepta.llm import collocations
+
+    rng = np.random.default_rng(8)
+    said = [" ".join(f"w{i}" for i in rng.integers(0, 40, 60)) + ". red apple pie now" for _ in range(60)]
+    df = spark.createDataFrame([(i, t, "en" if i % 3 else None) for i, t in enumerate(said)], "doc_id long, text string, lang string").repartition(3)
+    made, counts = [], collocations.phrase_counts
+    monkeypatch.setattr(collocations, "phrase_counts", lambda w, width, *a: made.append((width, w.count())) or counts(w, width, *a))
+
+    def run(**options):
+        made.clear()
+        return sorted(map(tuple, collocations.collocations(df, 4, 5, 2000, **options).collect())), dict(made)[5]
+
+    exact, rows = run()
+    # 88 frequent words of the two languages, and far more pairs.
+    got, with_bits = run(most_words=100)
+    monkeypatch.setattr(collocations, "_bits", lambda pairs: np.full(1 << 12, 255, np.uint8))
+    same, unpruned = run(most_words=100)
+    assert got == same == exact and len(exact) > 20 and rows <= with_bits < 1.2 * rows < unpruned / 2
