@@ -133,3 +133,29 @@ def test_verdicts_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
     # Only the crowded keys are sent.
     assert "SortMergeJoin" in plan and plan.count("BroadcastExchange") <= 2
     assert sorted(map(tuple, got.collect())) == want and {r[-1] for r in want} == {"allow", "block"}
+
+
+def test_normals_and_clusters_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    p = spark.createDataFrame([(1, i, *map(float, v)) for i, v in enumerate(rng.uniform(0, 1, (90, 3)))], "cloud_id long, pt_idx long, x double, y double, z double")
+    plans_of, write = [], shared.written
+    monkeypatch.setattr(shared, "fits", lambda *_: False)
+    for module in (shared, neighbours, spatial):
+        monkeypatch.setattr(module, "written", lambda d, *a: plans_of.append(_lookup_plan(d)) or write(d, *a))
+    for make in (lambda: neighbours.normals(p, 4), lambda: spatial.clusters(p, 0.2, 3)):
+        made, found = make(), [*plans_of]
+        assert len(found) > 5 and not any("Broadcast" in x for x in [*found, _lookup_plan(made)]) and made.count()
+        plans_of.clear()
+
+
+def test_components_of_detections_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+    """The nodes of a gate, chained over 200 frames in each of two streams."""
+    node = lambda f: F.struct((F.col("id") % 2).alias("stream_id"), f.alias("frame_id"), F.lit(0).alias("det_idx"))
+    step = F.floor(F.col("id") / 2)
+    edges = spark.range(400).select(node(step + 1).alias("a"), node(step).alias("b")).repartition(8)
+    plans_of, write = [], shared.written
+    monkeypatch.setattr(shared, "fits", lambda *_: False)
+    monkeypatch.setattr(shared, "written", lambda d, name, *a: plans_of.append((name, _lookup_plan(d))) or write(d, name, *a))
+    got = {tuple(r.node): tuple(r.component) for r in shared.connected_components(edges, "gate").collect()}
+    assert got == {(s, f, 0): (s, 0, 0) for s in (0, 1) for f in range(201)}
+    assert sum(name == "gate-labels" for name, _ in plans_of) > 1 and not any("Broadcast" in x for _, x in plans_of)
